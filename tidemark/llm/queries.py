@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import bpe, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_pu": quality.op1_quality_pu,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -24,58 +25,48 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens that a worker remembers; beyond, it forgets all of them and goes on.
-REMEMBERED = 400_000
+#: Pre-tokens in the newer half of what a worker remembers.
+REMEMBERED = 300_000
 #: Longer pre-tokens are encoded anew each time.
 LONG = 64
-WORD_BITS = 64
+#: A bitmap word has two to this power bits.
+WORD = 8
+MASK = (1 << WORD) - 1
+BIT = [1 << i for i in range(1 << WORD)]
 
 
 class RankQueue:
-    """Positions by rank; pop gives the least position of the least rank."""
+    """Positions by rank; the least position of the least rank comes first.
+
+    ``top`` has a bit for each word of ``words``, which have a bit for each rank in use. The queue is empty between
+    pre-tokens, so it is made once. ``merge`` runs push and pop in line.
+    """
 
     def __init__(self, ranks: int):
-        self.levels = []
-        size = max(1, ranks)
-        while True:
-            size = -(-size // WORD_BITS)
-            self.levels.append([0] * size)
-            if size == 1:
-                break
+        self.words = [0] * ((max(1, ranks) >> WORD) + 1)
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for words in self.levels:
-            at, bit = at >> 6, at & 63
-            old = words[at]
-            words[at] = old | 1 << bit
-            if old:
-                return
-
-    def pop(self) -> tuple[int, int] | None:
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            if not word:
-                return None
-            at = at << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rest = at
-            for words in self.levels:
-                rest, bit = rest >> 6, rest & 63
-                words[rest] &= ~(1 << bit)
-                if words[rest]:
-                    break
-        return at, position
+
+class _Memory(dict):
+    """Results by pre-token: the newer half is looked up first, the older half is forgotten when the newer is full."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece):
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
+        self.put(piece, value)
+        return value
+
+    def put(self, piece, value) -> None:
+        if len(piece) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = value
 
 
 class Codec:
@@ -83,83 +74,92 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.words = {r: b for b, r in ranks.items()}
+        self.bytes = {r: b for b, r in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.shown: dict[str, str] = {}
-        self.back: dict[str, bytes] = {}
+        self.ids = _Memory(lambda p: self.merge(p.encode("utf-8")))
+        self.back = _Memory(lambda p: self.decode(self.merge(p.encode("utf-8"))))
+        self.shown = _Memory(self._show)
+
+    def _show(self, piece: str) -> str:
+        ids = self.merge(piece.encode("utf-8"))
+        self.back.put(piece, self.decode(ids))
+        return " ".join(map(str, ids))
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
+        ranks, words, buckets = self.ranks, self.queue.words, self.queue.buckets
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
+        top, find = 0, ranks.get
         n = len(piece)
         end = list(range(1, n + 1))  # of the part that begins here
         before = list(range(-1, n - 1))
         pair = [-1] * n  # rank of the part that begins here with the next one
-        push, pop = queue.push, queue.pop
+        fresh = []  # pairs to push
         for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
+            if (r := find(piece[i : i + 2])) is not None:
+                fresh.append((r, i))
+        while True:
+            for r, i in fresh:
                 pair[i] = r
-                push(r, i)
-        while (found := pop()) is not None:
-            r, i = found
-            if pair[i] != r:
+                bucket = buckets.get(r)
+                if bucket is None:
+                    buckets[r] = [i]
+                    at = r >> WORD
+                    if not words[at]:
+                        top |= 1 << at
+                    words[at] |= BIT[r & MASK]
+                else:
+                    heappush(bucket, i)
+            if not top:
+                break
+            at = (top & -top).bit_length() - 1
+            word = words[at]
+            low = word & -word
+            r = (at << WORD) + low.bit_length() - 1
+            bucket = buckets[r]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[r]
+                words[at] = word = word ^ low
+                if not word:
+                    top ^= 1 << at
+            fresh = []
+            if pair[i] != r:  # stale
                 continue
             mid = end[i]
             stop = end[i] = end[mid]
             pair[mid] = pair[i] = -1
             if stop < n:
                 before[stop] = i
-                r = ranks.get(piece[i : end[stop]])
-                if r is not None:
-                    pair[i] = r
-                    push(r, i)
+                if (r := find(piece[i : end[stop]])) is not None:
+                    fresh.append((r, i))
             left = before[i]
             if left >= 0:
-                r = ranks.get(piece[left:stop])
-                if r is None:
+                if (r := find(piece[left:stop])) is None:
                     pair[left] = -1
                 else:
-                    pair[left] = r
-                    push(r, left)
+                    fresh.append((r, left))
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : end[i]]])
             i = end[i]
         return ids
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear(), self.shown.clear(), self.back.clear()
-        for p in pieces:
-            ids = self.known[p] = tuple(self.merge(p.encode("utf-8")))
-            self.shown[p] = " ".join(map(str, ids))
-            self.back[p] = self.decode(ids)
-
-    def pieces(self, text: str) -> list[str]:
-        found = self.split(text)
-        new = set(found).difference(self.known)
-        if new:
-            self._learn(new if len(new) + len(self.known) <= REMEMBERED else set(found))
-        return found
-
     def encode(self, text: str | None) -> list[int]:
-        return [i for p in self.pieces(text or "") for i in self.known[p]]
+        return list(chain.from_iterable(map(self.ids.__getitem__, self.split(text or ""))))
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.words.__getitem__, ids))
+        return b"".join(map(self.bytes.__getitem__, ids))
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as decimals and of the bytes they decode to."""
-        found = self.pieces(text or "")
-        shown = " ".join(map(self.shown.__getitem__, found)).encode()
-        back = b"".join(map(self.back.__getitem__, found))
-        return (shown.count(b" ") + 1 if found else 0), hashlib.sha256(shown).hexdigest(), hashlib.sha256(back).hexdigest()
+        pieces = self.split(text or "")
+        shown = " ".join(map(self.shown.__getitem__, pieces)).encode()
+        back = b"".join(map(self.back.__getitem__, pieces))
+        return (shown.count(b" ") + 1 if pieces else 0), hashlib.sha256(shown).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
 def load_ranks(content: bytes) -> dict[bytes, int]:

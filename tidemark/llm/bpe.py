@@ -217,6 +217,23 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def token_rows(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """``docs`` without text: doc_id, lang, source, ids, and round_trip, whether the ids decode to the text's bytes."""
+    name = _ship(docs, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(name, pattern)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                texts = [t or "" for t in part.column(3).to_pylist()]
+                ids = [codec.encode(t) for t in texts]
+                same = [codec.decode(x) == t.encode("utf-8") for x, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "lang", "source", "ids", "round_trip"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(run, "doc_id long, lang string, source string, ids array<int>, round_trip boolean")
+
+
 def public_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 

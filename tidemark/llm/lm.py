@@ -125,13 +125,18 @@ def _hash_pair(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return a, _mix(a ^ np.uint64(0x94D049BB133111EB)) | np.uint64(1)
 
 
+def _place(x: np.ndarray, size) -> np.ndarray:
+    """A place below ``size``, which is under 2^32, for each hash."""
+    return (((x >> np.uint64(32)) * size) >> np.uint64(32)).astype(np.int64)
+
+
 def segment(hashes: np.ndarray, levels: np.ndarray, size: int) -> np.ndarray:
     """The filter of one hash range, as bytes."""
     on = np.zeros(size, dtype=bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         a, b = _hash_pair(hashes[levels >= level], level)
         for i in range(HASHES):
-            on[((a + np.uint64(i) * b) % np.uint64(size)).astype(np.int64)] = True
+            on[_place(a + np.uint64(i) * b, np.uint64(size))] = True
     return np.packbits(on, bitorder="little")
 
 
@@ -149,16 +154,16 @@ class Filter:
             data.append(bits)
         self.data = np.frombuffer(b"".join(data), dtype=np.uint8)
 
-    def levels(self, hashes: np.ndarray, kind: int) -> np.ndarray:
-        """Quantised counts by probing level after level until a miss."""
+    def levels(self, hashes: np.ndarray, kind: int, most: int = LEVELS) -> np.ndarray:
+        """Quantised counts by probing level after level until a miss, up to the level ``most``."""
         out = np.zeros(len(hashes), dtype=np.int64)
         left, h = np.arange(len(hashes)), hashes
         r = range_of(hashes, self.ranges).astype(np.int64)
         size, at = self.size[kind][r], self.at[kind][r]
-        for level in range(1, LEVELS + 1):
+        for level in range(1, most + 1):
             a, b = _hash_pair(h, level)
             for i in range(HASHES):
-                bit = at + ((a + np.uint64(i) * b) % size).astype(np.int64)
+                bit = at + _place(a + np.uint64(i) * b, size)
                 hit = (self.data[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
                 if not hit.all():
                     left, h, size, at, a, b = left[hit], h[hit], size[hit], at[hit], a[hit], b[hit]
@@ -259,13 +264,19 @@ def build_filter(counts: DataFrame, ranges: int, most_bytes: int = MOST_BYTES) -
     return Filter(list(zip(parts["kind"].to_pylist(), parts["range"].to_pylist(), parts["size"].to_pylist(), parts["bits"].to_pylist())), ranges)
 
 
-def log_probabilities(model: Filter, words: np.ndarray, before: np.ndarray, tokens: int, distinct: int, begins: float) -> np.ndarray:
-    """log10 of the smoothed probability of each word after the one before it."""
-    unigram = counts_of(model.levels(words, 0), 1)
+def log_probabilities(model: Filter, words: np.ndarray, starts: np.ndarray, distinct_words: np.ndarray, which: np.ndarray, tokens: int, distinct: int, begins: float) -> np.ndarray:
+    """log10 of the smoothed probability of each word after the one before it; words are distinct_words[which]."""
+    unigram = counts_of(model.levels(distinct_words, 0), 1)[which]
     context = np.empty_like(unigram)
     context[1:] = unigram[:-1]
-    context[before == BEGIN] = begins
-    pair = counts_of(model.levels(pair_hashes(before, words), 1), CUTOFF)
+    context[starts] = begins
+    pair = np.zeros(len(words))
+    # a pair of the model has words at least as frequent; most others end at the first level, the rest are probed once each
+    some = np.flatnonzero((unigram >= CUTOFF) & (context >= CUTOFF))
+    hashes = pair_hashes(_before(words, starts)[some], words[some])
+    hit = np.flatnonzero(model.levels(hashes, 1, 1))
+    each, back = np.unique(hashes[hit], return_inverse=True)
+    pair[some[hit]] = counts_of(model.levels(each, 1), CUTOFF)[back]
     floor = (unigram + 0.5) / (tokens + 0.5 * (distinct + 1))
     seen = np.minimum(1.0, pair / np.maximum(context, 1.0))
     return np.log10(PAIR * seen + (1 - PAIR) * floor)
@@ -310,23 +321,24 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             chunk = f"{task}-{held.sent}"
             n = len(lengths)
             which = np.repeat(np.arange(n), lengths)
-            lm = np.concatenate([log_probabilities(filter_, words[a:b], _before(words[a:b], starts[i:j] - a), tokens, distinct, begins) for i, j, a, b in _pieces(starts, lengths)])
-            lm = np.bincount(which, weights=lm, minlength=n)
-            at = np.searchsorted(common_hash, words)
-            hit = np.zeros(len(words), dtype=bool)
-            if len(common_hash):
-                hit = common_hash[np.minimum(at, len(common_hash) - 1)] == words
-            mine = np.bincount(which[hit], weights=np.log10(common_count[at[hit]] + 0.5), minlength=n)
-            n_known = np.bincount(which[hit], minlength=n)
+            each, back = np.unique(words, return_inverse=True)
+            lm = np.bincount(which, weights=log_probabilities(filter_, words, starts, each, back, tokens, distinct, begins), minlength=n)
+            at = np.minimum(np.searchsorted(common_hash, each), max(0, len(common_hash) - 1))
+            hit = common_hash[at] == each if len(common_hash) else np.zeros(len(each), dtype=bool)
+            logs = np.zeros(len(each))
+            logs[hit] = np.log10(common_count[at[hit]] + 0.5)
+            mine = np.bincount(which, weights=logs[back], minlength=n)
+            n_known = np.bincount(which, weights=hit[back], minlength=n)
             rows = [(f"c{chunk}", chunk, 0, None, None, pa.array(ids[:n], pa.int64()), mine, (lengths, n_known, lm))]
-            rest, doc = words[~hit], which[~hit]
-            order = np.argsort(rest, kind="stable")
-            rest, doc = rest[order], doc[order]
-            first = np.flatnonzero(np.r_[True, rest[1:] != rest[:-1]]) if len(rest) else np.empty(0, dtype=np.int64)
-            many = np.diff(np.r_[first, len(rest)])
-            for r, a, b in _slices(rest[first], ranges):
-                stop = first[b] if b < len(first) else len(rest)
-                rows.append((f"r{r}", chunk, 1, pack_sorted(rest[first[a:b]]), _planes(many[a:b]), doc[first[a] : stop], None, None))
+            far = ~hit[back]
+            order = np.argsort(back[far], kind="stable")
+            rank, doc = back[far][order], which[far][order]
+            first = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else np.empty(0, dtype=np.int64)
+            rest = each[rank[first]]
+            many = np.diff(np.r_[first, len(rank)])
+            for r, a, b in _slices(rest, ranges):
+                stop = first[b] if b < len(first) else len(rank)
+                rows.append((f"r{r}", chunk, 1, pack_sorted(rest[a:b]), _planes(many[a:b]), doc[first[a] : stop], None, None))
             yield _batch(
                 names,
                 pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int32()),
@@ -391,15 +403,6 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     return sums.groupBy("chunk").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _pieces(starts: np.ndarray, lengths: np.ndarray, most: int = 250_000) -> Iterator[tuple[int, int, int, int]]:
-    """Runs of whole documents of about ``most`` tokens: documents i to j, tokens a to b."""
-    i, n = 0, len(starts)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(starts + lengths, starts[i] + most, "right")))
-        yield i, j, int(starts[i]), int(starts[j - 1] + lengths[j - 1])
-        i = j
-
-
 def _ids(ids: pa.Array) -> bytes:
     """Ids that may be null."""
     known = np.array([i is not None for i in ids.to_pylist()], dtype=bool)

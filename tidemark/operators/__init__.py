@@ -1 +1 @@
-
+"""Operators over DataFrames that Spark has no single function for."""

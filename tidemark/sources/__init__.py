@@ -1 +1 @@
-
+"""Tables in and out: ticks, bars, manifests."""

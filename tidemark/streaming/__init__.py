@@ -1 +1 @@
-
+"""Closed bars from a stream of ticks."""

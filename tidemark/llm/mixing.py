@@ -10,8 +10,8 @@ Targets are given, or tempered: a share to the power of ALPHA, made to sum to on
 The table has no topics, so the default topic is the kind of text, told from the whole of it: tables, numbers, short,
 medium or long prose. Whether a document is kept depends on a hash of its id alone, never on order or partitions.
 
-Only DataFrame functions are used. The document pass narrows to cells by partial aggregation; the cells are raked with
-aggregates and joins of their own size, and joined back by key.
+Only DataFrame functions are used. The document pass narrows to cells by partial aggregation; they are written once, and
+the rounds are windows over them, one margin at a time, so a task holds cells of a margin's value, never documents.
 
 Defined cases: a null source or language is a value of its own, as is a null topic; a null, empty or blank text has one
 token (its end); repeated rows are kept or dropped together; a null id hashes like the empty text; an empty table gives
@@ -21,7 +21,7 @@ target keeps its share; columns of the input are passed on as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, materialise, text_or_empty
@@ -73,19 +73,16 @@ def _with_targets(cells: DataFrame, targets: dict[str, dict[str | None, float]]
 
 def _all():
     """Over the values of one margin."""
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.lit(1))
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, alpha: float = ALPHA, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """source, lang, topic, first, final: the raked weights of cells with the weight ``first``, none above it."""
-    cells = materialise(_with_targets(cells, targets, alpha, keep).withColumn("final", F.col("first")), "mix-cells")
+    cells = _with_targets(materialise(cells, "mix-cells"), targets, alpha, keep).withColumn("final", F.col("first"))
     for _ in range(rounds):
         for m in MARGINS:
-            sums = cells.groupBy(m).agg(F.sum("final").alias("sum"))
-            cells = cells.join(sums, m).withColumn("final", F.when(F.col("sum") > 0, F.least("first", F.col("final") * F.col(f"want_{m}") / F.col("sum"))).otherwise(F.lit(0.0))).drop("sum")
-        cells = materialise(cells, "mix-cells")
+            own = F.sum("final").over(Window.partitionBy(m))
+            cells = cells.withColumn("final", F.when(own > 0, F.least(F.col("first"), F.col("final") * F.col(f"want_{m}") / own)).otherwise(F.lit(0.0)))
     return cells.select(*MARGINS, "first", "final")
 
 

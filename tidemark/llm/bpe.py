@@ -25,8 +25,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
 #: Pre-tokens in the newer half of what a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Longer pre-tokens are encoded anew each time.
 LONG = 64
 #: A bitmap word has two to this power bits.
@@ -175,6 +177,7 @@ def _codec(name: str, pattern: str) -> Codec:
 
 def _ship(df: DataFrame, vocabulary: str) -> str:
     """Send the vocabulary file to every executor; it is of a fixed size."""
+    small_batches(df.sparkSession)
     df.sparkSession.sparkContext.addFile(vocabulary)
     return vocabulary.rsplit("/", 1)[-1]
 

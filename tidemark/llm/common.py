@@ -30,14 +30,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder once and reread it, so a lost executor costs no recomputation."""
+def materialise(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder once and reread it, so a lost executor costs no recomputation.
+
+    few: the rows are narrow and cheap to make, so no more than four files a core of the cluster are written.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts may be long, so Arrow batches hold fewer rows than Spark's default, unless the session has its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -26,14 +26,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     empty result. Nodes without any edge to another node do not appear.
     """
     e = edges.select(F.least("src", "dst").alias("v"), F.greatest("src", "dst").alias("u"))
-    e = materialise(e.where("u is not null and v is not null and u <> v").distinct(), "components")
+    e = materialise(e.where("u is not null and v is not null and u <> v").distinct(), "components", few=True)
     mark = None
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _with_least_neighbour(large)
         pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        e = materialise(pairs.where("u > v").distinct(), "components")
+        e = materialise(pairs.where("u > v").distinct(), "components", few=True)
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break

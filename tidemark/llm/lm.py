@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of, materialise, text_or_empty
+from tidemark.llm.common import fold_of, materialise, small_batches, text_or_empty
 
 END = np.uint64(xxhash.xxh64_intdigest(b"\n", 0))
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\t", 0))
@@ -285,6 +285,7 @@ def log_probabilities(model: Filter, words: np.ndarray, starts: np.ndarray, dist
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     ranges = _ranges(training)
     counts = materialise(count_ngrams(training, ranges), "ngrams")
     words = counts.where("kind = 0")

@@ -78,7 +78,7 @@ def _all():
 
 def rake(cells: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, alpha: float = ALPHA, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """source, lang, topic, first, final: the raked weights of cells with the weight ``first``, none above it."""
-    cells = _with_targets(materialise(cells, "mix-cells"), targets, alpha, keep).withColumn("final", F.col("first"))
+    cells = _with_targets(materialise(cells, "mix-cells", few=True), targets, alpha, keep).withColumn("final", F.col("first"))
     for _ in range(rounds):
         for m in MARGINS:
             own = F.sum("final").over(Window.partitionBy(m))
@@ -90,7 +90,7 @@ def probabilities(docs: DataFrame, topic: Column | None = None, targets=None, al
     """source, lang, topic, probability of each cell; nulls are written as a NUL character."""
     cells = _keyed(docs, topic).groupBy(*(F.col(f"_{m}").alias(m) for m in MARGINS)).agg(F.sum("_tokens").cast("double").alias("first"))
     cells = rake(cells, targets, alpha, keep)
-    return materialise(cells.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), (F.col("final") / F.col("first")).alias("_probability")), "mix-probabilities")
+    return materialise(cells.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), (F.col("final") / F.col("first")).alias("_probability")), "mix-probabilities", few=True)
 
 
 def chance(column: str = "doc_id") -> Column:

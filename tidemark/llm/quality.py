@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of
+from tidemark.llm.common import fold_of, small_batches
 
 #: Documents that the fit may use.
 MOST_POSITIVE, MOST_UNLABELLED = 6_000, 12_000
@@ -175,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
             rows = [features(t).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(rows, pa.binary())], ["doc_id", "p", "u", "x"])
 
+    small_batches(docs.sparkSession)
     found = texts.mapInArrow(run, "doc_id long, p int, u int, x binary").toArrow().sort_by("doc_id")
     if not found.num_rows:
         return None
@@ -193,6 +194,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 s = model.scores(np.stack([features(t) for t in b.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
@@ -208,6 +210,7 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
                 b = b.filter(pa.array(s >= threshold))
             yield b
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, small_batches
 from tidemark.llm.graph import connected_components
 
 SEED = 42
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
@@ -176,13 +177,13 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the least doc_id reachable over links, itself included)."""
     fps = materialise(fingerprints(docs, words), "simhash")
-    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes", few=True)
     joined = connected_components(links(classes.select("fp"), distance))
     joined = joined.join(classes, joined["node"] == classes["fp"]).select("fp", "component", "least")
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = materialise(joined.select("fp", "component").join(least, "component").select("fp", "component_id"), "simhash-components")
+    found = materialise(joined.select("fp", "component").join(least, "component").select("fp", "component_id"), "simhash-components", few=True)
     alone = classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    alone = materialise(alone, "simhash-labels")
+    alone = materialise(alone, "simhash-labels", few=True)
     return fps.join(alone, "fp", "left").select("doc_id", "fp", "component_id")
 
 

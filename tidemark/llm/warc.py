@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_path
+from tidemark.llm.common import fresh_path, small_batches
 
 #: The header lines of the two versions.
 V1_FIELDS = ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length")
@@ -314,6 +314,7 @@ def page_records(pages: DataFrame, version: int = 2, least_bytes: int = LEAST_BY
 def page_archives(pages: DataFrame, version: int = 2, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Write the pages' archives to the shared folder and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, target."""
     spark = pages.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, "warc")
     write_archives(page_records(pages, version, least_bytes), path)
     found = read_archives(spark, path)

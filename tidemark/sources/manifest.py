@@ -49,3 +49,12 @@ def read(spark: SparkSession, path: str, verify: bool = False) -> DataFrame:
 def newest(versions: list[str]) -> str | None:
     """Ids hold their time, so the newest sorts last."""
     return max(versions, default=None)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir), or a temporary one where none is set."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -19,13 +19,15 @@ from tidemark.operators.ewm import ewm, span, wilder
 from tidemark.plans import costs
 from tidemark.sources.tape import POINT
 
-O, H, L, C = (F.col(c) for c in ("open", "high", "low", "close"))  # noqa: E741
-ATR = positive(F.col("atr"))
 BAR_MINUTES = 5
 
 
+def columns(*names: str) -> list[Column]:
+    return [F.col(c) for c in names]
+
+
 def atr(x: Column) -> Column:
-    return x / ATR
+    return x / positive(F.col("atr"))
 
 
 def with_atr(bars: DataFrame, ratio_too: bool = True, **parameters) -> DataFrame:
@@ -34,6 +36,7 @@ def with_atr(bars: DataFrame, ratio_too: bool = True, **parameters) -> DataFrame
 
 
 def anatomy(b: DataFrame, median_rows: int = 288, least: int = 48) -> DataFrame:
+    O, H, L, C = columns("open", "high", "low", "close")  # noqa: E741
     w = win.over()
     b = b.withColumns({
         "dir": sign_of(C - O), "range_pts": (H - L) / POINT, "body_frac": ratio(F.abs(C - O), H - L),
@@ -47,6 +50,7 @@ def anatomy(b: DataFrame, median_rows: int = 288, least: int = 48) -> DataFrame:
 
 def sequence(b: DataFrame) -> DataFrame:
     """Needs anatomy."""
+    H, L, C = columns("high", "low", "close")
     w = win.over()
     code = lambda c: F.when(c > 0, "U").when(c < 0, "D").when(c == 0, "-")
     b = win.run_length(b, "dir", "_run")
@@ -89,6 +93,7 @@ def regime_edges(b: DataFrame, value: str = "vol_ratio", look_back_days: int = 3
 
 
 def volatility(b: DataFrame, look_back_days: int = 365, least: int = 2880, unit: str = "month") -> DataFrame:
+    C = F.col("close")
     w = win.over()
     edges = regime_edges(b, "vol_ratio", look_back_days, least, unit)
     b = b.withColumns({"period": F.date_trunc(unit, "ts_utc").cast("timestamp_ntz"), "_log": F.when((C > 0) & (F.lag(C).over(w) > 0), F.log(C / F.lag(C).over(w)))})
@@ -114,6 +119,7 @@ def previous_day(b: DataFrame) -> DataFrame:
 
 
 def daily(b: DataFrame) -> DataFrame:
+    O, H, L, C = columns("open", "high", "low", "close")  # noqa: E741
     b = b.withColumn("trading_day", cal.trading_day(F.col("ts_utc")))
     b = b.join(previous_day(b), ["symbol", "trading_day"], "left")
     w = win.over(("symbol", "trading_day"))
@@ -133,6 +139,7 @@ def daily(b: DataFrame) -> DataFrame:
 
 def higher_bars(b: DataFrame, minutes: int, prefix: str) -> DataFrame:
     """Features of the longer bars themselves, on their own ATR, which takes in the closed bar; keyed by their close."""
+    O, H, L, C = columns("open", "high", "low", "close")  # noqa: E741
     w = win.over()
     b = b.withColumns({"_tr": costs.true_range(w), "_dir": sign_of(C - O)})
     b = b.withColumns({"_atr": win.mean(F.col("_tr"), w, 14), "_sma": win.mean(C, w, 20)})
@@ -148,6 +155,7 @@ def higher_bars(b: DataFrame, minutes: int, prefix: str) -> DataFrame:
 
 def higher(b: DataFrame, longer: DataFrame, minutes: int, prefix: str) -> DataFrame:
     """The last longer bar that is closed when the bar is."""
+    C = F.col("close")
     right = higher_bars(longer, minutes, prefix)
     columns = [c for c in right.columns if c != "symbol"]
     out = asof(b, right, "available_at", f"{prefix}_close_utc", columns)
@@ -155,6 +163,7 @@ def higher(b: DataFrame, longer: DataFrame, minutes: int, prefix: str) -> DataFr
 
 
 def bollinger(b: DataFrame, n: int = 50, width: float = 2.1) -> DataFrame:
+    H, L, C = columns("high", "low", "close")
     w = win.over()
     b = b.withColumns({"_mid": win.mean(C, w, n), "_band": width * win.std(C, w, n, sample=False)})
     up, lo = F.col("_mid") + F.col("_band"), F.col("_mid") - F.col("_band")
@@ -165,6 +174,7 @@ def bollinger(b: DataFrame, n: int = 50, width: float = 2.1) -> DataFrame:
 
 
 def stochastic(b: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:
+    H, L, C = columns("high", "low", "close")
     w = win.over()
     lo = win.lowest(L, w, n)
     b = b.withColumn("stoch_k14", 100 * ratio(C - lo, win.highest(H, w, n) - lo))
@@ -172,6 +182,7 @@ def stochastic(b: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:
 
 
 def vwap(b: DataFrame) -> DataFrame:
+    H, L, C = columns("high", "low", "close")
     b = b if "trading_day" in b.columns else b.withColumn("trading_day", cal.trading_day(F.col("ts_utc")))
     w = win.over(("symbol", "trading_day"))
     v = F.col("tick_volume")
@@ -180,6 +191,7 @@ def vwap(b: DataFrame) -> DataFrame:
 
 def obv(b: DataFrame, n: int = 20) -> DataFrame:
     """The flow over n bars needs no running total: it is the signed volume of those bars over their volume."""
+    C = F.col("close")
     w = win.over()
     v = F.col("tick_volume")
     b = b.withColumn("_signed", F.coalesce(F.signum(C - F.lag(C).over(w)), F.lit(0.0)) * v)
@@ -192,6 +204,7 @@ EMAS = (9, 21, 50, 200)
 
 def averages(b: DataFrame) -> DataFrame:
     """Exponential averages and what hangs on them: distances, slopes, stack, RSI, MACD, ADX."""
+    H, L, C = columns("high", "low", "close")
     w = win.over()
     change = C - F.lag(C).over(w)
     up, down = H - F.lag(H).over(w), F.lag(L).over(w) - L

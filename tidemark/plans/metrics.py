@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 KEYS = ("symbol", "scenario")
 LEAST_IN_BUCKET = 10
-R = F.col("r_net")
 
 
-def profit_factor(r: Column = R) -> Column:
+def profit_factor(column: str = "r_net") -> Column:
+    r = F.col(column)
     gains, losses = F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)), -F.coalesce(F.sum(F.when(r < 0, r)), F.lit(0.0))
     return F.when(losses > 0, gains / F.when(losses > 0, losses)).when(gains > 0, F.lit(float("inf")))
 
 
 def with_drawdown(trades: DataFrame, keys=KEYS, order=("exit_time", "decision_time")) -> DataFrame:
     """Trades with cum_r and dd_r, the fall from the best sum so far, the start of 0 included."""
+    R = F.col("r_net")
     w = Window.partitionBy(*keys).orderBy(*order)
     out = trades.withColumn("cum_r", F.sum(R).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     peak = F.greatest(F.max("cum_r").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
@@ -25,6 +26,7 @@ def with_drawdown(trades: DataFrame, keys=KEYS, order=("exit_time", "decision_ti
 
 def summary(trades: DataFrame, keys=KEYS) -> DataFrame:
     """One row a key. Skew and kurtosis are means of powers of z with the sample deviation; the kurtosis is not in excess."""
+    R = F.col("r_net")
     t = with_drawdown(trades, keys)
     n = F.count("*")
     share = (n - 1) / n
@@ -41,6 +43,7 @@ def summary(trades: DataFrame, keys=KEYS) -> DataFrame:
 
 def breakdown(trades: DataFrame, buckets: dict[str, Column], keys=KEYS) -> DataFrame:
     """One row for each value of each bucketing, in one pass: by, bucket, n, expectancy_r, total_r, win_rate."""
+    R = F.col("r_net")
     long = F.explode(F.array(*(F.struct(F.lit(k).alias("by"), F.coalesce(c.cast("string"), F.lit("unknown")).alias("bucket")) for k, c in buckets.items())))
     rows = trades.select(*keys, R, long.alias("b")).select(*keys, "r_net", "b.*")
     return rows.groupBy(*keys, "by", "bucket").agg(F.count("*").alias("n"), F.avg(R).alias("expectancy_r"), F.sum(R).alias("total_r"), F.avg((R > 0).cast("double")).alias("win_rate"))

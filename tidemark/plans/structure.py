@@ -20,11 +20,11 @@ from tidemark.operators.asof import asof
 K_M5, K_H1 = 5, 3
 #: A break is remembered so many bars, may be retested or fail within so many, within so many ATR.
 SINCE, RETEST, FAIL, NEAR = 48, 24, 12, 0.25
-H, L, C = F.col("high"), F.col("low"), F.col("close")
 
 
 def pivots(b: DataFrame, k: int = K_M5) -> DataFrame:
     """pivot_high, pivot_low: the price on rows above (below) the k rows before and not below (above) the k after, else null."""
+    H, L = F.col("high"), F.col("low")
     w = win.over()
     past, next_ = w.rowsBetween(-k, -1), w.rowsBetween(1, k)
     whole = F.count(F.lit(1)).over(w.rowsBetween(-k, k)) == 2 * k + 1
@@ -55,6 +55,7 @@ def swing_trend() -> Column:
 
 
 def swing_features(b: DataFrame, k: int = K_M5) -> DataFrame:
+    H, L, C = F.col("high"), F.col("low"), F.col("close")
     a = positive(F.col("atr"))
     b = swing_state(b, k)
     return b.withColumns({
@@ -66,6 +67,7 @@ def swing_features(b: DataFrame, k: int = K_M5) -> DataFrame:
 
 def break_features(b: DataFrame) -> DataFrame:
     """Needs swing_features. Breaks, how long ago, retests and failures, upwards and downwards."""
+    H, L, C = F.col("high"), F.col("low"), F.col("close")
     w = win.over()
     a = positive(F.col("atr"))
     for name, level, s in (("up", F.col("hi"), 1), ("down", F.col("lo"), -1)):
@@ -90,6 +92,7 @@ def higher_structure(longer: DataFrame, minutes: int = 60, k: int = K_H1) -> Dat
 
 
 def h1_features(b: DataFrame, longer: DataFrame) -> DataFrame:
+    C = F.col("close")
     a = positive(F.col("atr"))
     out = asof(b, higher_structure(longer), "available_at", "_known", ["h1_sw_trend", "_h1_hi", "_h1_lo"])
     return out.withColumns({"h1_sw_hi_dist_atr": (C - F.col("_h1_hi")) / a, "h1_sw_lo_dist_atr": (C - F.col("_h1_lo")) / a}).drop("_h1_hi", "_h1_lo")

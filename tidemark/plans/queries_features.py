@@ -324,6 +324,12 @@ def causal_features(minute):
     return b.drop("_row", "hi_row", "lo_row")
 
 
+@register("features_full")
+def features_full(spark, d):
+    """All causal features of five-minute bars in one table; each group has a query and twin of its own."""
+    return causal_features(src.bars(spark, d, 1))
+
+
 @register("leakage_recompute")
 def leakage_recompute(spark, d):
     """Mismatches by column between the full build and builds on cut histories: all must be 0."""

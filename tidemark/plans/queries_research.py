@@ -40,7 +40,7 @@ def path(spark, d):
 
 
 def signals(spark, d):
-    return strategy.signals(qf.with_rules(spark, d), qf.SPEC)
+    return manifest.staged(strategy.signals(qf.with_rules(spark, d), qf.SPEC), "signals")
 
 
 def labelled(spark, d):
@@ -86,10 +86,10 @@ def _buckets():
     return {k: v for k, v in metrics.calendar_buckets().items() if k in ("weekday", "side")}
 
 
-_BY = "SELECT symbol, scenario, 'weekday' AS by, CAST(isodow(decision_time) AS VARCHAR) AS bucket, r_net FROM trades UNION ALL SELECT symbol, scenario, 'side', CASE WHEN side > 0 THEN 'long' ELSE 'short' END, r_net FROM trades"
-_BRK = f"{TRADES}, bk AS (SELECT symbol, scenario, by, bucket, count(*) AS n, avg(r_net) AS expectancy_r, sum(r_net) AS total_r, avg(CAST(r_net > 0 AS DOUBLE)) AS win_rate FROM ({_BY}) GROUP BY ALL)"
-register("breakdown_sets", q.query(_BRK, "bk", ["symbol", "scenario", "by", "bucket", "n"], ["expectancy_r", "total_r", "win_rate"], places=4))(lambda spark, d: rounded(metrics.breakdown(labelled(spark, d), _buckets()), 4))
-register("stability", q.query(f"{_BRK}, sb AS (SELECT symbol, scenario, by, count(*) AS buckets_scored, count(*) FILTER (expectancy_r > 0) AS positive, avg(CAST(expectancy_r > 0 AS DOUBLE)) AS score FROM bk WHERE n >= 10 GROUP BY ALL)", "sb", ["symbol", "scenario", "by", "buckets_scored", "positive"], ["score"], places=4))(
+_BY = """SELECT symbol, scenario, 'weekday' AS "by", CAST(isodow(decision_time) AS VARCHAR) AS bucket, r_net FROM trades UNION ALL SELECT symbol, scenario, 'side', CASE WHEN side > 0 THEN 'long' ELSE 'short' END, r_net FROM trades"""
+_BRK = f"""{TRADES}, bk AS (SELECT symbol, scenario, "by", bucket, count(*) AS n, avg(r_net) AS expectancy_r, sum(r_net) AS total_r, avg(CAST(r_net > 0 AS DOUBLE)) AS win_rate FROM ({_BY}) GROUP BY ALL)"""
+register("breakdown_sets", q.query(_BRK, "bk", ["symbol", "scenario", '"by"', "bucket", "n"], ["expectancy_r", "total_r", "win_rate"], places=4))(lambda spark, d: rounded(metrics.breakdown(labelled(spark, d), _buckets()), 4))
+register("stability", q.query(f"""{_BRK}, sb AS (SELECT symbol, scenario, "by", count(*) AS buckets_scored, count(*) FILTER (expectancy_r > 0) AS positive, avg(CAST(expectancy_r > 0 AS DOUBLE)) AS score FROM bk WHERE n >= 10 GROUP BY ALL)""", "sb", ["symbol", "scenario", '"by"', "buckets_scored", "positive"], ["score"], places=4))(
     lambda spark, d: rounded(metrics.stability(metrics.breakdown(labelled(spark, d), _buckets())), 4)
 )
 register("equity_drawdown", q.query(_SUM, "c1", ["symbol", "scenario", "decision_time", "exit_time"], ["cum AS cum_r", "dd AS dd_r"], places=4))(lambda spark, d: rounded(metrics.with_drawdown(labelled(spark, d)).select("symbol", "scenario", "decision_time", "exit_time", "cum_r", "dd_r"), 4))
@@ -149,7 +149,7 @@ def walk_forward_folds(spark, d):
 @register("grid_search_plateau")
 def grid_search_plateau(spark, d):
     """Stops by targets over the same signals; each variant is priced in parallel, the table is one aggregate."""
-    s, p, out = signals(spark, d).persist(), path(spark, d), None
+    s, p, out = signals(spark, d), path(spark, d), None
     for v in research.grid({"stop_atr": [0.75, 1.0, 1.5], "target_atr": [1.0, 1.5, 2.0]}):
         rule = simulate.Exit(time_exit_bars=24, **v)
         t = simulate.label(s, p, rule).where("scenario = 'base'").agg(F.count("*").alias("n"), F.avg("r_net").alias("expectancy_r")).withColumns({k: F.lit(x) for k, x in v.items()})

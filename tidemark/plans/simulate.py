@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tidemark.functions import calendar as cal
 from tidemark.operators.asof import asof
 from tidemark.plans import costs
+from tidemark.sources.manifest import staged
 from tidemark.sources.tape import POINT
 
 SCENARIOS = ("optimistic", "base", "pessimistic")
@@ -137,7 +138,7 @@ def exits(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account) ->
     Rounds of ROUND_DAYS: the days between entry and end are the equality key of the join, so a signal meets the minutes
     of its own days only.
     """
-    spark, found = signals.sparkSession, None
+    found = None
     s = signals.select("sid", "symbol", "side", "scenario", "e_ts_utc", "end_time", "stop_initial", "target", "atr_pts").withColumn("stop", F.col("stop_initial"))
     bars = path.withColumn("day", F.to_date("ts_utc"))
     last_day = path.agg(F.max(F.to_date("ts_utc"))).first()[0]
@@ -175,13 +176,16 @@ def exits(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account) ->
         found = hits if found is None else found.unionByName(hits)
         if k + 1 < rounds:
             s = s.join(each.select("sid", "exit_ts", "stop_now"), "sid", "left").where("exit_ts is null").withColumn("stop", F.coalesce("stop_now", "stop")).drop("exit_ts", "stop_now")
-    assert spark
     return found
 
 
 def label(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account = Account(), start: str | None = None, stop: str | None = None) -> DataFrame:
-    """Each signal priced on its own under each scenario: the trades that studies and the one-position rule choose from."""
-    s = entries(signals, path, exit_, account, start, stop)
+    """Each signal priced on its own under each scenario: the trades that studies and the one-position rule choose from.
+
+    The path and the entries are read several times, so they are written once.
+    """
+    path = staged(path, "path")
+    s = staged(entries(signals, path, exit_, account, start, stop), "entries")
     s = s.join(exits(s, path, exit_, account), "sid", "left")
     pt, side = account.point, F.col("side")
     closes = F.col("f_ts_utc").isNull()  # no bar left: out at the last close

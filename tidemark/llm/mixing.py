@@ -10,8 +10,8 @@ Targets are given, or tempered: a share to the power of ALPHA, made to sum to on
 The table has no topics, so the default topic is the kind of text, told from the whole of it: tables, numbers, short,
 medium or long prose. Whether a document is kept depends on a hash of its id alone, never on order or partitions.
 
-Only DataFrame functions are used. The document pass narrows to cells by partial aggregation; they are written once, and
-the rounds are windows over them, one margin at a time, so a task holds cells of a margin's value, never documents.
+Only DataFrame functions are used. The document pass narrows to cells by partial aggregation; they are written, and the
+rounds are windows over them, one margin at a time, so a task holds cells of a margin's value, never documents.
 
 Defined cases: a null source or language is a value of its own, as is a null topic; a null, empty or blank text has one
 token (its end); repeated rows are kept or dropped together; a null id hashes like the empty text; an empty table gives
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD, materialise, text_or_empty
 
 ROUNDS = 12
+#: After so many rounds the cells are written, so that no plan holds more windows than these rounds need.
+WRITTEN = 3
 ALPHA = 0.7
 KEEP = 0.8
 MARGINS = ("source", "lang", "topic")
@@ -79,7 +81,9 @@ def _all():
 def rake(cells: DataFrame, targets: dict[str, dict[str | None, float]] | None = None, alpha: float = ALPHA, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """source, lang, topic, first, final: the raked weights of cells with the weight ``first``, none above it."""
     cells = _with_targets(materialise(cells, "mix-cells", few=True), targets, alpha, keep).withColumn("final", F.col("first"))
-    for _ in range(rounds):
+    for k in range(rounds):
+        if k and k % WRITTEN == 0:
+            cells = materialise(cells, "mix-rounds", few=True)
         for m in MARGINS:
             own = F.sum("final").over(Window.partitionBy(m))
             cells = cells.withColumn("final", F.when(own > 0, F.least(F.col("first"), F.col("final") * F.col(f"want_{m}") / own)).otherwise(F.lit(0.0)))

@@ -316,12 +316,15 @@ def availability_audit(spark, d):
 
 
 def causal_features(minute):
-    """The features that the leakage checks rebuild, from minute bars alone."""
+    """The features that the leakage checks rebuild, from minute bars alone.
+
+    Pivots are marked on their own bar and known only some bars later, so the marks themselves stay out.
+    """
     b = features.with_atr(src.aggregate(minute, 5), False)
     b = features.daily(features.bollinger(features.sequence(features.anatomy(b))))
     b = structure.break_features(structure.swing_features(b))
     b = features.higher(b, src.aggregate(minute, 60), 60, "h1")
-    return b.drop("_row", "hi_row", "lo_row")
+    return b.drop("_row", "hi_row", "lo_row", "pivot_high", "pivot_low")
 
 
 @register("features_full")

@@ -73,3 +73,33 @@ def test_empty_tables(spark):
     assert lm.score(none, none).count() == 0
     r = lm.score(docs, none).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
+
+
+def test_model_scores_match_quantised_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE_BYTES", 5_000)
+    rng = random.Random(3)
+    rows = [(i, " ".join("w%d" % int(rng.paretovariate(0.5) % 3000) for _ in range(100))) for i in range(200)]
+    train, pairs = Counter(), Counter()
+    for i, t in rows[:100]:
+        w = words_of(t)
+        train.update(w)
+        pairs.update(zip([""] + w, w))
+    n, v, begins = sum(train.values()), len(train), 100
+    level = lambda c, least: min(n, 1.5 * least * 2.0 ** math.floor(math.log2(c / least)) - 0.5) if c >= least else 0.0
+
+    def probability(a, b):
+        before = begins if a == "" else level(train[a], 1)
+        both = level(pairs[a, b], 2) if before >= 2 and level(train[b], 1) >= 2 else 0
+        return 0.1 * min(1, both / max(1, before)) + 0.9 * (level(train[b], 1) + 0.5) / (n + 0.5 * (v + 1))
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, docs.where("doc_id < 100")).collect()}
+    off = [got[i] - sum(math.log10(probability(a, b)) for a, b in zip([""] + words_of(t), words_of(t))) for i, t in rows]
+    assert min(off) > -1e-6 and np.mean(off) < 1.5 and max(off) < 6  # 101 tokens each, a few false positives among them
+
+
+def test_probabilities_stay_below_one(spark):
+    top = np.array([lm.LEVELS] * 3)
+    assert (lm.log_probabilities(top, top, np.array([0]), 3, 3, 1.0) <= 0).all()
+    docs = spark.createDataFrame([(1, "a " * 1024)], "doc_id long, text string")  # the middle of the level is 1,535.5
+    assert lm.score(docs, docs).first().score < 0

@@ -5,14 +5,18 @@ hashes and counts to each hash range; the task of a range adds the blocks up. Wo
 neighbouring words (48-bit hashes) too, and pairs seen once are left out of the model.
 
 Model: a count c is stored as the level 1 + floor(log2 c); an n-gram enters the Bloom filter once for each level up to
-its own, so probing levels until the first miss gives back the quantised count. The filter is broadcast. Its size
-follows the number of entries, BITS bits each, up to MOST_BYTES; beyond that the entries share those bytes and false
-positives rise, but no n-gram is dropped. A token's probability is
+its own, so probing levels until the first miss gives back the quantised count, at most N. The filter has BITS bits for
+each entry whatever the size of the input, so its false positives, (1 - exp(-HASHES / BITS)) ** HASHES = 0.8 % of the
+probes of a level, stay the same. It is never in one place: each hash range has its own segment, built by the task that
+answers for the range. A token's probability is
     PAIR * pairs(v, w) / words(v) + (1 - PAIR) * (words(w) + 0.5) / (N + 0.5 (V + 1)).
 
-Base score: exact counts. Words that make up at least 1/65,536 of all tokens (so 65,536 of them at most) are broadcast
-and scored in place; all others travel as sorted blocks to the task of their hash range and come back as sums by
-document. So no word, however common, gathers more than that share of the tokens in one task.
+Base score: exact counts.
+
+Scoring: a chunk is some millions of tokens of a task. Words that make up at least 1/65,536 of all tokens (so 65,536 of
+them at most) are broadcast with their counts and levels; all other distinct words of a chunk and all its distinct pairs
+travel as sorted blocks to the task of their hash range and come back as counts and levels to the chunk's own row, which
+carries the tokens as ranks. So a range gets each word or pair of a chunk once, however common it is.
 
 Defined cases: a null, empty or blank text is the single token "end"; repeated rows are scored and counted each; with
 no training tokens every base score is 0 and N is 0; an empty table gives an empty result; other columns are ignored; a
@@ -42,7 +46,6 @@ RANGE_BYTES = 12_000_000
 MOST_RANGES = 1 << 16
 HOT_SHARE = 1 / 65_536
 BITS, HASHES = 10, 6
-MOST_BYTES = 128 << 20
 PAIR = 0.1
 #: Pairs seen less often are not in the model.
 CUTOFF = 2
@@ -154,13 +157,13 @@ class Filter:
             data.append(bits)
         self.data = np.frombuffer(b"".join(data), dtype=np.uint8)
 
-    def levels(self, hashes: np.ndarray, kind: int, most: int = LEVELS) -> np.ndarray:
-        """Quantised counts by probing level after level until a miss, up to the level ``most``."""
+    def levels(self, hashes: np.ndarray, kind: int) -> np.ndarray:
+        """Quantised counts by probing level after level until a miss."""
         out = np.zeros(len(hashes), dtype=np.int64)
         left, h = np.arange(len(hashes)), hashes
         r = range_of(hashes, self.ranges).astype(np.int64)
         size, at = self.size[kind][r], self.at[kind][r]
-        for level in range(1, most + 1):
+        for level in range(1, LEVELS + 1):
             a, b = _hash_pair(h, level)
             for i in range(HASHES):
                 bit = at + _place(a + np.uint64(i) * b, size)
@@ -248,35 +251,21 @@ def count_ngrams(docs: DataFrame, ranges: int) -> DataFrame:
     return blocks.groupBy("kind", "range").applyInArrow(add_up, "kind int, range int, n long, total long, entries long, hashes binary, counts binary")
 
 
-def build_filter(counts: DataFrame, ranges: int, most_bytes: int = MOST_BYTES) -> Filter:
-    """Segments are built where the counts lie; what comes together is at most ``most_bytes`` and a byte each."""
-    entries = counts.agg(F.sum("entries")).first()[0] or 0
-    bits = min(float(BITS), most_bytes * 8 / max(1, entries))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                size = max(8, int(row["entries"] * bits))
-                data = segment(unpack_sorted(row["hashes"]), levels_of(_unplanes(row["counts"]).astype(np.int64), CUTOFF if row["kind"] else 1), size)
-                yield _batch(["kind", "range", "size", "bits"], pa.array([row["kind"]], pa.int32()), pa.array([row["range"]], pa.int32()), pa.array([size], pa.int64()), pa.array([data.tobytes()], pa.binary()))
-
-    parts = counts.where("n > 0").mapInArrow(build, "kind int, range int, size long, bits binary").toArrow()
-    return Filter(list(zip(parts["kind"].to_pylist(), parts["range"].to_pylist(), parts["size"].to_pylist(), parts["bits"].to_pylist())), ranges)
+def segment_of(hashes: np.ndarray, counts: np.ndarray, kind: int) -> Filter:
+    """The filter of one kind and hash range from its exact counts."""
+    levels = levels_of(counts, CUTOFF if kind else 1)
+    size = max(8, int(levels.sum()) * BITS)
+    return Filter([(kind, 0, size, segment(hashes, levels, size).tobytes())] if len(hashes) else [], 1)
 
 
-def log_probabilities(model: Filter, words: np.ndarray, starts: np.ndarray, distinct_words: np.ndarray, which: np.ndarray, tokens: int, distinct: int, begins: float) -> np.ndarray:
-    """log10 of the smoothed probability of each word after the one before it; words are distinct_words[which]."""
-    unigram = counts_of(model.levels(distinct_words, 0), 1)[which]
+def log_probabilities(unigram: np.ndarray, pair: np.ndarray, starts: np.ndarray, tokens: int, distinct: int, begins: float) -> np.ndarray:
+    """log10 of the smoothed probability of each word after the one before it, from the levels of the words and pairs."""
+    unigram = np.minimum(counts_of(unigram, 1), tokens)
     context = np.empty_like(unigram)
     context[1:] = unigram[:-1]
     context[starts] = begins
-    pair = np.zeros(len(words))
-    # a pair of the model has words at least as frequent; most others end at the first level, the rest are probed once each
-    some = np.flatnonzero((unigram >= CUTOFF) & (context >= CUTOFF))
-    hashes = pair_hashes(_before(words, starts)[some], words[some])
-    hit = np.flatnonzero(model.levels(hashes, 1, 1))
-    each, back = np.unique(hashes[hit], return_inverse=True)
-    pair[some[hit]] = counts_of(model.levels(each, 1), CUTOFF)[back]
+    # a pair of the model has words at least as frequent
+    pair = np.where((unigram >= CUTOFF) & (context >= CUTOFF), counts_of(pair, CUTOFF), 0.0)
     floor = (unigram + 0.5) / (tokens + 0.5 * (distinct + 1))
     seen = np.minimum(1.0, pair / np.maximum(context, 1.0))
     return np.log10(PAIR * seen + (1 - PAIR) * floor)
@@ -290,29 +279,39 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     counts = materialise(count_ngrams(training, ranges), "ngrams")
     words = counts.where("kind = 0")
     tokens, distinct = (int(x or 0) for x in words.agg(F.sum("total"), F.sum("n")).first())
-    model = spark.sparkContext.broadcast(build_filter(counts, ranges))
     least = max(1, int(np.ceil(tokens * HOT_SHARE)))
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = _unplanes(c).astype(np.int64)
+                x, n = unpack_sorted(h), _unplanes(c).astype(np.int64)
                 at = np.flatnonzero(n >= least)
-                yield _batch(["h", "c"], pa.array(unpack_sorted(h)[at].view(np.int64)), pa.array(n[at]))
+                if len(at):
+                    yield _batch(["h", "c", "level"], pa.array(x[at].view(np.int64)), pa.array(n[at]), pa.array(segment_of(x, n, 0).levels(x[at], 0)))
 
-    hot = words.where("n > 0").select("hashes", "counts").mapInArrow(common, "h long, c long").toArrow()  # at most 1 / HOT_SHARE rows
-    hot_hash, hot_count = hot["h"].to_numpy().view(np.uint64), hot["c"].to_numpy()
-    order = np.argsort(hot_hash)
-    known = spark.sparkContext.broadcast((hot_hash[order], hot_count[order]))
+    hot = words.where("n > 0").select("hashes", "counts").mapInArrow(common, "h long, c long, level long").toArrow()  # at most 1 / HOT_SHARE rows
+    order = np.argsort(hot["h"].to_numpy().view(np.uint64))
+    known = spark.sparkContext.broadcast((hot["h"].to_numpy().view(np.uint64)[order], hot["c"].to_numpy()[order], hot["level"].to_numpy()[order]))
     begins = float(training.count())  # each text has one beginning
-    names = ["group", "chunk", "kind", "hashes", "lengths", "docs", "sums", "extra"]
-    shape = "group string, chunk string, kind int, hashes binary, lengths binary, docs binary, sums binary, extra binary"
+    names = ["group", "chunk", "kind", "hashes", "counts", "docs", "lengths", "ranks"]
+    shape = "group string, chunk string, kind int, hashes binary, counts binary, docs binary, lengths binary, ranks binary"
+    types = [pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 5]
+
+    def table(rows: list[tuple]) -> pa.Table:
+        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
+
+    def common_at(each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the sorted words are common, and at what place."""
+        hashes = known.value[0]
+        if not len(hashes):
+            return np.zeros(len(each), dtype=bool), np.zeros(len(each), dtype=np.int64)
+        at = np.minimum(np.searchsorted(hashes, each), len(hashes) - 1)
+        return hashes[at] == each, at
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each chunk its own row (kind 0) and the words and pairs it asks for (kind 1), by range."""
         held, ids = _Gathered(), []
         task = TaskContext.get().partitionId()
-        common_hash, common_count = known.value
-        filter_ = model.value
 
         def send() -> Iterator[pa.RecordBatch]:
             words, starts, lengths = held.take()
@@ -320,35 +319,14 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 return
             held.sent += 1
             chunk = f"{task}-{held.sent}"
-            n = len(lengths)
-            which = np.repeat(np.arange(n), lengths)
-            each, back = np.unique(words, return_inverse=True)
-            lm = np.bincount(which, weights=log_probabilities(filter_, words, starts, each, back, tokens, distinct, begins), minlength=n)
-            at = np.minimum(np.searchsorted(common_hash, each), max(0, len(common_hash) - 1))
-            hit = common_hash[at] == each if len(common_hash) else np.zeros(len(each), dtype=bool)
-            logs = np.zeros(len(each))
-            logs[hit] = np.log10(common_count[at[hit]] + 0.5)
-            mine = np.bincount(which, weights=logs[back], minlength=n)
-            n_known = np.bincount(which, weights=hit[back], minlength=n)
-            rows = [(f"c{chunk}", chunk, 0, None, None, pa.array(ids[:n], pa.int64()), mine, (lengths, n_known, lm))]
-            far = ~hit[back]
-            order = np.argsort(back[far], kind="stable")
-            rank, doc = back[far][order], which[far][order]
-            first = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else np.empty(0, dtype=np.int64)
-            rest = each[rank[first]]
-            many = np.diff(np.r_[first, len(rank)])
-            for r, a, b in _slices(rest, ranges):
-                stop = first[b] if b < len(first) else len(rank)
-                rows.append((f"r{r}", chunk, 1, pack_sorted(rest[a:b]), _planes(many[a:b]), doc[first[a] : stop], None, None))
-            yield _batch(
-                names,
-                pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int32()),
-                pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary()),
-                pa.array([_ids(r[5]) if r[2] == 0 else _planes(r[5]) for r in rows], pa.binary()),
-                pa.array([None if r[6] is None else r[6].astype("<f8").tobytes() for r in rows], pa.binary()),
-                pa.array([None if r[7] is None else np.concatenate([x.astype("<f8") for x in r[7]]).tobytes() for r in rows], pa.binary()),
-            )
-            del ids[:n]
+            each, back, many = np.unique(words, return_inverse=True, return_counts=True)
+            rank = np.empty(len(each), dtype=np.int64)
+            rank[_by_count(many)] = np.arange(len(each))
+            rows = [(f"c{chunk}", chunk, 0, pack_sorted(each), _planes(many), _ids(pa.array(ids[: len(lengths)], pa.int64())), _planes(lengths), _planes(rank[back]))]
+            del ids[: len(lengths)]
+            for kind, x in (("w", each[~common_at(each)[0]]), ("p", np.unique(pair_hashes(_before(words, starts), words)))):
+                rows += [(f"{kind}{r}", chunk, 1, pack_sorted(x[a:b]), None, None, None, None) for r, a, b in _slices(x, ranges)]
+            yield from table(rows).to_batches()
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -358,50 +336,65 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         yield from send()
 
     def answer(t: pa.Table) -> pa.Table:
-        """The blocks of one range against its counts: what each adds to its documents. A chunk's own row goes through."""
-        kinds = np.array(t["kind"].to_pylist())
-        if (kinds == 0).any():
+        """The blocks of one kind and range: each word's exact count, and the level of each word or pair. A chunk's own row goes through."""
+        kinds, group = t["kind"].to_pylist(), t["group"][0].as_py()
+        if 0 in kinds:
             return t
-        x, c = np.empty(0, dtype=np.uint64), np.empty(0)
-        for i in np.flatnonzero(kinds == 2):
-            x, c = unpack_sorted(t["hashes"][int(i)].as_py()), _unplanes(t["lengths"][int(i)].as_py()).astype(np.float64)
-        out = {k: [] for k in names}
-        for i in np.flatnonzero(kinds == 1):
-            i = int(i)
-            asked, many, doc = unpack_sorted(t["hashes"][i].as_py()), _unplanes(t["lengths"][i].as_py()).astype(np.int64), _unplanes(t["docs"][i].as_py()).astype(np.int64)
-            at = np.searchsorted(x, asked)
-            found = np.zeros(len(asked))
-            if len(x):
-                at = np.minimum(at, len(x) - 1)
-                found = np.where(x[at] == asked, c[at], 0.0)
-            each = np.repeat(found, many)
-            docs, at = np.unique(doc, return_inverse=True)
-            sums = np.bincount(at, weights=np.log10(each + 0.5))
-            hits = np.bincount(at, weights=each > 0)
-            for k, v in zip(names, (t["group"][i].as_py(), t["chunk"][i].as_py(), 1, None, None, _planes(docs), sums.astype("<f8").tobytes(), _planes(hits))):
-                out[k].append(v)
-        return pa.table([pa.array(out[k], pa.int32() if k == "kind" else pa.string() if k in ("group", "chunk") else pa.binary()) for k in names], names)
+        kind, x, n = int(group[0] == "p"), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        if 1 not in kinds:
+            return table([])
+        if 2 in kinds:
+            at = kinds.index(2)
+            x, n = unpack_sorted(t["hashes"][at].as_py()), _unplanes(t["counts"][at].as_py()).astype(np.int64)
+        model = segment_of(x, n, kind)
+        rows = []
+        for i, k in enumerate(kinds):
+            if k != 1:
+                continue
+            asked, found = unpack_sorted(t["hashes"][i].as_py()), None
+            if not kind:
+                at = np.searchsorted(x, asked)
+                at = np.minimum(at, max(0, len(x) - 1))
+                found = _planes(np.where(x[at] == asked, n[at], 0) if len(x) else np.zeros(len(asked), dtype=np.int64))
+            rows.append((group, t["chunk"][i].as_py(), 1, None, found, None, None, _planes(model.levels(asked, kind))))
+        return table(rows)
 
     def finish(t: pa.Table) -> pa.Table:
         own = t["kind"].to_pylist().index(0)
         ids = pa.array(_read_ids(t["docs"][own].as_py()), pa.int64())
-        sums = np.frombuffer(t["sums"][own].as_py(), dtype="<f8").copy()
-        lengths, n_known, lm = np.frombuffer(t["extra"][own].as_py(), dtype="<f8").reshape(3, -1)
-        n_known = n_known.copy()
-        for i, kind in enumerate(t["kind"].to_pylist()):
-            if kind == 1:
-                doc = _unplanes(t["docs"][i].as_py()).astype(np.int64)
-                sums[doc] += np.frombuffer(t["sums"][i].as_py(), dtype="<f8")
-                n_known[doc] += _unplanes(t["extra"][i].as_py())
-        base = sums - lengths * np.log10(tokens + 0.5 * (distinct + 1))
-        n = len(ids)
-        return pa.table([ids, pa.array(lengths.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(base), pa.array(np.array(lm))], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        each, many, lengths = unpack_sorted(t["hashes"][own].as_py()), *(_unplanes(t[c][own].as_py()).astype(np.int64) for c in ("counts", "lengths"))
+        back = _by_count(many)[_unplanes(t["ranks"][own].as_py()).astype(np.int64)]
+        groups = t["group"].to_pylist()
+
+        def answers(kind: str, column: str) -> np.ndarray:
+            """Sorted by hash, as they were asked."""
+            at = sorted((int(g[1:]), i) for i, g in enumerate(groups) if g[0] == kind)
+            return np.concatenate([np.empty(0, dtype=np.int64), *(_unplanes(t[column][i].as_py()).astype(np.int64) for _, i in at)])
+
+        hit, at = common_at(each)
+        count, level = np.zeros(len(each)), np.zeros(len(each), dtype=np.int64)
+        count[hit], level[hit] = known.value[1][at[hit]], known.value[2][at[hit]]
+        count[~hit], level[~hit] = answers("w", "counts"), answers("w", "ranks")
+        tokens_of, starts = each[back], np.cumsum(lengths) - lengths
+        pair = answers("p", "ranks")[np.unique(pair_hashes(_before(tokens_of, starts), tokens_of), return_inverse=True)[1]]
+        n = len(lengths)
+        which = np.repeat(np.arange(n), lengths)
+        lm = np.bincount(which, weights=log_probabilities(level[back], pair, starts, tokens, distinct, begins), minlength=n)
+        base = np.bincount(which, weights=np.log10(count + 0.5)[back], minlength=n) - lengths * np.log10(tokens + 0.5 * (distinct + 1))
+        n_known = np.bincount(which, weights=(count > 0)[back], minlength=n)
+        return pa.table([ids, pa.array(lengths), pa.array(n_known.astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(base), pa.array(lm)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     asked = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(probe, shape)
     null = F.lit(None).cast("binary")
-    tables = words.where("n > 0").select(F.concat(F.lit("r"), "range").alias("group"), F.lit("").alias("chunk"), F.lit(2).alias("kind"), "hashes", F.col("counts").alias("lengths"), null.alias("docs"), null.alias("sums"), null.alias("extra"))
-    sums = asked.unionByName(tables).groupBy("group").applyInArrow(answer, shape)
-    return sums.groupBy("chunk").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    group = F.concat(F.when(F.col("kind") == 0, "w").otherwise("p"), "range").alias("group")
+    tables = counts.where("n > 0").select(group, F.lit("").alias("chunk"), F.lit(2).alias("kind"), "hashes", "counts", null.alias("docs"), null.alias("lengths"), null.alias("ranks"))
+    found = asked.unionByName(tables).groupBy("group").applyInArrow(answer, shape)
+    return found.groupBy("chunk").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _by_count(many: np.ndarray) -> np.ndarray:
+    """Places from the most to the least frequent, so that most ranks are small numbers."""
+    return np.argsort(-many, kind="stable")
 
 
 def _ids(ids: pa.Array) -> bytes:

@@ -126,3 +126,51 @@ def test_versions_are_written_once_and_verified(spark, tmp_path):
     df.limit(3).write.mode("overwrite").parquet(f"{path}/data")
     with pytest.raises(ValueError):
         manifest.read(spark, path, verify=True)
+
+
+@needs_tables
+def test_recursive_averages_on_five_minute_bars(spark):
+    from tidemark.plans import queries_features as qf
+
+    bars = sorted(qf.m5(spark, SF).collect(), key=lambda r: (r.symbol, r.ts_utc))
+    got = {}
+    for name in ("feat_ema_stack_m5", "feat_rsi_adx_m5", "feat_macd_m5"):
+        rows = registry.queries()[name](spark, SF).collect()
+        assert len(rows) == len(bars)
+        for r in rows:
+            got.setdefault((r.symbol, r.ts_utc), {}).update(r.asDict())
+
+    def fold(xs, alpha, least):
+        """The recursion over the known values; null until there are enough of them."""
+        acc, seen, out = None, 0, []
+        for x in xs:
+            if x is not None:
+                acc, seen = x if acc is None else (1 - alpha) * acc + alpha * x, seen + 1
+            out.append(acc if seen >= least else None)
+        return out
+
+    def over(f, *columns):
+        return [None if None in xs else f(*xs) for xs in zip(*columns)]
+
+    checked = 0
+    for symbol in sorted({r.symbol for r in bars}):
+        b = [r for r in bars if r.symbol == symbol]
+        c, before = [r.close for r in b], [None, *b[:-1]]
+        ema = {n: fold(c, 2 / (n + 1), n) for n in (9, 12, 21, 26, 50, 200)}
+        macd = over(lambda x, y: x - y, ema[12], ema[26])
+        signal = fold(macd, 2 / 10, 9)
+        wild = lambda xs: fold(xs, 1 / 14, 14)
+        gain, loss = (wild([p and max(s * (r.close - p.close), 0.0) for p, r in zip(before, b)]) for s in (1, -1))
+        rsi = over(lambda g, x: (100.0 if g else 50.0) if x == 0 else 100 - 100 / (1 + g / x), gain, loss)
+        up, down = ([0.0 if p is None else x for p, x in zip(before, xs)] for xs in ([p and r.high - p.high for p, r in zip(before, b)], [p and p.low - r.low for p, r in zip(before, b)]))
+        tr = wild([r.high - r.low if p is None else max(r.high - r.low, abs(r.high - p.close), abs(r.low - p.close)) for p, r in zip(before, b)])
+        plus, minus = (over(lambda m, t: 100 * m / t if t > 0 else None, wild([x if x > y and x > 0 else 0.0 for x, y in zip(*pair)]), tr) for pair in ((up, down), (down, up)))
+        adx = wild(over(lambda x, y: 100 * abs(x - y) / (x + y) if x + y > 0 else None, plus, minus))
+        want = {"rsi14": rsi, "plus_di14": plus, "minus_di14": minus, "adx14": adx}
+        scaled = {f"ema{n}_dist_atr": over(lambda x, y: x - y, c, ema[n]) for n in (9, 21, 50, 200)} | {"macd_atr": macd, "macd_signal_atr": signal}
+        for i, r in enumerate(b):
+            row = got[r.symbol, r.ts_utc]
+            for name, x in [(k, v[i]) for k, v in want.items()] + [(k, v[i] / r.atr if v[i] is not None and r.atr else None) for k, v in scaled.items()]:
+                assert row[name] is None if x is None else row[name] == pytest.approx(x, abs=2e-6), (name, r)
+                checked += x is not None
+    assert checked > len(bars)

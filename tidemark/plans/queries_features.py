@@ -177,6 +177,16 @@ _MACD = f"""{q.M1}, {q.bars(60, 'h')}, {q.atr('h', 'v', 100, 10)}, c0 AS (SELECT
 mc AS (SELECT *, macd / a AS macd_atr, sig / a AS macd_signal_atr, hist / a AS macd_hist_atr, CASE WHEN hist > 0 AND lag(hist) OVER {q.W} <= 0 THEN 1 WHEN hist < 0 AND lag(hist) OVER {q.W} >= 0 THEN -1 ELSE 0 END AS macd_cross FROM c3)"""
 register("feat_macd", q.query(_MACD, "mc", [*KEY, "macd_cross"], ["macd_atr", "macd_signal_atr", "macd_hist_atr"]))(lambda spark, d: pick(_hourly(spark, d), ["macd_cross"], ["macd_atr", "macd_signal_atr", "macd_hist_atr"]))
 
+
+def _five(spark, d):
+    """The averages on five-minute bars, all rows; without twins, tests recompute them bar by bar."""
+    return features.averages(m5(spark, d))
+
+
+register("feat_ema_stack_m5")(lambda spark, d: pick(_five(spark, d), ["ema9_21_cross", "ema_stack"], _EMD))
+register("feat_rsi_adx_m5")(lambda spark, d: pick(_five(spark, d), [], ["rsi14", "adx14", "plus_di14", "minus_di14"]))
+register("feat_macd_m5")(lambda spark, d: pick(_five(spark, d), ["macd_cross"], ["macd_atr", "macd_signal_atr", "macd_hist_atr"]))
+
 _HYG = f"""{_SEQUENCE},
 l0 AS (SELECT *, last_value(CAST(CASE WHEN spread_points > 0 THEN spread_points END AS DOUBLE) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_utc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lvl FROM m1),
 l1 AS (SELECT *, lvl / {POS(q.full('median', 'lvl', 1440, least=144))} AS known, date_part('hour', ts_utc) AS hr FROM l0),

@@ -19,11 +19,9 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, columns
     mine = left.select(*keys, F.col(left_on).alias("_t"), F.lit(1 - near).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(_struct(right, columns)).alias("_right"))
     other = right.select(*keys, F.col(right_on).alias("_t"), F.lit(near).alias("_side"), F.lit(None).cast(_struct(left, left.columns)).alias("_left"), F.struct(*columns).alias("_right"))
     both = mine.unionByName(other)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side")
-    if forward:
-        found = F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # forward is backward in descending order: a frame that reaches forward would be read anew for each row
+    order = (F.desc("_t"), F.desc("_side")) if forward else ("_t", "_side")
+    found = F.last("_right", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("_found", found).where(F.col("_left").isNotNull()).select("_left.*", *(F.col(f"_found.{c}").alias(c) for c in columns))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,12 +24,6 @@ def nearest(df: DataFrame, value: str, shares: dict[str, float], keys=()) -> Dat
     return counts.groupBy(*keys).agg(*picks, F.max("_n").cast("long").alias("n"))
 
 
-def lower_in_frame(x: Column, frame, q: float, least: int) -> Column:
-    """The value of rank floor(q * (n - 1)) in a bounded frame."""
-    values = F.array_sort(F.collect_list(x).over(frame))
-    return F.when(F.size(values) >= least, F.element_at(values, (F.floor(F.lit(q) * (F.size(values) - 1)) + 1).cast("int")))
-
-
 def weighted(df: DataFrame, value: str, weight: str, shares: dict[str, float], keys=()) -> DataFrame:
     """One row a key: the first value whose cumulative share of the weight reaches each share; and total and mean."""
     sums = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
@@ -39,15 +33,25 @@ def weighted(df: DataFrame, value: str, weight: str, shares: dict[str, float], k
     return sums.groupBy(*keys).agg(F.sum("_w").alias("weight"), (F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("mean"), *picks)
 
 
-def rolling_median(df: DataFrame, value: str, into: str, n: int, least: int, keys=win.KEYS, time: str = "ts_utc", order=("ts_utc",), lag: int = 0) -> DataFrame:
-    """Median of the last n rows (``lag`` rows ago), null under ``least`` values: long windows, by chunks in pandas."""
+def _rolling(df: DataFrame, value: str, into: str, n: int, lag: int, keys, time: str, order, of) -> DataFrame:
+    """``of`` a pandas rolling window of the last n rows, by chunks that carry the rows before them."""
     cut = win.in_chunks(df, n + lag, max(win.CHUNK, 2 * n), keys, time, order)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.DoubleType())])
     columns = df.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable")
-        pdf[into] = pdf[value].astype("float64").rolling(n, min_periods=least).median().shift(lag)
+        pdf[into] = of(pdf[value].astype("float64")).shift(lag)
         return pdf.loc[~pdf["warm_up"], [*columns, into]]
 
     return cut.groupBy(*keys, "chunk").applyInPandas(run, schema)
+
+
+def rolling_median(df: DataFrame, value: str, into: str, n: int, least: int, keys=win.KEYS, time: str = "ts_utc", order=("ts_utc",), lag: int = 0) -> DataFrame:
+    """Median of the last n rows (``lag`` rows ago), null under ``least`` values: long windows."""
+    return _rolling(df, value, into, n, lag, keys, time, order, lambda x: x.rolling(n, min_periods=least).median())
+
+
+def rolling_lower(df: DataFrame, value: str, into: str, n: int, least: int, q: float, keys=win.KEYS, time: str = "ts_utc", order=("ts_utc",), lag: int = 0) -> DataFrame:
+    """The value of rank floor(q * (count - 1)) of the last n rows (``lag`` rows ago), null under ``least`` values."""
+    return _rolling(df, value, into, n, lag, keys, time, order, lambda x: x.rolling(n, min_periods=least).quantile(q, interpolation="lower"))

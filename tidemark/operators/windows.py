@@ -67,8 +67,10 @@ def fill_forward(x: Column, w: WindowSpec) -> Column:
     return F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def fill_backward(x: Column, w: WindowSpec) -> Column:
-    return F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def fill_backward(x: Column, keys=KEYS, order=("ts_utc",)) -> Column:
+    """The next known value: the last one in descending order, since a frame that reaches forward is read anew for each row."""
+    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
+    return F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def crossing(a: Column, w: WindowSpec) -> Column:
@@ -78,12 +80,14 @@ def crossing(a: Column, w: WindowSpec) -> Column:
 
 
 def run_length(df: DataFrame, value: str, into: str, keys=KEYS, order=("ts_utc",)) -> DataFrame:
-    """Length so far of the run of equal values that a row is in; nulls equal one another."""
+    """Length so far of the run of equal values that a row is in; nulls equal one another.
+
+    A run starts where the value changes, so its length is the distance to the last start: no partition by run.
+    """
     w = over(keys, order)
-    first = F.lag(F.lit(1)).over(w).isNull()
-    starts = df.withColumn("_new", (first | ~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"))
-    starts = starts.withColumn("_island", so_far(F.sum, F.col("_new"), w))
-    return starts.withColumn(into, F.row_number().over(over((*keys, "_island"), order))).drop("_new", "_island")
+    new = F.lag(F.lit(1)).over(w).isNull() | ~F.col(value).eqNullSafe(F.lag(value).over(w))
+    starts = df.withColumn("_rn", F.row_number().over(w)).withColumn("_from", F.when(new, F.col("_rn")))
+    return starts.withColumn(into, F.col("_rn") - so_far(F.max, F.col("_from"), w) + 1).drop("_rn", "_from")
 
 
 def first_true(flag: Column, group: Column, keys=KEYS, order=("ts_utc",)) -> Column:

@@ -48,7 +48,7 @@ def bucket(value: Column, low: Column, high: Column, unknown: str | None = "mid"
 
 def with_bucket(df: DataFrame, value: str = "vol_ratio", into: str = "vol_bucket") -> DataFrame:
     edges = terciles(df, value)
-    return df.join(F.broadcast(edges), "symbol", "left").withColumn(into, bucket(F.col(value), F.col("low_edge"), F.col("high_edge"))).drop("low_edge", "high_edge")
+    return df.join(edges, "symbol", "left").withColumn(into, bucket(F.col(value), F.col("low_edge"), F.col("high_edge"))).drop("low_edge", "high_edge")
 
 
 def histogram(ticks: DataFrame, point: float = POINT, allow_zero: bool = False, longest: float = 60.0) -> DataFrame:
@@ -78,7 +78,7 @@ def bar_keys(minute: DataFrame) -> DataFrame:
     w = win.over()
     level = F.when(F.col("spread_points") > 0, F.col("spread_points"))
     out = minute.withColumns({"hour_utc": F.hour("ts_utc"), "dow": cal.iso_weekday(F.col("ts_utc")), "in_rollover_window": cal.in_rollover(F.col("ts_utc")), "level_imputed": level.isNull(), "_level": level})
-    out = out.withColumn("level", F.coalesce(win.fill_forward(F.col("_level"), w), win.fill_backward(F.col("_level"), w)))
+    out = out.withColumn("level", F.coalesce(win.fill_forward(F.col("_level"), w), win.fill_backward(F.col("_level"))))
     return out.drop("_level")
 
 
@@ -137,7 +137,7 @@ def price_bars(keys: DataFrame, measured: DataFrame, cell_table: DataFrame, rece
 def current_window(df: DataFrame, days: int = 60) -> DataFrame:
     """The rows of the last days before each symbol's last time."""
     last = df.groupBy("symbol").agg(F.max("ts_utc").alias("_last"))
-    return df.join(F.broadcast(last), "symbol").where(cal.seconds(F.col("ts_utc")) >= cal.seconds(F.col("_last")) - days * 86_400).drop("_last")
+    return df.join(last, "symbol").where(cal.seconds(F.col("ts_utc")) >= cal.seconds(F.col("_last")) - days * 86_400).drop("_last")
 
 
 def flag_abnormal(minute_keys: DataFrame, n: int = 7200, least: int = 720) -> DataFrame:
@@ -145,7 +145,7 @@ def flag_abnormal(minute_keys: DataFrame, n: int = 7200, least: int = 720) -> Da
     out = quantiles.rolling_median(minute_keys, "level", "_usual", n, least)
     out = out.withColumn("level_ratio", F.coalesce(F.col("level") / positive(F.col("_usual")), F.lit(1.0))).drop("_usual")
     p99 = quantiles.nearest(out, "level_ratio", {"p99": 0.99}, ("symbol", "hour_utc")).drop("n")
-    return out.join(F.broadcast(p99), ["symbol", "hour_utc"], "left").withColumn("abnormal", F.coalesce(F.col("level_ratio") > F.col("p99"), F.lit(False)))
+    return out.join(p99, ["symbol", "hour_utc"], "left").withColumn("abnormal", F.coalesce(F.col("level_ratio") > F.col("p99"), F.lit(False)))
 
 
 def to_m5(costs: DataFrame) -> DataFrame:

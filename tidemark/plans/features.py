@@ -68,9 +68,9 @@ def sequence(b: DataFrame) -> DataFrame:
     b = b.withColumn("dirs_3", F.concat(code(F.col("dir_lag2")), code(F.col("dir_lag1")), code(F.col("dir"))))
     b = win.run_length(b, "inside_bar", "_inside").withColumn("inside_streak", F.when(truth(F.col("inside_bar")), F.col("_inside")).otherwise(0).cast("int")).drop("_inside")
     b = b.withColumns({"dist_high20_atr": atr(F.col("_top") - C), "dist_low20_atr": atr(C - F.col("_bottom")), "pos_in_range20": ratio(C - F.col("_bottom"), F.col("_top") - F.col("_bottom"))})
-    b = b.withColumn("_week", win.so_far(F.sum, (F.col("_gap") > 1440).cast("int"), w))
-    since = F.row_number().over(win.over(("symbol", "_week"))) - 1
-    return b.withColumns({"bars_since_week_open": since.cast("int"), "gap_before_min": F.col("_gap").cast("int")}).drop("_gap", "_week", "_top", "_bottom")
+    b = b.withColumn("_rn", F.row_number().over(w))
+    opened = win.so_far(F.max, F.when((F.col("_gap") > 1440) | (F.col("_rn") == 1), F.col("_rn")), w)
+    return b.withColumns({"bars_since_week_open": (F.col("_rn") - opened).cast("int"), "gap_before_min": F.col("_gap").cast("int")}).drop("_gap", "_rn", "_top", "_bottom")
 
 
 def regime_edges(b: DataFrame, value: str = "vol_ratio", look_back_days: int = 365, least: int = 2880, unit: str = "month") -> DataFrame:
@@ -78,8 +78,6 @@ def regime_edges(b: DataFrame, value: str = "vol_ratio", look_back_days: int = 3
 
     Values are counted by day first; a day's counts go to the periods that look back on it.
     """
-    from tidemark.operators import quantiles
-
     periods = b.select("symbol", F.date_trunc(unit, "ts_utc").cast("timestamp_ntz").alias("period")).distinct()
     daily = b.where(F.col(value).isNotNull()).groupBy("symbol", F.to_date("ts_utc").alias("day"), value).agg(F.count("*").alias("_n"))
     day = F.col("day").cast("timestamp_ntz")
@@ -88,7 +86,6 @@ def regime_edges(b: DataFrame, value: str = "vol_ratio", look_back_days: int = 3
     w = Window.partitionBy("symbol", "period")
     seen = seen.withColumn("_to", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
     at = lambda q: F.min(F.when(F.col("_to") > F.bround(q * (F.col("_all") - 1), 0), F.col(value)))
-    assert quantiles
     return seen.where(F.col("_all") >= least).groupBy("symbol", "period").agg(at(F.lit(1 / 3)).alias("low_edge"), at(F.lit(2 / 3)).alias("high_edge"))
 
 
@@ -98,7 +95,7 @@ def volatility(b: DataFrame, look_back_days: int = 365, least: int = 2880, unit:
     edges = regime_edges(b, "vol_ratio", look_back_days, least, unit)
     b = b.withColumns({"period": F.date_trunc(unit, "ts_utc").cast("timestamp_ntz"), "_log": F.when((C > 0) & (F.lag(C).over(w) > 0), F.log(C / F.lag(C).over(w)))})
     b = b.withColumn("rv20_bps", win.std(F.col("_log"), w, 20) * 1e4)
-    b = b.join(F.broadcast(edges), ["symbol", "period"], "left")
+    b = b.join(edges, ["symbol", "period"], "left")
     return b.withColumn("vol_regime", costs.bucket(F.col("vol_ratio"), F.col("low_edge"), F.col("high_edge"), None)).drop("period", "_log", "low_edge", "high_edge")
 
 
@@ -239,8 +236,7 @@ def minute_spread(minute: DataFrame, n: int = 7200, least: int = 720, hour_rows:
     m = minute.withColumn("_level", level).withColumn("_level", win.fill_forward(F.col("_level"), w))
     m = quantiles.rolling_median(m, "_level", "_usual", n, least)
     m = m.withColumns({"_known": F.col("_level") / positive(F.col("_usual")), "_hour": F.hour("ts_utc")})
-    frame = win.over(("symbol", "_hour")).rowsBetween(-hour_rows, -1)
-    m = m.withColumn("_p99", quantiles.lower_in_frame(F.col("_known"), frame, 0.99, hour_least))
+    m = quantiles.rolling_lower(m, "_known", "_p99", hour_rows, hour_least, 0.99, ("symbol", "_hour"), lag=1)
     m = m.withColumns({"_rel": F.coalesce(F.col("_known"), F.lit(1.0)), "_odd": truth(F.col("_known") > F.col("_p99"))})
     return m.groupBy("symbol", cal.bucket(F.col("ts_utc"), 5).alias("bar")).agg(
         F.max_by("_level", "ts_utc").alias("spread_pts"), F.max_by("_rel", "ts_utc").alias("spread_rel"), F.bool_or("_odd").alias("hyg_abnormal_spread")

@@ -62,7 +62,7 @@ def price_anomalies(bars: DataFrame, n: int = 240, least: int = 60, wide: float
 def spread_stats(bars: DataFrame) -> DataFrame:
     """Nearest-rank quantiles of the spread, and how many are not above zero or beyond five times the p99."""
     q = quantiles.nearest(bars, "spread_points", {"p50": 0.5, "p90": 0.9, "p99": 0.99}, ("symbol",))
-    odd = bars.join(F.broadcast(q), "symbol").groupBy("symbol").agg(F.count_if(F.col("spread_points") <= 0).alias("not_positive"), F.count_if(F.col("spread_points") > 5 * F.col("p99")).alias("extreme"))
+    odd = bars.join(q, "symbol").groupBy("symbol").agg(F.count_if(F.col("spread_points") <= 0).alias("not_positive"), F.count_if(F.col("spread_points") > 5 * F.col("p99")).alias("extreme"))
     return q.join(odd, "symbol")
 
 

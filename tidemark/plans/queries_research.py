@@ -110,7 +110,7 @@ def backtest_trades(spark, d):
     rule = simulate.Exit(stop_atr=1.0, target_atr=3.0, time_exit_bars=48, trail_atr=1.5, flat_before_weekend=True)
     p = path(spark, d)
     trades = simulate.one_at_a_time(simulate.label(signals(spark, d), p, rule, account), account)
-    return rounded(simulate.excursions(trades, p, account).drop("sid"), 5)
+    return rounded(simulate.excursions(trades, p, account), 5)
 
 
 register("bootstrap_ci")(lambda spark, d: rounded(research.bootstrap(labelled(spark, d)), 4))

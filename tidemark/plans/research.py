@@ -159,7 +159,7 @@ def false_discoveries(tests: DataFrame, p: str = "p_value", q: float = 0.1, keys
     w = Window.partitionBy(*(keys or [F.lit(1)]))
     order = w.orderBy(F.col(p), *([c for c in tests.columns if c not in (p, *keys)][:1]))
     t = tests.withColumns({"_k": F.row_number().over(order), "_m": F.count(F.lit(1)).over(w)}).withColumn("_a", F.col(p) * F.col("_m") / F.col("_k"))
-    t = t.withColumn("q_value", F.least(F.min("_a").over(w.orderBy("_k").rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0)))
+    t = t.withColumn("q_value", F.least(F.min("_a").over(w.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)))
     return t.withColumn("rejected", F.col("q_value") <= q).drop("_k", "_m", "_a")
 
 

@@ -1,8 +1,8 @@
 """Trade simulation on the minute path.
 
 Where a signal would exit depends on the path after it and on nothing else, so all signals of all scenarios are priced
-in parallel: as-of joins find the entry bar and the bar that ends the search, a join by day buckets brings the minutes
-between the two, and one aggregate a signal finds the first bar that hits. The rule of one position at a time is then a
+in parallel: as-of joins find the entry bar and the bar that ends the search, a join by hour buckets brings the minutes
+between the two, and one aggregate a signal finds the first bar that hits under each scenario. The rule of one position at a time is then a
 walk over priced signals only, a few numbers each.
 """
 
@@ -23,8 +23,10 @@ from tidemark.sources.tape import POINT
 
 SCENARIOS = ("optimistic", "base", "pessimistic")
 LATEST_ENTRY_S = 300
-#: Days of path that one round brings; signals without an exit by then go into the next round.
-ROUND_DAYS = 3
+#: Hours of path that one round brings; signals without an exit by then go into the next round.
+ROUND_HOURS = 24
+#: What tells signals apart.
+KEY = ("symbol", "decision_time", "side")
 PATH = ("ts_utc", "open", "high", "low", "close", "spread_optimistic", "spread_base", "spread_pessimistic", "in_rollover_window", "measured")
 
 
@@ -58,7 +60,7 @@ def path_of(minute: DataFrame, bar_costs: DataFrame) -> DataFrame:
     """The minute path with costs; a minute without costs gets its scenario's median."""
     names = ("spread_optimistic", "spread_base", "spread_pessimistic")
     usual = bar_costs.groupBy("symbol").agg(*(F.median(c).alias(f"_{c}") for c in names))
-    out = minute.join(bar_costs, ["symbol", "ts_utc"], "left").join(F.broadcast(usual), "symbol", "left")
+    out = minute.join(bar_costs, ["symbol", "ts_utc"], "left").join(usual, "symbol", "left")
     return out.select("symbol", "ts_utc", "open", "high", "low", "close", *(F.coalesce(c, f"_{c}").alias(c) for c in names), F.coalesce("in_rollover_window", F.lit(False)).alias("in_rollover_window"), F.coalesce(F.col("spread_source") == "measured", F.lit(False)).alias("measured"))
 
 
@@ -82,8 +84,16 @@ def _slip(order: Column, in_window: Column) -> Column:
     return out
 
 
+def _hour(ts: Column) -> Column:
+    """Hours since 1970: the bucket in which a signal meets its minutes."""
+    return F.floor(cal.seconds(ts) / 3600)
+
+
 def entries(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account, start: str | None = None, stop: str | None = None) -> DataFrame:
-    """Signals by scenario with entry, stop, target and the time at which the search for an exit ends and why."""
+    """Signals with their entry bar, the time at which the search for an exit ends and why, and the bar of that time.
+
+    plan is an array with one struct a scenario: spread_in, slip_in, entry_price, stop, target.
+    """
     s = signals
     if start is not None:
         s = s.where(F.col("decision_time") >= F.lit(start).cast("timestamp_ntz"))
@@ -105,25 +115,32 @@ def entries(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account,
     s = s.withColumn("_end", F.array_min(F.array(*ends))).withColumns({"end_time": F.col("_end.at"), "end_reason": F.col("_end.why")})
     last = path.groupBy("symbol").agg(F.max("ts_utc").alias("x_ts_utc"), *(F.max_by(c, "ts_utc").alias(f"x_{c}") for c in PATH if c != "ts_utc"))
     final = path.select("symbol", *(F.col(c).alias(f"f_{c}") for c in PATH))
-    s = asof(s, final, "end_time", "f_ts_utc", [f"f_{c}" for c in PATH], direction="forward").join(F.broadcast(last), "symbol")
-    s = s.withColumn("scenario", F.explode(F.array(*map(F.lit, SCENARIOS))))
+    s = asof(s, final, "end_time", "f_ts_utc", [f"f_{c}" for c in PATH], direction="forward").join(last, "symbol")
     pt, side = account.point, F.col("side")
-    s = s.withColumns({"spread_in": _by_scenario("e_spread"), "slip_in": _slip(F.lit("market"), F.lit(False)), "risk": exit_.stop_atr * F.col("atr_pts") * pt})
-    s = s.withColumn("entry_price", F.when(side > 0, F.col("e_open") + (F.col("spread_in") + F.col("slip_in")) * pt).otherwise(F.col("e_open") - F.col("slip_in") * pt))
-    target = F.col("entry_price") + side * exit_.target_atr * F.col("atr_pts") * pt if exit_.target_atr is not None else F.lit(None).cast("double")
-    s = s.withColumns({"stop_initial": F.col("entry_price") - side * F.col("risk"), "target": target})
-    return s.withColumn("sid", F.xxhash64("symbol", "decision_time", "scenario", "side"))
+    s = s.withColumn("risk", exit_.stop_atr * F.col("atr_pts") * pt)
+
+    def plan(name: str) -> Column:
+        spread, slip = F.col(f"e_spread_{name}"), costs.slippage(name, "market", F.col("atr_pts"), F.lit(False))
+        price = F.when(side > 0, F.col("e_open") + (spread + slip) * pt).otherwise(F.col("e_open") - slip * pt)
+        target = price + side * exit_.target_atr * F.col("atr_pts") * pt if exit_.target_atr is not None else F.lit(None).cast("double")
+        return F.struct(F.lit(name).alias("scenario"), spread.cast("double").alias("spread_in"), slip.alias("slip_in"), price.alias("entry_price"), (price - side * F.col("risk")).alias("stop"), target.alias("target"))
+
+    return s.withColumn("plan", F.array(*map(plan, SCENARIOS)))
+
 
+FILL = "struct<price:double,reason:string,order:string,ambiguous:boolean>"
+HIT = f"struct<ts:timestamp_ntz,fill:{FILL}>"
 
-def _hit(b: Column, stop: Column, exit_: Exit) -> Column:
+
+def _hit(b: Column, spread: Column, stop: Column, target: Column, exit_: Exit) -> Column:
     """The fill on one bar (null if none): price, reason, order, ambiguous. Gaps count after the entry bar only."""
-    side, target = F.col("side"), F.col("target")
-    ask = F.when(side > 0, 0.0).otherwise(b["spread"])  # the short side trades on the ask
+    side = F.col("side")
+    ask = F.when(side > 0, 0.0).otherwise(spread)  # the short side trades on the ask
     o, h, lo = b["open"] + ask, b["high"] + ask, b["low"] + ask
     worse = F.when(side > 0, lo <= stop).otherwise(h >= stop)
     better = F.coalesce(F.when(side > 0, h >= target).otherwise(lo <= target), F.lit(False))
     later = b["ts_utc"] > F.col("e_ts_utc")
-    fill = lambda price, reason, order, ambiguous=False: F.struct(price.alias("price"), F.lit(reason).alias("reason"), F.lit(order).alias("order"), F.lit(ambiguous).alias("ambiguous"))
+    fill = lambda price, reason, order, ambiguous=False: F.struct(price.alias("price"), F.lit(reason).alias("reason"), F.lit(order).alias("order"), F.lit(ambiguous).alias("ambiguous")).cast(FILL)
     both = fill(stop, "stop", "stop", True) if exit_.policy == "pessimistic" else fill(target, "target", "limit", True)
     return (
         F.when(later & F.coalesce(F.when(side > 0, o >= target).otherwise(o <= target), F.lit(False)), fill(target, "target", "limit"))
@@ -132,51 +149,78 @@ def _hit(b: Column, stop: Column, exit_: Exit) -> Column:
     )
 
 
+def _one_round(s: DataFrame, bars: DataFrame, k: int, exit_: Exit, account: Account) -> DataFrame:
+    """KEY, hits and stops (one entry a scenario) over the minutes of the k-th ROUND_HOURS of each search.
+
+    A signal is dealt only the hours of its own search, and once for all scenarios.
+    """
+    first = F.col("h0") + k * ROUND_HOURS
+    rows = s.withColumn("hour", F.explode(F.sequence(first, F.least(first + (ROUND_HOURS - 1), F.col("h1"))))).join(bars, ["symbol", "hour"])
+    rows = rows.where((F.col("ts_utc") >= F.col("e_ts_utc")) & (F.col("ts_utc") < F.col("end_time")))
+    points = [(i, F.col(f"spread_{name}") * account.point) for i, name in enumerate(SCENARIOS)]
+    if exit_.trail_atr is None:
+        b = F.struct("ts_utc", "open", "high", "low", "close")
+
+        def first_hit(i: int, spread: Column) -> Column:
+            fill = _hit(b, spread, F.col("stops")[i], F.col("plan")[i]["target"], exit_)
+            return F.min(F.when(fill.isNotNull(), F.struct(F.col("ts_utc").alias("ts"), fill.alias("fill")).cast(HIT)))
+
+        each = rows.groupBy(*KEY).agg(F.array(*(first_hit(i, x) for i, x in points)).alias("_hits"))
+        return each.withColumn("_stops", F.lit(None).cast("array<double>"))
+    # a fold over the sorted minutes of the round: the stop moves when a bar of five minutes closes
+    trail = exit_.trail_atr * F.col("atr_pts") * account.point
+    state = f"struct<ts:timestamp_ntz,fill:{FILL},stop:double>"
+
+    def fold(i: int, name: str) -> Column:
+        def step(now, b):
+            spread = b[f"spread_{name}"] * account.point
+            fill = _hit(b, spread, now["stop"], F.col("plan")[i]["target"], exit_)
+            closes = F.pmod(F.minute(b["ts_utc"]) + 1, F.lit(5)) == 0
+            moved = F.when(F.col("side") > 0, F.greatest(now["stop"], b["close"] - trail)).otherwise(F.least(now["stop"], b["close"] + spread + trail))
+            then = F.struct(F.when(fill.isNotNull(), b["ts_utc"]).alias("ts"), fill.alias("fill"), F.when(fill.isNull() & closes, moved).otherwise(now["stop"]).alias("stop"))
+            return F.when(now["ts"].isNotNull(), now).otherwise(then.cast(state))
+
+        start = F.struct(F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast(FILL).alias("fill"), F.col("stops")[i].alias("stop")).cast(state)
+        return F.aggregate("bs", start, step)
+
+    b = F.struct("ts_utc", "open", "high", "low", "close", *(f"spread_{n}" for n in SCENARIOS))
+    each = rows.groupBy(*KEY, "e_ts_utc", "atr_pts", "plan", "stops").agg(F.sort_array(F.collect_list(b)).alias("bs"))
+    each = each.withColumn("_x", F.array(*(fold(i, n) for i, n in enumerate(SCENARIOS))))
+    hits = F.transform("_x", lambda x: F.when(x["ts"].isNotNull(), F.struct(x["ts"].alias("ts"), x["fill"].alias("fill")).cast(HIT)))
+    return each.select(*KEY, hits.alias("_hits"), F.transform("_x", lambda x: x["stop"]).alias("_stops"))
+
+
 def exits(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account) -> DataFrame:
-    """sid with the exit (time, price, reason, order, ambiguous) and best and worst prices on the way, for hits only.
+    """KEY with hits: by scenario the first exit (time; price, reason, order, ambiguous), null where the search ends without.
 
-    Rounds of ROUND_DAYS: the days between entry and end are the equality key of the join, so a signal meets the minutes
-    of its own days only.
+    The hours from entry to end are the equality key of the join. Searches longer than ROUND_HOURS go on in rounds with
+    the signals that are still open; each round is written.
     """
-    found = None
-    s = signals.select("sid", "symbol", "side", "scenario", "e_ts_utc", "end_time", "stop_initial", "target", "atr_pts").withColumn("stop", F.col("stop_initial"))
-    bars = path.withColumn("day", F.to_date("ts_utc"))
-    last_day = path.agg(F.max(F.to_date("ts_utc"))).first()[0]
-    if last_day is None:
-        return signals.select("sid").limit(0).withColumns({"exit": F.lit(None)})
-    long_search = signals.agg(F.max(F.datediff(F.least(F.to_date("end_time"), F.lit(last_day)), F.to_date("e_ts_utc")))).first()[0] or 0
-    rounds = -(-(int(long_search) + 1) // ROUND_DAYS)
+    newest = path.agg(F.max("ts_utc")).first()[0]
+    none = F.array(*(F.lit(None).cast(HIT) for _ in SCENARIOS))
+    s = signals.select(*KEY, "e_ts_utc", "end_time", "atr_pts", "plan", none.alias("hits"), F.transform("plan", lambda p: p["stop"]).alias("stops"))
+    if newest is None:
+        return s.select(*KEY, "hits")
+    ends = F.timestamp_add("SECOND", F.lit(-1), F.least("end_time", F.timestamp_add("SECOND", F.lit(1), F.lit(newest).cast("timestamp_ntz"))))
+    s = s.withColumns({"h0": _hour(F.col("e_ts_utc")), "h1": F.greatest(_hour(F.col("e_ts_utc")), _hour(ends))})
+    bars = path.withColumn("hour", _hour(F.col("ts_utc")))
+    hours = (s.agg(F.max(F.col("h1") - F.col("h0"))).first()[0] or 0) + 1
+    rounds, closed = -(-hours // ROUND_HOURS), None
     for k in range(rounds):
-        first_day = F.date_add(F.to_date("e_ts_utc"), k * ROUND_DAYS)
-        days = F.sequence(first_day, F.date_add(first_day, ROUND_DAYS - 1))
-        open_ = s.where(first_day <= F.least(F.to_date("end_time"), F.lit(last_day)))
-        rows = open_.withColumn("day", F.explode(days)).join(bars, ["symbol", "day"]).where((F.col("ts_utc") >= F.col("e_ts_utc")) & (F.col("ts_utc") < F.col("end_time")))
-        bar = F.struct("ts_utc", "open", "high", "low", "close", (_by_scenario("spread") * account.point).alias("spread"))
-        rows = rows.withColumn("b", bar)
-        keys = ["sid", "side", "target", "e_ts_utc", "stop", "atr_pts"]
-        if exit_.trail_atr is None:
-            rows = rows.withColumn("fill", _hit(F.col("b"), F.col("stop"), exit_))
-            first = F.min(F.when(F.col("fill").isNotNull(), F.struct(F.col("ts_utc").alias("ts"), "fill")))
-            each = rows.groupBy(*keys).agg(first.alias("x"))
-            each = each.select("sid", F.col("x.ts").alias("exit_ts"), F.col("x.fill").alias("fill"), F.col("stop").alias("stop_now"))
+        each = _one_round(s, bars, k, exit_, account)
+        s = s.join(each, list(KEY), "left")
+        found = F.transform(F.sequence(F.lit(0), F.lit(len(SCENARIOS) - 1)), lambda i: F.coalesce(F.col("hits")[i], F.col("_hits")[i]))
+        s = s.withColumns({"hits": found, "stops": F.coalesce("_stops", "stops")}).drop("_hits", "_stops")
+        if k + 1 == rounds:
+            done = s
         else:
-            # a short fold over the sorted minutes of the round: the stop moves when a bar of five minutes closes
-            trail = exit_.trail_atr * F.col("atr_pts") * account.point
-            start = F.struct(F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("struct<price:double,reason:string,order:string,ambiguous:boolean>").alias("fill"), F.col("stop").alias("stop"))
-
-            def step(state, b):
-                fill = _hit(b, state["stop"], exit_)
-                closes = F.pmod(F.minute(b["ts_utc"]) + 1, F.lit(5)) == 0
-                moved = F.when(F.col("side") > 0, F.greatest(state["stop"], b["close"] - trail)).otherwise(F.least(state["stop"], b["close"] + b["spread"] + trail))
-                return F.when(state["ts"].isNotNull(), state).otherwise(F.struct(F.when(fill.isNotNull(), b["ts_utc"]).alias("ts"), fill.cast("struct<price:double,reason:string,order:string,ambiguous:boolean>").alias("fill"), F.when(fill.isNull() & closes, moved).otherwise(state["stop"]).alias("stop")))
-
-            each = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("b")).alias("bs")).withColumn("x", F.aggregate("bs", start, step))
-            each = each.select("sid", F.col("x.ts").alias("exit_ts"), F.col("x.fill").alias("fill"), F.col("x.stop").alias("stop_now"))
-        hits = each.where("exit_ts is not null").drop("stop_now")
-        found = hits if found is None else found.unionByName(hits)
-        if k + 1 < rounds:
-            s = s.join(each.select("sid", "exit_ts", "stop_now"), "sid", "left").where("exit_ts is null").withColumn("stop", F.coalesce("stop_now", "stop")).drop("exit_ts", "stop_now")
-    return found
+            s = staged(s, "search")
+            over = ~F.exists("hits", lambda h: h.isNull()) | (F.col("h1") < F.col("h0") + (k + 1) * ROUND_HOURS)
+            done, s = s.where(over), s.where(~over)
+        closed = done if closed is None else closed.unionByName(done)
+        if k + 1 < rounds and s.isEmpty():
+            break
+    return closed.select(*KEY, "hits")
 
 
 def label(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account = Account(), start: str | None = None, stop: str | None = None) -> DataFrame:
@@ -186,7 +230,9 @@ def label(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account = A
     """
     path = staged(path, "path")
     s = staged(entries(signals, path, exit_, account, start, stop), "entries")
-    s = s.join(exits(s, path, exit_, account), "sid", "left")
+    s = s.join(exits(s, path, exit_, account), list(KEY), "left")
+    s = s.withColumn("_p", F.explode(F.arrays_zip("plan", "hits"))).drop("plan", "hits")
+    s = s.withColumns({n: F.col(f"_p.plan.{n}") for n in ("scenario", "spread_in", "slip_in", "entry_price", "target")} | {"stop_initial": F.col("_p.plan.stop"), "exit_ts": F.col("_p.hits.ts"), "fill": F.col("_p.hits.fill")}).drop("_p")
     pt, side = account.point, F.col("side")
     closes = F.col("f_ts_utc").isNull()  # no bar left: out at the last close
     out_spread = F.when(closes, _by_scenario("x_spread")).otherwise(_by_scenario("f_spread"))
@@ -209,7 +255,7 @@ def label(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account = A
     })
     s = s.withColumn("r_before_costs", F.col("r_net") + F.col("cost_spread_r") + F.col("cost_slippage_r") + F.col("cost_commission_r") + F.col("cost_swap_r"))
     return s.select(
-        "sid", "symbol", "scenario", "side", "decision_time", F.col("e_ts_utc").alias("entry_time"), "exit_time", "entry_price", "exit_price", "stop_initial", "target",
+        "symbol", "scenario", "side", "decision_time", F.col("e_ts_utc").alias("entry_time"), "exit_time", "entry_price", "exit_price", "stop_initial", "target",
         F.col("x.reason").alias("exit_reason"), F.col("x.ambiguous").alias("ambiguous"), "atr_pts", (risk / pt).alias("risk_pts"), "r_net", "r_before_costs",
         "cost_spread_r", "cost_slippage_r", "cost_commission_r", "cost_swap_r", "spread_measured",
     )
@@ -217,15 +263,16 @@ def label(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account = A
 
 def excursions(trades: DataFrame, path: DataFrame, account: Account = Account()) -> DataFrame:
     """Trades with mfe_r, mae_r and bars_held_m1: the best and worst price from entry to exit bar."""
-    days = F.sequence(F.to_date("entry_time"), F.to_date("exit_time"))
-    rows = trades.select("sid", "symbol", "side", "scenario", "entry_time", "exit_time", "entry_price", "risk_pts", F.explode(days).alias("day"))
-    rows = rows.join(path.withColumn("day", F.to_date("ts_utc")), ["symbol", "day"]).where("ts_utc between entry_time and exit_time")
+    key = [*KEY, "scenario"]
+    hours = F.sequence(_hour(F.col("entry_time")), _hour(F.col("exit_time")))
+    rows = trades.select(*key, "entry_time", "exit_time", "entry_price", "risk_pts", F.explode(hours).alias("hour"))
+    rows = rows.join(path.withColumn("hour", _hour(F.col("ts_utc"))), ["symbol", "hour"]).where("ts_utc between entry_time and exit_time")
     ask = F.when(F.col("side") > 0, 0.0).otherwise(_by_scenario("spread") * account.point)
-    each = rows.groupBy("sid", "side", "entry_price", "risk_pts").agg(F.max(F.col("high") + ask).alias("h"), F.min(F.col("low") + ask).alias("l"), F.count("*").alias("bars_held_m1"))
+    each = rows.groupBy(*key, "entry_price", "risk_pts").agg(F.max(F.col("high") + ask).alias("h"), F.min(F.col("low") + ask).alias("l"), F.count("*").alias("bars_held_m1"))
     risk, long = F.col("risk_pts") * account.point, F.col("side") > 0
     best, worst = F.when(long, F.col("h") - F.col("entry_price")).otherwise(F.col("entry_price") - F.col("l")), F.when(long, F.col("entry_price") - F.col("l")).otherwise(F.col("h") - F.col("entry_price"))
-    each = each.select("sid", (F.greatest(best, F.lit(0.0)) / risk).alias("mfe_r"), (F.greatest(worst, F.lit(0.0)) / risk).alias("mae_r"), "bars_held_m1")
-    return trades.join(each, "sid")
+    each = each.select(*key, (F.greatest(best, F.lit(0.0)) / risk).alias("mfe_r"), (F.greatest(worst, F.lit(0.0)) / risk).alias("mae_r"), "bars_held_m1")
+    return trades.join(each, key)
 
 
 def one_at_a_time(trades: DataFrame, account: Account = Account(), keys=("symbol", "scenario")) -> DataFrame:

@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from tidemark.llm import html_text as h
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Top &amp; title</title><style>p{margin:0}</style>
@@ -41,3 +46,69 @@ def test_rows(spark):
     want = [(1, "u", WANT, len(WANT)), (1, "u", WANT, len(WANT)), (2, None, "", 0), (None, "v", "", 0)]
     assert got == sorted(want, key=str)
     assert h.extract(pages.limit(0)).count() == 0
+
+
+def by_hand(weights, marked):
+    """The same law written the long way: for each line, does a run of windows from surge to dive hold it?"""
+    n = len(weights)
+    window = lambda i: sum(weights[i : i + h.WINDOW])
+    surge = min(h.SURGE, max([window(i) for i in range(n)], default=0) / 2)
+    heavy = lambda i: weights[i] >= h.EDGE * surge
+    runs = []
+    for a in range(n):
+        for b in range(a + 1, n + 1):
+            open_ = all(window(i) > 0 for i in range(a, b)) and (b == n or window(b) == 0)
+            begun = window(a) >= surge and (a == 0 or window(a - 1) < surge or window(a - 1) == 0)
+            first = not any(window(i) >= surge and all(window(j) > 0 for j in range(i, a)) for i in range(a))
+            if open_ and begun and first and window(a) > 0:
+                inner = [i for i in range(a, b) if any(heavy(j) for j in range(a, i + 1)) and any(heavy(j) for j in range(i, b))]
+                runs.append(inner)
+    most = max((sum(weights[i] for i in r) for r in runs), default=0)
+    return sorted(i for r in runs if sum(weights[i] for i in r) >= h.ALSO * most or any(marked[i] for i in r) for i in r)
+
+
+def test_windows_against_the_long_way():
+    rng = random.Random(5)
+    for _ in range(400):
+        n = rng.randrange(0, 24)
+        weights = [rng.choice([0, 0, 0, 3, 15, 40, 90, 700]) for _ in range(n)]
+        marked = [rng.random() < 0.1 for _ in range(n)]
+        assert h.chosen(weights, marked) == by_hand(weights, marked), (weights, marked)
+
+
+def test_the_windows_decide_on_marked_pages_too():
+    body = "A paragraph that the page did not put into its article element. " * 80
+    page = f"<article><h1>Head</h1></article><div>{body}</div><div>Imprint</div>"
+    assert h.main_text(page) == f"Head\n{body.strip()}"
+    beside = f"<div>Top</div><article><h1>Head</h1><p>{body}</p></article><div>{'A line outside. ' * 20}</div>"
+    assert h.main_text(beside) == f"Head\n{body.strip()}"
+
+
+def test_long_attributes_stay_markup():
+    for quote in "\"'":
+        page = f"<article><p>One <img src={quote}data:{'A' * 50_000}{quote}> two</p><div data-x={quote}{{'k': <p>}}{quote.replace(chr(39), '')}></div></article>"
+        assert h.main_text(page).startswith("One two")
+    assert h.main_text('<article><p title="a > b">x</p></article>') == "x"
+    assert h.main_text("<article>a <b title=it's>c</b></article>") == "a c"
+
+
+def test_names_count_as_a_whole():
+    inside = '<h2 id="legal">Legal</h2><div class="article-tags-body"><p>Body.</p></div><p class="share-price">Price</p><div id="search-algorithms">Text</div>'
+    assert h.main_text(f"<article>{inside}</article>") == "Legal\nBody.\nPrice\nText"
+    aside = '<div class="ad-slot">x</div><div id="cookieNotice">x</div><ul class="share-buttons"><li>x</ul><section id="comments"><article class="comment">x</article></section><div class="sidebar-left">x</div>'
+    assert h.main_text(f"<article><p>Text</p>{aside}<p>End</p></article>") == "Text\nEnd"
+
+
+def test_unclosed_head_and_foreign_elements():
+    assert h.main_text("<html><head><title>t</title><body><p>Hello</p>") == "Hello"
+    assert h.main_text("<article>a<svg/> b <math><mi>x</mi></math> <svg><text>no</text></svg>c</article>") == "a b x c"
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a href="', "<a b='x\"y ", "<b>", "<b><p>", "</i>", "<li>", "<div></b>", "<!--", "<script>", "&", "<", "= "])
+def test_time_is_linear(part):
+    def seconds(k):
+        start = time.perf_counter()
+        h.main_text("<article><p>text</p>" + part * k)
+        return time.perf_counter() - start
+
+    assert seconds(100_000) < 10  # 100,000 in the square would be minutes

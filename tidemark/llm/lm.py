@@ -1,22 +1,30 @@
 """Language-model scoring over a log-frequency Bloom filter.
 
 Counting: each task hashes the words of its documents (64 bits), sorts them and sends one compressed block of sorted
-hashes and counts to each hash range; the task of a range adds the blocks up. Words are counted exactly, pairs of
-neighbouring words (48-bit hashes) too, and pairs seen once are left out of the model.
-
-Model: a count c is stored as the level 1 + floor(log2 c); an n-gram enters the Bloom filter once for each level up to
-its own, so probing levels until the first miss gives back the quantised count, at most N. The filter has BITS bits for
-each entry whatever the size of the input, so its false positives, (1 - exp(-HASHES / BITS)) ** HASHES = 0.8 % of the
-probes of a level, stay the same. It is never in one place: each hash range has its own segment, built by the task that
-answers for the range. A token's probability is
-    PAIR * pairs(v, w) / words(v) + (1 - PAIR) * (words(w) + 0.5) / (N + 0.5 (V + 1)).
+hashes and counts to each hash range; the task of a range adds the blocks up. Words are counted exactly, and so are pairs
+and triples of neighbouring words (48-bit hashes). A chunk sends a range no block where it has nothing for it, so there
+are never more blocks than distinct n-grams in the chunks.
+
+Model: a count c is stored as the level 1 + floor(log c / log BASE), so counts up to 3 have levels of their own; an
+n-gram enters the Bloom filter once for each level up to its own, so probing levels until the first miss gives back the
+quantised count. The filter has BITS bits for each entry whatever the size of the input, so its false positives,
+(1 - exp(-HASHES / BITS)) ** HASHES = 0.8 % of the probes of a level, stay the same. It is never in one place: each hash
+range has its own segment, built by the task that answers for the range.
+
+Probabilities are interpolated absolute discounting on three orders. For a word w after h (two words, then one, then
+none; what is in front of a text counts as a word):
+    P(w | h) = max(c(hw) - D, 0) / c(h) + left(h) * P(w | shorter h),    P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
+D is n1 / (n1 + 2 n2) of the order, from all n-grams seen once and twice. left(h) is the mass that the discounts leave,
+D * (distinct n-grams) / (all n-grams) over all training n-grams whose context has the quantised count of h: exact for
+contexts seen once, the average of their kind for others. An unseen h leaves everything to the shorter one.
 
 Base score: exact counts.
 
 Scoring: a chunk is some millions of tokens of a task. Words that make up at least 1/65,536 of all tokens (so 65,536 of
 them at most) are broadcast with their counts and levels; all other distinct words of a chunk and all its distinct pairs
-travel as sorted blocks to the task of their hash range and come back as counts and levels to the chunk's own row, which
-carries the tokens as ranks. So a range gets each word or pair of a chunk once, however common it is.
+and triples travel as sorted blocks to the task of their hash range and come back as counts and levels to the chunk's own
+row, which carries the tokens as ranks. So a range gets each n-gram of a chunk once, however common it is. The chunks are
+written with the levels of their tokens, left(h) is summed over all training tokens, and a last narrow pass scores.
 
 Defined cases: a null, empty or blank text is the single token "end"; repeated rows are scored and counted each; with
 no training tokens every base score is 0 and N is 0; an empty table gives an empty result; other columns are ignored; a
@@ -26,13 +34,14 @@ null id hashes like the empty text and is in training unless that remainder is 1
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold_of, materialise, small_batches, text_or_empty
@@ -43,13 +52,12 @@ BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\t", 0))
 GATHERED = 2_000_000
 #: Bytes of text that one hash range stands for.
 RANGE_BYTES = 12_000_000
-MOST_RANGES = 1 << 16
 HOT_SHARE = 1 / 65_536
 BITS, HASHES = 10, 6
-PAIR = 0.1
-#: Pairs seen less often are not in the model.
-CUTOFF = 2
-LEVELS = 40
+BASE = 1.5
+LEVELS = 80
+#: Discounts stay within these bounds, as the counts of a small corpus may give any.
+LEAST_DISCOUNT, MOST_DISCOUNT = 0.1, 0.95
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -71,13 +79,20 @@ def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return _mix(before * np.uint64(0xD6E8FEB86659FD93) + words) & np.uint64(0xFFFFFFFFFFFF0000)
 
 
-def _before(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    out = np.empty_like(words)
-    out[1:] = words[:-1]
-    out[starts] = BEGIN
+def _before(x: np.ndarray, starts: np.ndarray, at_start: np.uint64 = BEGIN) -> np.ndarray:
+    """What each place has in front of it; at the start of a text ``at_start``."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[starts] = at_start
     return out
 
 
+def ngrams(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token its word, its pair with the word before, its triple with the pair before; a text's first has no triple of its own."""
+    pairs = pair_hashes(_before(words, starts), words)
+    return words, pairs, pair_hashes(_before(pairs, starts, np.uint64(0)), words)
+
+
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
@@ -112,14 +127,14 @@ def _slices(sorted_hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, int,
             yield int(r[a]), a, b
 
 
-def levels_of(counts: np.ndarray, least: int) -> np.ndarray:
-    """1 + floor(log2(count / least)); least is the smallest count that is stored."""
-    return np.minimum(LEVELS, np.floor(np.log2(counts / least) + 1e-9).astype(np.int64) + 1)
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """1 + floor(log(count) / log(BASE))."""
+    return np.minimum(LEVELS, np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64) + 1)
 
 
-def counts_of(levels: np.ndarray, least: int) -> np.ndarray:
-    """The middle of the counts that share a level; 0 for level 0."""
-    return np.where(levels > 0, (1.5 * least) * 2.0 ** (levels - 1) - 0.5, 0.0)
+_EDGES = np.ceil(BASE ** np.arange(LEVELS + 1) - 1e-9)
+#: The middle of the counts that share a level; 0 for level 0.
+MIDDLE = np.r_[0.0, (_EDGES[:-1] + _EDGES[1:] - 1) / 2]
 
 
 def _hash_pair(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,12 +159,12 @@ def segment(hashes: np.ndarray, levels: np.ndarray, size: int) -> np.ndarray:
 
 
 class Filter:
-    """All segments of words and pairs, end to end."""
+    """All segments of all kinds, end to end."""
 
     def __init__(self, parts: list[tuple[int, int, int, bytes]], ranges: int):
         self.ranges = ranges
-        self.size = np.ones((2, ranges), dtype=np.uint64)
-        self.at = np.zeros((2, ranges), dtype=np.int64)
+        self.size = np.ones((3, ranges), dtype=np.uint64)
+        self.at = np.zeros((3, ranges), dtype=np.int64)
         at, data = 1, [b"\0"]  # a range without n-grams looks at a byte of zeros
         for kind, r, size, bits in sorted(parts, key=lambda p: p[:2]):
             self.size[kind, r], self.at[kind, r] = size, at * 8
@@ -199,18 +214,20 @@ class _Gathered:
 
 def _ranges(docs: DataFrame) -> int:
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return min(MOST_RANGES, max(1, -(-total // RANGE_BYTES)))
+    return max(1, -(-total // RANGE_BYTES))
 
 
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names)
 
 
+COUNTS = "kind int, range int, n long, total long, ones long, twos long, hashes binary, counts binary"
+
+
 def count_ngrams(docs: DataFrame, ranges: int) -> DataFrame:
-    """kind (0 words, 1 pairs), range, n, total, entries (what the Bloom filter will hold), hashes, counts.
+    """kind (0 words, 1 pairs, 2 triples), range, n distinct, total, ones and twos (n-grams seen so often), hashes, counts.
 
-    One row for each kind and range: sorted hashes with their exact counts over all documents of ``docs``. Of pairs only
-    those with at least CUTOFF occurrences are listed.
+    One row for each kind and range: sorted hashes with their exact counts over all documents of ``docs``.
     """
     names = ["kind", "range", "hashes", "counts"]
 
@@ -221,7 +238,7 @@ def count_ngrams(docs: DataFrame, ranges: int) -> DataFrame:
             words, starts, _ = held.take()
             if not len(words):
                 return
-            for kind, x in ((0, words), (1, pair_hashes(_before(words, starts), words))):
+            for kind, x in enumerate(ngrams(words, starts)):
                 x, n = np.unique(x, return_counts=True)
                 rows = [(r, pack_sorted(x[a:b]), _planes(n[a:b])) for r, a, b in _slices(x, ranges)]
                 r, h, c = zip(*rows)
@@ -241,44 +258,74 @@ def count_ngrams(docs: DataFrame, ranges: int) -> DataFrame:
         x, n = x[order], n[order]
         start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
         x, n = x[start], np.add.reduceat(n, start)
-        total = int(n.sum())
-        if kind == 1:
-            x, n = x[n >= CUTOFF], n[n >= CUTOFF]
-        entries = int(levels_of(n, CUTOFF if kind else 1).sum()) if len(n) else 0
-        return pa.table({"kind": pa.array([kind], pa.int32()), "range": pa.array([r], pa.int32()), "n": [len(x)], "total": [total], "entries": [entries], "hashes": pa.array([pack_sorted(x)], pa.binary()), "counts": pa.array([_planes(n)], pa.binary())})
+        numbers = {"n": len(x), "total": int(n.sum()), "ones": int((n == 1).sum()), "twos": int((n == 2).sum())}
+        return pa.table({"kind": pa.array([kind], pa.int32()), "range": pa.array([r], pa.int32()), **{k: [v] for k, v in numbers.items()}, "hashes": pa.array([pack_sorted(x)], pa.binary()), "counts": pa.array([_planes(n)], pa.binary())})
 
     blocks = docs.select("text").mapInArrow(gather, "kind int, range int, hashes binary, counts binary")
-    return blocks.groupBy("kind", "range").applyInArrow(add_up, "kind int, range int, n long, total long, entries long, hashes binary, counts binary")
+    return blocks.groupBy("kind", "range").applyInArrow(add_up, COUNTS)
 
 
 def segment_of(hashes: np.ndarray, counts: np.ndarray, kind: int) -> Filter:
     """The filter of one kind and hash range from its exact counts."""
-    levels = levels_of(counts, CUTOFF if kind else 1)
+    levels = levels_of(counts)
     size = max(8, int(levels.sum()) * BITS)
     return Filter([(kind, 0, size, segment(hashes, levels, size).tobytes())] if len(hashes) else [], 1)
 
 
-def log_probabilities(unigram: np.ndarray, pair: np.ndarray, starts: np.ndarray, tokens: int, distinct: int, begins: float) -> np.ndarray:
-    """log10 of the smoothed probability of each word after the one before it, from the levels of the words and pairs."""
-    unigram = np.minimum(counts_of(unigram, 1), tokens)
-    context = np.empty_like(unigram)
-    context[1:] = unigram[:-1]
-    context[starts] = begins
-    # a pair of the model has words at least as frequent
-    pair = np.where((unigram >= CUTOFF) & (context >= CUTOFF), counts_of(pair, CUTOFF), 0.0)
-    floor = (unigram + 0.5) / (tokens + 0.5 * (distinct + 1))
-    seen = np.minimum(1.0, pair / np.maximum(context, 1.0))
-    return np.log10(PAIR * seen + (1 - PAIR) * floor)
+class Model(NamedTuple):
+    tokens: int
+    distinct: int
+    discounts: tuple[float, float]  # of pairs and triples
+    left: np.ndarray  # by order (0 pairs, 1 triples) and level of the context
+
+
+def contexts(levels: np.ndarray, starts: np.ndarray, begins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the one word and of the two words before each token. ``levels``: those of its word, pair and triple."""
+    one, two = (_before(levels[k], starts, levels.dtype.type(0)) for k in (0, 1))
+    one[starts] = begins
+    return one, two
+
+
+def log_probabilities(levels: np.ndarray, starts: np.ndarray, begins: int, model: Model) -> np.ndarray:
+    """log10 of the smoothed probability of each token, from the levels of its word, pair and triple."""
+    counts = np.minimum(MIDDLE[levels], model.tokens)
+    p = (counts[0] + 0.5) / (model.tokens + 0.5 * (model.distinct + 1))
+    for order, context in enumerate(contexts(levels, starts, begins)):
+        of_context = MIDDLE[context]
+        own = np.maximum(counts[order + 1] - model.discounts[order], 0) / np.maximum(of_context, 1)
+        left = model.left[order][context]
+        p = np.where(context > 0, np.minimum(own, 1 - left) + left * p, p)
+    return np.log10(p)
+
+
+def left_over(levels: np.ndarray, starts: np.ndarray, begins: int) -> np.ndarray:
+    """Over the tokens given, by order and level of the context: their number, and the sum of 1 / count of their n-grams.
+
+    The second number, summed over all tokens of a corpus, is how many distinct n-grams there are.
+    """
+    out = np.zeros((2, 2, LEVELS + 1))
+    for order, context in enumerate(contexts(levels, starts, begins)):
+        out[order, 0] = np.bincount(context, minlength=LEVELS + 1)
+        out[order, 1] = np.bincount(context, weights=1 / np.maximum(MIDDLE[levels[order + 1]], 1), minlength=LEVELS + 1)
+    return out
+
+
+def discount(ones: int, twos: int) -> float:
+    return min(MOST_DISCOUNT, max(LEAST_DISCOUNT, ones / (ones + 2 * twos))) if ones else LEAST_DISCOUNT
 
 
-def score(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
+def score(docs: DataFrame, in_training: Column) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``; the model learns from the rows of which ``in_training`` holds."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.coalesce(in_training, F.lit(False)).alias("training"))
+    training = docs.where("training")
     ranges = _ranges(training)
     counts = materialise(count_ngrams(training, ranges), "ngrams")
     words = counts.where("kind = 0")
-    tokens, distinct = (int(x or 0) for x in words.agg(F.sum("total"), F.sum("n")).first())
+    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("n", "total", "ones", "twos"))).collect()}
+    tokens, distinct = (int(sums[0][c]) if 0 in sums else 0 for c in ("total", "n"))
+    discounts = tuple(discount(sums[k]["ones"], sums[k]["twos"]) if k in sums else LEAST_DISCOUNT for k in (1, 2))
     least = max(1, int(np.ceil(tokens * HOT_SHARE)))
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +339,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     hot = words.where("n > 0").select("hashes", "counts").mapInArrow(common, "h long, c long, level long").toArrow()  # at most 1 / HOT_SHARE rows
     order = np.argsort(hot["h"].to_numpy().view(np.uint64))
     known = spark.sparkContext.broadcast((hot["h"].to_numpy().view(np.uint64)[order], hot["c"].to_numpy()[order], hot["level"].to_numpy()[order]))
-    begins = float(training.count())  # each text has one beginning
+    n_texts = training.count()  # each text has one beginning
+    begins = int(levels_of(np.array([n_texts]))[0]) if n_texts else 0
     names = ["group", "chunk", "kind", "hashes", "counts", "docs", "lengths", "ranks"]
     shape = "group string, chunk string, kind int, hashes binary, counts binary, docs binary, lengths binary, ranks binary"
     types = [pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 5]
@@ -309,8 +357,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         return hashes[at] == each, at
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each chunk its own row (kind 0) and the words and pairs it asks for (kind 1), by range."""
-        held, ids = _Gathered(), []
+        """Of each chunk its own row (kind 0) and the n-grams it asks for (kind 1), by range."""
+        held, ids = _Gathered(), []  # ids with whether they are in training
         task = TaskContext.get().partitionId()
 
         def send() -> Iterator[pa.RecordBatch]:
@@ -322,25 +370,26 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             each, back, many = np.unique(words, return_inverse=True, return_counts=True)
             rank = np.empty(len(each), dtype=np.int64)
             rank[_by_count(many)] = np.arange(len(each))
-            rows = [(f"c{chunk}", chunk, 0, pack_sorted(each), _planes(many), _ids(pa.array(ids[: len(lengths)], pa.int64())), _planes(lengths), _planes(rank[back]))]
+            rows = [(f"c{chunk}", chunk, 0, pack_sorted(each), _planes(many), _ids(ids[: len(lengths)]), _planes(lengths), _planes(rank[back]))]
             del ids[: len(lengths)]
-            for kind, x in (("w", each[~common_at(each)[0]]), ("p", np.unique(pair_hashes(_before(words, starts), words)))):
+            _, pairs, triples = ngrams(words, starts)
+            for kind, x in (("w", each[~common_at(each)[0]]), ("p", np.unique(pairs)), ("t", np.unique(triples))):
                 rows += [(f"{kind}{r}", chunk, 1, pack_sorted(x[a:b]), None, None, None, None) for r, a, b in _slices(x, ranges)]
             yield from table(rows).to_batches()
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
+            for i, t, learnt in zip(*(b.column(k).to_pylist() for k in range(3))):
+                ids.append((i, learnt))
                 if held.add(word_hashes(t)):
                     yield from send()
         yield from send()
 
     def answer(t: pa.Table) -> pa.Table:
-        """The blocks of one kind and range: each word's exact count, and the level of each word or pair. A chunk's own row goes through."""
+        """The blocks of one kind and range: each word's exact count, and the level of each n-gram. A chunk's own row goes through."""
         kinds, group = t["kind"].to_pylist(), t["group"][0].as_py()
         if 0 in kinds:
             return t
-        kind, x, n = int(group[0] == "p"), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        kind, x, n = "wpt".index(group[0]), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
         if 1 not in kinds:
             return table([])
         if 2 in kinds:
@@ -360,8 +409,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         return table(rows)
 
     def finish(t: pa.Table) -> pa.Table:
+        """A chunk with its documents, their exact sums, and the levels of the tokens."""
         own = t["kind"].to_pylist().index(0)
-        ids = pa.array(_read_ids(t["docs"][own].as_py()), pa.int64())
         each, many, lengths = unpack_sorted(t["hashes"][own].as_py()), *(_unplanes(t[c][own].as_py()).astype(np.int64) for c in ("counts", "lengths"))
         back = _by_count(many)[_unplanes(t["ranks"][own].as_py()).astype(np.int64)]
         groups = t["group"].to_pylist()
@@ -372,24 +421,61 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             return np.concatenate([np.empty(0, dtype=np.int64), *(_unplanes(t[column][i].as_py()).astype(np.int64) for _, i in at)])
 
         hit, at = common_at(each)
-        count, level = np.zeros(len(each)), np.zeros(len(each), dtype=np.int64)
+        count, level = np.zeros(len(each)), np.zeros(len(each), dtype=np.uint8)
         count[hit], level[hit] = known.value[1][at[hit]], known.value[2][at[hit]]
         count[~hit], level[~hit] = answers("w", "counts"), answers("w", "ranks")
-        tokens_of, starts = each[back], np.cumsum(lengths) - lengths
-        pair = answers("p", "ranks")[np.unique(pair_hashes(_before(tokens_of, starts), tokens_of), return_inverse=True)[1]]
-        n = len(lengths)
-        which = np.repeat(np.arange(n), lengths)
-        lm = np.bincount(which, weights=log_probabilities(level[back], pair, starts, tokens, distinct, begins), minlength=n)
-        base = np.bincount(which, weights=np.log10(count + 0.5)[back], minlength=n) - lengths * np.log10(tokens + 0.5 * (distinct + 1))
-        n_known = np.bincount(which, weights=(count > 0)[back], minlength=n)
-        return pa.table([ids, pa.array(lengths), pa.array(n_known.astype(np.int64)), pa.array(np.full(n, tokens)), pa.array(base), pa.array(lm)], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    asked = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(probe, shape)
+        starts = np.cumsum(lengths) - lengths
+        _, pairs, triples = ngrams(each[back], starts)
+        levels = np.empty((3, len(back)), dtype=np.uint8)
+        levels[0] = level[back]
+        for k, (kind, x) in enumerate((("p", pairs), ("t", triples)), 1):
+            levels[k] = answers(kind, "ranks").astype(np.uint8)[np.unique(x, return_inverse=True)[1]]
+        which = np.repeat(np.arange(len(lengths)), lengths)
+        base = np.bincount(which, weights=np.log10(count + 0.5)[back], minlength=len(lengths)) - lengths * np.log10(tokens + 0.5 * (distinct + 1))
+        n_known = np.bincount(which, weights=(count > 0)[back], minlength=len(lengths)).astype(np.int64)
+        packed = zstandard.ZstdCompressor(level=1).compress(levels.tobytes())
+        return pa.table({"docs": pa.array([t["docs"][own].as_py()], pa.binary()), "lengths": [lengths], "known": [n_known], "base": [base], "levels": pa.array([packed], pa.binary())})
+
+    asked = docs.mapInArrow(probe, shape)
     null = F.lit(None).cast("binary")
-    group = F.concat(F.when(F.col("kind") == 0, "w").otherwise("p"), "range").alias("group")
-    tables = counts.where("n > 0").select(group, F.lit("").alias("chunk"), F.lit(2).alias("kind"), "hashes", "counts", null.alias("docs"), null.alias("lengths"), null.alias("ranks"))
+    group = F.concat(F.element_at(F.array(*map(F.lit, "wpt")), F.col("kind") + 1), "range").alias("group")
+    tables = counts.select(group, F.lit("").alias("chunk"), F.lit(2).alias("kind"), "hashes", "counts", null.alias("docs"), null.alias("lengths"), null.alias("ranks"))
     found = asked.unionByName(tables).groupBy("group").applyInArrow(answer, shape)
-    return found.groupBy("chunk").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    chunks = materialise(found.groupBy("chunk").applyInArrow(finish, "docs binary, lengths array<long>, known array<long>, base array<double>, levels binary"), "levels")
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2, LEVELS + 1))
+        for _, learnt, lengths, levels, _, _ in _chunks(batches):
+            own = np.repeat(learnt, lengths)
+            lengths = lengths[learnt]
+            total += left_over(levels[:, own], np.cumsum(lengths) - lengths, begins)
+        order, level = (x.ravel() for x in np.indices((2, LEVELS + 1)))
+        yield _batch(["order", "level", "tokens", "distinct"], pa.array(order.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(total[:, 0].ravel()), pa.array(total[:, 1].ravel()))
+
+    left = np.ones((2, LEVELS + 1))
+    by_level = chunks.mapInArrow(sums_of, "order int, level int, tokens double, distinct double").groupBy("order", "level").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"))
+    for r in by_level.collect():  # two orders by LEVELS
+        if r["tokens"]:
+            left[r["order"], r["level"]] = min(1.0, discounts[r["order"]] * r["distinct"] / r["tokens"])
+    model = Model(tokens, distinct, discounts, left)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, lengths, levels, n_known, base in _chunks(batches):
+            which = np.repeat(np.arange(len(lengths)), lengths)
+            lm = np.bincount(which, weights=log_probabilities(levels, np.cumsum(lengths) - lengths, begins, model), minlength=len(lengths))
+            columns = [pa.array(ids, pa.int64()), pa.array(lengths), pa.array(n_known), pa.array(np.full(len(lengths), tokens)), pa.array(base), pa.array(lm)]
+            yield _batch(["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"], *columns)
+
+    return chunks.mapInArrow(scores, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Ids, whether in training, lengths, levels of word, pair and triple by token, known tokens and base scores of each chunk."""
+    for b in batches:
+        for docs, lengths, known, base, packed in zip(*(b.column(k) for k in range(5))):
+            ids, learnt = _read_ids(docs.as_py())
+            levels = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py()), dtype=np.uint8).reshape(3, -1)
+            yield ids, learnt, *(x.values.to_numpy() for x in (lengths,)), levels, known.values.to_numpy(), base.values.to_numpy()
 
 
 def _by_count(many: np.ndarray) -> np.ndarray:
@@ -397,19 +483,20 @@ def _by_count(many: np.ndarray) -> np.ndarray:
     return np.argsort(-many, kind="stable")
 
 
-def _ids(ids: pa.Array) -> bytes:
-    """Ids that may be null."""
-    known = np.array([i is not None for i in ids.to_pylist()], dtype=bool)
-    return np.array(ids.fill_null(0)).astype("<i8").tobytes() + known.tobytes()
+def _ids(ids: list[tuple[int | None, bool]]) -> bytes:
+    """Ids that may be null, and whether they are in training."""
+    numbers = np.array([i or 0 for i, _ in ids], dtype="<i8")
+    return numbers.tobytes() + np.array([(i is not None, learnt) for i, learnt in ids], dtype=bool).T.tobytes()
 
 
-def _read_ids(b: bytes) -> list[int | None]:
-    n = len(b) // 9
-    return [i if k else None for i, k in zip(np.frombuffer(b[: 8 * n], dtype="<i8").tolist(), np.frombuffer(b[8 * n :], dtype=bool).tolist())]
+def _read_ids(b: bytes) -> tuple[list[int | None], np.ndarray]:
+    n = len(b) // 10
+    known, learnt = np.frombuffer(b[8 * n :], dtype=bool).reshape(2, n)
+    return [i if k else None for i, k in zip(np.frombuffer(b[: 8 * n], dtype="<i8").tolist(), known.tolist())], learnt
 
 
 def op9_lm_scores(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = score(docs, docs.where(fold_of() != 1))
+    out = score(docs, fold_of() != 1)
     return out.select("doc_id", (fold_of() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -53,10 +53,9 @@ def test_scores_match_brute_force(spark, monkeypatch):
     rows += [(400 + i, rows[7][1]) for i in range(10)]
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
     docs.write.mode("overwrite").parquet("/tmp/tidemark-lm/documents.parquet")
-    for gathered, per_range, share in ((lm.GATHERED, lm.RANGE_BYTES, lm.HOT_SHARE), (3000, 20_000, 0.01)):
+    for gathered, per_range in ((lm.GATHERED, lm.RANGE_BYTES), (3000, 20_000)):
         monkeypatch.setattr(lm, "GATHERED", gathered)
         monkeypatch.setattr(lm, "RANGE_BYTES", per_range)
-        monkeypatch.setattr(lm, "HOT_SHARE", share)
         got = lm.op9_lm_scores(spark, "/tmp/tidemark-lm").collect()
         key = lambda r: (r[0] is None, r[0] or 0, r[1])
         want = sorted(brute(rows), key=key)

@@ -1,9 +1,11 @@
 """Language-model scoring over a log-frequency Bloom filter.
 
-Counting: each task hashes the words of its documents (64 bits), sorts them and sends one compressed block of sorted
-hashes and counts to each hash range; the task of a range adds the blocks up. Words are counted exactly, and so are pairs
-and triples of neighbouring words (48-bit hashes). A chunk sends a range no block where it has nothing for it, so there
-are never more blocks than distinct n-grams in the chunks.
+Counting: a chunk is some millions of tokens of a task. Its distinct words (64-bit hashes), pairs and triples of
+neighbouring words (hashes with HASH_SLACK bits more than the corpus has bytes) go as sorted, compressed blocks to the
+task of their hash range, with how often the chunk's training texts hold them. The task of a range adds the blocks up and
+answers each of them: the exact counts of words, the filter's levels of all. A chunk sends a range no block where it has
+nothing for it, so there are never more blocks than distinct n-grams in the chunks, and a range gets each n-gram of a
+chunk once, however common it is.
 
 Model: a count c is stored as the level 1 + floor(log c / log BASE), so counts up to 3 have levels of their own; an
 n-gram enters the Bloom filter once for each level up to its own, so probing levels until the first miss gives back the
@@ -20,11 +22,8 @@ contexts seen once, the average of their kind for others. An unseen h leaves eve
 
 Base score: exact counts.
 
-Scoring: a chunk is some millions of tokens of a task. Words that make up at least 1/65,536 of all tokens (so 65,536 of
-them at most) are broadcast with their counts and levels; all other distinct words of a chunk and all its distinct pairs
-and triples travel as sorted blocks to the task of their hash range and come back as counts and levels to the chunk's own
-row, which carries the tokens as ranks. So a range gets each n-gram of a chunk once, however common it is. The chunks are
-written with the levels of their tokens, left(h) is summed over all training tokens, and a last narrow pass scores.
+Scoring: the answers meet in the chunk's own row, which carries the tokens as ranks. The chunks are written with the levels
+of their tokens, left(h) is summed over all training tokens, and a last narrow pass scores.
 
 Defined cases: a null, empty or blank text is the single token "end"; repeated rows are scored and counted each; with
 no training tokens every base score is 0 and N is 0; an empty table gives an empty result; other columns are ignored; a
@@ -52,7 +51,8 @@ BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\t", 0))
 GATHERED = 2_000_000
 #: Bytes of text that one hash range stands for.
 RANGE_BYTES = 12_000_000
-HOT_SHARE = 1 / 65_536
+#: Bits of a hash beyond those that number the corpus's bytes: at most 1 in 1,024 unseen n-grams meets another's hash.
+HASH_SLACK = 10
 BITS, HASHES = 10, 6
 BASE = 1.5
 LEVELS = 80
@@ -74,9 +74,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """48-bit hashes in the high bits of 64."""
-    return _mix(before * np.uint64(0xD6E8FEB86659FD93) + words) & np.uint64(0xFFFFFFFFFFFF0000)
+def pair_hashes(before: np.ndarray, words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of so many bits, in the high bits of 64."""
+    return _mix(before * np.uint64(0xD6E8FEB86659FD93) + words) & np.uint64((1 << 64) - (1 << (64 - width)))
 
 
 def _before(x: np.ndarray, starts: np.ndarray, at_start: np.uint64 = BEGIN) -> np.ndarray:
@@ -87,10 +87,10 @@ def _before(x: np.ndarray, starts: np.ndarray, at_start: np.uint64 = BEGIN) -> n
     return out
 
 
-def ngrams(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def ngrams(words: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token its word, its pair with the word before, its triple with the pair before; a text's first has no triple of its own."""
-    pairs = pair_hashes(_before(words, starts), words)
-    return words, pairs, pair_hashes(_before(pairs, starts, np.uint64(0)), words)
+    pairs = pair_hashes(_before(words, starts), words, width)
+    return words, pairs, pair_hashes(_before(pairs, starts, np.uint64(0)), words, width)
 
 
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -212,59 +212,10 @@ class _Gathered:
         return words, np.cumsum(lengths) - lengths, lengths
 
 
-def _ranges(docs: DataFrame) -> int:
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(1, -(-total // RANGE_BYTES))
-
-
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names)
 
 
-COUNTS = "kind int, range int, n long, total long, ones long, twos long, hashes binary, counts binary"
-
-
-def count_ngrams(docs: DataFrame, ranges: int) -> DataFrame:
-    """kind (0 words, 1 pairs, 2 triples), range, n distinct, total, ones and twos (n-grams seen so often), hashes, counts.
-
-    One row for each kind and range: sorted hashes with their exact counts over all documents of ``docs``.
-    """
-    names = ["kind", "range", "hashes", "counts"]
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Gathered()
-
-        def send() -> Iterator[pa.RecordBatch]:
-            words, starts, _ = held.take()
-            if not len(words):
-                return
-            for kind, x in enumerate(ngrams(words, starts)):
-                x, n = np.unique(x, return_counts=True)
-                rows = [(r, pack_sorted(x[a:b]), _planes(n[a:b])) for r, a, b in _slices(x, ranges)]
-                r, h, c = zip(*rows)
-                yield _batch(names, pa.array([kind] * len(rows), pa.int32()), pa.array(r, pa.int32()), pa.array(h, pa.binary()), pa.array(c, pa.binary()))
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if held.add(word_hashes(t)):
-                    yield from send()
-        yield from send()
-
-    def add_up(t: pa.Table) -> pa.Table:
-        kind, r = t["kind"][0].as_py(), t["range"][0].as_py()
-        x = np.concatenate([unpack_sorted(b) for b in t["hashes"].to_pylist()])
-        n = np.concatenate([_unplanes(b) for b in t["counts"].to_pylist()]).astype(np.int64)
-        order = np.argsort(x, kind="stable")
-        x, n = x[order], n[order]
-        start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        x, n = x[start], np.add.reduceat(n, start)
-        numbers = {"n": len(x), "total": int(n.sum()), "ones": int((n == 1).sum()), "twos": int((n == 2).sum())}
-        return pa.table({"kind": pa.array([kind], pa.int32()), "range": pa.array([r], pa.int32()), **{k: [v] for k, v in numbers.items()}, "hashes": pa.array([pack_sorted(x)], pa.binary()), "counts": pa.array([_planes(n)], pa.binary())})
-
-    blocks = docs.select("text").mapInArrow(gather, "kind int, range int, hashes binary, counts binary")
-    return blocks.groupBy("kind", "range").applyInArrow(add_up, COUNTS)
-
-
 def segment_of(hashes: np.ndarray, counts: np.ndarray, kind: int) -> Filter:
     """The filter of one kind and hash range from its exact counts."""
     levels = levels_of(counts)
@@ -314,50 +265,15 @@ def discount(ones: int, twos: int) -> float:
     return min(MOST_DISCOUNT, max(LEAST_DISCOUNT, ones / (ones + 2 * twos))) if ones else LEAST_DISCOUNT
 
 
-def score(docs: DataFrame, in_training: Column) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``; the model learns from the rows of which ``in_training`` holds."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.coalesce(in_training, F.lit(False)).alias("training"))
-    training = docs.where("training")
-    ranges = _ranges(training)
-    counts = materialise(count_ngrams(training, ranges), "ngrams")
-    words = counts.where("kind = 0")
-    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("n", "total", "ones", "twos"))).collect()}
-    tokens, distinct = (int(sums[0][c]) if 0 in sums else 0 for c in ("total", "n"))
-    discounts = tuple(discount(sums[k]["ones"], sums[k]["twos"]) if k in sums else LEAST_DISCOUNT for k in (1, 2))
-    least = max(1, int(np.ceil(tokens * HOT_SHARE)))
-
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x, n = unpack_sorted(h), _unplanes(c).astype(np.int64)
-                at = np.flatnonzero(n >= least)
-                if len(at):
-                    yield _batch(["h", "c", "level"], pa.array(x[at].view(np.int64)), pa.array(n[at]), pa.array(segment_of(x, n, 0).levels(x[at], 0)))
-
-    hot = words.where("n > 0").select("hashes", "counts").mapInArrow(common, "h long, c long, level long").toArrow()  # at most 1 / HOT_SHARE rows
-    order = np.argsort(hot["h"].to_numpy().view(np.uint64))
-    known = spark.sparkContext.broadcast((hot["h"].to_numpy().view(np.uint64)[order], hot["c"].to_numpy()[order], hot["level"].to_numpy()[order]))
-    n_texts = training.count()  # each text has one beginning
-    begins = int(levels_of(np.array([n_texts]))[0]) if n_texts else 0
-    names = ["group", "chunk", "kind", "hashes", "counts", "docs", "lengths", "ranks"]
-    shape = "group string, chunk string, kind int, hashes binary, counts binary, docs binary, lengths binary, ranks binary"
-    types = [pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 5]
+KINDS = "wpt"  # words, pairs, triples
 
-    def table(rows: list[tuple]) -> pa.Table:
-        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [[]] * len(names), types)], names)
 
-    def common_at(each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the sorted words are common, and at what place."""
-        hashes = known.value[0]
-        if not len(hashes):
-            return np.zeros(len(each), dtype=bool), np.zeros(len(each), dtype=np.int64)
-        at = np.minimum(np.searchsorted(hashes, each), len(hashes) - 1)
-        return hashes[at] == each, at
+def _dealt(docs: DataFrame, ranges: int, width: int) -> DataFrame:
+    """Per chunk its own row (kind -1) and the blocks of its n-grams (0 words, 1 pairs, 2 triples) by hash range."""
+    names = ["group", "chunk", "kind", "hashes", "counts", "docs", "lengths", "ranks"]
+    types = [pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 5]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each chunk its own row (kind 0) and the n-grams it asks for (kind 1), by range."""
         held, ids = _Gathered(), []  # ids with whether they are in training
         task = TaskContext.get().partitionId()
 
@@ -366,16 +282,19 @@ def score(docs: DataFrame, in_training: Column) -> DataFrame:
             if not len(words):
                 return
             held.sent += 1
-            chunk = f"{task}-{held.sent}"
-            each, back, many = np.unique(words, return_inverse=True, return_counts=True)
-            rank = np.empty(len(each), dtype=np.int64)
-            rank[_by_count(many)] = np.arange(len(each))
-            rows = [(f"c{chunk}", chunk, 0, pack_sorted(each), _planes(many), _ids(ids[: len(lengths)]), _planes(lengths), _planes(rank[back]))]
+            chunk, own = f"{task}-{held.sent}", ids[: len(lengths)]
             del ids[: len(lengths)]
-            _, pairs, triples = ngrams(words, starts)
-            for kind, x in (("w", each[~common_at(each)[0]]), ("p", np.unique(pairs)), ("t", np.unique(triples))):
-                rows += [(f"{kind}{r}", chunk, 1, pack_sorted(x[a:b]), None, None, None, None) for r, a, b in _slices(x, ranges)]
-            yield from table(rows).to_batches()
+            learnt = np.repeat(np.array([x for _, x in own], dtype=float), lengths)
+            for kind, x in enumerate(ngrams(words, starts, width)):
+                each, back = np.unique(x, return_inverse=True)
+                counts = np.bincount(back, weights=learnt, minlength=len(each)).astype(np.int64)
+                rows = [(f"{KINDS[kind]}{r}", chunk, kind, pack_sorted(each[a:b]), _planes(counts[a:b]), None, None, None) for r, a, b in _slices(each, ranges)]
+                if not kind:
+                    many = np.bincount(back, minlength=len(each))
+                    rank = np.empty(len(each), dtype=np.int64)
+                    rank[_by_count(many)] = np.arange(len(each))
+                    rows.append((f"c{chunk}", chunk, -1, pack_sorted(each), _planes(many), _ids(own), _planes(lengths), _planes(rank[back])))
+                yield _batch(names, *(pa.array(column, t) for column, t in zip(zip(*rows), types)))
 
         for b in batches:
             for i, t, learnt in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -384,64 +303,89 @@ def score(docs: DataFrame, in_training: Column) -> DataFrame:
                     yield from send()
         yield from send()
 
-    def answer(t: pa.Table) -> pa.Table:
-        """The blocks of one kind and range: each word's exact count, and the level of each n-gram. A chunk's own row goes through."""
-        kinds, group = t["kind"].to_pylist(), t["group"][0].as_py()
-        if 0 in kinds:
-            return t
-        kind, x, n = "wpt".index(group[0]), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        if 1 not in kinds:
-            return table([])
-        if 2 in kinds:
-            at = kinds.index(2)
-            x, n = unpack_sorted(t["hashes"][at].as_py()), _unplanes(t["counts"][at].as_py()).astype(np.int64)
-        model = segment_of(x, n, kind)
-        rows = []
-        for i, k in enumerate(kinds):
-            if k != 1:
-                continue
-            asked, found = unpack_sorted(t["hashes"][i].as_py()), None
-            if not kind:
-                at = np.searchsorted(x, asked)
-                at = np.minimum(at, max(0, len(x) - 1))
-                found = _planes(np.where(x[at] == asked, n[at], 0) if len(x) else np.zeros(len(asked), dtype=np.int64))
-            rows.append((group, t["chunk"][i].as_py(), 1, None, found, None, None, _planes(model.levels(asked, kind))))
-        return table(rows)
+    return docs.mapInArrow(probe, "group string, chunk string, kind int, hashes binary, counts binary, docs binary, lengths binary, ranks binary")
+
 
+ANSWER = pa.schema([("chunk", pa.string()), ("group", pa.string()), ("hashes", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("lengths", pa.binary()), ("ranks", pa.binary()), ("numbers", pa.list_(pa.int64()))])
+
+
+def answer(t: pa.Table) -> pa.Table:
+    """Of one kind and range, to each chunk the exact counts of its words and the levels of its n-grams, and one row of numbers.
+
+    The numbers: distinct n-grams, all, those seen once and twice. A chunk's own row goes through.
+    """
+    group = t["group"][0].as_py()
+    if group[0] == "c":
+        return t.select(["chunk", "group", "hashes", "counts", "docs", "lengths", "ranks"]).append_column("numbers", pa.nulls(len(t), pa.list_(pa.int64()))).cast(ANSWER)
+    kind = KINDS.index(group[0])
+    hashes = [unpack_sorted(b) for b in t["hashes"].to_pylist()]
+    each, back = np.unique(np.concatenate(hashes), return_inverse=True)
+    counts = np.bincount(back, weights=np.concatenate([_unplanes(b) for b in t["counts"].to_pylist()]).astype(float), minlength=len(each)).astype(np.int64)
+    seen = counts > 0
+    levels = segment_of(each[seen], counts[seen], kind).levels(each, kind)
+    stops = np.cumsum([len(h) for h in hashes])
+    rows = []
+    for chunk, stop, n in zip(t["chunk"].to_pylist(), stops, map(len, hashes)):
+        at = back[stop - n : stop]
+        rows.append((chunk, group, None, None if kind else _planes(counts[at]), None, None, _planes(levels[at]), None))
+    numbers = [int(seen.sum()), int(counts.sum()), int((counts == 1).sum()), int((counts == 2).sum())]
+    rows.append((f"#{group}", group, None, None, None, None, None, numbers))
+    return pa.table([pa.array(column, f.type) for column, f in zip(zip(*rows), ANSWER)], schema=ANSWER)
+
+
+#: A chunk: its documents (ids and whether they are in training), tokens and known tokens of each, sums of log10(c + 0.5), levels by token; or the numbers of a range.
+CHUNK = "kind int, docs binary, lengths array<long>, known array<long>, base array<double>, levels binary, numbers array<long>"
+
+
+def _joined(width: int):
     def finish(t: pa.Table) -> pa.Table:
-        """A chunk with its documents, their exact sums, and the levels of the tokens."""
-        own = t["kind"].to_pylist().index(0)
+        """A chunk with its documents, their exact sums, and the levels of its tokens."""
+        groups = t["group"].to_pylist()
+        row = lambda **k: pa.table({c: pa.array([k.get(c)], kind) for c, kind in (("kind", pa.int32()), ("docs", pa.binary()), ("lengths", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("levels", pa.binary()), ("numbers", pa.list_(pa.int64())))})
+        if t["chunk"][0].as_py()[0] == "#":
+            return row(kind=KINDS.index(groups[0][0]), numbers=t["numbers"][0].as_py())
+        own = next(i for i, g in enumerate(groups) if g[0] == "c")
         each, many, lengths = unpack_sorted(t["hashes"][own].as_py()), *(_unplanes(t[c][own].as_py()).astype(np.int64) for c in ("counts", "lengths"))
         back = _by_count(many)[_unplanes(t["ranks"][own].as_py()).astype(np.int64)]
-        groups = t["group"].to_pylist()
 
         def answers(kind: str, column: str) -> np.ndarray:
             """Sorted by hash, as they were asked."""
             at = sorted((int(g[1:]), i) for i, g in enumerate(groups) if g[0] == kind)
             return np.concatenate([np.empty(0, dtype=np.int64), *(_unplanes(t[column][i].as_py()).astype(np.int64) for _, i in at)])
 
-        hit, at = common_at(each)
-        count, level = np.zeros(len(each)), np.zeros(len(each), dtype=np.uint8)
-        count[hit], level[hit] = known.value[1][at[hit]], known.value[2][at[hit]]
-        count[~hit], level[~hit] = answers("w", "counts"), answers("w", "ranks")
+        count = answers("w", "counts")
         starts = np.cumsum(lengths) - lengths
-        _, pairs, triples = ngrams(each[back], starts)
         levels = np.empty((3, len(back)), dtype=np.uint8)
-        levels[0] = level[back]
-        for k, (kind, x) in enumerate((("p", pairs), ("t", triples)), 1):
-            levels[k] = answers(kind, "ranks").astype(np.uint8)[np.unique(x, return_inverse=True)[1]]
+        levels[0] = answers("w", "ranks")[back]
+        for k, x in enumerate(ngrams(each[back], starts, width)[1:], 1):
+            levels[k] = answers(KINDS[k], "ranks").astype(np.uint8)[np.unique(x, return_inverse=True)[1]]
         which = np.repeat(np.arange(len(lengths)), lengths)
-        base = np.bincount(which, weights=np.log10(count + 0.5)[back], minlength=len(lengths)) - lengths * np.log10(tokens + 0.5 * (distinct + 1))
+        base = np.bincount(which, weights=np.log10(count + 0.5)[back], minlength=len(lengths))
         n_known = np.bincount(which, weights=(count > 0)[back], minlength=len(lengths)).astype(np.int64)
-        packed = zstandard.ZstdCompressor(level=1).compress(levels.tobytes())
-        return pa.table({"docs": pa.array([t["docs"][own].as_py()], pa.binary()), "lengths": [lengths], "known": [n_known], "base": [base], "levels": pa.array([packed], pa.binary())})
+        return row(kind=-1, docs=t["docs"][own].as_py(), lengths=lengths, known=n_known, base=base, levels=zstandard.ZstdCompressor(level=1).compress(levels.tobytes()), numbers=[int(_read_ids(t["docs"][own].as_py())[1].sum())])
 
-    asked = docs.mapInArrow(probe, shape)
-    null = F.lit(None).cast("binary")
-    group = F.concat(F.element_at(F.array(*map(F.lit, "wpt")), F.col("kind") + 1), "range").alias("group")
-    tables = counts.select(group, F.lit("").alias("chunk"), F.lit(2).alias("kind"), "hashes", "counts", null.alias("docs"), null.alias("lengths"), null.alias("ranks"))
-    found = asked.unionByName(tables).groupBy("group").applyInArrow(answer, shape)
-    chunks = materialise(found.groupBy("chunk").applyInArrow(finish, "docs binary, lengths array<long>, known array<long>, base array<double>, levels binary"), "levels")
+    return finish
+
+
+def discount(ones: int, twos: int) -> float:
+    return min(MOST_DISCOUNT, max(LEAST_DISCOUNT, ones / (ones + 2 * twos))) if ones else LEAST_DISCOUNT
+
+
+def score(docs: DataFrame, in_training: Column) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``; the model learns from the rows of which ``in_training`` holds."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.coalesce(in_training, F.lit(False)).alias("training"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges, width = max(1, -(-size // RANGE_BYTES)), min(64, max(32, int(size).bit_length() + HASH_SLACK))
+    answers = _dealt(docs, ranges, width).groupBy("group").applyInArrow(answer, "chunk string, group string, hashes binary, counts binary, docs binary, lengths binary, ranks binary, numbers array<long>")
+    written = materialise(answers.groupBy("chunk").applyInArrow(_joined(width), CHUNK), "levels")
+    numbers = {r["kind"]: r["n"] for r in written.groupBy("kind").agg(F.array(*(F.sum(F.get("numbers", F.lit(i))) for i in range(4))).alias("n")).collect()}  # four rows
+    distinct, tokens = numbers[0][:2] if 0 in numbers else (0, 0)
+    discounts = tuple(discount(*numbers[k][2:]) if k in numbers else LEAST_DISCOUNT for k in (1, 2))
+    n_texts = numbers[-1][0] if -1 in numbers else 0  # each text has one beginning
+    begins = int(levels_of(np.array([n_texts]))[0]) if n_texts else 0
+    chunks = written.where("kind = -1").drop("kind", "numbers")
 
     def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 2, LEVELS + 1))
@@ -463,6 +407,7 @@ def score(docs: DataFrame, in_training: Column) -> DataFrame:
         for ids, _, lengths, levels, n_known, base in _chunks(batches):
             which = np.repeat(np.arange(len(lengths)), lengths)
             lm = np.bincount(which, weights=log_probabilities(levels, np.cumsum(lengths) - lengths, begins, model), minlength=len(lengths))
+            base = base - lengths * np.log10(tokens + 0.5 * (distinct + 1))
             columns = [pa.array(ids, pa.int64()), pa.array(lengths), pa.array(n_known), pa.array(np.full(len(lengths), tokens)), pa.array(base), pa.array(lm)]
             yield _batch(["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"], *columns)
 
@@ -475,7 +420,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for docs, lengths, known, base, packed in zip(*(b.column(k) for k in range(5))):
             ids, learnt = _read_ids(docs.as_py())
             levels = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed.as_py()), dtype=np.uint8).reshape(3, -1)
-            yield ids, learnt, *(x.values.to_numpy() for x in (lengths,)), levels, known.values.to_numpy(), base.values.to_numpy()
+            yield ids, learnt, lengths.values.to_numpy(), levels, known.values.to_numpy(), base.values.to_numpy()
 
 
 def _by_count(many: np.ndarray) -> np.ndarray:

@@ -38,9 +38,9 @@ def brute(rows, threshold=0.9):
     return sorted((rows[i][0], links[i], least[find(i)], rows[i][0] == least[find(i)]) for i in range(n))
 
 
-@pytest.mark.parametrize("cells,block", [(None, 4096), (6, 4096), (3, 37)])
+@pytest.mark.parametrize("cells,block", [(None, 8_000_000), (6, 8_000_000), (3, 37 * 64)])
 def test_matches_brute_force(spark, monkeypatch, cells, block):
-    monkeypatch.setattr(ed, "BLOCK", block)
+    monkeypatch.setattr(ed, "BLOCK_BYTES", block)
     rows = rows_of()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string")
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in ed.near_duplicates(df, cells=cells).collect())
@@ -53,3 +53,15 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (None, None)], "vec_id long, embedding array<float>")
     got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in ed.near_duplicates(one).collect()}
     assert got == {(1, 1, 1, True), (None, 1, 1, False), (None, 0, None, True)}
+
+
+def test_clustered_vectors_have_few_guests():
+    """Well apart clusters: the radius keeps vectors from visiting cells that cannot hold a link."""
+    rng = np.random.default_rng(4)
+    centres = np.eye(16)[:12]
+    x = np.repeat(centres, 50, axis=0) + rng.normal(size=(600, 16)) * 0.03
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = ed.Cells({16: centres}, 0.9)
+    home, near = cells.home(x)
+    cells.farthest = {j: near[home == j].min() for j in range(12)}
+    assert sum(len(guest) for _, _, guest in cells.of(x)) == 0

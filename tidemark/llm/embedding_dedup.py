@@ -2,12 +2,13 @@
 
 Identical vectors are one class first. Each class lies in its home cell, that of the nearest centre. Links across cells
 are not lost: a class is also a guest in every earlier cell that could hold a vector within the angle of the threshold.
-With home centre c and other centre d, a vector x of cell d is on d's side of the plane between the two, so a vector v
-whose angle to that plane exceeds the threshold's angle has no link there: guests are those with
-    <v, c - d> / |c - d| <= sin(angle).
+With home centre c and other centre d, a vector x of cell d is on d's side of the plane between the two, and no farther
+from d than the cell's radius, the angle of its farthest member. So v is a guest only if both
+    <v, c - d> / |c - d| <= sin(angle)    and    angle(v, d) <= radius(d) + angle.
 So the cells give exactly the links of a comparison of all vectors, however vectors are spread; the better they
-cluster, the fewer guests. A cell with more than BLOCK members is cut into blocks, and each pair of blocks is a task.
-A task counts its links by vector and emits a spanning set of them, not the pairs.
+cluster, the fewer guests. Vectors without any clusters have no such order: there nearly every vector is a guest of every
+earlier cell, and the work is that of all pairs. Cells are cut into blocks of BLOCK_BYTES, and each pair of blocks is a
+task. A task counts its links by vector and emits a spanning set of them, not the pairs.
 
 Defined cases: vectors that are null, empty or zero or hold null or non-finite components link with nothing and are
 kept; vectors of different dimensions link with nothing; repeated rows and ids link like any two rows; an empty table
@@ -28,10 +29,12 @@ from tidemark.llm.common import materialise
 from tidemark.llm.graph import connected_components
 from tidemark.llm.vectors import clean, matrix, sample, spherical_kmeans
 
-#: Vectors of one block; a task compares two blocks.
-BLOCK = 4_096
-#: A cell for so many vectors, MOST_CELLS at most; larger cells have more blocks instead.
-PER_CELL, MOST_CELLS = 4_096, 1_024
+#: Bytes of the vectors of one block; a task compares two blocks. A cell for as many vectors, MOST_CELLS at most; larger cells have more blocks.
+BLOCK_BYTES, MOST_CELLS = 8_000_000, 1_024
+
+
+def block_of(dim: int) -> int:
+    return max(1, BLOCK_BYTES // (8 * dim))
 
 
 class Cells:
@@ -43,7 +46,18 @@ class Cells:
             self.first[d] = at
             at += len(centres[d])
         self.other = at  # of dimensions that the sample has not met: one cell each, numbered from here
-        self.reach = float(np.sqrt(max(0.0, 1 - threshold * threshold))) + 1e-9
+        self.angle = float(np.arccos(np.clip(threshold, -1, 1)))
+        self.reach = float(np.sin(self.angle)) + 1e-9 if threshold >= 0 else 1.0
+        self.farthest: dict[int, float] = {}  # cosine of each cell's farthest member, once it is known
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row, and the cosine with its centre; rows of one dimension."""
+        c = self.centres.get(x.shape[1])
+        if c is None:
+            return np.full(len(x), self.other + x.shape[1]), np.ones(len(x))
+        near = x @ c.T
+        home = near.argmax(axis=1)
+        return home + self.first[x.shape[1]], near[np.arange(len(x)), home]
 
     def of(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """cell, rows at home in it, rows that are its guests; x: rows of one dimension."""
@@ -56,8 +70,11 @@ class Cells:
         gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]  # between the centres
         guest = near[np.arange(len(x)), home][:, None] - near <= self.reach * gap + 1e-12
         guest &= np.arange(len(c))[None, :] < home[:, None]
+        first = self.first[x.shape[1]]
+        radius = np.arccos(np.clip([self.farthest.get(first + j, 1.0) for j in range(len(c))], -1, 1))
+        guest &= near >= np.cos(np.minimum(np.pi, radius + self.angle + 1e-7))[None, :] - 1e-12
         for j in range(len(c)):
-            yield self.first[x.shape[1]] + j, np.flatnonzero(home == j), np.flatnonzero(guest[:, j])
+            yield first + j, np.flatnonzero(home == j), np.flatnonzero(guest[:, j])
 
 
 def _by_dimension(vectors: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -87,17 +104,29 @@ def class_links(classes: DataFrame, threshold: float = 0.9, cells: int | None =
     ``classes``: key (unique), vec (unit), many (vectors in the class).
     """
     total = classes.count()
-    k = cells or int(min(MOST_CELLS, max(1, -(-total // PER_CELL))))
-    plan = Cells({d: spherical_kmeans(x, k) for d, x in sample(classes).items()}, threshold)
+    centres = {d: spherical_kmeans(x, cells or int(min(MOST_CELLS, max(1, -(-total // block_of(d)))))) for d, x in sample(classes).items()}
+    plan = Cells(centres, threshold)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, x in _by_dimension(b.column(0).to_pylist()):
+                home, near = plan.home(x)
+                each, back = np.unique(home, return_inverse=True)
+                least = np.full(len(each), np.inf)
+                np.minimum.at(least, back, near)
+                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(np.bincount(back)), pa.array(least), pa.array([x.shape[1]] * len(each))], ["cell", "home", "least", "dim"])
+
+    homes = classes.select("vec").mapInArrow(measure, "cell long, home long, least double, dim long").groupBy("cell").agg(F.sum("home").alias("home"), F.min("least").alias("least"), F.max("dim").alias("dim")).collect()  # a row a cell
+    plan.farthest = {r["cell"]: r["least"] for r in homes}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, x in _by_dimension(b.column(0).to_pylist()):
-                got = [(cell, len(home), len(guest)) for cell, home, guest in plan.of(x)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*got)], ["cell", "home", "guest"])
+                cell, guest = zip(*((cell, len(guest)) for cell, _, guest in plan.of(x)))
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(guest, pa.int64())], ["cell", "guest"])
 
-    sizes = classes.select("vec").mapInArrow(count, "cell long, home long, guest long").groupBy("cell").agg(F.sum("home").alias("home"), F.sum("guest").alias("guest"))
-    blocks = {r.cell: (max(1, -(-r.home // BLOCK)), -(-r.guest // BLOCK)) for r in sizes.collect()}  # a row a cell
+    guests = {r["cell"]: r["guest"] for r in classes.select("vec").mapInArrow(count, "cell long, guest long").groupBy("cell").agg(F.sum("guest").alias("guest")).collect()}
+    blocks = {r["cell"]: (max(1, -(-r["home"] // block_of(r["dim"]))), -(-guests.get(r["cell"], 0) // block_of(r["dim"]))) for r in homes}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each class to its tasks: (cell, home block, other block), the other block at home or of guests."""
@@ -106,7 +135,7 @@ def class_links(classes: DataFrame, threshold: float = 0.9, cells: int | None =
             keys, many, vectors = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
             for rows, x in _by_dimension(vectors):
                 for cell, home, guest in plan.of(x):
-                    n_home, n_guest = blocks[cell]
+                    n_home, n_guest = blocks.get(cell, (1, 0))  # no home, so nothing to be a guest of
                     out: list[tuple[str, int, np.ndarray]] = []
                     own = keys[rows[home]] % n_home
                     for i in range(n_home):
@@ -159,12 +188,10 @@ def class_links(classes: DataFrame, threshold: float = 0.9, cells: int | None =
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, id_column: str = "vec_id", column: str = "embedding", cells: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``df``."""
-    vectors = materialise(clean(df, id_column, column, unit=True), "vectors")
-    # a class by its components; the key is a hash of them, made unique by the rank among the rare equal hashes
-    classes = vectors.where("vec is not null").groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("many"))
-    classes = materialise(classes.withColumn("key", F.xxhash64("vec")), "vector-classes")
-    if classes.groupBy("key").count().where("count > 1").limit(1).count():
-        raise RuntimeError("two different vectors share a 64-bit hash")
+    hashes = (F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), F.col("vec")).alias("h2"))  # 128 bits stand for the components
+    vectors = materialise(clean(df, id_column, column, unit=True).select("id", "vec", *(F.when(F.col("vec").isNotNull(), h).alias(n) for h, n in zip(hashes, ("h1", "h2")))), "vectors")
+    classes = vectors.where("vec is not null").groupBy("h1", "h2").agg(F.first("vec").alias("vec"), F.min("id").alias("least"), F.count("*").alias("many"))
+    classes = materialise(classes.withColumn("key", F.monotonically_increasing_id()), "vector-classes")
     found = materialise(class_links(classes, threshold, cells), "vector-links")
     counts = found.where("dst is null").groupBy("src").agg(F.sum("n").alias("n"))
     joined = connected_components(found.where("dst is not null").select("src", "dst"))
@@ -172,9 +199,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_column: str = "vec
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     groups = members.select("key", "component").join(least, "component").select("key", "component_id")
     labels = classes.join(groups, "key", "left").join(counts.withColumnRenamed("src", "key"), "key", "left")
-    labels = labels.select("key", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"))
+    labels = labels.select("h1", "h2", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"))
     labels = materialise(labels, "vector-labels")
-    out = vectors.select("id", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")).alias("key")).join(labels, "key", "left")
+    out = vectors.select("id", "h1", "h2").join(labels, ["h1", "h2"], "left")
     out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("n_links") == 0))
 

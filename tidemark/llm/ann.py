@@ -2,11 +2,14 @@
 
 Fit: product codebooks of 16 codewords for every two components are trained on a bounded sample so as to minimise
     |r|^2 + (ETA - 1) <r, x>^2 / |x|^2
-with r the residual of a vector x. Error along x, which moves large inner products, costs ETA times error across it.
+with r the residual of a vector x. Error along x, which moves large inner products, costs ETA times error across it. One
+codebook after the other is set to its least squares, so the fit needs a few numbers a sampled component.
 Index: every vector gets its codes by coordinate descent on the same loss; two codes share a byte.
-Search: the queries meet all vectors in blocks. Per query a table holds the inner products with the codewords, a block's
-sums over its codes are read off these tables, and the RERANK best of each block of BLOCK vectors are scored exactly
-in double precision. Identical vectors are one entry with its TOP + 1 least ids, which is all that a result can show.
+Search: the queries meet the codes of all vectors in blocks, no vector but the query's own. Per query a table holds the
+inner products with the codewords, and a block's sums over its codes are read off these tables. The RERANK best of a query
+over all blocks are joined with their vectors and scored exactly in double precision. So what is moved is a quarter byte
+a component for each block of queries, and RERANK vectors a query. Identical vectors are one entry with its TOP + 1 least
+ids, which is all that a result can show.
 
 Defined cases: vectors that are null, empty or zero or hold null or non-finite components, and rows with a null id, take
 no part, nor do vectors of other dimensions than the query's; ties go to the smaller id; a repeated row is a row of its
@@ -27,9 +30,9 @@ from tidemark.llm.common import materialise
 from tidemark.llm.vectors import clean, matrix, sample
 
 TOP = 20
-RERANK = 96
-#: Vectors, and queries, that one task compares.
-BLOCK, QUERIES = 16_384, 1_024
+RERANK = 128
+#: Codes, and queries, that one task compares at most.
+BLOCK, QUERIES = 16_384, 8_192
 CODES, PART = 16, 2
 #: Inner products from this share of the length upwards matter; it sets the weight of the parallel error.
 RELEVANT = 0.2
@@ -60,21 +63,21 @@ class Quantiser:
                     if (own == c).any():
                         w[c] = v[own == c, m].mean(axis=0)
             self.words[m] = w
-        size = self.parts * CODES
         unit = v / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None, None]
         for _ in range(rounds):
             codes = self.encode(x)
-            at = codes + np.arange(self.parts) * CODES  # the codewords of a row
-            # minimise over all codewords at once: normal equations of the weighted squares
-            u = np.zeros((len(x), size, PART))
-            np.put_along_axis(u, at[:, :, None], unit, axis=1)
-            u = u.reshape(len(x), -1)
-            a = (self.eta - 1) * (u.T @ u)
-            many = np.bincount(at.ravel(), minlength=size).repeat(PART)
-            a[np.diag_indices_from(a)] += many + 1e-6
-            b = np.zeros((size, PART))
-            np.add.at(b, at, self.eta * v)
-            self.words = np.linalg.solve(a, b.ravel() + 1e-6 * self.words.ravel()).reshape(self.words.shape)
+            along = ((v - self.words[np.arange(self.parts), codes]) * unit).sum(axis=2)  # of the residuals, part by part
+            total = along.sum(axis=1)
+            for m in range(self.parts):
+                c, u, y = codes[:, m], unit[:, m], v[:, m]
+                rest = total - along[:, m]
+                pull = (self.eta - 1) * (rest + (u * y).sum(axis=1))
+                each = lambda w: np.bincount(c, weights=w, minlength=CODES)  # noqa: B023, E731
+                a = np.stack([np.stack([each((i == j) + (self.eta - 1) * u[:, i] * u[:, j]) for j in range(PART)], axis=1) for i in range(PART)], axis=1)
+                b = np.stack([each(y[:, i] + pull * u[:, i]) for i in range(PART)], axis=1)
+                self.words[m] = np.linalg.solve(a + 1e-6 * np.eye(PART), (b + 1e-6 * self.words[m])[:, :, None])[:, :, 0]
+                along[:, m] = ((y - self.words[m][c]) * u).sum(axis=1)
+                total = rest + along[:, m]
         return self
 
     def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
@@ -114,25 +117,14 @@ class Quantiser:
         return out
 
 
-def best_of_block(quantiser: Quantiser, queries: np.ndarray, own: np.ndarray, x: np.ndarray, packed: np.ndarray, ids: list[list[int]], top: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Query number, ids and exact scores of its best candidates in one block."""
-    flat = np.concatenate([np.asarray(i, dtype=np.int64) for i in ids])
-    many = np.array([len(i) for i in ids])
-    first = np.cumsum(many) - many
-    step = max(1, 4_000_000 // max(1, len(x)))
+def best_codes(quantiser: Quantiser, queries: np.ndarray, packed: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each query its number and the places and approximate scores of its best codes."""
+    step = max(1, 4_000_000 // max(1, len(packed)))
     for at in range(0, len(queries), step):
-        q = queries[at : at + step]
-        near = quantiser.scan(q, packed)
-        some = np.argpartition(-near, rerank, axis=1)[:, :rerank] if len(x) > rerank else np.broadcast_to(np.arange(len(x)), near.shape)
-        exact = (q[:, None, :] * x[some]).sum(axis=2)
-        for i in range(len(q)):
-            n = many[some[i]]
-            where = np.repeat(first[some[i]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found, score = flat[where], np.repeat(exact[i], n)
-            mine = np.flatnonzero((found == own[at + i]) & np.repeat((x[some[i]] == q[i]).all(axis=1), n))[:1]
-            found, score = np.delete(found, mine), np.delete(score, mine)
-            order = np.lexsort((found, -score))[:top]
-            yield at + i, found[order], score[order]
+        near = quantiser.scan(queries[at : at + step], packed)
+        some = np.argpartition(-near, most, axis=1)[:, :most] if len(packed) > most else np.broadcast_to(np.arange(len(packed)), near.shape)
+        for i, places in enumerate(some):
+            yield at + i, places, near[i, places]
 
 
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int = RERANK) -> DataFrame:
@@ -154,35 +146,57 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int =
                     codes[i] = c.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary())], ["vec", "ids", "codes"])
 
-    index = materialise(index.mapInArrow(encode, "vec binary, ids array<long>, codes binary"), "ann-index")
+    index = index.mapInArrow(encode, "vec binary, ids array<long>, codes binary")
+    index = materialise(index.withColumn("key", F.monotonically_increasing_id()), "ann-index")
     asked = materialise(queries.select("id", "vec", F.monotonically_increasing_id().alias("uid")), "ann-queries")
-    n_index, n_queries = max(1, -(-index.count() // BLOCK)), max(1, -(-asked.count() // QUERIES))
-    dim = F.octet_length("vec")
-    none = F.lit(None)
-    entries = index.select(dim.alias("dim"), F.pmod(F.xxhash64("vec"), F.lit(n_index)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long"))).alias("asking"), none.cast("long").alias("uid"), none.cast("long").alias("id"), "vec", "ids", "codes")
-    asking = asked.select(dim.alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_index - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("uid"), F.lit(n_queries)).alias("asking"), "uid", "id", "vec", none.cast("array<long>").alias("ids"), none.cast("binary").alias("codes"))
+    n_index, n_asked = max(1, -(-index.count() // BLOCK)), asked.count()
+    # blocks of queries: few, as each gets a copy of all codes, but enough tasks for the cores
+    n_queries = max(1, -(-n_asked // QUERIES), min(-(-n_asked // 256), -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // n_index)))
+    dim, none = F.octet_length("vec"), F.lit(None)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    entries = index.select(dim.alias("dim"), F.pmod("key", F.lit(n_index)).alias("block"), every(n_queries).alias("asking"), none.cast("long").alias("uid"), none.cast("binary").alias("vec"), "key", "codes")
+    asking = asked.select(dim.alias("dim"), every(n_index).alias("block"), F.pmod(F.xxhash64("uid"), F.lit(n_queries)).alias("asking"), "uid", "vec", none.cast("long").alias("key"), none.cast("binary").alias("codes"))
 
     def compare(t: pa.Table) -> pa.Table:
         is_query = t["uid"].is_valid().to_numpy()
         rows, at = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-        out_u, out_q, out_i, out_s = [], [], [], []
+        out_u, out_k, out_s = [], [], []
         if len(rows) and len(at):
-            vec = t["vec"].to_pylist()
-            uid, own = (t[c].fill_null(0).to_numpy()[rows] for c in ("uid", "id"))
-            d = len(vec[0]) // 8
-            quantiser = fitted.get(d) or Quantiser(d)
-            codes = t["codes"].to_pylist()
-            packed = np.frombuffer(b"".join(codes[i] for i in at), dtype=np.uint8).reshape(len(at), -1)
-            ids = t["ids"].to_pylist()
-            for i, found, score in best_of_block(quantiser, matrix([vec[r] for r in rows]), own, matrix([vec[r] for r in at]), packed, [ids[r] for r in at], top, rerank):
-                out_u.append(np.full(len(found), uid[i]))
-                out_q.append(np.full(len(found), own[i]))
-                out_i.append(found)
-                out_s.append(score)
+            vec = matrix(t["vec"].filter(t["uid"].is_valid()).to_pylist())
+            uid, key = t["uid"].fill_null(0).to_numpy()[rows], t["key"].fill_null(0).to_numpy()[at]
+            packed = np.frombuffer(b"".join(t["codes"].filter(t["key"].is_valid()).to_pylist()), dtype=np.uint8).reshape(len(at), -1)
+            for i, places, near in best_codes(fitted.get(vec.shape[1]) or Quantiser(vec.shape[1]), vec, packed, rerank):
+                out_u.append(np.full(len(places), uid[i]))
+                out_k.append(key[places])
+                out_s.append(near)
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, dtype=kind)
-        return pa.table({"uid": join(out_u, np.int64), "query_id": join(out_q, np.int64), "vec_id": join(out_i, np.int64), "score": join(out_s, np.float64)})
+        return pa.table({"uid": join(out_u, np.int64), "key": join(out_k, np.int64), "near": join(out_s, np.float32)})
 
-    found = entries.unionByName(asking).groupBy("dim", "block", "asking").applyInArrow(compare, "uid long, query_id long, vec_id long, score double")
+    near = entries.unionByName(asking).groupBy("dim", "block", "asking").applyInArrow(compare, "uid long, key long, near float")
+    best = near.withColumn("k", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("near"), "key"))).where(F.col("k") <= rerank).select("uid", "key")
+    pairs = best.join(index.select("key", F.col("vec").alias("found"), "ids"), "key").join(asked, "uid").select("uid", "id", "vec", "found", "ids")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores of the candidates; the query's own row is no candidate, rows equal to it are."""
+        for b in batches:
+            asked_for, found = b.column(2).to_pylist(), b.column(3).to_pylist()
+            score, own = np.empty(len(found)), np.empty(len(found), dtype=bool)
+            size = np.array([len(v) for v in found], dtype=np.int64)
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                q, x = matrix([asked_for[i] for i in at]), matrix([found[i] for i in at])
+                score[at], own[at] = (q * x).sum(axis=1), (q == x).all(axis=1)
+            ids = b.column(4)
+            many = np.diff(ids.offsets.to_numpy())
+            row, vec_id = np.repeat(np.arange(len(found)), many), ids.flatten().to_numpy()
+            asker = b.column(1).to_numpy()[row]
+            same = np.flatnonzero(own[row] & (asker == vec_id))
+            same = same[np.unique(row[same], return_index=True)[1]]  # one row of each, should it be there twice
+            kept = np.delete(np.arange(len(row)), same)
+            columns = [b.column(0).to_numpy()[row[kept]], asker[kept], vec_id[kept], score[row[kept]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["uid", "query_id", "vec_id", "score"])
+
+    found = pairs.mapInArrow(exact, "uid long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

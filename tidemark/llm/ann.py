@@ -1,13 +1,13 @@
 """Nearest neighbours by largest inner product: score-aware anisotropic quantisation, four-bit tables, exact reranking.
 
-Fit: product codebooks of 16 codewords for every two components are trained on a bounded sample so as to minimise
+Fit: product codebooks of 16 codewords for every PART components are trained on a bounded sample so as to minimise
     |r|^2 + (ETA - 1) <r, x>^2 / |x|^2
 with r the residual of a vector x. Error along x, which moves large inner products, costs ETA times error across it. One
 codebook after the other is set to its least squares, so the fit needs a few numbers a sampled component.
 Index: every vector gets its codes by coordinate descent on the same loss; two codes share a byte.
 Search: the queries meet the codes of all vectors in blocks, no vector but the query's own. Per query a table holds the
 inner products with the codewords, and a block's sums over its codes are read off these tables. The RERANK best of a query
-over all blocks are joined with their vectors and scored exactly in double precision. So what is moved is a quarter byte
+over all blocks are joined with their vectors and scored exactly in double precision. So what is moved is half a byte
 a component for each block of queries, and RERANK vectors a query. Identical vectors are one entry with its TOP + 1 least
 ids, which is all that a result can show.
 
@@ -30,10 +30,10 @@ from tidemark.llm.common import materialise
 from tidemark.llm.vectors import clean, matrix, sample
 
 TOP = 20
-RERANK = 128
+RERANK = 64
 #: Codes, and queries, that one task compares at most.
 BLOCK, QUERIES = 16_384, 8_192
-CODES, PART = 16, 2
+CODES, PART = 16, 1
 #: Inner products from this share of the length upwards matter; it sets the weight of the parallel error.
 RELEVANT = 0.2
 

@@ -378,8 +378,10 @@ def score(docs: DataFrame, in_training: Column) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.coalesce(in_training, F.lit(False)).alias("training"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     ranges, width = max(1, -(-size // RANGE_BYTES)), min(64, max(32, int(size).bit_length() + HASH_SLACK))
-    answers = _dealt(docs, ranges, width).groupBy("group").applyInArrow(answer, "chunk string, group string, hashes binary, counts binary, docs binary, lengths binary, ranks binary, numbers array<long>")
-    written = materialise(answers.groupBy("chunk").applyInArrow(_joined(width), CHUNK), "levels")
+    blocks, parts = _dealt(docs, ranges, width), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda df, by: df.repartition(ranges, by) if ranges > parts else df  # noqa: E731  a large corpus gets as many tasks as ranges
+    answers = deal(blocks, "group").groupBy("group").applyInArrow(answer, "chunk string, group string, hashes binary, counts binary, docs binary, lengths binary, ranks binary, numbers array<long>")
+    written = materialise(deal(answers, "chunk").groupBy("chunk").applyInArrow(_joined(width), CHUNK), "levels")
     numbers = {r["kind"]: r["n"] for r in written.groupBy("kind").agg(F.array(*(F.sum(F.get("numbers", F.lit(i))) for i in range(4))).alias("n")).collect()}  # four rows
     distinct, tokens = numbers[0][:2] if 0 in numbers else (0, 0)
     discounts = tuple(discount(*numbers[k][2:]) if k in numbers else LEAST_DISCOUNT for k in (1, 2))

@@ -82,9 +82,16 @@ def bar_keys(minute: DataFrame) -> DataFrame:
     return out.drop("_level")
 
 
+def with_bar_bucket(keys: DataFrame, five: DataFrame, **parameters) -> DataFrame:
+    """Minute keys with vol_bucket, that of the five-minute bar they are in; "mid" where it has none."""
+    bars = with_bucket(volatility(five, **parameters)).select("symbol", F.col("ts_utc").alias("_bar"), "vol_bucket")
+    out = keys.withColumn("_bar", cal.bucket(F.col("ts_utc"), 5)).join(bars, ["symbol", "_bar"], "left").drop("_bar")
+    return out.withColumn("vol_bucket", F.coalesce("vol_bucket", F.lit("mid")))
+
+
 def keyed_histogram(hist: DataFrame, keys: DataFrame) -> DataFrame:
     """The histogram with hour, day, bucket and the ratio to the level of its minute's bar (4 places); minutes without a bar are left out."""
-    k = keys.select("symbol", "ts_utc", "hour_utc", "dow", F.coalesce(F.col("vol_bucket"), F.lit("mid")).alias("vol_bucket"), "level") if "vol_bucket" in keys.columns else keys.select("symbol", "ts_utc", "hour_utc", "dow", F.lit("mid").alias("vol_bucket"), "level")
+    k = keys.select("symbol", "ts_utc", "hour_utc", "dow", "vol_bucket", "level")
     return hist.join(k, ["symbol", "ts_utc"]).withColumn("ratio", F.bround(F.col("spread_points") / F.col("level"), 4))
 
 
@@ -120,17 +127,26 @@ def lookup(rows: DataFrame, cell_table: DataFrame, least_minutes: float = LEAST_
 
 
 def price_bars(keys: DataFrame, measured: DataFrame, cell_table: DataFrame, recent: DataFrame, least_minutes: float = LEAST_MINUTES) -> DataFrame:
-    """Costs of each minute bar: optimistic <= base <= pessimistic; measured where quotes exist, else level times ratio."""
-    k = lookup(keys, cell_table, least_minutes).withColumns({p: F.col("level_pts") * F.col(p) for p in SHARES}) if "level_pts" in keys.columns else None
-    if k is None:
-        renamed = keys.withColumnRenamed("level", "level_pts")
-        k = lookup(renamed, cell_table, least_minutes).withColumns({p: F.col("level_pts") * F.col(p) for p in SHARES})
-    now = lookup(k.select("symbol", "ts_utc", "hour_utc", "dow", "vol_bucket", "level_pts"), recent, least_minutes).select("symbol", "ts_utc", (F.col("level_pts") * F.col("p90")).alias("now_p90"))
-    out = k.join(now, ["symbol", "ts_utc"], "left").join(measured.select("symbol", "ts_utc", F.col("spread_mean").alias("observed")), ["symbol", "ts_utc"], "left")
-    base = F.coalesce("observed", "p50")
+    """Costs of each minute bar: optimistic <= base <= pessimistic; measured where quotes exist, else level times ratio.
+
+    The cells of the whole history and of the recent quotes are looked up in one cascade: a level's cells of both tables
+    are one row, and each table's finest good level counts for itself.
+    """
+    cell = ["level", "hour_utc", "dow", "vol_bucket"]
+    good = lambda t: t.where((F.col("minutes") >= least_minutes) & F.col("p50").isNotNull())
+    both = good(cell_table).select(*cell, F.struct(*SHARES).alias("all")).join(good(recent).select(*cell, F.col("p90").alias("now")), cell, "full")
+    out = keys.withColumnRenamed("level", "level_pts")
+    for i, k in enumerate(LEVELS):
+        found = both.where(F.col("level") == i).select(*k, F.col("all").alias(f"_all{i}"), F.col("now").alias(f"_now{i}"))
+        out = out.join(found, list(k), "left") if k else out.join(found, F.lit(True), "left")
+    whole = F.coalesce(*(F.col(f"_all{i}") for i in range(len(LEVELS))))
+    now = F.col("level_pts") * F.coalesce(*(F.col(f"_now{i}") for i in range(len(LEVELS))))
+    out = out.withColumn("_q", whole).join(measured.select("symbol", "ts_utc", F.col("spread_mean").alias("observed")), ["symbol", "ts_utc"], "left")
+    q = {p: F.col("level_pts") * F.col(f"_q.{p}") for p in SHARES}
+    base = F.coalesce(F.col("observed"), q["p50"])
     return out.select(
-        "symbol", "ts_utc", "level_pts", F.least("observed", "p25").alias("spread_optimistic"), base.alias("spread_base"),
-        F.greatest("observed", "p90", "now_p90", base).alias("spread_pessimistic"), F.when(F.col("observed").isNotNull(), "measured").otherwise("modeled").alias("spread_source"), "in_rollover_window",
+        "symbol", "ts_utc", "level_pts", F.least(F.col("observed"), q["p25"]).alias("spread_optimistic"), base.alias("spread_base"),
+        F.greatest(F.col("observed"), q["p90"], now, base).alias("spread_pessimistic"), F.when(F.col("observed").isNotNull(), "measured").otherwise("modeled").alias("spread_source"), "in_rollover_window",
     )
 
 
@@ -183,16 +199,42 @@ def swap_nights(entry: Column, exit_: Column, triple_weekday: int = 3) -> Column
 
 
 def validate(hist: DataFrame, keys: DataFrame, held_out: float = 0.2, least_minutes: float = LEAST_MINUTES) -> DataFrame:
-    """The model fitted on the first days against the minutes of the last ones: n, bias, mae, coverage of the p90."""
-    days = hist.select(F.to_date("ts_utc").alias("day")).distinct()
-    at = days.withColumn("k", F.row_number().over(Window.orderBy("day")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    cut = at.where(F.col("k") == F.floor(F.col("n") * (1 - held_out))).select(F.col("day").alias("cut"))
-    both = hist.crossJoin(F.broadcast(cut)).withColumn("late", F.to_date("ts_utc") >= F.col("cut"))
-    fitted = cells(keyed_histogram(both.where("not late").drop("late", "cut"), keys))
-    actual = measured_minutes(both.where("late").drop("late", "cut"))
-    rows = actual.join(keys.withColumnRenamed("level", "level_pts"), ["symbol", "ts_utc"])
-    rows = lookup(rows, fitted, least_minutes).withColumns({"model": F.col("level_pts") * F.col("p50"), "cap": F.col("level_pts") * F.col("p90")}).where("model is not null")
-    return rows.groupBy("symbol").agg(
-        F.count("*").alias("n"), (F.avg(F.col("model") - F.col("spread_mean")) / F.avg("spread_mean")).alias("bias"), F.avg(F.abs(F.col("model") - F.col("spread_mean"))).alias("mae"),
-        F.avg((F.col("spread_mean") <= F.col("cap")).cast("double")).alias("coverage_p90"),
-    ).withColumn("accepted", (F.abs(F.col("bias")) <= 0.15) & (F.col("coverage_p90") >= 0.85))
+    """Minutes of the last days of quotes with what two models say that were fitted on the days before.
+
+    symbol, ts_utc, spread_mean; ratio_p50, ratio_p90: level times ratio; abs_p50, abs_p90: cells of plain spreads.
+    """
+    days = hist.select("symbol", F.to_date("ts_utc").alias("day")).distinct()
+    w = Window.partitionBy("symbol")
+    at = days.withColumns({"k": F.row_number().over(w.orderBy("day")) - 1, "n": F.count("*").over(w)})
+    cut = at.where(F.col("k") == F.floor(F.col("n") * (1 - held_out))).select("symbol", F.col("day").alias("cut"))
+    both = hist.join(cut, "symbol").withColumn("late", F.to_date("ts_utc") >= F.col("cut"))
+    early = keyed_histogram(both.where("not late").drop("late", "cut"), keys)
+    rows = measured_minutes(both.where("late").drop("late", "cut")).select("symbol", "ts_utc", "spread_mean").join(keys.withColumnRenamed("level", "level_pts"), ["symbol", "ts_utc"])
+    rows = rows.select("symbol", "ts_utc", "hour_utc", "dow", "vol_bucket", "level_pts", "spread_mean")
+    for name, value, scale in (("ratio", "ratio", F.col("level_pts")), ("abs", "spread_points", F.lit(1.0))):
+        found = lookup(rows, cells(early, value), least_minutes)
+        rows = found.select(*rows.columns, *((scale * F.col(p)).alias(f"{name}_{p}") for p in ("p50", "p90")))
+    return rows
+
+
+def validation_metrics(held: DataFrame) -> DataFrame:
+    """By symbol and model: n, bias, mae, coverage of the p90, and whether it is accepted (bias within 0.15, coverage of 0.85)."""
+    models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"{m}_p50").alias("p50"), F.col(f"{m}_p90").alias("p90")) for m in ("ratio", "abs"))))
+    rows = held.select("symbol", "spread_mean", models.alias("m")).select("symbol", "spread_mean", "m.*").where("p50 is not null")
+    out = rows.groupBy("symbol", "model").agg(
+        F.count("*").alias("n"), ((F.avg("p50") - F.avg("spread_mean")) / F.avg("spread_mean")).alias("bias"), F.avg(F.abs(F.col("p50") - F.col("spread_mean"))).alias("mae"),
+        F.avg((F.col("spread_mean") <= F.col("p90") + 1e-9).cast("double")).alias("coverage_p90"),
+    )
+    return out.withColumn("accepted", (F.abs(F.col("bias")) <= 0.15) & (F.col("coverage_p90") >= 0.85))
+
+
+def weekly_errors(held: DataFrame) -> DataFrame:
+    """Where a model breaks: the means of measured and modelled spreads by week."""
+    return held.groupBy("symbol", F.date_trunc("week", "ts_utc").cast("timestamp_ntz").alias("week")).agg(*(F.avg(c).alias(n) for c, n in (("spread_mean", "measured"), ("ratio_p50", "level_x_ratio"), ("abs_p50", "abs_cells"))))
+
+
+def impossible_share(keys: DataFrame, before: str, table: DataFrame, least_minutes: float = LEAST_MINUTES) -> DataFrame:
+    """Could cells of plain spreads hold for minutes before a time? n, share below the quoted level, median of p50 over level."""
+    rows = keys.where(F.col("ts_utc") < F.lit(before).cast("timestamp_ntz")).withColumnRenamed("level", "level_pts")
+    rows = lookup(rows.select("symbol", "ts_utc", "hour_utc", "dow", "vol_bucket", "level_pts"), table, least_minutes)
+    return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.avg((F.col("p50") < F.col("level_pts")).cast("double")).alias("share_below_level"), F.median(F.col("p50") / positive(F.col("level_pts"))).alias("median_p50_over_level"))

@@ -11,6 +11,7 @@ from tidemark.operators.joins import compare_tables
 from tidemark.plans import clock, costs, quality
 from tidemark.plans import sql as q
 from tidemark.sources import tape as src
+from tidemark.sources.manifest import staged
 
 QUERIES, ORACLE = {}, {}
 
@@ -143,9 +144,12 @@ _MEASURED = f"""{_HIST}, measured AS (SELECT symbol, ts_utc, sum(spread_points *
 register("measured_minutes", q.query(_MEASURED, "measured", ["symbol", "ts_utc", "spread_min", "spread_max", "ticks"], ["spread_mean", "seconds"]))(lambda spark, d: rounded(costs.measured_minutes(costs.histogram(src.tape(spark, d)))).select("symbol", "ts_utc", "spread_min", "spread_max", "ticks", "spread_mean", "seconds"))
 
 _ROLL = f"{q.minute(q.NY)} >= 1005 AND {q.minute(q.NY)} < 1110"
-_KEYS = f"""keys0 AS (SELECT *, CASE WHEN spread_points > 0 THEN spread_points END AS lv FROM m1),
+#: Volatility buckets of five-minute bars, by names that no other twin uses.
+_BUCKETS = f"""{q.bars(5, 'c5m')}, {q.atr('c5m', 'cv')}, ce AS (SELECT symbol AS es, {_near('vol_ratio', '(1.0::DOUBLE / 3)')} AS lo, {_near('vol_ratio', '(2.0::DOUBLE / 3)')} AS hi FROM cv GROUP BY symbol),
+cvb AS (SELECT symbol AS bs, ts_utc AS bt, CASE WHEN vol_ratio IS NULL OR lo IS NULL THEN 'mid' WHEN vol_ratio < lo THEN 'low' WHEN vol_ratio < hi THEN 'mid' ELSE 'high' END AS bucket FROM cv LEFT JOIN ce ON symbol = es)"""
+_KEYS = f"""{_BUCKETS}, keys0 AS (SELECT *, CASE WHEN spread_points > 0 THEN spread_points END AS lv FROM m1),
 keys AS (SELECT symbol, ts_utc, open, high, low, close, CAST(date_part('hour', ts_utc) AS INTEGER) AS hour_utc, CAST(isodow(ts_utc) AS INTEGER) AS dow, {_ROLL} AS in_rollover_window, lv IS NULL AS level_imputed,
-  coalesce(last_value(lv IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_utc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(lv IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_utc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level, 'mid' AS vol_bucket FROM keys0)"""
+  coalesce(last_value(lv IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_utc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(lv IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_utc ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level, coalesce(cvb.bucket, 'mid') AS vol_bucket FROM keys0 LEFT JOIN cvb ON cvb.bs = symbol AND cvb.bt = time_bucket(INTERVAL '5 minutes', ts_utc))"""
 register("spread_bar_keys", f"WITH {q.M1}, {_KEYS} SELECT symbol, ts_utc, hour_utc, dow, in_rollover_window, level_imputed, level FROM keys")(lambda spark, d: costs.bar_keys(src.bars(spark, d, 1)).select("symbol", "ts_utc", "hour_utc", "dow", "in_rollover_window", "level_imputed", "level"))
 
 _KEYED = f"{_HIST}, {_KEYS}, keyed AS (SELECT h.symbol, h.ts_utc, h.spread_points, h.seconds, hour_utc, dow, vol_bucket, round_even(h.spread_points / level, 4) AS ratio FROM hist h JOIN keys k ON h.symbol = k.symbol AND h.ts_utc = k.ts_utc)"
@@ -160,9 +164,10 @@ def _weighted(group: list[str], source: str, value: str) -> str:
 
 
 def _keyed(spark, d):
+    """Quoted seconds, minute keys, and the histogram under the keys; the keys are read several times, so they are written."""
     m1 = src.bars(spark, d, 1)
     hist = costs.histogram(src.tape(spark, d))
-    keys = costs.bar_keys(m1).withColumn("vol_bucket", F.lit("mid"))
+    keys = staged(costs.with_bar_bucket(costs.bar_keys(m1), src.aggregate(m1, 5)), "keys")
     return hist, keys, costs.keyed_histogram(hist, keys)
 
 
@@ -187,21 +192,34 @@ FROM keys k LEFT JOIN good c0 ON c0.level = 0 AND c0.hour_utc = k.hour_utc AND c
 @register("spread_lookup_cascade", q.query(_LOOK, "look", ["symbol", "ts_utc", "cell_level"], [f"r_{p} AS {p}" for p in costs.SHARES]))
 def spread_lookup_cascade(spark, d):
     _, keys, keyed = _keyed(spark, d)
-    found = costs.lookup(keys.select("symbol", "ts_utc", "hour_utc", "dow", "vol_bucket"), costs.cells(keyed))
+    found = costs.lookup(keys.select("symbol", "ts_utc", "hour_utc", "dow", "vol_bucket"), staged(costs.cells(keyed), "cells"))
     return rounded(found.select("symbol", "ts_utc", F.col("level").alias("cell_level"), *costs.SHARES))
 
 
-_PRICED = f"""{_LOOK}, m AS (SELECT symbol AS ms, ts_utc AS mt, sum(spread_points * seconds) / sum(seconds) AS observed FROM hist WHERE ts_utc >= TIMESTAMP '2024-01-16' GROUP BY symbol, ts_utc),
-priced AS (SELECT symbol, ts_utc, level AS level_pts, in_rollover_window, least(observed, level * r_p25) AS spread_optimistic, coalesce(observed, level * r_p50) AS spread_base,
-  greatest(observed, level * r_p90, coalesce(observed, level * r_p50)) AS spread_pessimistic, CASE WHEN observed IS NOT NULL THEN 'measured' ELSE 'modeled' END AS spread_source FROM look LEFT JOIN m ON symbol = ms AND ts_utc = mt)"""
+def _look(source: str, out: str, shares, k: str) -> str:
+    """Quantiles of the finest good level of a cell table, for each minute key."""
+    joins = " ".join(f"LEFT JOIN (SELECT * FROM {source} WHERE minutes >= 60) {k}{i} ON " + " AND ".join([f"{k}{i}.level = {i}", *(f"{k}{i}.{c} = ks.{c}" for c in keys)]) for i, keys in enumerate(costs.LEVELS))
+    pick = lambda p: "CASE " + " ".join(f"WHEN {k}{i}.p50 IS NOT NULL THEN {k}{i}.{p}" for i in range(4)) + " END"
+    return f"{out} AS (SELECT ks.symbol, ks.ts_utc, {', '.join(f'{pick(p)} AS {k}_{p}' for p in shares)} FROM keys ks {joins})"
+
+
+#: Days of quotes that count as recent here; the table holds a month.
+RECENT_DAYS = 10
+_NOW = f"""nkeyed AS (SELECT * FROM keyed WHERE epoch(ts_utc) >= (SELECT epoch(max(ts_utc)) FROM hist) - {RECENT_DAYS} * 86400),
+nlong AS ({' UNION ALL '.join(x.replace('FROM keyed', 'FROM nkeyed') for x in _LEVELS)}), ncells AS (SELECT *, weight / 60 AS minutes FROM ({_weighted(['level', 'hour_utc', 'dow', 'vol_bucket'], 'nlong', 'ratio')}))"""
+_PRICED = f"""{_CELLS}, {_NOW}, {_look('cells', 'lka', costs.SHARES, 'a')}, {_look('ncells', 'lkn', ['p90'], 'n')},
+mq AS (SELECT symbol AS ms, ts_utc AS mt, sum(spread_points * seconds) / sum(seconds) AS observed FROM hist GROUP BY symbol, ts_utc),
+priced AS (SELECT keys.symbol, keys.ts_utc, level AS level_pts, in_rollover_window, least(observed, level * a_p25) AS spread_optimistic, coalesce(observed, level * a_p50) AS spread_base,
+  greatest(observed, level * a_p90, level * n_p90, coalesce(observed, level * a_p50)) AS spread_pessimistic, CASE WHEN observed IS NOT NULL THEN 'measured' ELSE 'modeled' END AS spread_source
+  FROM keys JOIN lka ON lka.symbol = keys.symbol AND lka.ts_utc = keys.ts_utc JOIN lkn ON lkn.symbol = keys.symbol AND lkn.ts_utc = keys.ts_utc LEFT JOIN mq ON keys.symbol = ms AND keys.ts_utc = mt)"""
 
 
 def priced(spark, d):
-    """Costs of all minutes, quotes taken as known from the sixteenth on."""
+    """Costs of all minutes: measured where the tape has quotes, else by the cells; the pessimistic one at least the recent p90."""
     hist, keys, keyed = _keyed(spark, d)
-    table = costs.cells(keyed)
-    measured = costs.measured_minutes(hist).where(F.col("ts_utc") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
-    return costs.price_bars(keys, measured, table, table)
+    keyed = staged(keyed, "keyed")
+    recent = costs.cells(costs.current_window(keyed, RECENT_DAYS))
+    return costs.price_bars(keys, costs.measured_minutes(hist), staged(costs.cells(keyed), "cells"), staged(recent, "cells"))
 
 
 _COST = ["spread_optimistic", "spread_base", "spread_pessimistic"]
@@ -242,10 +260,33 @@ def swap_nights(spark, d):
     return o.select("o_orderkey", costs.swap_nights(F.col("entry"), F.col("leave")).cast("int").alias("nights"))
 
 
-@register("spread_validation")
-def spread_validation(spark, d):
+def _cells_of(source: str, value: str, p: str) -> str:
+    levels = " UNION ALL ".join(f"SELECT {i} AS level, {'hour_utc' if 'hour_utc' in k else '-1'} AS hour_utc, {'dow' if 'dow' in k else '-1'} AS dow, {'vol_bucket' if 'vol_bucket' in k else chr(39) + 'all' + chr(39)} AS vol_bucket, {value}, seconds FROM {source}" for i, k in enumerate(costs.LEVELS))
+    return f"{p}long AS ({levels}), {p}cells AS (SELECT *, weight / 60 AS minutes FROM ({_weighted(['level', 'hour_utc', 'dow', 'vol_bucket'], p + 'long', value)}))"
+
+
+_HELD = f"""{_KEYED}, dy AS (SELECT symbol, day, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT DISTINCT symbol, CAST(ts_utc AS DATE) AS day FROM hist)),
+cut AS (SELECT symbol AS cs, day AS cut FROM dy WHERE k = floor(n * (1 - 0.2))), early AS (SELECT keyed.* FROM keyed JOIN cut ON cs = symbol WHERE CAST(ts_utc AS DATE) < cut),
+{_cells_of('early', 'ratio', 'vr')}, {_cells_of('early', 'spread_points', 'va')}, {_look('vrcells', 'lvr', ['p50', 'p90'], 'r')}, {_look('vacells', 'lva', ['p50', 'p90'], 'b')},
+held AS (SELECT h.symbol, h.ts_utc, spread_mean, level * r_p50 AS ratio_p50, level * r_p90 AS ratio_p90, b_p50 * 1.0 AS abs_p50, b_p90 * 1.0 AS abs_p90
+  FROM (SELECT hist.symbol, ts_utc, sum(spread_points * seconds) / sum(seconds) AS spread_mean FROM hist JOIN cut ON cs = symbol WHERE CAST(ts_utc AS DATE) >= cut GROUP BY hist.symbol, ts_utc) h
+  JOIN keys k ON k.symbol = h.symbol AND k.ts_utc = h.ts_utc JOIN lvr ON lvr.symbol = h.symbol AND lvr.ts_utc = h.ts_utc JOIN lva ON lva.symbol = h.symbol AND lva.ts_utc = h.ts_utc)"""
+_METRICS = " UNION ALL ".join(f"""SELECT symbol, '{m}' AS model, count(*) AS n, (avg({m}_p50) - avg(spread_mean)) / avg(spread_mean) AS bias, avg(abs({m}_p50 - spread_mean)) AS mae, avg(CAST(spread_mean <= {m}_p90 + 1e-9 AS DOUBLE)) AS coverage_p90
+  FROM held WHERE {m}_p50 IS NOT NULL GROUP BY symbol""" for m in ("ratio", "abs"))
+
+
+def _held(spark, d):
     hist, keys, _ = _keyed(spark, d)
-    return rounded(costs.validate(hist, keys), 4)
+    return costs.validate(hist, keys)
+
+
+register("spread_validation", q.query(f"{_HELD}, vm AS ({_METRICS})", "vm", ["symbol", "model", "n", "abs(bias) <= 0.15 AND coverage_p90 >= 0.85 AS accepted"], ["bias", "mae", "coverage_p90"], places=4))(lambda spark, d: rounded(costs.validation_metrics(_held(spark, d)), 4))
+register("spread_validation_weekly", q.query(f"{_HELD}, wk AS (SELECT symbol, CAST(date_trunc('week', ts_utc) AS TIMESTAMP) AS week, avg(spread_mean) AS measured, avg(ratio_p50) AS level_x_ratio, avg(abs_p50) AS abs_cells FROM held GROUP BY ALL)", "wk", ["symbol", "week"], ["measured", "level_x_ratio", "abs_cells"], places=4))(
+    lambda spark, d: rounded(costs.weekly_errors(_held(spark, d)), 4)
+)
+register("spread_impossible_share", q.query(f"{_KEYED}, {_cells_of('keyed', 'spread_points', 'ia')}, {_look('iacells', 'lia', ['p50'], 'i')}, im AS (SELECT keys.symbol, count(*) AS n, avg(CAST(i_p50 < level AS DOUBLE)) AS share_below_level, median(i_p50 / {q.pos('level')}) AS median_p50_over_level FROM keys JOIN lia ON lia.symbol = keys.symbol AND lia.ts_utc = keys.ts_utc WHERE keys.ts_utc < TIMESTAMP '2024-01-16' GROUP BY keys.symbol)", "im", ["symbol", "n"], ["share_below_level", "median_p50_over_level"]))(
+    lambda spark, d: rounded(costs.impossible_share(_keyed(spark, d)[1], "2024-01-16 00:00:00", staged(costs.cells(_keyed(spark, d)[2], "spread_points"), "cells")))
+)
 
 
 @register("heatmap_hour_dow", """SELECT CAST(isodow(ts) AS INTEGER) AS dow, """ + ", ".join(f"round(avg(value) FILTER (date_part('hour', ts) = {h}), 6) AS h{h}" for h in range(24)) + " FROM events GROUP BY 1")

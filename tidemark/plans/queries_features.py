@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
-from tidemark.plans import features, store, strategy, structure
+from tidemark.plans import features, store, strategy, structure, table
 from tidemark.plans import sql as q
 from tidemark.plans.queries_bars import rounded
 from tidemark.sources import tape as src
+from tidemark.sources.manifest import staged
 
 QUERIES, ORACLE = {}, {}
 
@@ -101,12 +102,17 @@ _DAD = ["dist_day_open_atr", "day_range_atr", "pos_in_day_range", "dist_prev_hig
 register("feat_daily_sweeps", q.query(_DAILY, "da", [*KEY, *_DAP], _DAD))(lambda spark, d: pick(features.daily(m5(spark, d)), _DAP, _DAD))
 
 
-@register("prev_day_sweep", q.query(f"{_DAILY}, ev AS (SELECT symbol, available_at AS decision_time, event_time, -1 AS side, pdh AS level, pdh_sweep_depth_atr AS depth_atr, trading_day FROM da WHERE pdh_sweep AND atr_pts > 0 AND pdb >= 60 AND pdh_sweep_depth_atr <= 1.5 AND NOT pdh_accepted_before AND pdh_sweeps_today = 1)", "ev", ["symbol", "decision_time", "event_time", "side", "level", "trading_day"], ["depth_atr"]))
+def _sweep_sql(level: str, side: int) -> str:
+    return f"SELECT symbol, available_at AS decision_time, event_time, {side} AS side, {level} AS level, {level}_sweep_depth_atr AS depth_atr, trading_day FROM da WHERE {level}_sweep AND atr_pts > 0 AND pdb >= 60 AND {level}_sweep_depth_atr <= 1.5 AND NOT {level}_accepted_before AND {level}_sweeps_today = 1"
+
+
+@register("prev_day_sweep", q.query(f"{_DAILY}, ev AS ({_sweep_sql('pdh', -1)} UNION ALL {_sweep_sql('pdl', 1)})", "ev", ["symbol", "decision_time", "event_time", "side", "level", "trading_day"], ["depth_atr"]))
 def prev_day_sweep(spark, d):
+    """Both detectors: sweeps of the previous day's high and low."""
     from tidemark.plans.research import previous_day_sweeps
 
     b = features.session(features.daily(m5(spark, d)))
-    out = previous_day_sweeps(b, "pdh", least_bars=60)
+    out = previous_day_sweeps(b, "pdh", least_bars=60).unionByName(previous_day_sweeps(b, "pdl", least_bars=60))
     return rounded(out.select("symbol", "decision_time", "event_time", "side", "level", "trading_day", "depth_atr"))
 
 
@@ -311,10 +317,35 @@ def with_rules(spark, d):
 
 
 register("signals_compile", q.query(SIGNALS, "sig", ["symbol", "decision_time", "event_time", "side"], ["atr_pts"]))(lambda spark, d: rounded(strategy.signals(with_rules(spark, d), SPEC)))
-register("signals_explain", f"""WITH {_SEQUENCE}, c AS (SELECT symbol, event_time, close_loc, streak FROM sq)
-SELECT symbol, event_time, 'long 1: streak >= 2' AS name, CAST(streak AS VARCHAR) AS actual, coalesce(streak >= 2, false) AS passed FROM c""")(
-    lambda spark, d: strategy.explain(features.sequence(features.anatomy(m5(spark, d))).withColumns({"hyg_no_entry": F.lit(False), "hour_utc": F.hour("ts_utc"), "spread_rel": F.lit(1.0)}), SPEC).where("name = 'long 1: streak >= 2'")
-)
+
+
+def _condition_sql(c: dict) -> str:
+    lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    x, op, v = c["feature"], c["op"], c["value"]
+    if op == "between":
+        return f"coalesce({x} BETWEEN {v[0]} AND {v[1]}, false)"
+    if op in ("in", "not_in"):
+        return f"coalesce({x} {'NOT IN' if op == 'not_in' else 'IN'} ({', '.join(map(lit, v))}), false)"
+    return f"coalesce({x} {op} {lit(v)}, false)"
+
+
+_GATES = {"hygiene": "NOT coalesce(hyg_no_entry, true)", "atr": "coalesce(atr_pts > 0, false)", "hours": "date_part('hour', ts_utc) BETWEEN 6 AND 21", "max_spread_rel": "coalesce(spread_rel <= 2.5, false)"}
+_CHECKS = [f"SELECT symbol, event_time, 'gate {k}' AS name, CAST(NULL AS DOUBLE) AS actual, CAST(NULL AS VARCHAR) AS code, {g} AS passed FROM hy" for k, g in _GATES.items()]
+for _i, _r in enumerate(SPEC["rules"]):
+    for _c in _r["conditions"]:
+        _name = f"{_r['side']} {_i + 1}: {_c['feature']} {_c['op']} {_c['value']}".replace("'", "''")
+        _is_code = _c["feature"] == "dirs_3"
+        _CHECKS.append(f"SELECT symbol, event_time, '{_name}', {'NULL' if _is_code else 'round(CAST(' + _c['feature'] + ' AS DOUBLE), 6)'}, {_c['feature'] if _is_code else 'NULL'}, {_condition_sql(_c)} FROM hy")
+
+
+@register("signals_explain", f"WITH {_HYG} {' UNION ALL '.join(_CHECKS)}")
+def signals_explain(spark, d):
+    """Every check of every bar: gates and conditions, with the number or code that was compared."""
+    rows = strategy.explain(with_rules(spark, d), SPEC)
+    number = F.col("actual").try_cast("double")
+    return rows.select("symbol", "event_time", "name", F.round(number, 6).alias("actual"), F.when(number.isNull(), F.col("actual")).alias("code"), "passed")
+
+
 register("features_asof_visible", q.query(f"{_ANATOMY}", "an", [*KEY, "event_time", "available_at"], ["close_loc"], "WHERE available_at <= TIMESTAMP '2024-01-15 12:03:00'"))(
     lambda spark, d: rounded(store.as_of(features.anatomy(m5(spark, d)), "2024-01-15 12:03:00").select(*KEY, "event_time", "available_at", "close_loc"))
 )
@@ -325,31 +356,35 @@ def availability_audit(spark, d):
     return store.availability_audit(features.higher(m5(spark, d), src.bars(spark, d, 60), 60, "h1"))
 
 
-def causal_features(minute):
-    """The features that the leakage checks rebuild, from minute bars alone.
-
-    Pivots are marked on their own bar and known only some bars later, so the marks themselves stay out.
-    """
-    b = features.with_atr(src.aggregate(minute, 5), False)
-    b = features.daily(features.bollinger(features.sequence(features.anatomy(b))))
-    b = structure.break_features(structure.swing_features(b))
-    b = features.higher(b, src.aggregate(minute, 60), 60, "h1")
-    return b.drop("_row", "hi_row", "lo_row", "pivot_high", "pivot_low")
-
-
 @register("features_full")
 def features_full(spark, d):
-    """All causal features of five-minute bars in one table; each group has a query and twin of its own."""
-    return causal_features(src.bars(spark, d, 1))
+    """All 163 features of five-minute bars in one table; each group has a query of its own."""
+    minute = staged(src.bars(spark, d, 1), "minute")
+    return table.in_research_window(table.whole(minute), minute)
+
+
+CUTS = ["2024-01-09 14:37:00", "2024-01-17 08:02:00"]
 
 
 @register("leakage_recompute")
 def leakage_recompute(spark, d):
     """Mismatches by column between the full build and builds on cut histories: all must be 0."""
-    return store.recompute_check(src.bars(spark, d, 1), causal_features, ["2024-01-09 14:37:00", "2024-01-17 08:02:00"]).groupBy("column").agg(F.sum("mismatches").alias("mismatches"))
+    minute = staged(src.bars(spark, d, 1), "minute")
+    return store.recompute_check(minute, lambda m: staged(table.whole(m), "features"), CUTS).groupBy("column").agg(F.sum("mismatches").alias("mismatches"))
 
 
 @register("leakage_perturb")
 def leakage_perturb(spark, d):
-    return store.perturb_check(src.bars(spark, d, 1), causal_features, "2024-01-17 08:05:00")
+    minute = staged(src.bars(spark, d, 1), "minute")
+    return store.perturb_check(minute, lambda m: staged(table.whole(m), "features"), CUTS[-1])
+
 
+_REGIME = f"{_HYG}, {_SESSION.split(q.M5 + ', ', 1)[1]}"
+_SECTIONS = [*(f"SELECT symbol, 'hygiene' AS section, '{c}' AS name, count(*) FILTER ({c}) AS n FROM hy GROUP BY symbol" for c in _HYP), "SELECT symbol, 'session', session, count(*) FROM se GROUP BY symbol, session"]
+register("feature_summary", f"WITH {_REGIME}, su AS ({' UNION ALL '.join(_SECTIONS)}) SELECT symbol, section, name, n, round(n / (SELECT count(*) FROM hy), 6) AS share FROM su")(
+    lambda spark, d: rounded(table.summary(features.session(hygienic(spark, d)).withColumn("vol_regime", F.lit(None).cast("string"))).where("section <> 'vol_regime'"))
+)
+_NULLS = [f"SELECT '{c}' AS name, count(*) FILTER ({c} IS NULL) AS nulls, round(count(*) FILTER ({c} IS NULL) / count(*), 6) AS share FROM sq" for c in [*_AN, *_SQP, *_SQD]]
+register("null_shares", f"WITH {_SEQUENCE} {' UNION ALL '.join(_NULLS)}")(
+    lambda spark, d: rounded(table.null_shares(features.sequence(features.anatomy(m5(spark, d))).select(*_AN, *_SQP, *_SQD)))
+)

@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import calendar as cal
 from tidemark.plans import features, metrics, research, simulate, strategy
+from tidemark.plans import queries_bars as qb
 from tidemark.plans import queries_features as qf
 from tidemark.plans import sql as q
 from tidemark.plans.queries_bars import rounded
@@ -30,13 +30,11 @@ def register(name: str, oracle: str | None = None):
 
 
 EXIT = simulate.Exit(stop_atr=1.0, target_atr=1.5, time_exit_bars=24)
-FLAT = {"spread_optimistic": 20.0, "spread_base": 30.0, "spread_pessimistic": 50.0}
 
 
 def path(spark, d):
-    """The minute path under constant spreads."""
-    m1 = src.bars(spark, d, 1)
-    return m1.select("symbol", "ts_utc", "open", "high", "low", "close", *(F.lit(v).alias(c) for c, v in FLAT.items()), cal.in_rollover(F.col("ts_utc")).alias("in_rollover_window"), F.lit(True).alias("measured"))
+    """The minute path under the spreads of the cost model."""
+    return simulate.path_of(src.bars(spark, d, 1), manifest.staged(qb.priced(spark, d), "priced"))
 
 
 def signals(spark, d):
@@ -47,25 +45,35 @@ def labelled(spark, d):
     return research.triple_barrier(simulate.label(signals(spark, d), path(spark, d), EXIT))
 
 
-_ROLL = f"{q.minute(q.zone('America/New_York', 'xt'))} >= 1005 AND {q.minute(q.zone('America/New_York', 'xt'))} < 1110"
-TRADES = f"""{qf.SIGNALS},
-sc(scenario, spread, fixed, share, factor) AS (VALUES ('optimistic', 20.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), ('base', 30.0, 2.0, 0.01, 2.0), ('pessimistic', 50.0, 5.0, 0.02, 3.0)),
-en AS (SELECT s.*, p.ts_utc AS et, p.open AS eo FROM sig s ASOF JOIN m1 p ON s.symbol = p.symbol AND s.decision_time <= p.ts_utc),
+def _of(p: str) -> str:
+    """The spread of a row's scenario among those of the bar with this prefix."""
+    return f"(CASE scenario WHEN 'optimistic' THEN {p}so WHEN 'base' THEN {p}sb ELSE {p}sp END)"
+
+
+_PATH = f"""{qb._PRICED.split(q.M1 + ',', 1)[1]}, um AS (SELECT symbol AS us, median(spread_optimistic) AS mo, median(spread_base) AS mb, median(spread_pessimistic) AS mp FROM priced GROUP BY symbol),
+pm AS (SELECT m1.symbol, m1.ts_utc, open, high, low, close, coalesce(spread_optimistic, mo) AS so, coalesce(spread_base, mb) AS sb, coalesce(spread_pessimistic, mp) AS sp, coalesce(in_rollover_window, false) AS rw
+  FROM m1 LEFT JOIN priced ON priced.symbol = m1.symbol AND priced.ts_utc = m1.ts_utc LEFT JOIN um ON us = m1.symbol)"""
+TRADES = f"""{qf.SIGNALS}, {_PATH},
+sc(scenario, fixed, share, factor) AS (VALUES ('optimistic', 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), ('base', 2.0, 0.01, 2.0), ('pessimistic', 5.0, 0.02, 3.0)),
+en AS (SELECT s.*, p.ts_utc AS et, p.open AS eo, p.so AS eso, p.sb AS esb, p.sp AS esp FROM sig s ASOF JOIN pm p ON s.symbol = p.symbol AND s.decision_time <= p.ts_utc),
 e1 AS (SELECT *, decision_time + INTERVAL 120 MINUTE AS end_time FROM en WHERE epoch(et) - epoch(decision_time) <= 300),
-e2 AS (SELECT e1.*, p.ts_utc AS ft, p.open AS fo FROM e1 ASOF LEFT JOIN m1 p ON e1.symbol = p.symbol AND e1.end_time <= p.ts_utc),
-e3 AS (SELECT e2.*, sc.*, spread * 0.01 AS sp, atr_pts * 0.01 AS risk, fixed + share * greatest(atr_pts, 0) AS slip_in FROM e2 CROSS JOIN sc),
+e2 AS (SELECT e1.*, p.ts_utc AS ft, p.open AS fo, p.so AS fso, p.sb AS fsb, p.sp AS fsp FROM e1 ASOF LEFT JOIN pm p ON e1.symbol = p.symbol AND e1.end_time <= p.ts_utc),
+e3 AS (SELECT e2.*, sc.*, {_of('e')} AS spread, atr_pts * 0.01 AS risk, fixed + share * greatest(atr_pts, 0) AS slip_in FROM e2 CROSS JOIN sc),
 e4 AS (SELECT *, CASE WHEN side > 0 THEN eo + (spread + slip_in) * 0.01 ELSE eo - slip_in * 0.01 END AS ep FROM e3),
-e5 AS (SELECT *, ep - side * risk AS stop, ep + side * 1.5 * atr_pts * 0.01 AS target, CASE WHEN side > 0 THEN 0 ELSE sp END AS ask FROM e4),
-h0 AS (SELECT e.decision_time, e.scenario, p.ts_utc AS ht, p.ts_utc > e.et AS later, e.side, e.stop, e.target, p.open + ask AS o, p.high + ask AS h, p.low + ask AS l FROM e5 e JOIN m1 p ON p.symbol = e.symbol AND p.ts_utc >= e.et AND p.ts_utc < e.end_time),
+e5 AS (SELECT *, ep - side * risk AS stop, ep + side * 1.5 * atr_pts * 0.01 AS target FROM e4),
+h00 AS (SELECT e.symbol, e.decision_time, e.scenario, e.side, e.stop, e.target, p.ts_utc AS ht, p.ts_utc > e.et AS later, p.open AS po, p.high AS ph, p.low AS pl, p.so, p.sb, p.sp FROM e5 e JOIN pm p ON p.symbol = e.symbol AND p.ts_utc >= e.et AND p.ts_utc < e.end_time),
+h01 AS (SELECT *, CASE WHEN side > 0 THEN 0 ELSE {_of('')} * 0.01 END AS ask FROM h00), h0 AS (SELECT *, po + ask AS o, ph + ask AS h, pl + ask AS l FROM h01),
 h1 AS (SELECT *, CASE WHEN side > 0 THEN l <= stop ELSE h >= stop END AS worse, CASE WHEN side > 0 THEN h >= target ELSE l <= target END AS better,
   later AND CASE WHEN side > 0 THEN o >= target ELSE o <= target END AS gap_target, later AND CASE WHEN side > 0 THEN o <= stop ELSE o >= stop END AS gap_stop FROM h0),
 h2 AS (SELECT decision_time, scenario, ht, CASE WHEN gap_target THEN target WHEN gap_stop THEN o WHEN worse THEN stop ELSE target END AS px, CASE WHEN gap_target THEN 'target' WHEN gap_stop THEN 'stop_gap' WHEN worse THEN 'stop' ELSE 'target' END AS why,
   CASE WHEN gap_target THEN 'limit' WHEN gap_stop THEN 'stop' WHEN worse THEN 'stop' ELSE 'limit' END AS ord, NOT gap_target AND NOT gap_stop AND worse AND better AS amb FROM h1 WHERE worse OR better),
 h3 AS (SELECT decision_time AS hd, scenario AS hs, min(ht) AS xt0, arg_min(px, ht) AS px, arg_min(why, ht) AS why, arg_min(ord, ht) AS ord, arg_min(amb, ht) AS amb FROM h2 GROUP BY ALL),
-lb AS (SELECT max(ts_utc) AS lt, arg_max(close, ts_utc) AS lc FROM m1),
-x0 AS (SELECT e.*, coalesce(xt0, ft, lt) AS xt, coalesce(px, CASE WHEN ft IS NULL THEN lc ELSE fo END + ask) AS xp, coalesce(why, CASE WHEN ft IS NULL THEN 'end_of_data' ELSE 'time' END) AS exit_reason, coalesce(ord, 'market') AS ord, coalesce(amb, false) AS ambiguous FROM e5 e LEFT JOIN h3 ON hd = decision_time AND hs = scenario CROSS JOIN lb),
-x1 AS (SELECT *, CASE WHEN ord = 'limit' THEN 0 WHEN ord = 'stop' AND {_ROLL} THEN slip_in * factor ELSE slip_in END AS slip_out FROM x0),
-tr AS (SELECT *, xp - side * slip_out * 0.01 AS exit_price, ((xp - side * slip_out * 0.01) - ep) * side / risk AS r_net, sp / risk AS cost_spread_r, (slip_in + slip_out) * 0.01 / risk AS cost_slippage_r,
+lb AS (SELECT max(ts_utc) AS lt, arg_max(close, ts_utc) AS lc, arg_max(so, ts_utc) AS lso, arg_max(sb, ts_utc) AS lsb, arg_max(sp, ts_utc) AS lsp FROM pm),
+x0 AS (SELECT e.*, coalesce(xt0, ft, lt) AS xt, coalesce(px, CASE WHEN ft IS NULL THEN lc ELSE fo END + CASE WHEN side > 0 THEN 0 WHEN ft IS NULL THEN {_of('l')} * 0.01 ELSE {_of('f')} * 0.01 END) AS xp,
+  coalesce(why, CASE WHEN ft IS NULL THEN 'end_of_data' ELSE 'time' END) AS exit_reason, coalesce(ord, 'market') AS ord, coalesce(amb, false) AS ambiguous FROM e5 e LEFT JOIN h3 ON hd = decision_time AND hs = scenario CROSS JOIN lb),
+xb AS (SELECT x0.*, p.rw AS xrw, p.so AS xso, p.sb AS xsb, p.sp AS xsp FROM x0 JOIN pm p ON p.symbol = x0.symbol AND p.ts_utc = xt),
+x1 AS (SELECT *, CASE WHEN ord = 'limit' THEN 0 WHEN ord = 'stop' AND xrw THEN slip_in * factor ELSE slip_in END AS slip_out, CASE WHEN side > 0 THEN spread ELSE {_of('x')} END * 0.01 AS paid FROM xb),
+tr AS (SELECT *, xp - side * slip_out * 0.01 AS exit_price, ((xp - side * slip_out * 0.01) - ep) * side / risk AS r_net, paid / risk AS cost_spread_r, (slip_in + slip_out) * 0.01 / risk AS cost_slippage_r,
   CASE WHEN exit_reason = 'target' THEN 1 WHEN exit_reason LIKE 'stop%' THEN -1 ELSE 0 END AS label FROM x1),
 trades AS (SELECT *, et AS entry_time, xt AS exit_time, r_net + cost_spread_r + cost_slippage_r AS r_before_costs FROM tr)"""
 _TP, _TD = ["symbol", "scenario", "side", "decision_time", "entry_time", "exit_time", "exit_reason", "ambiguous", "label"], ["ep AS entry_price", "exit_price", "r_net", "r_before_costs", "cost_spread_r", "cost_slippage_r"]
@@ -82,15 +90,12 @@ _SP, _SD = ["symbol", "scenario", "n", "wins", "long_trades", "short_trades"], [
 register("trade_summary", q.query(_SUM, "sm", _SP, _SD, places=4))(lambda spark, d: rounded(metrics.summary(labelled(spark, d)).select(*_SP, *_SD), 4))
 
 
-def _buckets():
-    return {k: v for k, v in metrics.calendar_buckets().items() if k in ("weekday", "side")}
-
-
-_BY = """SELECT symbol, scenario, 'weekday' AS "by", CAST(isodow(decision_time) AS VARCHAR) AS bucket, r_net FROM trades UNION ALL SELECT symbol, scenario, 'side', CASE WHEN side > 0 THEN 'long' ELSE 'short' END, r_net FROM trades"""
+_BY = """SELECT symbol, scenario, 'weekday' AS "by", CAST(isodow(decision_time) AS VARCHAR) AS bucket, r_net FROM trades UNION ALL SELECT symbol, scenario, 'side', CASE WHEN side > 0 THEN 'long' ELSE 'short' END, r_net FROM trades
+UNION ALL SELECT symbol, scenario, 'year', CAST(date_part('year', decision_time) AS VARCHAR), r_net FROM trades UNION ALL SELECT symbol, scenario, 'month', strftime(decision_time, '%Y-%m'), r_net FROM trades"""
 _BRK = f"""{TRADES}, bk AS (SELECT symbol, scenario, "by", bucket, count(*) AS n, avg(r_net) AS expectancy_r, sum(r_net) AS total_r, avg(CAST(r_net > 0 AS DOUBLE)) AS win_rate FROM ({_BY}) GROUP BY ALL)"""
-register("breakdown_sets", q.query(_BRK, "bk", ["symbol", "scenario", '"by"', "bucket", "n"], ["expectancy_r", "total_r", "win_rate"], places=4))(lambda spark, d: rounded(metrics.breakdown(labelled(spark, d), _buckets()), 4))
+register("breakdown_sets", q.query(_BRK, "bk", ["symbol", "scenario", '"by"', "bucket", "n"], ["expectancy_r", "total_r", "win_rate"], places=4))(lambda spark, d: rounded(metrics.breakdown(labelled(spark, d), metrics.calendar_buckets()), 4))
 register("stability", q.query(f"""{_BRK}, sb AS (SELECT symbol, scenario, "by", count(*) AS buckets_scored, count(*) FILTER (expectancy_r > 0) AS positive, avg(CAST(expectancy_r > 0 AS DOUBLE)) AS score FROM bk WHERE n >= 10 GROUP BY ALL)""", "sb", ["symbol", "scenario", '"by"', "buckets_scored", "positive"], ["score"], places=4))(
-    lambda spark, d: rounded(metrics.stability(metrics.breakdown(labelled(spark, d), _buckets())), 4)
+    lambda spark, d: rounded(metrics.stability(metrics.breakdown(labelled(spark, d), metrics.calendar_buckets())), 4)
 )
 register("equity_drawdown", q.query(_SUM, "c1", ["symbol", "scenario", "decision_time", "exit_time"], ["cum AS cum_r", "dd AS dd_r"], places=4))(lambda spark, d: rounded(metrics.with_drawdown(labelled(spark, d)).select("symbol", "scenario", "decision_time", "exit_time", "cum_r", "dd_r"), 4))
 register("equity_points")(lambda spark, d: rounded(metrics.equity_curve(labelled(spark, d), 100), 4))
@@ -121,9 +126,9 @@ f2 AS (SELECT f1.*, side * (p.open - o0) / (atr_pts * 0.01) AS mv FROM f1 ASOF J
 register("forward_returns", q.query(_FWD, "fw", ["symbol", "n_bars", "n"], ["mean_atr", "hit_rate"], places=4))(lambda spark, d: rounded(research.forward_returns(signals(spark, d), path(spark, d)), 4))
 
 
-@register("baseline_thinned", f"WITH {qf._HYG}, k AS (SELECT *, row_number() OVER (ORDER BY event_time) - 1 AS k, count(*) OVER () AS n FROM hy WHERE NOT hyg_no_entry AND atr_pts > 0) SELECT symbol, available_at AS decision_time, event_time, unnest([1, -1]) AS side, round(atr_pts, 6) AS atr_pts FROM k WHERE k % greatest(n // 300, 1) = 0")
+@register("baseline_thinned", f"WITH {qf._HYG}, k AS (SELECT *, row_number() OVER (ORDER BY event_time) - 1 AS k, count(*) OVER () AS n FROM hy WHERE NOT hyg_no_entry AND atr_pts > 0) SELECT symbol, available_at AS decision_time, event_time, unnest([1, -1]) AS side, round(atr_pts, 6) AS atr_pts FROM k WHERE k % greatest(n // 30000, 1) = 0")
 def baseline_thinned(spark, d):
-    return rounded(research.baseline(qf.hygienic(spark, d), 300))
+    return rounded(research.baseline(qf.hygienic(spark, d)))
 
 
 _PV = "SELECT event_type, CAST(date_part('hour', ts) AS INTEGER) AS hour, round(avg(value) / max(value), 6) AS p_value FROM events GROUP BY ALL"

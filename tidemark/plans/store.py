@@ -61,13 +61,17 @@ def differences(a: DataFrame, b: DataFrame, on=("symbol", "ts_utc"), relative: f
     return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("mismatches")) for c in ("rows", *columns)))).alias("d")).select("d.*")
 
 
+def known_minutes(minute: DataFrame, when: str) -> DataFrame:
+    """The minute bars that had closed at a time."""
+    return minute.where(cal.plus_minutes(F.col("ts_utc"), 1) <= F.lit(when).cast("timestamp_ntz"))
+
+
 def recompute_check(minute: DataFrame, make: Callable[[DataFrame], DataFrame], cutoffs: list[str]) -> DataFrame:
     """Build the features from histories cut at each time; what was known must be as in the full build."""
     whole, out = make(minute), None
     for t in cutoffs:
-        cut = F.lit(t).cast("timestamp_ntz")
-        part = as_of(make(minute.where(cal.plus_minutes(F.col("ts_utc"), 1) <= cut)), t)
-        d = differences(as_of(whole, t), part).withColumn("cutoff", cut)
+        part = as_of(make(known_minutes(minute, t)), t)
+        d = differences(as_of(whole, t), part).withColumn("cutoff", F.lit(t).cast("timestamp_ntz"))
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -75,7 +79,7 @@ def recompute_check(minute: DataFrame, make: Callable[[DataFrame], DataFrame], c
 def perturb_after(minute: DataFrame, when: str, factor: float = 1.05) -> DataFrame:
     """The history with other prices and volumes after a time."""
     late = F.col("ts_utc") >= F.lit(when).cast("timestamp_ntz")
-    return minute.withColumns({**{c: F.when(late, F.col(c) * factor).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}, "tick_volume": F.when(late, F.col("tick_volume") + 7).otherwise(F.col("tick_volume"))})
+    return minute.withColumns({**{c: F.when(late, F.col(c) * factor).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}, "tick_volume": F.when(late, F.col("tick_volume") + 7).otherwise(F.col("tick_volume")), "spread_points": F.when(late, F.col("spread_points") + 40).otherwise(F.col("spread_points"))})
 
 
 def perturb_check(minute: DataFrame, make: Callable[[DataFrame], DataFrame], when: str) -> DataFrame:

@@ -1,15 +1,12 @@
-"""Market structure: swings, breaks, sweeps as windows; levels, trendlines and channels by chunks.
+"""Market structure: swings, breaks, sweeps, levels, trendlines and channels, as windows over bars.
 
-A swing of half-width k at row i is known k rows later and is used from then on. Levels and lines look back a bounded
-number of rows, so they are built chunk by chunk with as many rows of warm-up.
+A swing of half-width k at row i is known k rows later and is used from then on.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import calendar as cal
 from tidemark.functions.scalar import positive, ratio, truth
@@ -98,27 +95,24 @@ def h1_features(b: DataFrame, longer: DataFrame) -> DataFrame:
     return out.withColumns({"h1_sw_hi_dist_atr": (C - F.col("_h1_hi")) / a, "h1_sw_lo_dist_atr": (C - F.col("_h1_lo")) / a}).drop("_h1_hi", "_h1_lo")
 
 
-def _by_chunks(b: DataFrame, make, columns: dict[str, T.DataType], look_back: int) -> DataFrame:
-    schema = T.StructType([*b.schema.fields, *(T.StructField(c, t) for c, t in columns.items())])
-    own = b.columns
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("ts_utc", kind="stable").reset_index(drop=True)
-        out = pd.concat([p, make(p)], axis=1)
-        return out.loc[~out["warm_up"], [*own, *columns]]
-
-    return win.in_chunks(b, look_back).groupBy("symbol", "chunk").applyInPandas(run, schema)
+def _marked(b: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Bars with row numbers, and their swings."""
+    rows = b.withColumn("_row", F.row_number().over(win.over()))
+    return rows, geo.swing_rows(pivots(rows, k), k)
 
 
 def level_features(b: DataFrame, k: int = K_M5) -> DataFrame:
-    """A row's levels date from the last swing confirmed before it, which may lie far back; so do its look-backs."""
-    return _by_chunks(b, lambda p: geo.levels_of(p, k), {c: T.DoubleType() for c in geo.LEVEL_COLUMNS}, 2 * geo.LEVEL_ROWS + 2 * k)
+    """Support and resistance: distances to the nearest levels and how often they were touched."""
+    rows, swings = _marked(b, k)
+    return geo.level_columns(geo.with_levels(rows, swings)).drop("_row")
 
 
 def line_features(b: DataFrame, k: int = K_M5) -> DataFrame:
-    kinds = {f"tl_{n}_{c}": T.BooleanType() if c == "break" else T.DoubleType() for n in ("up", "dn") for c in geo.LINE_COLUMNS} | {f"ch_{n}_pos": T.DoubleType() for n in ("up", "dn")}
-    kinds = {c: kinds[c] for n in ("up", "dn") for c in (f"tl_{n}_dist_atr", f"tl_{n}_slope_atr", f"tl_{n}_touches", f"tl_{n}_break", f"ch_{n}_pos")} | {"ch_width_atr": T.DoubleType()}
-    return _by_chunks(b, lambda p: geo.line_columns(p, k), kinds, geo.LINE_AGE + 2 * geo.LINE_SPAN + 4 * k)
+    """Trendlines through rising lows and falling highs, and the channels beside them."""
+    out, swings = _marked(b, k)
+    for rising in (True, False):
+        out = geo.line_columns(out, swings, rising)
+    return out.withColumn("ch_width_atr", F.coalesce("_width_up", "_width_dn")).drop("_row", "_width_up", "_width_dn")
 
 
 def swings_table(b: DataFrame, k: int = K_M5) -> DataFrame:

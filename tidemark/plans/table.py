@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -48,27 +49,50 @@ GROUPS: dict[str, list[str]] = {
     "hygiene": "hyg_rollover hyg_abnormal_spread hyg_week_first3 hyg_week_last3 hyg_weekend_gap hyg_spans_weekend_gap hyg_incomplete gap_before_min hyg_no_entry".split(),
 }
 FEATURES = [c for columns in GROUPS.values() for c in columns]
+#: What comes with them.
 META = ["event_time", "available_at", "ts_server", "trading_day", "m15_close_utc", "h1_close_utc"]
+WANTED = {*FEATURES, *META}
+
+
+BASE = ["open", "high", "low", "close", "tick_volume", "m1_bars", "atr", "atr_pts", "vol_ratio", "event_time", "available_at"]
+#: Groups that are made at the same time: independent jobs over the same bars.
+AT_ONCE = 4
 
 
 def whole(minute: DataFrame, clock_hours: float = 0.0) -> DataFrame:
     """KEY, the prices, META and FEATURES. ``clock_hours``: how far the server's clock is ahead of UTC.
 
-    Groups that need only windows over bars are one chain; the others (as-of joins, recursive averages, levels, lines,
-    minute spreads) work on the few columns they need and are joined by the bar.
+    Each group reads the written bars, is written with its own columns and joined by the bar, so no plan is deeper than a
+    group's own and a lost executor costs a group at most.
     """
-    five, hour = staged(features.with_atr(src.aggregate(minute, 5)), "bars"), src.aggregate(minute, 60)
-    slim = five.select(*KEY, "open", "high", "low", "close", "atr", "available_at")
-    b = features.obv(features.stochastic(features.bollinger(features.sequence(features.anatomy(five)))))
-    b = structure.break_features(structure.swing_features(b)).drop("_row", "pivot_high", "pivot_low")
-    b = features.session(features.volatility(features.vwap(features.daily(b))))
-    own = lambda df: df.select(*KEY, *(c for c in df.columns if c not in b.columns))
-    for part in (
-        features.higher(slim, src.aggregate(minute, 15), 15, "m15"), features.higher(slim, hour, 60, "h1"), structure.h1_features(slim, hour),
-        features.averages(slim), structure.level_features(slim), structure.line_features(slim), features.minute_spread(minute),
-    ):
-        b = b.join(own(part), KEY, "left")
-    b = features.hygiene(b).withColumn("ts_server", cal.plus_minutes(F.col("ts_utc"), int(60 * clock_hours)))
+    five = staged(features.with_atr(src.aggregate(minute, 5)).select(*KEY, *BASE), "bars")
+    hour = src.aggregate(minute, 60)
+    groups = {
+        "candles": lambda: features.sequence(features.anatomy(five)),
+        "bands": lambda: features.obv(features.stochastic(features.bollinger(five))),
+        "swings": lambda: structure.break_features(structure.swing_features(five)),
+        "days": lambda: features.vwap(features.daily(five)),
+        "volatility": lambda: features.volatility(five),
+        "m15": lambda: features.higher(five, src.aggregate(minute, 15), 15, "m15"),
+        "h1": lambda: features.higher(five, hour, 60, "h1"),
+        "h1-swings": lambda: structure.h1_features(five, hour),
+        "averages": lambda: features.averages(five),
+        "levels": lambda: structure.level_features(five),
+        "lines": lambda: structure.line_features(five),
+        "spread": lambda: features.minute_spread(minute),
+    }
+
+    def make(item) -> DataFrame:
+        name, group = item
+        df = group()
+        return staged(df.select(*KEY, *(c for c in df.columns if c in WANTED and c not in BASE)), name)
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        parts = list(pool.map(make, groups.items()))
+    b = five
+    for part in parts:
+        b = b.join(part, KEY, "left")
+    b = features.hygiene(features.session(b)).withColumn("ts_server", cal.plus_minutes(F.col("ts_utc"), int(60 * clock_hours)))
     return b.select(*KEY, "open", "high", "low", "close", "m1_bars", *META, *FEATURES)
 
 

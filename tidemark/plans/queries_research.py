@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.plans import features, metrics, research, simulate, strategy
+from tidemark.plans import behaviours, features, metrics, research, simulate, strategy, table
 from tidemark.plans import queries_bars as qb
 from tidemark.plans import queries_features as qf
 from tidemark.plans import sql as q
@@ -53,14 +53,17 @@ def _of(p: str) -> str:
 _PATH = f"""{qb._PRICED.split(q.M1 + ',', 1)[1]}, um AS (SELECT symbol AS us, median(spread_optimistic) AS mo, median(spread_base) AS mb, median(spread_pessimistic) AS mp FROM priced GROUP BY symbol),
 pm AS (SELECT m1.symbol, m1.ts_utc, open, high, low, close, coalesce(spread_optimistic, mo) AS so, coalesce(spread_base, mb) AS sb, coalesce(spread_pessimistic, mp) AS sp, coalesce(in_rollover_window, false) AS rw
   FROM m1 LEFT JOIN priced ON priced.symbol = m1.symbol AND priced.ts_utc = m1.ts_utc LEFT JOIN um ON us = m1.symbol)"""
-TRADES = f"""{qf.SIGNALS}, {_PATH},
+
+def trades_sql(found: str, stop: float = 1.0, target: float = 1.5) -> str:
+    """The twin of ``label``: trades of the signals that the given expressions make (as sig)."""
+    return f"""{found}, {_PATH},
 sc(scenario, fixed, share, factor) AS (VALUES ('optimistic', 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), ('base', 2.0, 0.01, 2.0), ('pessimistic', 5.0, 0.02, 3.0)),
 en AS (SELECT s.*, p.ts_utc AS et, p.open AS eo, p.so AS eso, p.sb AS esb, p.sp AS esp FROM sig s ASOF JOIN pm p ON s.symbol = p.symbol AND s.decision_time <= p.ts_utc),
 e1 AS (SELECT *, decision_time + INTERVAL 120 MINUTE AS end_time FROM en WHERE epoch(et) - epoch(decision_time) <= 300),
 e2 AS (SELECT e1.*, p.ts_utc AS ft, p.open AS fo, p.so AS fso, p.sb AS fsb, p.sp AS fsp FROM e1 ASOF LEFT JOIN pm p ON e1.symbol = p.symbol AND e1.end_time <= p.ts_utc),
-e3 AS (SELECT e2.*, sc.*, {_of('e')} AS spread, atr_pts * 0.01 AS risk, fixed + share * greatest(atr_pts, 0) AS slip_in FROM e2 CROSS JOIN sc),
+e3 AS (SELECT e2.*, sc.*, {_of('e')} AS spread, {stop} * atr_pts * 0.01 AS risk, fixed + share * greatest(atr_pts, 0) AS slip_in FROM e2 CROSS JOIN sc),
 e4 AS (SELECT *, CASE WHEN side > 0 THEN eo + (spread + slip_in) * 0.01 ELSE eo - slip_in * 0.01 END AS ep FROM e3),
-e5 AS (SELECT *, ep - side * risk AS stop, ep + side * 1.5 * atr_pts * 0.01 AS target FROM e4),
+e5 AS (SELECT *, ep - side * risk AS stop, ep + side * {target} * atr_pts * 0.01 AS target FROM e4),
 h00 AS (SELECT e.symbol, e.decision_time, e.scenario, e.side, e.stop, e.target, p.ts_utc AS ht, p.ts_utc > e.et AS later, p.open AS po, p.high AS ph, p.low AS pl, p.so, p.sb, p.sp FROM e5 e JOIN pm p ON p.symbol = e.symbol AND p.ts_utc >= e.et AND p.ts_utc < e.end_time),
 h01 AS (SELECT *, CASE WHEN side > 0 THEN 0 ELSE {_of('')} * 0.01 END AS ask FROM h00), h0 AS (SELECT *, po + ask AS o, ph + ask AS h, pl + ask AS l FROM h01),
 h1 AS (SELECT *, CASE WHEN side > 0 THEN l <= stop ELSE h >= stop END AS worse, CASE WHEN side > 0 THEN h >= target ELSE l <= target END AS better,
@@ -76,6 +79,9 @@ x1 AS (SELECT *, CASE WHEN ord = 'limit' THEN 0 WHEN ord = 'stop' AND xrw THEN s
 tr AS (SELECT *, xp - side * slip_out * 0.01 AS exit_price, ((xp - side * slip_out * 0.01) - ep) * side / risk AS r_net, paid / risk AS cost_spread_r, (slip_in + slip_out) * 0.01 / risk AS cost_slippage_r,
   CASE WHEN exit_reason = 'target' THEN 1 WHEN exit_reason LIKE 'stop%' THEN -1 ELSE 0 END AS label FROM x1),
 trades AS (SELECT *, et AS entry_time, xt AS exit_time, r_net + cost_spread_r + cost_slippage_r AS r_before_costs FROM tr)"""
+
+
+TRADES = trades_sql(qf.SIGNALS)
 _TP, _TD = ["symbol", "scenario", "side", "decision_time", "entry_time", "exit_time", "exit_reason", "ambiguous", "label"], ["ep AS entry_price", "exit_price", "r_net", "r_before_costs", "cost_spread_r", "cost_slippage_r"]
 register("triple_barrier", q.query(TRADES, "trades", _TP, _TD, places=5))(lambda spark, d: rounded(labelled(spark, d).select(*_TP, *(x.split(" AS ")[-1] for x in _TD)), 5))
 
@@ -151,15 +157,22 @@ def walk_forward_folds(spark, d):
     return research.folds(spark, datetime(2021, 7, 5), datetime(2024, 8, 21))
 
 
+GRID = research.grid({"stop_atr": [0.75, 1.0, 1.5], "target_atr": [1.0, 1.5, 2.0]})
+
+
+def variants_of(spark, d):
+    """The trades of all variants of the grid in one frame, with their numbers."""
+    rule = simulate.Exit(stop_atr=F.col("stop_atr"), target_atr=F.col("target_atr"), time_exit_bars=24)
+    trades = simulate.label(signals(spark, d), path(spark, d), rule, variants=GRID)
+    numbers = spark.createDataFrame([(str(i), *v.values()) for i, v in enumerate(GRID)], "variant string, stop_atr double, target_atr double")
+    return trades.join(numbers, "variant")
+
+
 @register("grid_search_plateau")
 def grid_search_plateau(spark, d):
-    """Stops by targets over the same signals; each variant is priced in parallel, the table is one aggregate."""
-    s, p, out = signals(spark, d), path(spark, d), None
-    for v in research.grid({"stop_atr": [0.75, 1.0, 1.5], "target_atr": [1.0, 1.5, 2.0]}):
-        rule = simulate.Exit(time_exit_bars=24, **v)
-        t = simulate.label(s, p, rule).where("scenario = 'base'").agg(F.count("*").alias("n"), F.avg("r_net").alias("expectancy_r")).withColumns({k: F.lit(x) for k, x in v.items()})
-        out = t if out is None else out.unionByName(t)
-    return rounded(research.plateau(out, ["stop_atr", "target_atr"]), 4)
+    """Stops by targets over the same signals: every variant of every signal is a row of one frame, the table one aggregate."""
+    t = variants_of(spark, d).where("scenario = 'base'").groupBy("stop_atr", "target_atr").agg(F.count("*").alias("n"), F.avg("r_net").alias("expectancy_r"))
+    return rounded(research.plateau(t, ["stop_atr", "target_atr"]), 4)
 
 
 @register("ml_filter")
@@ -170,7 +183,7 @@ def ml_filter(spark, d):
     return rounded(research.choose_threshold(research.meta_filter(t, [c for c in f.columns if c not in ("symbol", "decision_time")])), 6)
 
 
-@register("stream_bars_closed")
+@register("stream_bars_closed", "SELECT 'ALL' AS symbol, time_bucket(INTERVAL '5 minutes', ts) AS ts_utc, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS tick_volume FROM events GROUP BY time_bucket(INTERVAL '5 minutes', ts) HAVING time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE")
 def stream_bars_closed(spark, d):
     """Closed five-minute bars of the events as a file stream."""
     schema = src.table(spark, d, "events").schema
@@ -247,3 +260,170 @@ def trades_page(spark, d):
     """A page of one scenario's trades."""
     t = labelled(spark, d).where("scenario = 'base'").orderBy("decision_time", "side").offset(100).limit(50)
     return rounded(t.select("decision_time", "exit_reason", "r_net"), 5)
+
+
+# tiers, folds over trades, screens, registers
+
+_TIERS = """cuts AS (SELECT symbol AS cs, CAST(CAST(min(ts_utc) + to_seconds(CAST(floor((epoch(max(ts_utc)) - epoch(min(ts_utc))) * 0.6) AS BIGINT)) AS DATE) + 1 AS TIMESTAMP) AS b_start,
+  CAST(CAST(min(ts_utc) + to_seconds(CAST(floor((epoch(max(ts_utc)) - epoch(min(ts_utc))) * 0.8) AS BIGINT)) AS DATE) + 1 AS TIMESTAMP) AS c_start FROM m1 GROUP BY symbol)"""
+_TIER = "CASE WHEN decision_time < b_start THEN 'A' WHEN decision_time < c_start THEN 'B' ELSE 'C' END"
+
+
+@register("signal_preview", f"WITH {qf.SIGNALS}, {_TIERS}, pv AS (SELECT sig.symbol, {_TIER} AS tier, side FROM sig JOIN cuts ON cs = sig.symbol) SELECT symbol, tier, count(*) AS n, count(*) FILTER (side > 0) AS long_signals, count(*) FILTER (side < 0) AS short_signals FROM pv WHERE tier <> 'C' GROUP BY symbol, tier")
+def signal_preview(spark, d):
+    """How many signals a rule gives on tiers A and B; C stays hidden."""
+    s = research.with_tier(signals(spark, d), research.tiers(src.bars(spark, d, 1))).where("tier <> 'C'")
+    return s.groupBy("symbol", "tier").agg(F.count("*").alias("n"), F.count_if(F.col("side") > 0).alias("long_signals"), F.count_if(F.col("side") < 0).alias("short_signals"))
+
+
+_FOLDS = [(i, f"2024-01-{1 + 4 * i:02d}", f"2024-01-{13 + 4 * i:02d}", f"2024-01-{17 + 4 * i:02d}") for i in range(4)]
+
+
+def fold_table(spark):
+    """Twelve days of training and four of test: the synthetic history has a month."""
+    rows = [(i, *(datetime.fromisoformat(t) for t in days)) for i, *days in _FOLDS]
+    return spark.createDataFrame(rows, "fold int, train_start timestamp_ntz, test_start timestamp_ntz, test_end timestamp_ntz")
+
+
+_FOLD_SQL = "fo(fold, train_start, test_start, test_end) AS (VALUES " + ", ".join(f"({i}, TIMESTAMP '{a} 00:00:00', TIMESTAMP '{b} 00:00:00', TIMESTAMP '{c} 00:00:00')" for i, a, b, c in _FOLDS) + ")"
+_WALK = f"""{TRADES}, {_FOLD_SQL}, wf AS (SELECT fold, '0' AS variant, count(*) FILTER (decision_time < test_start) AS train_n, avg(r_net) FILTER (decision_time < test_start) AS train_expectancy_r, count(*) FILTER (decision_time >= test_start) AS test_n,
+  avg(r_net) FILTER (decision_time >= test_start) AS test_expectancy_r, coalesce(sum(r_net) FILTER (decision_time >= test_start), 0) AS test_total_r FROM trades JOIN fo ON decision_time >= train_start AND decision_time < test_end WHERE scenario = 'pessimistic' GROUP BY fold HAVING count(*) FILTER (decision_time < test_start) >= 10)"""
+register("walk_forward_fixed", q.query(_WALK, "wf", ["fold", "variant", "train_n", "test_n"], ["train_expectancy_r", "test_expectancy_r", "test_total_r"], places=4))(
+    lambda spark, d: rounded(research.walk_forward(labelled(spark, d).where("scenario = 'pessimistic'").withColumn("variant", F.lit("0")), fold_table(spark)), 4)
+)
+
+
+@register("walk_forward_grid")
+def walk_forward_grid(spark, d):
+    """Each fold takes the variant of the grid that was best on its training days."""
+    t = variants_of(spark, d).where("scenario = 'pessimistic'")
+    numbers = t.select("variant", "stop_atr", "target_atr").distinct()
+    return rounded(research.walk_forward(t, fold_table(spark)).join(numbers, "variant").drop("variant"), 4)
+
+
+_BASE = f"{qf._HYG}, kb AS (SELECT *, row_number() OVER (ORDER BY event_time) - 1 AS k, count(*) OVER () AS n FROM hy WHERE NOT hyg_no_entry AND atr_pts > 0), sig AS (SELECT symbol, available_at AS decision_time, event_time, unnest([1, -1]) AS side, atr_pts FROM kb WHERE k % greatest(n // 30000, 1) = 0)"
+_LIFT = ["target_rate", "mean_r_net", "mean_r_gross"]
+_STATS = "SELECT symbol, scenario, count(*) AS n, avg(CAST(label = 1 AS DOUBLE)) AS target_rate, avg(r_net) AS mean_r_net, avg(r_before_costs) AS mean_r_gross FROM {} GROUP BY symbol, scenario"
+
+
+def _baseline_trades(spark, d):
+    return research.triple_barrier(simulate.label(research.baseline(qf.hygienic(spark, d)), path(spark, d), EXIT))
+
+
+register("baseline_study", q.query(f"{trades_sql(_BASE).replace('hd = decision_time AND hs = scenario', 'hd = decision_time AND hs = scenario AND hside = side').replace('SELECT decision_time AS hd, scenario AS hs', 'SELECT decision_time AS hd, scenario AS hs, side AS hside').replace('h2 AS (SELECT decision_time, scenario, ht', 'h2 AS (SELECT decision_time, scenario, side, ht')}, bs AS ({_STATS.format('trades')})", "bs", ["symbol", "scenario", "n"], _LIFT, places=4))(
+    lambda spark, d: rounded(research.study_stats(_baseline_trades(spark, d)).select("symbol", "scenario", "n", *_LIFT), 4)
+)
+
+
+@register("study_lift")
+def study_lift(spark, d):
+    """The rule's trades beside those of every eligible bar under the same barriers."""
+    return rounded(research.lift(research.study_stats(labelled(spark, d)), research.study_stats(_baseline_trades(spark, d))), 4)
+
+
+def _sweep_events(spark, d):
+    b = features.session(features.daily(qf.m5(spark, d)))
+    return research.previous_day_sweeps(b, "pdh", least_bars=60).unionByName(research.previous_day_sweeps(b, "pdl", least_bars=60))
+
+
+_EVENTS = f"{qf._DAILY}, sig AS ({qf._sweep_sql('pdh', -1).replace('depth_atr, trading_day', 'depth_atr, trading_day, atr_pts')} UNION ALL {qf._sweep_sql('pdl', 1).replace('depth_atr, trading_day', 'depth_atr, trading_day, atr_pts')})"
+register("pattern_study", q.query(f"{trades_sql(_EVENTS)}, ps AS ({_STATS.format('trades')})", "ps", ["symbol", "scenario", "n"], _LIFT, places=4))(
+    lambda spark, d: rounded(research.study_stats(research.triple_barrier(simulate.label(manifest.staged(_sweep_events(spark, d), "sweeps"), path(spark, d), EXIT))).select("symbol", "scenario", "n", *_LIFT), 4)
+)
+_SANE = " UNION ALL ".join(f"SELECT symbol, '{v}' AS level, count(*) AS bars, count(DISTINCT trading_day) AS days, count(*) FILTER ({v}_sweep) AS sweeps, count(DISTINCT trading_day) FILTER ({v}_sweep) AS days_with_sweeps, round(avg({v}_sweep_depth_atr), 6) AS mean_depth_atr FROM da GROUP BY symbol" for v in ("pdh", "pdl"))
+
+
+@register("detector_sanity", f"WITH {qf._DAILY} {_SANE}")
+def detector_sanity(spark, d):
+    """How often the detectors fire at all."""
+    levels = F.explode(F.array(*(F.struct(F.lit(v).alias("level"), F.col(f"{v}_sweep").alias("on"), F.col(f"{v}_sweep_depth_atr").alias("depth")) for v in ("pdh", "pdl"))))
+    b = features.daily(qf.m5(spark, d)).select("symbol", "trading_day", levels.alias("l")).select("symbol", "trading_day", "l.*")
+    swept = F.when(F.col("on"), F.col("trading_day"))
+    return b.groupBy("symbol", "level").agg(F.count("*").alias("bars"), F.count_distinct("trading_day").alias("days"), F.count_if("on").alias("sweeps"), F.count_distinct(swept).alias("days_with_sweeps"), F.round(F.avg("depth"), 6).alias("mean_depth_atr"))
+
+
+@register("behaviour_screen")
+def behaviour_screen(spark, d):
+    """All registered behaviours over the whole feature table, priced in one frame, screened by Benjamini-Hochberg."""
+    rows = manifest.staged(table.whole(manifest.staged(src.bars(spark, d, 1), "minute")), "features")
+    found = manifest.staged(behaviours.events(rows, behaviours.library()), "events")
+    trades = manifest.staged(simulate.label(found, path(spark, d), EXIT).where("scenario = 'pessimistic'"), "trades")
+    return rounded(research.screen(trades), 4)
+
+
+_MADE = """SELECT c_mktsegment AS name, o_orderpriority || o_orderstatus AS hash, o_orderdate AS proposed_at FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+@register("preregistration", f"WITH p AS ({_MADE}), f AS (SELECT name, hash, min(proposed_at) AS registered_at FROM p GROUP BY ALL) SELECT name, hash, CAST(row_number() OVER (PARTITION BY name ORDER BY registered_at, hash) AS INTEGER) AS version, registered_at FROM f")
+def preregistration(spark, d):
+    """Customers' segments as behaviours, orders as proposals of definitions: half are registered first, then all again."""
+    o = src.table(spark, d, "orders").join(src.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    p = o.select(F.col("c_mktsegment").alias("name"), F.concat("o_orderpriority", "o_orderstatus").alias("hash"), F.col("o_orderdate").alias("proposed_at"))
+    none = p.limit(0).select("name", "hash", F.lit(0).alias("version"), F.col("proposed_at").alias("registered_at"))
+    early = p.where(F.col("proposed_at") < F.lit("1996-01-01").cast("timestamp_ntz"))
+    return behaviours.registered(behaviours.registered(none, early), p)
+
+
+@register("unseal_once", "SELECT c_mktsegment AS name, o_orderkey AS id, o_orderdate AS asked_at, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate, o_orderkey) = 1 AS granted FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 250000")
+def unseal_once(spark, d):
+    o = src.table(spark, d, "orders").where("o_totalprice > 250000").join(src.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return behaviours.unsealed(o.select(F.col("c_mktsegment").alias("name"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("asked_at")))
+
+
+_CHECK = f"""{TRADES}, {_TIERS}, tt AS (SELECT trades.*, {_TIER} AS tier FROM trades JOIN cuts ON cs = trades.symbol WHERE scenario = 'pessimistic'),
+td AS (SELECT *, sum(r_net) OVER (PARTITION BY tier ORDER BY exit_time, decision_time ROWS UNBOUNDED PRECEDING) AS cum FROM tt), te AS (SELECT *, greatest(max(cum) OVER (PARTITION BY tier ORDER BY exit_time, decision_time ROWS UNBOUNDED PRECEDING), 0) - cum AS dd FROM td),
+tm AS (SELECT tier, avg(r_net) AS e, count(*) AS n, sum(r_net) FILTER (r_net > 0) / nullif(-sum(r_net) FILTER (r_net < 0), 0) AS pf, max(dd) AS m FROM te GROUP BY tier)"""
+_ITEMS = " UNION ALL ".join(f"SELECT 'demo' AS name, '{item}_{t}' AS item, (SELECT {test} FROM tm WHERE tier = '{t}') AS passed" for t in "AB" for item, test in (("expectancy", "e >= 0.1"), ("n", f"n >= {1000 if t == 'A' else 250}"), ("profit_factor", "pf >= 1.15"), ("drawdown", "m <= 15.0")))
+
+
+@register("checklist_items", f"WITH {_CHECK} {_ITEMS}")
+def checklist_items(spark, d):
+    """The items of the checklist that tiers A and B decide, from the pessimistic trades of each."""
+    t = research.with_tier(labelled(spark, d).where("scenario = 'pessimistic'"), research.tiers(src.bars(spark, d, 1)))
+    return research.checklist_rows(metrics.summary(t, ("tier",)).withColumn("name", F.lit("demo")))
+
+
+@register("ambiguity_sensitivity")
+def ambiguity_sensitivity(spark, d):
+    """What it changes to settle bars that hit both stop and target for the other side."""
+    s, p = signals(spark, d), manifest.staged(path(spark, d), "path")
+    out = None
+    for policy in ("pessimistic", "optimistic"):
+        rule = simulate.Exit(stop_atr=1.0, target_atr=1.5, time_exit_bars=24, policy=policy)
+        t = simulate.label(s, p, rule).where("scenario = 'pessimistic'").groupBy("symbol").agg(F.avg("r_net").alias(f"{policy}_r"), F.avg(F.col("ambiguous").cast("double")).alias("ambiguity_rate"))
+        out = t if out is None else out.join(t.drop("ambiguity_rate"), "symbol")
+    return rounded(out.withColumn("difference_r", F.col("optimistic_r") - F.col("pessimistic_r")), 4)
+
+
+@register("month_windows", "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS starts, (date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::TIMESTAMP AS ends, count(*) AS n FROM orders GROUP BY ALL")
+def month_windows(spark, d):
+    """A history fetched by half-open months: every row is in exactly one window."""
+    o = src.table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("t"))
+    start = F.date_trunc("month", "t").cast("timestamp_ntz")
+    return o.groupBy(start.alias("starts")).agg(F.count("*").alias("n")).select("starts", F.add_months("starts", 1).cast("timestamp_ntz").alias("ends"), "n")
+
+
+@register("cost_summary", f"WITH {qb._PRICED}, sr AS (SELECT symbol, spread_source, count(*) AS n, avg(spread_optimistic) AS optimistic, avg(spread_base) AS base, avg(spread_pessimistic) AS pessimistic, avg(CAST(in_rollover_window AS DOUBLE)) AS rollover_share FROM priced GROUP BY symbol, spread_source) SELECT symbol, spread_source, n, round(optimistic, 4) AS optimistic, round(base, 4) AS base, round(pessimistic, 4) AS pessimistic, round(rollover_share, 4) AS rollover_share FROM sr")
+def cost_summary(spark, d):
+    """What a cost build reports: bars and mean spreads by where they come from."""
+    p = qb.priced(spark, d)
+    return rounded(p.groupBy("symbol", "spread_source").agg(F.count("*").alias("n"), *(F.avg(f"spread_{c}").alias(c) for c in ("optimistic", "base", "pessimistic")), F.avg(F.col("in_rollover_window").cast("double")).alias("rollover_share")), 4)
+
+
+@register("profile_choice", "SELECT c_custkey, o_orderkey AS profile, o_orderstatus AS status FROM (SELECT o_custkey AS c_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+def profile_choice(spark, d):
+    """The profile in use: the newest validated one (status F), else the newest."""
+    valid = F.col("o_orderstatus") == "F"
+    pick = F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct(valid, "o_orderdate", "o_orderkey")).alias("r")
+    return src.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(pick).select("c_custkey", F.col("r.o_orderkey").alias("profile"), F.col("r.o_orderstatus").alias("status"))
+
+
+@register("stream_sessions", """WITH g AS (SELECT ts, epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, event_id)) >= 600000000 AS new FROM events), i AS (SELECT ts, sum(CAST(coalesce(new, true) AS INTEGER)) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+s AS (SELECT 'ALL' AS symbol, min(ts) AS starts, max(ts) + INTERVAL 10 MINUTE AS ends, count(*) AS ticks FROM i GROUP BY k) SELECT * FROM s WHERE ends <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""")
+def stream_sessions(spark, d):
+    """Runs of ticks without a gap of ten minutes, as a stream; the run that may still go on is not there."""
+    schema = src.table(spark, d, "events").schema
+    ticks = src.from_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+    out = manifest.scratch(spark, "stream")
+    stream.run_to_table(stream.sessions(ticks, "10 minutes"), f"{out}/sessions", f"{out}/state")
+    return spark.read.parquet(f"{out}/sessions")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import calendar as cal
 from tidemark.operators import quantiles
 from tidemark.operators.asof import asof
+from tidemark.sources.manifest import staged
 from tidemark.sources.tape import POINT
 
 #: Fixed value: the Euler-Mascheroni constant.
@@ -180,13 +181,67 @@ def deflated_sharpe(sharpe: float, n: int, skew: float, kurtosis: float, trials:
     return {"sharpe": sharpe, "expected_max": bar, "excess": sharpe - bar, "probability": prob}
 
 
-# splits, folds, grids
+# tiers, folds, grids
+
+
+def tiers(minute: DataFrame, first: float = 0.6, second: float = 0.8) -> DataFrame:
+    """symbol, b_start, c_start: the midnights after these shares of each history. A is before, C after."""
+    span = minute.groupBy("symbol").agg(F.min("ts_utc").alias("_a"), F.max("ts_utc").alias("_z"))
+    seconds = cal.seconds(F.col("_z")) - cal.seconds(F.col("_a"))
+    at = lambda q: F.date_add(F.to_date(F.timestamp_add("SECOND", F.floor(seconds * q), F.col("_a"))), 1).cast("timestamp_ntz")
+    return span.select("symbol", at(first).alias("b_start"), at(second).alias("c_start"))
+
+
+def with_tier(signals: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Signals with tier A, B or C by half-open bounds."""
+    t = F.col("decision_time")
+    return signals.join(cuts, "symbol").withColumn("tier", F.when(t < F.col("b_start"), "A").when(t < F.col("c_start"), "B").otherwise("C")).drop("b_start", "c_start")
+
+
+def walk_forward(trades: DataFrame, fold_table: DataFrame, least: int = 10) -> DataFrame:
+    """One row a fold: the variant that was best on its training span, and how it did on the test span.
+
+    ``trades``: variant, decision_time, r_net (one scenario). Every trade meets the folds that it belongs to, as training
+    or as test; the rest are aggregates. A fold without ``least`` training trades of any variant chooses none.
+    """
+    t = F.col("decision_time")
+    role = F.when((t >= F.col("train_start")) & (t < F.col("test_start")), "train").when((t >= F.col("test_start")) & (t < F.col("test_end")), "test")
+    rows = trades.join(F.broadcast(fold_table), (t >= F.col("train_start")) & (t < F.col("test_end"))).withColumn("role", role)  # some dozens of folds
+    sums = rows.groupBy("fold", "variant").agg(*(f(F.when(F.col("role") == r, F.col("r_net"))).alias(f"{r}_{n}") for r in ("train", "test") for f, n in ((F.count, "n"), (F.avg, "r"), (F.sum, "total"))))
+    order = Window.partitionBy("fold").orderBy(F.desc("train_r"), "variant")
+    best = sums.where(F.col("train_n") >= least).withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    return best.select("fold", "variant", F.col("train_n"), F.col("train_r").alias("train_expectancy_r"), F.col("test_n"), F.col("test_r").alias("test_expectancy_r"), F.coalesce("test_total", F.lit(0.0)).alias("test_total_r"))
+
+
+def lift(study: DataFrame, base: DataFrame, keys=("symbol", "scenario")) -> DataFrame:
+    """study_stats of a pattern beside those of its baseline, with the sample's verdict by the number of trades."""
+    own = study.select(*keys, "n", "target_rate", "mean_r_net", "mean_r_gross")
+    other = base.select(*keys, F.col("target_rate").alias("base_target_rate"), F.col("mean_r_net").alias("base_mean_r_net"))
+    return own.join(other, list(keys)).withColumns({"lift_target_rate": F.col("target_rate") - F.col("base_target_rate"), "lift_r_net": F.col("mean_r_net") - F.col("base_mean_r_net"), "sufficient": F.col("n") >= GATES["n_B"]})
+
+
+def screen(trades: DataFrame, q: float = 0.1, keys=("variant",)) -> DataFrame:
+    """One row a behaviour (trades of one scenario): n, rates, p of a mean at or below zero, q_value and whether it is a discovery."""
+    stats = study_stats(triple_barrier(trades), keys).select(*keys, "n", "target_rate", "mean_r_gross", "mean_r_net")
+    p = bootstrap(trades, keys).select(*keys, F.col("p_mean_le_0").alias("p_value"))
+    tested = stats.join(p, list(keys), "left")
+    found = false_discoveries(tested.where("p_value is not null"), "p_value", q)
+    return found.withColumnRenamed("rejected", "discovery").unionByName(tested.where("p_value is null"), allowMissingColumns=True)
+
+
+def checklist_rows(metrics: DataFrame) -> DataFrame:
+    """name, item, passed of what metrics of tiers A and B can decide: one row an item.
+
+    ``metrics``: name, tier and the columns of a summary; a tier that is missing leaves its items open (null).
+    """
+    at = lambda tier, c: F.max(F.when(F.col("tier") == tier, F.col(c)))
+    items = []
+    for tier in "AB":
+        items += [(f"expectancy_{tier}", at(tier, "expectancy_r") >= GATES["expectancy_r"]), (f"n_{tier}", at(tier, "n") >= GATES[f"n_{tier}"]), (f"profit_factor_{tier}", at(tier, "profit_factor") >= GATES["profit_factor"]), (f"drawdown_{tier}", at(tier, "max_dd_r") <= GATES["max_dd_r"])]
+    wide = metrics.groupBy("name").agg(F.array(*(F.struct(F.lit(n).alias("item"), x.alias("passed")) for n, x in items)).alias("items"))
+    return wide.select("name", F.explode("items").alias("i")).select("name", "i.*")
 
 
-def split_cuts(start: datetime, end: datetime) -> tuple[datetime, datetime]:
-    """The midnights after 60 and 80 percent of a history."""
-    at = lambda q: datetime.combine((start + (end - start) * q).date() + timedelta(days=1), datetime.min.time())
-    return at(0.6), at(0.8)
 
 
 def folds(spark, start: datetime, end: datetime, train_months: int = 12, test_months: int = 3, least_days: int = 20) -> DataFrame:
@@ -255,7 +310,7 @@ def checklist(a: dict | None, b: dict | None, ab: dict | None, c: dict | None, a
 def meta_filter(labelled: DataFrame, columns: list[str], n_folds: int = 5, embargo_days: int = 1, least_train: int = 100, seed: int = SEED) -> DataFrame:
     """Out-of-fold probability that a trade makes money, by boosted trees: decision_time, r_net, fold, probability.
 
-    Folds are blocks in time; a fold's model sees only trades decided before the block began, less the embargo. Folds
+    Folds are blocks of whole days; a fold's model sees only trades decided before the block began, less the embargo. Folds
     without enough such trades are left out. Missing values get a value of their own, below all others.
     """
     from pyspark.ml.classification import GBTClassifier
@@ -263,8 +318,12 @@ def meta_filter(labelled: DataFrame, columns: list[str], n_folds: int = 5, embar
     from pyspark.ml.functions import vector_to_array
 
     x = labelled.select("decision_time", "r_net", (F.col("r_net") > 0).cast("double").alias("label"), *(F.coalesce(F.col(c).cast("double"), F.lit(-1e9)).alias(c) for c in columns))
-    x = x.withColumn("fold", F.ntile(n_folds).over(Window.orderBy("decision_time")) - 1)
-    x = VectorAssembler(inputCols=columns, outputCol="features").transform(x).select("decision_time", "r_net", "label", "fold", "features").cache()
+    # blocks of equal numbers of trades, cut by the day that the running count of days reaches each share
+    days = x.groupBy(F.to_date("decision_time").alias("_day")).agg(F.count("*").alias("_n"))
+    upto = days.withColumn("_to", F.sum("_n").over(Window.orderBy("_day")))
+    cut = upto.crossJoin(x.agg(F.count("*").alias("_all"))).select("_day", F.least(F.floor((F.col("_to") - F.col("_n")) * n_folds / F.col("_all")), F.lit(n_folds - 1)).cast("int").alias("fold"))
+    x = x.withColumn("_day", F.to_date("decision_time")).join(cut, "_day").drop("_day")
+    x = staged(VectorAssembler(inputCols=columns, outputCol="features").transform(x).select("decision_time", "r_net", "label", "fold", "features"), "matrix")
     begins = {r["fold"]: r["t"] for r in x.groupBy("fold").agg(F.min("decision_time").alias("t")).collect()}
     out = None
     for k in range(1, n_folds):

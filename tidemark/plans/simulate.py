@@ -32,10 +32,12 @@ PATH = ("ts_utc", "open", "high", "low", "close", "spread_optimistic", "spread_b
 
 @dataclass(frozen=True)
 class Exit:
-    stop_atr: float
-    target_atr: float | None = None
-    time_exit_bars: int | None = None
-    trail_atr: float | None = None
+    """When a trade ends. Numbers may be columns of the signals, so that many variants are priced in one frame."""
+
+    stop_atr: float | Column
+    target_atr: float | Column | None = None
+    time_exit_bars: int | Column | None = None
+    trail_atr: float | Column | None = None
     flat_before_weekend: bool = False
     policy: str = "pessimistic"
 
@@ -89,10 +91,11 @@ def _hour(ts: Column) -> Column:
     return F.floor(cal.seconds(ts) / 3600)
 
 
-def entries(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account, start: str | None = None, stop: str | None = None) -> DataFrame:
+def entries(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account, start: str | None = None, stop: str | None = None, variants: list[dict] | None = None) -> DataFrame:
     """Signals with their entry bar, the time at which the search for an exit ends and why, and the bar of that time.
 
-    plan is an array with one struct a scenario: spread_in, slip_in, entry_price, stop, target.
+    plan is an array with one struct a scenario: spread_in, slip_in, entry_price, stop, target. ``variants``: numbers that
+    the exit names as columns; each signal is there once for each (variant: its place in the list), after the as-of joins.
     """
     s = signals
     if start is not None:
@@ -116,6 +119,9 @@ def entries(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account,
     last = path.groupBy("symbol").agg(F.max("ts_utc").alias("x_ts_utc"), *(F.max_by(c, "ts_utc").alias(f"x_{c}") for c in PATH if c != "ts_utc"))
     final = path.select("symbol", *(F.col(c).alias(f"f_{c}") for c in PATH))
     s = asof(s, final, "end_time", "f_ts_utc", [f"f_{c}" for c in PATH], direction="forward").join(last, "symbol")
+    if variants:
+        each = [F.struct(F.lit(str(i)).alias("variant"), *(F.lit(float(x)).alias(k) for k, x in v.items())) for i, v in enumerate(variants)]
+        s = s.withColumn("_v", F.explode(F.array(*each))).select("*", "_v.*").drop("_v")
     pt, side = account.point, F.col("side")
     s = s.withColumn("risk", exit_.stop_atr * F.col("atr_pts") * pt)
 
@@ -149,8 +155,8 @@ def _hit(b: Column, spread: Column, stop: Column, target: Column, exit_: Exit) -
     )
 
 
-def _one_round(s: DataFrame, bars: DataFrame, k: int, exit_: Exit, account: Account) -> DataFrame:
-    """KEY, hits and stops (one entry a scenario) over the minutes of the k-th ROUND_HOURS of each search.
+def _one_round(s: DataFrame, bars: DataFrame, k: int, exit_: Exit, account: Account, key: tuple[str, ...]) -> DataFrame:
+    """The key, hits and stops (one entry a scenario) over the minutes of the k-th ROUND_HOURS of each search.
 
     A signal is dealt only the hours of its own search, and once for all scenarios.
     """
@@ -165,7 +171,7 @@ def _one_round(s: DataFrame, bars: DataFrame, k: int, exit_: Exit, account: Acco
             fill = _hit(b, spread, F.col("stops")[i], F.col("plan")[i]["target"], exit_)
             return F.min(F.when(fill.isNotNull(), F.struct(F.col("ts_utc").alias("ts"), fill.alias("fill")).cast(HIT)))
 
-        each = rows.groupBy(*KEY).agg(F.array(*(first_hit(i, x) for i, x in points)).alias("_hits"))
+        each = rows.groupBy(*key).agg(F.array(*(first_hit(i, x) for i, x in points)).alias("_hits"))
         return each.withColumn("_stops", F.lit(None).cast("array<double>"))
     # a fold over the sorted minutes of the round: the stop moves when a bar of five minutes closes
     trail = exit_.trail_atr * F.col("atr_pts") * account.point
@@ -184,31 +190,31 @@ def _one_round(s: DataFrame, bars: DataFrame, k: int, exit_: Exit, account: Acco
         return F.aggregate("bs", start, step)
 
     b = F.struct("ts_utc", "open", "high", "low", "close", *(f"spread_{n}" for n in SCENARIOS))
-    each = rows.groupBy(*KEY, "e_ts_utc", "atr_pts", "plan", "stops").agg(F.sort_array(F.collect_list(b)).alias("bs"))
+    each = rows.groupBy(*key, "e_ts_utc", "atr_pts", "plan", "stops").agg(F.sort_array(F.collect_list(b)).alias("bs"))
     each = each.withColumn("_x", F.array(*(fold(i, n) for i, n in enumerate(SCENARIOS))))
     hits = F.transform("_x", lambda x: F.when(x["ts"].isNotNull(), F.struct(x["ts"].alias("ts"), x["fill"].alias("fill")).cast(HIT)))
-    return each.select(*KEY, hits.alias("_hits"), F.transform("_x", lambda x: x["stop"]).alias("_stops"))
+    return each.select(*key, hits.alias("_hits"), F.transform("_x", lambda x: x["stop"]).alias("_stops"))
 
 
-def exits(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account) -> DataFrame:
-    """KEY with hits: by scenario the first exit (time; price, reason, order, ambiguous), null where the search ends without.
+def exits(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account, key: tuple[str, ...] = KEY) -> DataFrame:
+    """The key with hits: by scenario the first exit (time; price, reason, order, ambiguous), null where the search ends without.
 
     The hours from entry to end are the equality key of the join. Searches longer than ROUND_HOURS go on in rounds with
     the signals that are still open; each round is written.
     """
     newest = path.agg(F.max("ts_utc")).first()[0]
     none = F.array(*(F.lit(None).cast(HIT) for _ in SCENARIOS))
-    s = signals.select(*KEY, "e_ts_utc", "end_time", "atr_pts", "plan", none.alias("hits"), F.transform("plan", lambda p: p["stop"]).alias("stops"))
+    s = signals.select(*key, "e_ts_utc", "end_time", "atr_pts", "plan", *(c for c in ("trail_atr",) if c in signals.columns), none.alias("hits"), F.transform("plan", lambda p: p["stop"]).alias("stops"))
     if newest is None:
-        return s.select(*KEY, "hits")
+        return s.select(*key, "hits")
     ends = F.timestamp_add("SECOND", F.lit(-1), F.least("end_time", F.timestamp_add("SECOND", F.lit(1), F.lit(newest).cast("timestamp_ntz"))))
     s = s.withColumns({"h0": _hour(F.col("e_ts_utc")), "h1": F.greatest(_hour(F.col("e_ts_utc")), _hour(ends))})
     bars = path.withColumn("hour", _hour(F.col("ts_utc")))
     hours = (s.agg(F.max(F.col("h1") - F.col("h0"))).first()[0] or 0) + 1
     rounds, closed = -(-hours // ROUND_HOURS), None
     for k in range(rounds):
-        each = _one_round(s, bars, k, exit_, account)
-        s = s.join(each, list(KEY), "left")
+        each = _one_round(s, bars, k, exit_, account, key)
+        s = s.join(each, list(key), "left")
         found = F.transform(F.sequence(F.lit(0), F.lit(len(SCENARIOS) - 1)), lambda i: F.coalesce(F.col("hits")[i], F.col("_hits")[i]))
         s = s.withColumns({"hits": found, "stops": F.coalesce("_stops", "stops")}).drop("_hits", "_stops")
         if k + 1 == rounds:
@@ -220,17 +226,19 @@ def exits(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account) ->
         closed = done if closed is None else closed.unionByName(done)
         if k + 1 < rounds and s.isEmpty():
             break
-    return closed.select(*KEY, "hits")
+    return closed.select(*key, "hits")
 
 
-def label(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account = Account(), start: str | None = None, stop: str | None = None) -> DataFrame:
+def label(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account = Account(), start: str | None = None, stop: str | None = None, variants: list[dict] | None = None) -> DataFrame:
     """Each signal priced on its own under each scenario: the trades that studies and the one-position rule choose from.
 
-    The path and the entries are read several times, so they are written once.
+    The path and the entries are read several times, so they are written once. Signals may hold a column ``variant``,
+    and ``variants`` makes one: then each variant of a signal is a trade.
     """
     path = staged(path, "path")
-    s = staged(entries(signals, path, exit_, account, start, stop), "entries")
-    s = s.join(exits(s, path, exit_, account), list(KEY), "left")
+    s = staged(entries(signals, path, exit_, account, start, stop, variants), "entries")
+    key = (*KEY, "variant") if "variant" in s.columns else KEY
+    s = s.join(exits(s, path, exit_, account, key), list(key), "left")
     s = s.withColumn("_p", F.explode(F.arrays_zip("plan", "hits"))).drop("plan", "hits")
     s = s.withColumns({n: F.col(f"_p.plan.{n}") for n in ("scenario", "spread_in", "slip_in", "entry_price", "target")} | {"stop_initial": F.col("_p.plan.stop"), "exit_ts": F.col("_p.hits.ts"), "fill": F.col("_p.hits.fill")}).drop("_p")
     pt, side = account.point, F.col("side")
@@ -255,7 +263,7 @@ def label(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account = A
     })
     s = s.withColumn("r_before_costs", F.col("r_net") + F.col("cost_spread_r") + F.col("cost_slippage_r") + F.col("cost_commission_r") + F.col("cost_swap_r"))
     return s.select(
-        "symbol", "scenario", "side", "decision_time", F.col("e_ts_utc").alias("entry_time"), "exit_time", "entry_price", "exit_price", "stop_initial", "target",
+        *(c for c in key if c == "variant"), "symbol", "scenario", "side", "decision_time", F.col("e_ts_utc").alias("entry_time"), "exit_time", "entry_price", "exit_price", "stop_initial", "target",
         F.col("x.reason").alias("exit_reason"), F.col("x.ambiguous").alias("ambiguous"), "atr_pts", (risk / pt).alias("risk_pts"), "r_net", "r_before_costs",
         "cost_spread_r", "cost_slippage_r", "cost_commission_r", "cost_swap_r", "spread_measured",
     )

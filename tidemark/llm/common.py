@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. Only a local session, whose tasks share its disk, may do without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,3 +57,8 @@ def text_or_empty(column: str = "text") -> Column:
 def fold_of(column: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, most: int = 200_000) -> DataFrame:
+    """A join that leaves ``big`` where it is if ``small``, which is counted, has at most ``most`` narrow rows; else both are shuffled."""
+    return big.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, on, how)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import materialise, small_batches
+from tidemark.llm.common import join_small, materialise, small_batches
 from tidemark.llm.graph import connected_components
 
 SEED = 42
@@ -31,8 +31,6 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 BLOCK = 8192
 #: One in so many fingerprints is counted to find the variants whose buckets need several tasks.
 PROBE = 64
-#: Such variants that are dealt to several tasks; the buckets of any further ones are compared by one task each.
-MOST_DEALT = 10_000
 #: Up to so many rows, a bucket's pairs are verified one by one; beyond, only a spanning set leaves the task.
 SMALL = 32
 
@@ -113,12 +111,9 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     if distance > 4:
         raise ValueError("three segments with one wildcard cover at most four bits")
     probe = variants(fps.where(F.pmod(F.xxhash64("fp"), F.lit(PROBE)) == 0))
-    hot = (
-        probe.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= BLOCK // PROBE)
-        .orderBy(F.desc("c"), "key").limit(MOST_DEALT)
-        .select("key", F.ceil(F.col("c") * PROBE / BLOCK + 1).cast("int").alias("blocks"))
-    )
-    dealt = variants(fps).join(F.broadcast(hot), "key", "left")
+    hot = probe.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= BLOCK // PROBE)
+    hot = materialise(hot.select("key", F.ceil(F.col("c") * PROBE / BLOCK + 1).cast("int").alias("blocks")), "simhash-hot", few=True)
+    dealt = join_small(variants(fps), hot, ["key"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
@@ -191,7 +186,7 @@ def deduplicate(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame
     """The documents of which no earlier one (by doc_id) is in the same component; of repeated rows of one doc_id all stay."""
     labels = near_duplicates(docs, words, distance)
     drop = labels.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return join_small(docs, materialise(drop, "simhash-dropped", few=True), ["doc_id"], "left_anti", 2_000_000).select(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_path, small_batches
+from tidemark.llm.common import fresh_path, join_small, materialise, small_batches
 
 #: The header lines of the two versions.
 V1_FIELDS = ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length")
@@ -279,7 +279,8 @@ def page_records(pages: DataFrame, version: int = 2, least_bytes: int = LEAST_BY
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload"))
     copies = p.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("first_id"), F.max_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
-    rows = p.join(copies.where("n > 1").drop("n"), ["sha", "size"], "left").select("page_id", "url", "payload", "first_id", "first_url")
+    # the payloads stay where they are if the digests that occur twice are few
+    rows = join_small(p, materialise(copies.where("n > 1").drop("n"), "warc-copies", few=True), ["sha", "size"], "left").select("page_id", "url", "payload", "first_id", "first_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,7 +318,7 @@ def page_archives(pages: DataFrame, version: int = 2, least_bytes: int = LEAST_B
     small_batches(spark)
     path = fresh_path(spark, "warc")
     write_archives(page_records(pages, version, least_bytes), path)
-    found = read_archives(spark, path)
+    found = materialise(read_archives(spark, path), "warc-captures")
     responses = found.where("record_type = 'response' and page_id is not null").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")).distinct()
     found = found.join(responses, "refers_id", "left")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target")

@@ -80,12 +80,11 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.ids = _Memory(lambda p: self.merge(p.encode("utf-8")))
-        self.back = _Memory(lambda p: self.decode(self.merge(p.encode("utf-8"))))
         self.shown = _Memory(self._show)
 
     def _show(self, piece: str) -> str:
         ids = self.merge(piece.encode("utf-8"))
-        self.back.put(piece, self.decode(ids))
+        self.ids.put(piece, ids)
         return " ".join(map(str, ids))
 
     def merge(self, piece: bytes) -> list[int]:
@@ -157,11 +156,11 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids as decimals and of the bytes they decode to."""
+        """Number of ids, SHA-256 of the ids as decimals and of the bytes that the whole list of ids decodes to."""
         pieces = self.split(text or "")
         shown = " ".join(map(self.shown.__getitem__, pieces)).encode()
-        back = b"".join(map(self.back.__getitem__, pieces))
-        return (shown.count(b" ") + 1 if pieces else 0), hashlib.sha256(shown).hexdigest(), hashlib.sha256(back).hexdigest()
+        ids = list(chain.from_iterable(map(self.ids.__getitem__, pieces)))
+        return len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
 def load_ranks(content: bytes) -> dict[bytes, int]:

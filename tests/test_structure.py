@@ -97,6 +97,19 @@ def test_lines_against_loops(spark, bars, walk, rising):
     assert seen > 50
 
 
+def test_overlays_are_what_the_columns_say(spark, bars):
+    b = structure.line_features(bars, K).orderBy("ts_utc").collect()
+    lines = structure.lines_table(bars, K).collect()
+    for kind, name in (("up", "up"), ("down", "dn")):
+        mine = [r for r in lines if r["kind"] == kind]
+        assert sum(sum(x["formed"] <= r["ts_utc"] <= x["ended"] for x in mine) for r in b) == sum(r[f"tl_{name}_touches"] is not None for r in b) > 50
+        assert sum(x["broken"] for x in mine) == sum(r[f"tl_{name}_break"] for r in b)
+    last = structure.level_features(bars, K).orderBy(F.desc("ts_utc")).first()
+    prices = sorted(r["price"] for r in structure.levels_now(bars, K).collect())
+    above = [p for p in prices if p > last["close"]]
+    assert prices and ((last["sr_above_dist_atr"] is None) if not above else same(last["sr_above_dist_atr"], (above[0] - last["close"]) / last["atr"]))
+
+
 def test_clusters(spark):
     rows = spark.createDataFrame([([13.1, 10.0, 11.0, 10.2, 13.0, 10.3],), ([],)], "p array<double>")
     got = [r["c"] for r in rows.select(geo.clusters(F.col("p"), F.lit(0.35)).alias("c")).collect()]

@@ -16,14 +16,28 @@ from pyspark.sql import types as T
 from tidemark.operators import windows as win
 
 
+#: Values that one matrix product takes through the recursion.
+BLOCK = 128
+
+
 def _run(x: np.ndarray, a: float, start: float) -> np.ndarray:
-    """The recursion over values without nulls; start nan: the first value starts it."""
-    out = np.empty(len(x))
+    """The recursion over values without nulls; start nan: the first value starts it.
+
+    A block's averages are its values times a triangle of weights, plus what is left of the average before it.
+    """
+    if not len(x):
+        return np.empty(0)
+    if start != start:
+        return np.r_[x[0], _run(x[1:], a, float(x[0]))]
+    power = (1 - a) ** np.arange(BLOCK + 1)
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
+    weights = np.where(lag >= 0, a * power[np.abs(lag)], 0.0)
+    own = np.pad(x, (0, -len(x) % BLOCK)).reshape(-1, BLOCK) @ weights.T
     y = start
-    for i, v in enumerate(x.tolist()):
-        y = v if y != y else (1 - a) * y + a * v
-        out[i] = y
-    return out
+    for k in range(len(own)):
+        own[k] += power[1:] * y
+        y = own[k, -1]
+    return own.ravel()[: len(x)]
 
 
 def ewm(df: DataFrame, averages: dict[str, tuple[str, float, int]], keys=win.KEYS, time: str = "ts_utc", order=("ts_utc",), chunk: int = win.CHUNK) -> DataFrame:

@@ -276,6 +276,23 @@ hx AS (SELECT v.*, h1_sw_trend, (close - h1_hi) / a AS h1_sw_hi_dist_atr, (close
 )
 
 
+_EVENT = " UNION ALL ".join([f"SELECT symbol, ts_utc, '{k}' AS kind FROM ev WHERE {c}" for k, c in [*((f"{a}_{n}", f"{b}_{n}") for n in ("up", "down") for a, b in (("break", "sw_break"), ("failed_break", "failed_break"))), ("sweep_high", "sweep_high"), ("sweep_low", "sweep_low")]]
+    + [f"SELECT symbol, ts_utc, 'retest_{n}' FROM (SELECT *, row_number() OVER (PARTITION BY symbol, k_{n} ORDER BY ts_utc) AS k FROM ev WHERE retest_{n}) WHERE k = 1" for n in ("up", "down")])
+_BEFORE = "(PARTITION BY symbol ORDER BY ts_utc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+register("overlay_events", f"WITH {_BREAK}, ev AS (SELECT *, {', '.join(f'coalesce(sum(CAST(sw_break_{n} AS INTEGER)) OVER {_BEFORE}, 0) AS k_{n}' for n in ('up', 'down'))} FROM down) {_EVENT}")(lambda spark, d: structure.structure_events(_broken(spark, d)))
+
+
+@register("overlay_lines")
+def overlay_lines(spark, d):
+    """The trendlines themselves, a row each."""
+    return rounded(structure.lines_table(m5(spark, d).select(*KEY, "high", "low", "close", "atr")))
+
+
+@register("overlay_levels")
+def overlay_levels(spark, d):
+    return rounded(structure.levels_now(m5(spark, d).select(*KEY, "high", "low", "close", "atr")))
+
+
 @register("sr_levels")
 def sr_levels(spark, d):
     return rounded(structure.level_features(m5(spark, d).select(*KEY, "high", "low", "close", "atr")))

@@ -122,3 +122,35 @@ def swings_table(b: DataFrame, k: int = K_M5) -> DataFrame:
     kinds = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), F.col(f"pivot_{n}").alias("price")) for n in ("high", "low"))))
     return p.select("symbol", "ts_utc", "known_at", kinds.alias("s")).where("s.price is not null").select("symbol", "ts_utc", "s.kind", "s.price", "known_at")
 
+
+
+def lines_table(b: DataFrame, k: int = K_M5) -> DataFrame:
+    """symbol, kind, from_row, price, slope, touches, width, formed, ended, broken: a row a line that was ever active."""
+    rows, swings = _marked(b, k)
+    out = None
+    for kind, rising in (("up", True), ("down", False)):
+        on = geo.with_line(rows, swings, rising).where("_active")
+        t = on.groupBy("symbol", F.lit(kind).alias("kind"), "_line").agg(F.min("ts_utc").alias("formed"), F.max("ts_utc").alias("ended"), F.max("_through").alias("broken"))
+        out = t if out is None else out.unionByName(t)
+    return out.select("symbol", "kind", F.col("_line.from").alias("from_row"), "_line.price", "_line.slope", "_line.touches", "_line.width", "formed", "ended", "broken")
+
+
+def levels_now(b: DataFrame, k: int = K_M5) -> DataFrame:
+    """symbol, price, touches, low, high: the levels at each symbol's last bar, with the band that a cluster spans."""
+    rows, swings = _marked(b, k)
+    last = geo.with_levels(rows, swings).groupBy("symbol").agg(F.max_by("levels", "_row").alias("levels"), F.max_by("atr", "_row").alias("atr"))
+    half = geo.LEVEL_WIDTH * F.col("atr") / 2
+    return last.select("symbol", "atr", F.explode("levels").alias("l")).select("symbol", "l.price", "l.touches", (F.col("price") - half).alias("low"), (F.col("price") + half).alias("high"))
+
+
+def structure_events(b: DataFrame) -> DataFrame:
+    """symbol, ts_utc, kind of breaks, first retests, failures and sweeps: what a chart marks. Needs break_features."""
+    w = win.over()
+    flags = {}
+    for n in ("up", "down"):
+        b = b.withColumn(f"_break_{n}", F.coalesce(win.before(F.sum, F.col(f"sw_break_{n}").cast("int"), w), F.lit(0)))
+        flags |= {f"break_{n}": F.col(f"sw_break_{n}"), f"retest_{n}": win.first_true(F.col(f"retest_{n}"), F.col(f"_break_{n}")), f"failed_break_{n}": F.col(f"failed_break_{n}")}
+    flags |= {k: F.col(k) for k in ("sweep_high", "sweep_low")}
+    b = b.withColumns({f"_is_{k}": x for k, x in flags.items()})
+    kinds = F.explode(F.filter(F.array(*(F.when(F.col(f"_is_{k}"), F.lit(k)) for k in flags)), lambda x: x.isNotNull()))
+    return b.select("symbol", "ts_utc", kinds.alias("kind"))

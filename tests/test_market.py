@@ -22,7 +22,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's ta
 TWINS = [
     "ohlc_m5", "ohlc_by_symbol_h1", "bars_verify_full_outer", "gap_classify", "clock_weekly_mode", "tick_histogram", "spread_lookup_cascade", "swap_nights",
     "feat_anatomy", "feat_sequence", "feat_htf_h1", "feat_ema_stack", "swing_state", "breaks_retests", "signals_compile", "triple_barrier", "breakdown_sets",
-    "bh_fdr", "walk_forward_folds", "latest_per_key", "set_difference",
+    "bh_fdr", "walk_forward_folds", "latest_per_key", "set_difference", "overlay_events", "preregistration", "stream_sessions", "walk_forward_fixed",
 ]
 
 

@@ -104,7 +104,9 @@ register("stability", q.query(f"""{_BRK}, sb AS (SELECT symbol, scenario, "by",
     lambda spark, d: rounded(metrics.stability(metrics.breakdown(labelled(spark, d), metrics.calendar_buckets())), 4)
 )
 register("equity_drawdown", q.query(_SUM, "c1", ["symbol", "scenario", "decision_time", "exit_time"], ["cum AS cum_r", "dd AS dd_r"], places=4))(lambda spark, d: rounded(metrics.with_drawdown(labelled(spark, d)).select("symbol", "scenario", "decision_time", "exit_time", "cum_r", "dd_r"), 4))
-register("equity_points")(lambda spark, d: rounded(metrics.equity_curve(labelled(spark, d), 100), 4))
+_POINTS = f"""{_SUM}, eq AS (SELECT *, row_number() OVER ({_R} ORDER BY exit_time, decision_time) - 1 AS k, count(*) OVER ({_R}) AS m FROM c1),
+ep AS (SELECT * FROM eq WHERE k = 0 OR floor(k * (least(m, 100) - 1) / greatest(m - 1, 1)) > floor((k - 1) * (least(m, 100) - 1) / greatest(m - 1, 1)))"""
+register("equity_points", q.query(_POINTS, "ep", ["symbol", "scenario", "exit_time"], ["cum AS cum_r", "dd AS dd_r"], places=4))(lambda spark, d: rounded(metrics.equity_curve(labelled(spark, d), 100), 4))
 register("cost_stress", q.query(f"{TRADES}, st AS (SELECT symbol, scenario, unnest([0, 10, 20, 50, 100, 150, 200, 300]) AS extra_points, avg(r_net) AS m, avg(0.01 / risk) AS inv FROM trades GROUP BY symbol, scenario)", "st", ["symbol", "scenario", "extra_points"], ["m - extra_points * inv AS expectancy_r", "m / inv AS breakeven_points"], places=4))(
     lambda spark, d: rounded(research.cost_stress(labelled(spark, d)), 4)
 )
@@ -310,12 +312,15 @@ def _baseline_trades(spark, d):
     return research.triple_barrier(simulate.label(research.baseline(qf.hygienic(spark, d)), path(spark, d), EXIT))
 
 
-register("baseline_study", q.query(f"{trades_sql(_BASE).replace('hd = decision_time AND hs = scenario', 'hd = decision_time AND hs = scenario AND hside = side').replace('SELECT decision_time AS hd, scenario AS hs', 'SELECT decision_time AS hd, scenario AS hs, side AS hside').replace('h2 AS (SELECT decision_time, scenario, ht', 'h2 AS (SELECT decision_time, scenario, side, ht')}, bs AS ({_STATS.format('trades')})", "bs", ["symbol", "scenario", "n"], _LIFT, places=4))(
+_BASE_TRADES = trades_sql(_BASE).replace("hd = decision_time AND hs = scenario", "hd = decision_time AND hs = scenario AND hside = side").replace("SELECT decision_time AS hd, scenario AS hs", "SELECT decision_time AS hd, scenario AS hs, side AS hside").replace("h2 AS (SELECT decision_time, scenario, ht", "h2 AS (SELECT decision_time, scenario, side, ht")
+register("baseline_study", q.query(f"{_BASE_TRADES}, bs AS ({_STATS.format('trades')})", "bs", ["symbol", "scenario", "n"], _LIFT, places=4))(
     lambda spark, d: rounded(research.study_stats(_baseline_trades(spark, d)).select("symbol", "scenario", "n", *_LIFT), 4)
 )
+_LIFT_SQL = f"""SELECT a.symbol, a.scenario, a.n, {', '.join(f'round(a.{c}, 4) AS {c}' for c in _LIFT)}, round(b.target_rate, 4) AS base_target_rate, round(b.mean_r_net, 4) AS base_mean_r_net, round(a.target_rate - b.target_rate, 4) AS lift_target_rate,
+  round(a.mean_r_net - b.mean_r_net, 4) AS lift_r_net, a.n >= 250 AS sufficient FROM (WITH {TRADES} {_STATS.format('trades')}) a JOIN (WITH {_BASE_TRADES} {_STATS.format('trades')}) b ON a.symbol = b.symbol AND a.scenario = b.scenario"""
 
 
-@register("study_lift")
+@register("study_lift", _LIFT_SQL)
 def study_lift(spark, d):
     """The rule's trades beside those of every eligible bar under the same barriers."""
     return rounded(research.lift(research.study_stats(labelled(spark, d)), research.study_stats(_baseline_trades(spark, d))), 4)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, embedding_dedup, html_text, lm, mixing, quality, sharding, simhash, warc
+from tidemark.llm import ann, bpe, embedding_dedup, html_text, lm, mixing, quality, repeats, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_pu": quality.op1_quality_pu,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kd_sharding": sharding.op8_kd_sharding,
     "op9_lm_scores": lm.op9_lm_scores,
     "op10_html_main_text": html_text.op10_html_main_text,
+    "op11_lpf_repeats": repeats.op11_lpf_repeats,
 }
 ORACLE_SQL: dict[str, str] = {"op4_ipf_mixing": mixing.ORACLE}

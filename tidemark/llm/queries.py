@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, embedding_dedup, html_text, lm, mixing, quality, repeats, sharding, simhash, warc
+from tidemark.llm import (
+    ann, bpe, divergence, embedding_dedup, html_text, lm, mixing, quality, repeats, resampling, sharding, simhash, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_pu": quality.op1_quality_pu,
@@ -20,5 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scores": lm.op9_lm_scores,
     "op10_html_main_text": html_text.op10_html_main_text,
     "op11_lpf_repeats": repeats.op11_lpf_repeats,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op4_ipf_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_ipf_mixing": mixing.ORACLE, "op12_source_divergence": divergence.ORACLE}

@@ -456,7 +456,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     live = live.groupBy("id").agg(F.collect_list("off").alias("live"))
     segs = segment_rows(plain.repartition(parts, "id").join(live, "id"), length, hot)
     spans = later_copies(segs.repartition(parts, "key").sortWithinPartitions("key"), length)
-    spans = materialise(spans, "repeats-spans", few=True)
+    spans = materialise(spans, "repeats-spans")
     found = spans.groupBy("id").agg(F.collect_list(F.struct("th", "spans")).alias("found"))
     cut = _cut(texts.join(found, "id", "left"))
     return cut.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "kept", "spans")

@@ -43,7 +43,7 @@ def _run(x: np.ndarray, a: float, start: float) -> np.ndarray:
 def ewm(df: DataFrame, averages: dict[str, tuple[str, float, int]], keys=win.KEYS, time: str = "ts_utc", order=("ts_utc",), chunk: int = win.CHUNK) -> DataFrame:
     """``df`` with each average: name -> (column, smoothing, least). Null until ``least`` values; null values are passed over."""
     names = list(averages)
-    cut = win.row_index(df, "_row", keys, time, order).withColumn("_chunk", F.floor(F.col("_row") / chunk)).drop("_row")
+    cut = win.placed(df, keys, time, order).withColumn("_chunk", F.floor(F.col(win.PLACE) / chunk)).select(*(F.col(f"`{c}`") for c in df.columns), "_chunk")
     key_fields = [f for f in df.schema.fields if f.name in keys]
     ends = T.StructType([*key_fields, T.StructField("_chunk", T.LongType()), *(T.StructField(f"_{p}_{n}", T.DoubleType()) for n in names for p in ("m", "b", "f", "c"))])
 

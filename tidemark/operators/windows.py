@@ -1,20 +1,30 @@
 """Windows over bar order.
 
 Every window is keyed: by symbol, or by symbol and chunk. ``in_chunks`` cuts a long series into chunks of rows that
-carry the rows before them as warm-up, so that any operator with a bounded look-back runs in partitions of bounded size
-with the same result; ``without_warm_up`` drops the warm-up afterwards.
+carry the rows before (and after) them as warm-up, so that any operator with a bounded look-back runs in partitions of
+bounded size with the same result; ``by_chunks`` does that for a whole group of columns. What depends on all rows before
+is a scan (``operators.scan``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ("symbol",)
 CHUNK = 8_192
+PLACE = "__place"
+
 
+#: What windows are keyed by where no keys are named.
+_default: ContextVar[tuple[str, ...]] = ContextVar("keys", default=KEYS)
 
-def over(keys=KEYS, order=("ts_utc",)) -> WindowSpec:
+
+def over(keys=None, order=("ts_utc",)) -> WindowSpec:
+    keys = keys or _default.get()
     return Window.partitionBy(*keys).orderBy(*order)
 
 
@@ -79,17 +89,6 @@ def crossing(a: Column, w: WindowSpec) -> Column:
     return F.when((a > 0) & (was <= 0), 1).when((a < 0) & (was >= 0), -1).otherwise(0)
 
 
-def run_length(df: DataFrame, value: str, into: str, keys=KEYS, order=("ts_utc",)) -> DataFrame:
-    """Length so far of the run of equal values that a row is in; nulls equal one another.
-
-    A run starts where the value changes, so its length is the distance to the last start: no partition by run.
-    """
-    w = over(keys, order)
-    new = F.lag(F.lit(1)).over(w).isNull() | ~F.col(value).eqNullSafe(F.lag(value).over(w))
-    starts = df.withColumn("_rn", F.row_number().over(w)).withColumn("_from", F.when(new, F.col("_rn")))
-    return starts.withColumn(into, F.col("_rn") - so_far(F.max, F.col("_from"), w) + 1).drop("_rn", "_from")
-
-
 def first_true(flag: Column, group: Column, keys=KEYS, order=("ts_utc",)) -> Column:
     """True on the first row of each group on which the flag holds."""
     w = Window.partitionBy(*keys, group).orderBy(*order)
@@ -109,16 +108,39 @@ def row_index(df: DataFrame, into: str = "row", keys=KEYS, time: str = "ts_utc",
     return out.withColumn(into, (F.col("_own") + F.col("_past")).cast("long")).drop("_day", "_own", "_past", "_on", *(f"_{k}" for k in keys))
 
 
-def in_chunks(df: DataFrame, look_back: int, size: int = CHUNK, keys=KEYS, time: str = "ts_utc", order=("ts_utc",)) -> DataFrame:
-    """Rows with ``chunk`` and ``warm_up``; the last ``look_back`` rows before a chunk are in it again as warm-up."""
-    if look_back > size:
-        size = look_back
-    df = row_index(df, "_row", keys, time, order)
-    chunk = F.floor(F.col("_row") / size)
-    late = F.pmod(F.col("_row"), F.lit(size)) >= size - look_back
-    copies = F.when(late, F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("warm_up")), F.struct((chunk + 1).alias("chunk"), F.lit(True).alias("warm_up")))).otherwise(F.array(F.struct(chunk.alias("chunk"), F.lit(False).alias("warm_up"))))
-    return df.withColumn("_c", F.explode(copies)).select(*(c for c in df.columns if c != "_row"), "_c.chunk", "_c.warm_up")
+def placed(df: DataFrame, keys=KEYS, time: str = "ts_utc", order=("ts_utc",)) -> DataFrame:
+    """``df`` with PLACE, the row number from 0 in each key's order. A series of symbols that has it keeps it: it is
+    written with bars that many groups of columns read, and holds while no row is taken out."""
+    return df if PLACE in df.columns and tuple(keys) == KEYS else row_index(df, PLACE, keys, time, order)
+
+
+def in_chunks(df: DataFrame, look_back: int, size: int = CHUNK, keys=KEYS, time: str = "ts_utc", order=("ts_utc",), look_ahead: int = 0) -> DataFrame:
+    """Rows with ``chunk`` and ``warm_up``; the rows that a chunk looks back (ahead) on are in it again as warm-up."""
+    size = max(size, look_back, look_ahead)
+    columns = df.columns
+    df = placed(df, keys, time, order)
+    chunk, at = F.floor(F.col(PLACE) / size), F.pmod(F.col(PLACE), F.lit(size))
+    copy = lambda c, warm: F.struct(c.alias("chunk"), F.lit(warm).alias("warm_up"))
+    copies = [copy(chunk, False), F.when(at >= size - look_back, copy(chunk + 1, True)), F.when((at < look_ahead) & (chunk > 0), copy(chunk - 1, True))]
+    each = F.explode(F.filter(F.array(*copies), lambda c: c.isNotNull()))
+    return df.withColumn("_c", each).select(*(F.col(f"`{c}`") for c in columns), "_c.chunk", "_c.warm_up")
 
 
 def without_warm_up(df: DataFrame) -> DataFrame:
     return df.where(~F.col("warm_up")).drop("chunk", "warm_up")
+
+
+def by_chunks(df: DataFrame, look_back: int, make: Callable[[DataFrame], DataFrame], look_ahead: int = 0, size: int = CHUNK, keys=KEYS) -> DataFrame:
+    """``make`` of ``df`` by chunks, for columns that need no more than ``look_back`` rows before and ``look_ahead`` after.
+
+    Windows that ``make`` takes from ``over()`` without keys are then keyed by chunk. Within another by_chunks it is
+    ``make`` itself: the outer one looks far enough.
+    """
+    if _default.get() != KEYS:
+        return make(df)
+    cut = in_chunks(df, look_back, size, keys, look_ahead=look_ahead)
+    token = _default.set((*keys, "chunk"))
+    try:
+        return without_warm_up(make(cut))
+    finally:
+        _default.reset(token)

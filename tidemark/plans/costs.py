@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import calendar as cal
 from tidemark.functions.scalar import positive
 from tidemark.operators import quantiles
+from tidemark.operators import scan
 from tidemark.operators import windows as win
 from tidemark.operators.joins import cascade
 from tidemark.sources.tape import POINT
@@ -26,8 +27,12 @@ def true_range(w) -> Column:
 
 def average_range(bars: DataFrame, n: int = 14, point: float = POINT) -> DataFrame:
     """Bars with atr, the mean true range of the n bars before, and atr_pts."""
-    w = win.over()
-    out = bars.withColumn("_tr", true_range(w)).withColumn("_mean", win.mean(F.col("_tr"), w, n)).withColumn("atr", F.lag("_mean").over(w))
+
+    def make(b: DataFrame) -> DataFrame:
+        w = win.over()
+        return b.withColumn("_tr", true_range(w)).withColumn("_mean", win.mean(F.col("_tr"), w, n)).withColumn("atr", F.lag("_mean").over(w))
+
+    out = win.by_chunks(bars, n + 2, make)
     return out.withColumn("atr_pts", F.col("atr") / point).drop("_tr", "_mean")
 
 
@@ -75,11 +80,10 @@ def measured_minutes(hist: DataFrame) -> DataFrame:
 
 def bar_keys(minute: DataFrame) -> DataFrame:
     """Minute bars with hour_utc, dow, in_rollover_window and level: the spread if above zero, else the last such, else the next."""
-    w = win.over()
     level = F.when(F.col("spread_points") > 0, F.col("spread_points"))
     out = minute.withColumns({"hour_utc": F.hour("ts_utc"), "dow": cal.iso_weekday(F.col("ts_utc")), "in_rollover_window": cal.in_rollover(F.col("ts_utc")), "level_imputed": level.isNull(), "_level": level})
-    out = out.withColumn("level", F.coalesce(win.fill_forward(F.col("_level"), w), win.fill_backward(F.col("_level"))))
-    return out.drop("_level")
+    out = scan.filled(scan.filled(out, {"_last": F.col("_level")}), {"_next": F.col("_level")}, backward=True)
+    return out.withColumn("level", F.coalesce("_last", "_next")).drop("_level", "_last", "_next")
 
 
 def with_bar_bucket(keys: DataFrame, five: DataFrame, **parameters) -> DataFrame:

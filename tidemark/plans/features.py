@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.functions.scalar import positive, ratio, sign_of, truth
+from tidemark.operators import scan
 from tidemark.operators import windows as win
 from tidemark.operators.asof import asof
 from tidemark.operators.ewm import ewm, span, wilder
 from tidemark.plans import costs
+from tidemark.sources.manifest import staged
 from tidemark.sources.tape import POINT
 
 BAR_MINUTES = 5
@@ -31,11 +33,16 @@ def atr(x: Column) -> Column:
 
 
 def with_atr(bars: DataFrame, ratio_too: bool = True, **parameters) -> DataFrame:
+    bars = win.placed(bars)
     out = costs.volatility(bars, **parameters) if ratio_too else costs.average_range(bars, **parameters)
     return out.withColumns({"event_time": F.col("ts_utc"), "available_at": cal.plus_minutes(F.col("ts_utc"), BAR_MINUTES)})
 
 
 def anatomy(b: DataFrame, median_rows: int = 288, least: int = 48) -> DataFrame:
+    return win.by_chunks(b, median_rows, lambda b: _anatomy(b, median_rows, least))
+
+
+def _anatomy(b: DataFrame, median_rows: int, least: int) -> DataFrame:
     O, H, L, C = columns("open", "high", "low", "close")  # noqa: E741
     w = win.over()
     b = b.withColumns({
@@ -49,11 +56,18 @@ def anatomy(b: DataFrame, median_rows: int = 288, least: int = 48) -> DataFrame:
 
 
 def sequence(b: DataFrame) -> DataFrame:
-    """Needs anatomy."""
+    """Needs anatomy. The runs go over all bars, the rest looks back on some."""
+    b = win.placed(scan.run_length(b, "dir", "_run")).withColumn("_rn", F.col(win.PLACE))
+    b = staged(win.by_chunks(b, 21, _sequence), "sequence")
+    b = scan.run_length(b, "inside_bar", "_inside").withColumn("inside_streak", F.when(truth(F.col("inside_bar")), F.col("_inside")).otherwise(0).cast("int")).drop("_inside")
+    b = scan.scan(b, {"_opened": (scan.MAX, F.when((F.col("_gap") > 1440) | (F.col("_rn") == 0), F.col("_rn")))})
+    return b.withColumns({"bars_since_week_open": (F.col("_rn") - F.col("_opened")).cast("int"), "gap_before_min": F.col("_gap").cast("int")}).drop("_gap", "_rn", "_opened")
+
+
+def _sequence(b: DataFrame) -> DataFrame:
     H, L, C = columns("high", "low", "close")
     w = win.over()
     code = lambda c: F.when(c > 0, "U").when(c < 0, "D").when(c == 0, "-")
-    b = win.run_length(b, "dir", "_run")
     b = b.withColumns({
         "dir_lag1": F.lag("dir", 1).over(w), "dir_lag2": F.lag("dir", 2).over(w), "body_atr_lag1": F.lag("body_atr").over(w), "close_loc_lag1": F.lag("close_loc").over(w),
         "range_atr_lag1": F.lag("range_atr").over(w), "streak": (F.col("_run") * F.col("dir")).cast("int"),
@@ -66,11 +80,8 @@ def sequence(b: DataFrame) -> DataFrame:
         "_gap": F.coalesce(cal.minutes_between(F.lag("ts_utc").over(w), F.col("ts_utc")) - BAR_MINUTES, F.lit(0)),
     }).drop("_run")
     b = b.withColumn("dirs_3", F.concat(code(F.col("dir_lag2")), code(F.col("dir_lag1")), code(F.col("dir"))))
-    b = win.run_length(b, "inside_bar", "_inside").withColumn("inside_streak", F.when(truth(F.col("inside_bar")), F.col("_inside")).otherwise(0).cast("int")).drop("_inside")
     b = b.withColumns({"dist_high20_atr": atr(F.col("_top") - C), "dist_low20_atr": atr(C - F.col("_bottom")), "pos_in_range20": ratio(C - F.col("_bottom"), F.col("_top") - F.col("_bottom"))})
-    b = b.withColumn("_rn", F.row_number().over(w))
-    opened = win.so_far(F.max, F.when((F.col("_gap") > 1440) | (F.col("_rn") == 1), F.col("_rn")), w)
-    return b.withColumns({"bars_since_week_open": (F.col("_rn") - opened).cast("int"), "gap_before_min": F.col("_gap").cast("int")}).drop("_gap", "_rn", "_top", "_bottom")
+    return b.drop("_top", "_bottom")
 
 
 def regime_edges(b: DataFrame, value: str = "vol_ratio", look_back_days: int = 365, least: int = 2880, unit: str = "month") -> DataFrame:
@@ -91,10 +102,14 @@ def regime_edges(b: DataFrame, value: str = "vol_ratio", look_back_days: int = 3
 
 def volatility(b: DataFrame, look_back_days: int = 365, least: int = 2880, unit: str = "month") -> DataFrame:
     C = F.col("close")
-    w = win.over()
     edges = regime_edges(b, "vol_ratio", look_back_days, least, unit)
-    b = b.withColumns({"period": F.date_trunc(unit, "ts_utc").cast("timestamp_ntz"), "_log": F.when((C > 0) & (F.lag(C).over(w) > 0), F.log(C / F.lag(C).over(w)))})
-    b = b.withColumn("rv20_bps", win.std(F.col("_log"), w, 20) * 1e4)
+
+    def realised(b: DataFrame) -> DataFrame:
+        w = win.over()
+        b = b.withColumn("_log", F.when((C > 0) & (F.lag(C).over(w) > 0), F.log(C / F.lag(C).over(w))))
+        return b.withColumn("rv20_bps", win.std(F.col("_log"), w, 20) * 1e4)
+
+    b = win.by_chunks(b.withColumn("period", F.date_trunc(unit, "ts_utc").cast("timestamp_ntz")), 21, realised)
     b = b.join(edges, ["symbol", "period"], "left")
     return b.withColumn("vol_regime", costs.bucket(F.col("vol_ratio"), F.col("low_edge"), F.col("high_edge"), None)).drop("period", "_log", "low_edge", "high_edge")
 
@@ -136,17 +151,22 @@ def daily(b: DataFrame) -> DataFrame:
 
 def higher_bars(b: DataFrame, minutes: int, prefix: str) -> DataFrame:
     """Features of the longer bars themselves, on their own ATR, which takes in the closed bar; keyed by their close."""
+    C, O = F.col("close"), F.col("open")  # noqa: E741
+    b = scan.run_length(b.withColumn("_dir", sign_of(C - O)), "_dir", "_run")
+    return win.by_chunks(b, 26, lambda b: _higher_bars(b, minutes, prefix))
+
+
+def _higher_bars(b: DataFrame, minutes: int, prefix: str) -> DataFrame:
     O, H, L, C = columns("open", "high", "low", "close")  # noqa: E741
     w = win.over()
-    b = b.withColumns({"_tr": costs.true_range(w), "_dir": sign_of(C - O)})
+    b = b.withColumn("_tr", costs.true_range(w))
     b = b.withColumns({"_atr": win.mean(F.col("_tr"), w, 14), "_sma": win.mean(C, w, 20)})
-    b = win.run_length(b, "_dir", "_run")
     a = positive(F.col("_atr"))
     return b.select(
         "symbol", cal.plus_minutes(F.col("ts_utc"), minutes).alias(f"{prefix}_close_utc"), F.col("_dir").alias(f"{prefix}_dir"), ((C - O) / a).alias(f"{prefix}_body_atr"),
         ratio(C - L, H - L).alias(f"{prefix}_close_loc"), ((H - L) / a).alias(f"{prefix}_range_atr"), ((C - F.lag(C, 4).over(w)) / a).alias(f"{prefix}_ret4_atr"),
         ((C - F.col("_sma")) / a).alias(f"{prefix}_trend_atr"), ((F.col("_sma") - F.lag("_sma", 5).over(w)) / a).alias(f"{prefix}_slope_atr"),
-        (F.col("_run") * F.col("_dir")).cast("int").alias(f"{prefix}_streak"), (F.col("_atr") / POINT).alias(f"{prefix}_atr_pts"), L.alias("_l"), H.alias("_h"),
+        (F.col("_run") * F.col("_dir")).cast("int").alias(f"{prefix}_streak"), (F.col("_atr") / POINT).alias(f"{prefix}_atr_pts"), L.alias("_l"), H.alias("_h"), *(c for c in ("chunk", "warm_up") if c in b.columns),
     )
 
 
@@ -160,6 +180,10 @@ def higher(b: DataFrame, longer: DataFrame, minutes: int, prefix: str) -> DataFr
 
 
 def bollinger(b: DataFrame, n: int = 50, width: float = 2.1) -> DataFrame:
+    return win.by_chunks(b, n, lambda b: _bollinger(b, n, width))
+
+
+def _bollinger(b: DataFrame, n: int, width: float) -> DataFrame:
     H, L, C = columns("high", "low", "close")
     w = win.over()
     b = b.withColumns({"_mid": win.mean(C, w, n), "_band": width * win.std(C, w, n, sample=False)})
@@ -171,6 +195,10 @@ def bollinger(b: DataFrame, n: int = 50, width: float = 2.1) -> DataFrame:
 
 
 def stochastic(b: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:
+    return win.by_chunks(b, n + smooth, lambda b: _stochastic(b, n, smooth))
+
+
+def _stochastic(b: DataFrame, n: int, smooth: int) -> DataFrame:
     H, L, C = columns("high", "low", "close")
     w = win.over()
     lo = win.lowest(L, w, n)
@@ -188,6 +216,10 @@ def vwap(b: DataFrame) -> DataFrame:
 
 def obv(b: DataFrame, n: int = 20) -> DataFrame:
     """The flow over n bars needs no running total: it is the signed volume of those bars over their volume."""
+    return win.by_chunks(b, n + 1, lambda b: _obv(b, n))
+
+
+def _obv(b: DataFrame, n: int) -> DataFrame:
     C = F.col("close")
     w = win.over()
     v = F.col("tick_volume")
@@ -201,20 +233,30 @@ EMAS = (9, 21, 50, 200)
 
 def averages(b: DataFrame) -> DataFrame:
     """Exponential averages and what hangs on them: distances, slopes, stack, RSI, MACD, ADX."""
+    b = win.by_chunks(b, 1, _movements)
+    first = {f"_e{n}": ("close", span(n), n) for n in (*EMAS, 12, 26)} | {f"_w{c}": (f"_{c}", wilder(14), 14) for c in ("gain", "loss", "tr", "pdm", "mdm")}
+    b = ewm(b, first)
+    b = b.withColumns({"_macd": F.col("_e12") - F.col("_e26"), "plus_di14": 100 * ratio(F.col("_wpdm"), F.col("_wtr")), "minus_di14": 100 * ratio(F.col("_wmdm"), F.col("_wtr"))})
+    b = b.withColumn("_dx", 100 * ratio(F.abs(F.col("plus_di14") - F.col("minus_di14")), F.col("plus_di14") + F.col("minus_di14")))
+    b = ewm(b, {"_signal": ("_macd", span(9), 9), "adx14": ("_dx", wilder(14), 14)})
+    return win.by_chunks(b, 6, _average_columns)
+
+
+def _movements(b: DataFrame) -> DataFrame:
+    """What the recursive averages average."""
     H, L, C = columns("high", "low", "close")
     w = win.over()
     change = C - F.lag(C).over(w)
     up, down = H - F.lag(H).over(w), F.lag(L).over(w) - L
-    b = b.withColumns({
+    return b.withColumns({
         "_gain": F.greatest(change, F.lit(0.0) * change), "_loss": F.greatest(-change, F.lit(0.0) * change), "_tr": costs.true_range(w),
         "_pdm": F.when((up > down) & (up > 0), up).otherwise(0.0), "_mdm": F.when((down > up) & (down > 0), down).otherwise(0.0),
     })
-    first = {f"_e{n}": ("close", span(n), n) for n in (*EMAS, 12, 26)} | {f"_w{c}": (f"_{c}", wilder(14), 14) for c in ("gain", "loss", "tr", "pdm", "mdm")}
-    b = ewm(b, first)
+
+
+def _average_columns(b: DataFrame) -> DataFrame:
+    C, w = F.col("close"), win.over()
     e = {n: F.col(f"_e{n}") for n in (*EMAS, 12, 26)}
-    b = b.withColumns({"_macd": e[12] - e[26], "plus_di14": 100 * ratio(F.col("_wpdm"), F.col("_wtr")), "minus_di14": 100 * ratio(F.col("_wmdm"), F.col("_wtr"))})
-    b = b.withColumn("_dx", 100 * ratio(F.abs(F.col("plus_di14") - F.col("minus_di14")), F.col("plus_di14") + F.col("minus_di14")))
-    b = ewm(b, {"_signal": ("_macd", span(9), 9), "adx14": ("_dx", wilder(14), 14)})
     b = b.withColumns({"_hist": F.col("_macd") - F.col("_signal"), "_fast": e[9] - e[21]})
     gain, loss = F.col("_wgain"), F.col("_wloss")
     stack = reduce(lambda a, x: a & x, [e[a] > e[c] for a, c in zip(EMAS, EMAS[1:])]), reduce(lambda a, x: a & x, [e[a] < e[c] for a, c in zip(EMAS, EMAS[1:])])
@@ -231,9 +273,8 @@ def minute_spread(minute: DataFrame, n: int = 7200, least: int = 720, hour_rows:
     """By five minutes: spread_pts, spread_rel (last minute's) and hyg_abnormal_spread (any minute's), all trailing."""
     from tidemark.operators import quantiles
 
-    w = win.over()
     level = F.when(F.col("spread_points") > 0, F.col("spread_points")).cast("double")
-    m = minute.withColumn("_level", level).withColumn("_level", win.fill_forward(F.col("_level"), w))
+    m = scan.filled(minute, {"_level": level})
     m = quantiles.rolling_median(m, "_level", "_usual", n, least)
     m = m.withColumns({"_known": F.col("_level") / positive(F.col("_usual")), "_hour": F.hour("ts_utc")})
     m = quantiles.rolling_lower(m, "_known", "_p99", hour_rows, hour_least, 0.99, ("symbol", "_hour"), lag=1)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import scan
+
 KEYS = ("symbol", "scenario")
 LEAST_IN_BUCKET = 10
 
@@ -17,11 +19,7 @@ def profit_factor(column: str = "r_net") -> Column:
 
 def with_drawdown(trades: DataFrame, keys=KEYS, order=("exit_time", "decision_time")) -> DataFrame:
     """Trades with cum_r and dd_r, the fall from the best sum so far, the start of 0 included."""
-    R = F.col("r_net")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = trades.withColumn("cum_r", F.sum(R).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    peak = F.greatest(F.max("cum_r").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
-    return out.withColumn("dd_r", peak - F.col("cum_r"))
+    return scan.drawdown(trades, "r_net", keys, order[0], order, "cum_r", "dd_r")
 
 
 def summary(trades: DataFrame, keys=KEYS) -> DataFrame:
@@ -62,8 +60,8 @@ def stability(buckets: DataFrame, keys=KEYS, least: int = LEAST_IN_BUCKET) -> Da
 
 def equity_curve(trades: DataFrame, points: int = 1500, keys=KEYS) -> DataFrame:
     """At most ``points`` evenly spaced points, first and last included."""
-    w = Window.partitionBy(*keys)
-    t = with_drawdown(trades, keys).withColumns({"k": F.row_number().over(w.orderBy("exit_time", "decision_time")) - 1, "n": F.count("*").over(w)})
+    t = scan.scan(with_drawdown(trades, keys), {"k": (scan.SUM, F.lit(1))}, keys, "exit_time", ("exit_time", "decision_time"))
+    t = t.withColumn("k", F.col("k") - 1).join(trades.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))
     m = F.least("n", F.lit(points))
     slot = F.floor(F.col("k") * (m - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
     before = F.floor((F.col("k") - 1) * (m - 1) / F.greatest(F.col("n") - 1, F.lit(1)))

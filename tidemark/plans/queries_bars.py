@@ -11,6 +11,7 @@ from tidemark.operators.joins import compare_tables
 from tidemark.plans import clock, costs, quality
 from tidemark.plans import sql as q
 from tidemark.sources import tape as src
+from tidemark.sources.datasets import kept
 from tidemark.sources.manifest import staged
 
 QUERIES, ORACLE = {}, {}
@@ -163,12 +164,16 @@ def _weighted(group: list[str], source: str, value: str) -> str:
   SELECT {g + ', ' if g else ''}{value}, wt, sum(wt) OVER ({over} ORDER BY {value}) / sum(wt) OVER ({over}) AS cf FROM (SELECT {g + ', ' if g else ''}{value}, sum(seconds) AS wt FROM {source} GROUP BY ALL)) {'GROUP BY ' + g if g else ''}"""
 
 
+def histogram(spark, d):
+    """The seconds that each spread was quoted, by minute, kept: the tape is windowed once."""
+    return kept(spark, d, "histogram", lambda: costs.histogram(src.tape(spark, d)))
+
+
 def _keyed(spark, d):
-    """Quoted seconds, minute keys, and the histogram under the keys; the keys are read several times, so they are written."""
-    m1 = src.bars(spark, d, 1)
-    hist = costs.histogram(src.tape(spark, d))
-    keys = staged(costs.with_bar_bucket(costs.bar_keys(m1), src.aggregate(m1, 5)), "keys")
-    return hist, keys, costs.keyed_histogram(hist, keys)
+    """Quoted seconds, minute keys, and the histogram under the keys, all kept."""
+    m1, hist = src.bars(spark, d, 1), histogram(spark, d)
+    keys = kept(spark, d, "keys", lambda: costs.with_bar_bucket(costs.bar_keys(m1), src.aggregate(m1, 5)))
+    return hist, keys, kept(spark, d, "keyed", lambda: costs.keyed_histogram(hist, keys))
 
 
 @register("weighted_quantiles_hour", q.query(f"{_KEYED}, wq AS ({_weighted(['hour_utc'], 'keyed', 'spread_points')})", "wq", ["hour_utc", *(n for n in costs.SHARES)], ["weight", "mean"], places=4))
@@ -215,11 +220,14 @@ priced AS (SELECT keys.symbol, keys.ts_utc, level AS level_pts, in_rollover_wind
 
 
 def priced(spark, d):
-    """Costs of all minutes: measured where the tape has quotes, else by the cells; the pessimistic one at least the recent p90."""
-    hist, keys, keyed = _keyed(spark, d)
-    keyed = staged(keyed, "keyed")
-    recent = costs.cells(costs.current_window(keyed, RECENT_DAYS))
-    return costs.price_bars(keys, costs.measured_minutes(hist), staged(costs.cells(keyed), "cells"), staged(recent, "cells"))
+    """Costs of all minutes, kept: measured where the tape has quotes, else by the cells; the pessimistic one at least the recent p90."""
+
+    def build():
+        hist, keys, keyed = _keyed(spark, d)
+        recent = costs.cells(costs.current_window(keyed, RECENT_DAYS))
+        return costs.price_bars(keys, costs.measured_minutes(hist), staged(costs.cells(keyed), "cells"), staged(recent, "cells"))
+
+    return kept(spark, d, "costs", build)
 
 
 _COST = ["spread_optimistic", "spread_base", "spread_pessimistic"]

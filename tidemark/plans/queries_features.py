@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
+from tidemark.operators.windows import PLACE
 from tidemark.plans import features, store, strategy, structure, table
 from tidemark.plans import sql as q
 from tidemark.plans.queries_bars import rounded
 from tidemark.sources import tape as src
+from tidemark.sources.datasets import kept
 from tidemark.sources.manifest import staged
 
 QUERIES, ORACLE = {}, {}
@@ -28,7 +30,12 @@ KEY = ["symbol", "ts_utc"]
 
 
 def m5(spark, d, ratio_too=False):
-    return features.with_atr(src.bars(spark, d, 5), ratio_too)
+    """Bars of five minutes with their ATR, kept."""
+    return kept(spark, d, f"m5-{ratio_too}", lambda: features.with_atr(src.bars(spark, d, 5), ratio_too))
+
+
+def _priced_bars(spark, d):
+    return m5(spark, d).select(*KEY, "high", "low", "close", "atr", PLACE)
 
 
 def pick(df, plain, doubles, places=6):
@@ -285,28 +292,28 @@ register("overlay_events", f"WITH {_BREAK}, ev AS (SELECT *, {', '.join(f'coales
 @register("overlay_lines")
 def overlay_lines(spark, d):
     """The trendlines themselves, a row each."""
-    return rounded(structure.lines_table(m5(spark, d).select(*KEY, "high", "low", "close", "atr")))
+    return rounded(structure.lines_table(_priced_bars(spark, d)))
 
 
 @register("overlay_levels")
 def overlay_levels(spark, d):
-    return rounded(structure.levels_now(m5(spark, d).select(*KEY, "high", "low", "close", "atr")))
+    return rounded(structure.levels_now(_priced_bars(spark, d)))
 
 
 @register("sr_levels")
 def sr_levels(spark, d):
-    return rounded(structure.level_features(m5(spark, d).select(*KEY, "high", "low", "close", "atr")))
+    return rounded(structure.level_features(_priced_bars(spark, d)))
 
 
 @register("trendlines")
 def trendlines(spark, d):
-    b = structure.line_features(m5(spark, d).select(*KEY, "high", "low", "close", "atr"))
+    b = structure.line_features(_priced_bars(spark, d))
     return rounded(b.drop("ch_up_pos", "ch_dn_pos", "ch_width_atr"))
 
 
 @register("channels")
 def channels(spark, d):
-    b = structure.line_features(m5(spark, d).select(*KEY, "high", "low", "close", "atr"))
+    b = structure.line_features(_priced_bars(spark, d))
     return rounded(b.select(*KEY, "ch_up_pos", "ch_dn_pos", "ch_width_atr"))
 
 
@@ -330,7 +337,8 @@ sig AS (SELECT symbol, available_at AS decision_time, event_time, CASE WHEN lg T
 
 
 def with_rules(spark, d):
-    return hygienic(spark, d).withColumns({"hour_utc": F.hour("ts_utc"), "dow": cal.iso_weekday(F.col("ts_utc"))})
+    """What the rules read, kept."""
+    return kept(spark, d, "rules", lambda: hygienic(spark, d)).withColumns({"hour_utc": F.hour("ts_utc"), "dow": cal.iso_weekday(F.col("ts_utc"))})
 
 
 register("signals_compile", q.query(SIGNALS, "sig", ["symbol", "decision_time", "event_time", "side"], ["atr_pts"]))(lambda spark, d: rounded(strategy.signals(with_rules(spark, d), SPEC)))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.functions.scalar import positive, ratio, truth
+from tidemark.operators import scan
 from tidemark.operators import windows as win
 from tidemark.operators import geometry as geo
 from tidemark.operators.asof import asof
+from tidemark.sources.manifest import staged
 
 K_M5, K_H1 = 5, 3
 #: A break is remembered so many bars, may be retested or fail within so many, within so many ATR.
@@ -22,28 +24,42 @@ SINCE, RETEST, FAIL, NEAR = 48, 24, 12, 0.25
 def pivots(b: DataFrame, k: int = K_M5) -> DataFrame:
     """pivot_high, pivot_low: the price on rows above (below) the k rows before and not below (above) the k after, else null."""
     H, L = F.col("high"), F.col("low")
-    w = win.over()
-    past, next_ = w.rowsBetween(-k, -1), w.rowsBetween(1, k)
-    whole = F.count(F.lit(1)).over(w.rowsBetween(-k, k)) == 2 * k + 1
-    return b.withColumns({
-        "pivot_high": F.when(whole & (H > F.max(H).over(past)) & (H >= F.max(H).over(next_)), H),
-        "pivot_low": F.when(whole & (L < F.min(L).over(past)) & (L <= F.min(L).over(next_)), L),
-    })
+
+    def make(b: DataFrame) -> DataFrame:
+        w = win.over()
+        past, next_ = w.rowsBetween(-k, -1), w.rowsBetween(1, k)
+        whole = F.count(F.lit(1)).over(w.rowsBetween(-k, k)) == 2 * k + 1
+        return b.withColumns({
+            "pivot_high": F.when(whole & (H > F.max(H).over(past)) & (H >= F.max(H).over(next_)), H),
+            "pivot_low": F.when(whole & (L < F.min(L).over(past)) & (L <= F.min(L).over(next_)), L),
+        })
+
+    return win.by_chunks(b, k, make, look_ahead=k)
+
+
+def numbered(b: DataFrame) -> DataFrame:
+    """Bars with _row, from 1 in each symbol."""
+    return win.placed(b).withColumn("_row", F.col(win.PLACE) + 1)
 
 
 def swing_state(b: DataFrame, k: int = K_M5) -> DataFrame:
-    """The last and the one before last confirmed swing of each kind: hi, hi_row, hi_prev and lo, lo_row, lo_prev."""
-    w = win.over()
-    b = pivots(b, k) if "pivot_high" not in b.columns else b
-    b = b.withColumn("_row", F.row_number().over(w))
-    for kind, name in (("high", "hi"), ("low", "lo")):
-        price = F.lag(f"pivot_{kind}", k).over(w)
-        b = b.withColumn("_new", F.when(price.isNotNull(), F.struct(price.alias("price"), (F.col("_row") - k).alias("row"))))
-        b = b.withColumn("_was", win.before(lambda c: F.last(c, ignorenulls=True), F.col("_new"), w))
-        b = b.withColumn("_both", F.when(F.col("_new").isNotNull(), F.struct("_new.price", "_new.row", F.col("_was.price").alias("prev"))))
-        b = b.withColumn("_both", win.fill_forward(F.col("_both"), w))
-        b = b.withColumns({name: F.col("_both.price"), f"{name}_row": F.col("_both.row"), f"{name}_prev": F.col("_both.prev")})
-    return b.drop("_new", "_was", "_both")
+    """The last and the one before last confirmed swing of each kind: hi, hi_row, hi_prev and lo, lo_row, lo_prev.
+
+    Swings are made by chunks and written; two scans carry them: one to the next swing, one to every bar.
+    """
+    kinds = (("high", "hi"), ("low", "lo"))
+
+    def confirmed(b: DataFrame) -> DataFrame:
+        b, w = pivots(b, k) if "pivot_high" not in b.columns else b, win.over()
+        return b.withColumns({f"_{name}": F.lag(f"pivot_{kind}", k).over(w) for kind, name in kinds})
+
+    b = staged(win.by_chunks(numbered(b), 2 * k, confirmed, look_ahead=k), "swings")
+    b = b.withColumns({f"_new_{n}": F.when(F.col(f"_{n}").isNotNull(), F.struct(F.col(f"_{n}").alias("price"), (F.col("_row") - k).alias("row"))) for _, n in kinds})
+    b = scan.scan(b, {f"_was_{n}": (scan.LAST, F.col(f"_new_{n}")) for _, n in kinds}, strict=True)
+    both = {f"_both_{n}": F.when(F.col(f"_new_{n}").isNotNull(), F.struct(f"_new_{n}.price", f"_new_{n}.row", F.col(f"_was_{n}.price").alias("prev"))) for _, n in kinds}
+    b = scan.filled(b, both)
+    b = b.withColumns({c: x for _, n in kinds for c, x in ((n, F.col(f"_both_{n}.price")), (f"{n}_row", F.col(f"_both_{n}.row")), (f"{n}_prev", F.col(f"_both_{n}.prev")))})
+    return b.drop(*(f"{c}_{n}" for _, n in kinds for c in ("", "_new", "_was", "_both")))
 
 
 def swing_trend() -> Column:
@@ -65,21 +81,26 @@ def swing_features(b: DataFrame, k: int = K_M5) -> DataFrame:
 def break_features(b: DataFrame) -> DataFrame:
     """Needs swing_features. Breaks, how long ago, retests and failures, upwards and downwards."""
     H, L, C = F.col("high"), F.col("low"), F.col("close")
-    w = win.over()
     a = positive(F.col("atr"))
-    for name, level, s in (("up", F.col("hi"), 1), ("down", F.col("lo"), -1)):
-        beyond = lambda c, lv, s=s: (c > lv) if s > 0 else (c < lv)
-        b = b.withColumn("_on", truth(beyond(C, level)) & ~truth(beyond(F.lag(C).over(w), level)))
-        b = b.withColumn("_at", F.when(F.col("_on"), F.struct(F.col("_row").alias("row"), level.alias("level"))))
-        b = b.withColumns({"_upto": win.fill_forward(F.col("_at"), w), "_past": win.before(lambda c: F.last(c, ignorenulls=True), F.col("_at"), w)})
-        since, age, lv = F.col("_row") - F.col("_upto.row"), F.col("_row") - F.col("_past.row"), F.col("_past.level")
+    sides = (("up", F.col("hi"), 1), ("down", F.col("lo"), -1))
+
+    def breaks(b: DataFrame) -> DataFrame:
+        was = F.lag(C).over(win.over())
+        return b.withColumns({f"_on_{n}": truth(C > lv if s > 0 else C < lv) & ~truth(was > lv if s > 0 else was < lv) for n, lv, s in sides})
+
+    b = staged(win.by_chunks(b, 1, breaks), "breaks")
+    at = {n: F.when(F.col(f"_on_{n}"), F.struct(F.col("_row").alias("row"), lv.alias("level"))) for n, lv, _ in sides}
+    b = scan.filled(b, {f"_upto_{n}": x for n, x in at.items()})
+    b = scan.scan(b, {f"_past_{n}": (scan.LAST, x) for n, x in at.items()}, strict=True)
+    for name, _, s in sides:
+        since, age, lv = F.col("_row") - F.col(f"_upto_{name}.row"), F.col("_row") - F.col(f"_past_{name}.row"), F.col(f"_past_{name}.level")
         touched = (L <= lv + NEAR * a) & (C > lv) if s > 0 else (H >= lv - NEAR * a) & (C < lv)
         failed = (age <= FAIL) & (C < lv if s > 0 else C > lv)
         b = b.withColumns({
-            f"sw_break_{name}": F.col("_on"), f"bars_since_break_{name}": F.when(since <= SINCE, since), f"retest_{name}": truth((age <= RETEST) & touched),
-            f"failed_break_{name}": win.first_true(failed, F.col("_past.row")),
+            f"sw_break_{name}": F.col(f"_on_{name}"), f"bars_since_break_{name}": F.when(since <= SINCE, since), f"retest_{name}": truth((age <= RETEST) & touched),
+            f"failed_break_{name}": win.first_true(failed, F.col(f"_past_{name}.row")),
         })
-    return b.drop("_on", "_at", "_upto", "_past")
+    return b.drop(*(f"_{c}_{n}" for c in ("on", "upto", "past") for n, _, _ in sides))
 
 
 def higher_structure(longer: DataFrame, minutes: int = 60, k: int = K_H1) -> DataFrame:
@@ -97,7 +118,7 @@ def h1_features(b: DataFrame, longer: DataFrame) -> DataFrame:
 
 def _marked(b: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Bars with row numbers, and their swings."""
-    rows = b.withColumn("_row", F.row_number().over(win.over()))
+    rows = numbered(b)
     return rows, geo.swing_rows(pivots(rows, k), k)
 
 
@@ -117,8 +138,7 @@ def line_features(b: DataFrame, k: int = K_M5) -> DataFrame:
 
 def swings_table(b: DataFrame, k: int = K_M5) -> DataFrame:
     """symbol, ts_utc, kind, price, known_at of each swing: the overlay of a chart."""
-    w = win.over()
-    p = pivots(b, k).withColumn("known_at", F.lead("ts_utc", k).over(w))
+    p = win.by_chunks(b, k, lambda b: pivots(b, k).withColumn("known_at", F.lead("ts_utc", k).over(win.over())), look_ahead=k)
     kinds = F.explode(F.array(*(F.struct(F.lit(n).alias("kind"), F.col(f"pivot_{n}").alias("price")) for n in ("high", "low"))))
     return p.select("symbol", "ts_utc", "known_at", kinds.alias("s")).where("s.price is not null").select("symbol", "ts_utc", "s.kind", "s.price", "known_at")
 
@@ -145,10 +165,9 @@ def levels_now(b: DataFrame, k: int = K_M5) -> DataFrame:
 
 def structure_events(b: DataFrame) -> DataFrame:
     """symbol, ts_utc, kind of breaks, first retests, failures and sweeps: what a chart marks. Needs break_features."""
-    w = win.over()
     flags = {}
+    b = scan.scan(b, {f"_break_{n}": (scan.SUM, F.col(f"sw_break_{n}").cast("int")) for n in ("up", "down")}, strict=True).na.fill(0, ["_break_up", "_break_down"])
     for n in ("up", "down"):
-        b = b.withColumn(f"_break_{n}", F.coalesce(win.before(F.sum, F.col(f"sw_break_{n}").cast("int"), w), F.lit(0)))
         flags |= {f"break_{n}": F.col(f"sw_break_{n}"), f"retest_{n}": win.first_true(F.col(f"retest_{n}"), F.col(f"_break_{n}")), f"failed_break_{n}": F.col(f"failed_break_{n}")}
     flags |= {k: F.col(k) for k in ("sweep_high", "sweep_low")}
     b = b.withColumns({f"_is_{k}": x for k, x in flags.items()})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.plans import features, quality, store, structure
+from tidemark.operators.windows import PLACE
 from tidemark.sources import tape as src
 from tidemark.sources.manifest import staged
 
@@ -65,7 +66,7 @@ def whole(minute: DataFrame, clock_hours: float = 0.0) -> DataFrame:
     Each group reads the written bars, is written with its own columns and joined by the bar, so no plan is deeper than a
     group's own and a lost executor costs a group at most.
     """
-    five = staged(features.with_atr(src.aggregate(minute, 5)).select(*KEY, *BASE), "bars")
+    five = staged(features.with_atr(src.aggregate(minute, 5)).select(*KEY, *BASE, PLACE), "bars")
     hour = src.aggregate(minute, 60)
     groups = {
         "candles": lambda: features.sequence(features.anatomy(five)),

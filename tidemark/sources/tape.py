@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import calendar as cal
+from tidemark.sources.datasets import kept
 
 POINT = 0.01
 BAR = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts_utc", T.TimestampNTZType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close")), T.StructField("tick_volume", T.LongType()), T.StructField("spread_points", T.IntegerType())])
@@ -47,7 +48,8 @@ def aggregate(bars: DataFrame, minutes: int) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str, minutes: int, by_type: bool = False) -> DataFrame:
-    one = minute_bars(tape(spark, sf_dir, by_type))
+    """Bars of the events; those of one minute are kept, longer ones made of them."""
+    one = kept(spark, sf_dir, "minute-bars-by-type" if by_type else "minute-bars", lambda: minute_bars(tape(spark, sf_dir, by_type)))
     return one if minutes == 1 else aggregate(one, minutes)
 
 

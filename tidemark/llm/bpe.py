@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import small_batches
 
 #: Pre-tokens in the newer half of what a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Longer pre-tokens are encoded anew each time.
 LONG = 64
 #: A bitmap word has two to this power bits.
@@ -79,13 +79,12 @@ class Codec:
         self.bytes = {r: b for b, r in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.ids = _Memory(lambda p: self.merge(p.encode("utf-8")))
-        self.shown = _Memory(self._show)
+        self.memory = _Memory(self._made)
 
-    def _show(self, piece: str) -> str:
+    def _made(self, piece: str) -> tuple[str, list[int]]:
+        """The ids of a pre-token, as decimals and as they are: one memory holds both."""
         ids = self.merge(piece.encode("utf-8"))
-        self.ids.put(piece, ids)
-        return " ".join(map(str, ids))
+        return " ".join(map(str, ids)), ids
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -150,16 +149,16 @@ class Codec:
         return ids
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.ids.__getitem__, self.split(text or ""))))
+        return list(chain.from_iterable([ids for _, ids in map(self.memory.__getitem__, self.split(text or ""))]))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as decimals and of the bytes that the whole list of ids decodes to."""
-        pieces = self.split(text or "")
-        shown = " ".join(map(self.shown.__getitem__, pieces)).encode()
-        ids = list(chain.from_iterable(map(self.ids.__getitem__, pieces)))
+        found = list(map(self.memory.__getitem__, self.split(text or "")))
+        shown = " ".join([s for s, _ in found]).encode()
+        ids = list(chain.from_iterable([x for _, x in found]))
         return len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 

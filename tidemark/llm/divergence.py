@@ -37,7 +37,7 @@ BYTES_A_CELL, FEWEST_CELLS, MOST_CELLS, DEPTH = 64, 1 << 16, 1 << 24, 2
 #: Cells of a row of a merged sketch.
 BLOCK = 1 << 16
 #: Entries a task counts before it hands them on.
-ENTRIES = 500_000
+ENTRIES = 1_000_000
 #: Letters A-Z and all beyond ASCII make terms; everything else separates.
 TERMS = separating((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
@@ -106,13 +106,15 @@ def counts(groups: DataFrame, counters: np.ndarray, width: int) -> DataFrame:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, d) in held.items():
-                terms = list(d)
+            for lang in {lang for lang, _ in held}:
+                own = {source: nd for (of, source), nd in held.items() if of == lang}
+                terms = list(set().union(*(d for _, d in own.values())))  # hashed once, whatever the sources
                 enough = shared.value[cells(lang, terms, width)].min(axis=0) >= LEAST
-                terms = [t for t, e in zip(terms, enough.tolist()) if e]
-                if terms:
-                    cols = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string())]
-                    cols += [pa.array(np.fromiter((c[t] for t in terms), np.int64, len(terms))) for c in (n, d)]
+                left = {t for t, e in zip(terms, enough.tolist()) if e}
+                for source, (n, d) in own.items():
+                    some = list(left.intersection(d))
+                    cols = [pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some, pa.binary()).cast(pa.string())]
+                    cols += [pa.array(np.fromiter((c[t] for t in some), np.int64, len(some))) for c in (n, d)]
                     yield pa.RecordBatch.from_arrays(cols, schema.names)
             held.clear()
 

@@ -112,7 +112,8 @@ def counts(groups: DataFrame, counters: np.ndarray, width: int) -> DataFrame:
                 enough = shared.value[cells(lang, terms, width)].min(axis=0) >= LEAST
                 left = {t for t, e in zip(terms, enough.tolist()) if e}
                 for source, (n, d) in own.items():
-                    some = list(left.intersection(d))
+                    if not (some := list(left.intersection(d))):
+                        continue
                     cols = [pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some, pa.binary()).cast(pa.string())]
                     cols += [pa.array(np.fromiter((c[t] for t in some), np.int64, len(some))) for c in (n, d)]
                     yield pa.RecordBatch.from_arrays(cols, schema.names)

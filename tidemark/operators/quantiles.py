@@ -1,4 +1,4 @@
-"""Exact quantiles under the definitions that the models need: nearest rank, lower, weighted, rolling."""
+"""Exact quantiles under the definitions that the models need: nearest rank (by selection), lower, weighted, rolling."""
 
 from __future__ import annotations
 
@@ -8,20 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import windows as win
-
-
-def nearest(df: DataFrame, value: str, shares: dict[str, float], keys=()) -> DataFrame:
-    """One row a key: for each name the value whose rank is nearest to share * (n - 1), half to even. Nulls don't count.
-
-    Values are counted first and then ranked by cumulative counts, so a group's size does not matter, only its
-    distinct values do.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*(keys or [F.lit(1)]))
-    counts = counts.withColumn("_to", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
-    at = lambda q: F.bround(F.lit(q) * (F.col("_n") - 1), 0)
-    picks = [F.min(F.when(F.col("_to") > at(q), F.col(value))).alias(name) for name, q in shares.items()]
-    return counts.groupBy(*keys).agg(*picks, F.max("_n").cast("long").alias("n"))
+from tidemark.operators.selection import nearest  # noqa: F401
 
 
 def weighted(df: DataFrame, value: str, weight: str, shares: dict[str, float], keys=()) -> DataFrame:

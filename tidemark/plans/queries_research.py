@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.plans import behaviours, features, metrics, research, simulate, strategy, table
+from tidemark.plans import behaviours, features, metrics, research, search, simulate, strategy, table
 from tidemark.plans import queries_bars as qb
 from tidemark.plans import queries_features as qf
 from tidemark.plans import sql as q
 from tidemark.plans.queries_bars import rounded
+from tidemark.sources import ledger as lg
 from tidemark.sources import manifest
 from tidemark.sources import tape as src
+from tidemark.sources.datasets import kept
 from tidemark.streaming import bars as stream
 
 QUERIES, ORACLE = {}, {}
@@ -34,11 +37,11 @@ EXIT = simulate.Exit(stop_atr=1.0, target_atr=1.5, time_exit_bars=24)
 
 def path(spark, d):
     """The minute path under the spreads of the cost model."""
-    return simulate.path_of(src.bars(spark, d, 1), manifest.staged(qb.priced(spark, d), "priced"))
+    return kept(spark, d, "path", lambda: simulate.path_of(src.bars(spark, d, 1), qb.priced(spark, d)))
 
 
 def signals(spark, d):
-    return manifest.staged(strategy.signals(qf.with_rules(spark, d), qf.SPEC), "signals")
+    return kept(spark, d, "signals", lambda: strategy.signals(qf.with_rules(spark, d), qf.SPEC))
 
 
 def labelled(spark, d):
@@ -432,3 +435,36 @@ def stream_sessions(spark, d):
     out = manifest.scratch(spark, "stream")
     stream.run_to_table(stream.sessions(ticks, "10 minutes"), f"{out}/sessions", f"{out}/state")
     return spark.read.parquet(f"{out}/sessions")
+
+
+# a search over rules, and the ledger that it is kept in
+
+SPACE = {
+    "name": "closes", "family": "closes", "method": "evolutionary", "population": 8, "max_trials": 16, "min_trades": 30, "top_k": 3, "seed": 7,
+    "blocks": [
+        {"label": "strong closes", "side": "long", "conditions": [{"feature": "close_loc", "op": ">", "value": 0.7}, {"feature": "streak", "op": ">=", "value": 2}]},
+        {"label": "weak closes", "side": "short", "conditions": [{"feature": "close_loc", "op": "<", "value": 0.3}, {"feature": "streak", "op": "<=", "value": -2}]},
+        {"label": "turn up", "side": "long", "conditions": [{"feature": "dirs_3", "op": "in", "value": ["DDU", "DUU"]}]},
+        {"label": "turn down", "side": "short", "conditions": [{"feature": "dirs_3", "op": "in", "value": ["UUD", "UDD"]}]},
+    ],
+    "sessions": [None, ["london", "overlap"], ["asian"]], "stop_atr": [1.0, 1.5], "target_atr": [1.0, 1.5, 2.0], "time_exit_bars": [24],
+}
+
+
+@register("hypothesis_search")
+def hypothesis_search(spark, d):
+    """An evolutionary search over four building blocks: its leaderboard, with tier B for the best."""
+    m = search.market(features.session(qf.with_rules(spark, d)), path(spark, d), src.bars(spark, d, 1))
+    return rounded(search.run(SPACE, m, lg.Ledger(spark, manifest.scratch(spark, "ledger")), "closes"), 4)
+
+
+@register("ledger_trials", """SELECT c_mktsegment AS family, count(*) AS trials, count(DISTINCT o_custkey || '/' || left(o_orderpriority, 1)) AS distinct_trials, round(var_samp(o_totalprice / 1000), 4) AS var_sharpe
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def ledger_trials(spark, d):
+    """Orders as trials of their segment's family, appended by four writers at once and read as one version."""
+    o = src.table(spark, d, "orders").join(src.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    trials = o.select(F.col("c_mktsegment").alias("family"), F.col("o_custkey").cast("string").alias("spec_hash"), F.left("o_orderpriority", F.lit(1)).alias("tier"), (F.col("o_totalprice") / 1000).alias("sharpe"), F.col("o_orderkey").alias("n"))
+    kept_in = manifest.scratch(spark, "ledger")
+    with ThreadPoolExecutor(4) as writers:
+        list(writers.map(lambda k: lg.record_trials(lg.Ledger(spark, kept_in), trials.where(F.pmod(F.xxhash64("n"), F.lit(4)) == k)), range(4)))
+    return rounded(lg.family_trials(lg.Ledger(spark, kept_in)), 4)

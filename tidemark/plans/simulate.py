@@ -2,8 +2,8 @@
 
 Where a signal would exit depends on the path after it and on nothing else, so all signals of all scenarios are priced
 in parallel: as-of joins find the entry bar and the bar that ends the search, a join by hour buckets brings the minutes
-between the two, and one aggregate a signal finds the first bar that hits under each scenario. The rule of one position at a time is then a
-walk over priced signals only, a few numbers each.
+between the two, and one aggregate a signal finds the first bar that hits under each scenario. The rule of one position
+at a time is then a chain of pointers among priced signals.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import calendar as cal
+from tidemark.operators import chain
+from tidemark.operators import windows as win
 from tidemark.operators.asof import asof
 from tidemark.plans import costs
 from tidemark.sources.manifest import staged
@@ -283,34 +285,42 @@ def excursions(trades: DataFrame, path: DataFrame, account: Account = Account())
     return trades.join(each, key)
 
 
+def taken(trades: DataFrame, keys=("symbol", "scenario")) -> DataFrame:
+    """The trades, with their place, that an account takes that holds one position: the next decision comes after the exit
+    bar has opened. Each trade points to the first decision after its exit; the chain of pointers is what is taken."""
+    order = ("decision_time", "side")
+    placed = staged(win.row_index(trades, "place", keys, "decision_time", order), "placed")
+    first = placed.groupBy(*keys, F.col("decision_time").alias("_at")).agg(F.min("place").alias("next"))
+    links = asof(placed.select(*keys, "place", "exit_time"), first, "exit_time", "_at", ["next"], keys, "forward", strict=True)
+    return placed.join(chain.reached(links.select(*keys, "place", "next"), tuple(keys)), [*keys, "place"])
+
+
 def one_at_a_time(trades: DataFrame, account: Account = Account(), keys=("symbol", "scenario")) -> DataFrame:
-    """The trades an account takes that holds one position: the next decision comes after the exit bar has opened.
+    """``taken`` with lots, pnl_usd and equity_usd: risk_pct of the equity, whole lot steps; a blown account trades no more lots.
 
-    With lots, pnl_usd and equity_usd: risk_pct of the equity, whole lot steps; a blown account trades no more lots. One
-    group is one run; it holds priced signals, not the path.
+    Lots are rounded to steps of an equity that the trades before have made, so that states cannot be put together from
+    parts: the money goes trade by trade. It is four numbers a taken trade and one run a group; the rest stays where it is.
     """
-    names = ("lots", "pnl_usd", "equity_usd")
-    schema = T.StructType([*trades.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
-    a = account
+    a, names = account, ("lots", "pnl_usd", "equity_usd")
+    rows = staged(taken(trades, keys), "taken")
+    narrow = rows.select(*keys, "place", "r_net", (F.col("risk_pts") * a.point).alias("risk"))
+    schema = T.StructType([*(f for f in narrow.schema.fields if f.name in (*keys, "place")), *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("decision_time", kind="stable").reset_index(drop=True)
-        kept, free, equity, money = [], None, a.initial_equity, []
-        for i, (decided, left, r, risk) in enumerate(zip(p["decision_time"], p["exit_time"], p["r_net"], p["risk_pts"] * a.point)):
-            if free is not None and decided <= free:
-                continue
-            free = left
+        p = p.sort_values("place")
+        equity, money = a.initial_equity, []
+        for r, risk in zip(p["r_net"].tolist(), p["risk"].tolist()):
             lots = 0.0
             if equity > 0:
                 wanted = equity * a.risk_pct / 100 / (risk * a.contract_size)
                 lots = round(min(a.lot_max, max(a.lot_min, int(wanted / a.lot_step + 1e-9) * a.lot_step)), 8)
             pnl = max(r * risk * a.contract_size * lots, -equity) if lots else 0.0
             equity += pnl
-            kept.append(i)
             money.append((lots, pnl, equity))
-        out = p.loc[kept].copy()
-        for n, v in zip(names, zip(*money) if money else ((), (), ())):
+        out = p[[*keys, "place"]].copy()
+        for n, v in zip(names, zip(*money)):
             out[n] = list(v)
         return out
 
-    return trades.groupBy(*keys).applyInPandas(run, schema)
+    money = narrow.groupBy(*keys).applyInPandas(run, schema)
+    return rows.join(money, [*keys, "place"]).select(*trades.columns, *names)

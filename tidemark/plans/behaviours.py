@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import copy
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,36 +11,57 @@ from tidemark.functions.scalar import all_of, truth
 from tidemark.plans.strategy import condition
 from tidemark.sources.manifest import canonical_hash
 
-#: Id and conditions of each registered behaviour; the id ends with its side.
-_LIBRARY = """
-momentum_cont_long         | ret5_atr >= 1.5; close_loc >= 0.7; dir == 1
-momentum_cont_short        | ret5_atr <= -1.5; close_loc <= 0.3; dir == -1
-breakout_retest_long       | retest_up == true
-breakout_retest_short      | retest_down == true
-failed_breakout_short      | failed_break_up == true
-failed_breakout_long       | failed_break_down == true
-support_rejection_long     | sr_below_low_dist_atr < 0; sr_below_touches >= 3; lower_wick_frac >= 0.4
-resistance_rejection_short | sr_above_high_dist_atr < 0; sr_above_touches >= 3; upper_wick_frac >= 0.4
-sweep_low_reclaim_long     | sweep_low == true; close_loc >= 0.6
-sweep_high_reject_short    | sweep_high == true; close_loc <= 0.4
-compression_expansion_long | compression <= 0.7; range_atr >= 1.8; body_frac >= 0.6; dir == 1
-compression_expansion_short | compression <= 0.7; range_atr >= 1.8; body_frac >= 0.6; dir == -1
-trendline_bounce_long      | tl_up_dist_atr between [0.0, 0.3]; dir == 1; lower_wick_frac >= 0.3
-trendline_bounce_short     | tl_dn_dist_atr between [-0.3, 0.0]; dir == -1; upper_wick_frac >= 0.3
-trendline_break_long       | tl_dn_break == true
-trendline_break_short      | tl_up_break == true
-range_floor_long           | sw_trend == 0; rng_pos <= 0.15; close_loc >= 0.6
-range_roof_short           | sw_trend == 0; rng_pos >= 0.85; close_loc <= 0.4
-"""
+#: The registered behaviours.
+LIBRARY = [
+    {"id": "momentum_cont_long", "side": "long", "conditions": [{"feature": "ret5_atr", "op": ">=", "value": 1.5}, {"feature": "close_loc", "op": ">=", "value": 0.7}, {"feature": "dir", "op": "==", "value": 1}]},
+    {"id": "momentum_cont_short", "side": "short", "conditions": [{"feature": "ret5_atr", "op": "<=", "value": -1.5}, {"feature": "close_loc", "op": "<=", "value": 0.3}, {"feature": "dir", "op": "==", "value": -1}]},
+    {"id": "breakout_retest_long", "side": "long", "conditions": [{"feature": "retest_up", "op": "==", "value": True}]},
+    {"id": "breakout_retest_short", "side": "short", "conditions": [{"feature": "retest_down", "op": "==", "value": True}]},
+    {"id": "failed_breakout_short", "side": "short", "conditions": [{"feature": "failed_break_up", "op": "==", "value": True}]},
+    {"id": "failed_breakout_long", "side": "long", "conditions": [{"feature": "failed_break_down", "op": "==", "value": True}]},
+    {"id": "support_rejection_long", "side": "long", "conditions": [
+        {"feature": "sr_below_low_dist_atr", "op": "<", "value": 0},
+        {"feature": "sr_below_touches", "op": ">=", "value": 3},
+        {"feature": "lower_wick_frac", "op": ">=", "value": 0.4},
+    ]},
+    {"id": "resistance_rejection_short", "side": "short", "conditions": [
+        {"feature": "sr_above_high_dist_atr", "op": "<", "value": 0},
+        {"feature": "sr_above_touches", "op": ">=", "value": 3},
+        {"feature": "upper_wick_frac", "op": ">=", "value": 0.4},
+    ]},
+    {"id": "sweep_low_reclaim_long", "side": "long", "conditions": [{"feature": "sweep_low", "op": "==", "value": True}, {"feature": "close_loc", "op": ">=", "value": 0.6}]},
+    {"id": "sweep_high_reject_short", "side": "short", "conditions": [{"feature": "sweep_high", "op": "==", "value": True}, {"feature": "close_loc", "op": "<=", "value": 0.4}]},
+    {"id": "compression_expansion_long", "side": "long", "conditions": [
+        {"feature": "compression", "op": "<=", "value": 0.7},
+        {"feature": "range_atr", "op": ">=", "value": 1.8},
+        {"feature": "body_frac", "op": ">=", "value": 0.6},
+        {"feature": "dir", "op": "==", "value": 1},
+    ]},
+    {"id": "compression_expansion_short", "side": "short", "conditions": [
+        {"feature": "compression", "op": "<=", "value": 0.7},
+        {"feature": "range_atr", "op": ">=", "value": 1.8},
+        {"feature": "body_frac", "op": ">=", "value": 0.6},
+        {"feature": "dir", "op": "==", "value": -1},
+    ]},
+    {"id": "trendline_bounce_long", "side": "long", "conditions": [
+        {"feature": "tl_up_dist_atr", "op": "between", "value": [0.0, 0.3]},
+        {"feature": "dir", "op": "==", "value": 1},
+        {"feature": "lower_wick_frac", "op": ">=", "value": 0.3},
+    ]},
+    {"id": "trendline_bounce_short", "side": "short", "conditions": [
+        {"feature": "tl_dn_dist_atr", "op": "between", "value": [-0.3, 0.0]},
+        {"feature": "dir", "op": "==", "value": -1},
+        {"feature": "upper_wick_frac", "op": ">=", "value": 0.3},
+    ]},
+    {"id": "trendline_break_long", "side": "long", "conditions": [{"feature": "tl_dn_break", "op": "==", "value": True}]},
+    {"id": "trendline_break_short", "side": "short", "conditions": [{"feature": "tl_up_break", "op": "==", "value": True}]},
+    {"id": "range_floor_long", "side": "long", "conditions": [{"feature": "sw_trend", "op": "==", "value": 0}, {"feature": "rng_pos", "op": "<=", "value": 0.15}, {"feature": "close_loc", "op": ">=", "value": 0.6}]},
+    {"id": "range_roof_short", "side": "short", "conditions": [{"feature": "sw_trend", "op": "==", "value": 0}, {"feature": "rng_pos", "op": ">=", "value": 0.85}, {"feature": "close_loc", "op": "<=", "value": 0.4}]},
+]
 
 
 def library() -> list[dict]:
-    out = []
-    for line in _LIBRARY.strip().splitlines():
-        name, text = (x.strip() for x in line.split("|"))
-        conditions = [dict(zip(("feature", "op", "value"), c.split(None, 2))) for c in (x.strip() for x in text.split(";"))]
-        out.append({"id": name, "side": name.rsplit("_", 1)[1], "conditions": [c | {"value": json.loads(c["value"])} for c in conditions]})
-    return out
+    return copy.deepcopy(LIBRARY)
 
 
 def definition_hash(behaviour: dict) -> str:

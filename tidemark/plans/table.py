@@ -9,45 +9,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
-from tidemark.plans import features, quality, store, structure
 from tidemark.operators.windows import PLACE
+from tidemark.plans import features, quality, store, structure
 from tidemark.sources import tape as src
 from tidemark.sources.manifest import staged
 
 KEY = ["symbol", "ts_utc"]
 
 
-def _by_side(*names: str) -> list[str]:
-    return [n.replace("*", side) for n in names for side in ("up", "down")]
-
-
-def _longer(p: str) -> list[str]:
-    return [*(f"{p}_{c}" for c in ("dir", "body_atr", "close_loc", "range_atr", "ret4_atr", "trend_atr", "slope_atr", "streak", "atr_pts")), f"pos_in_{p}_prev"]
-
-
-def _lines(n: str) -> list[str]:
-    return [f"tl_{n}_{c}" for c in ("dist_atr", "slope_atr", "touches", "break")]
-
-
 #: The features by group.
 GROUPS: dict[str, list[str]] = {
-    "anatomy": "dir range_pts body_frac upper_wick_frac lower_wick_frac close_loc range_atr body_atr upper_wick_atr lower_wick_atr gap_atr ret_atr tick_volume volume_rel".split(),
-    "sequence": "dir_lag1 dir_lag2 dirs_3 body_atr_lag1 close_loc_lag1 range_atr_lag1 streak up_count_5 up_count_10 ret3_atr ret5_atr ret10_atr ret20_atr inside_bar outside_bar inside_streak higher_high lower_low higher_low lower_high compression dist_high20_atr dist_low20_atr pos_in_range20 bars_since_week_open".split(),
-    "volatility": "atr_pts vol_ratio vol_regime rv20_bps".split(),
-    "session": "session in_tokyo in_london in_new_york min_since_tokyo_open min_since_london_open min_since_ny_open min_to_rollover hour_utc dow".split(),
-    "daily": "dist_day_open_atr day_range_atr pos_in_day_range dist_prev_high_atr dist_prev_low_atr dist_prev_close_atr pdh_sweep pdl_sweep pdh_sweep_depth_atr pdl_sweep_depth_atr pdh_sweeps_today pdl_sweeps_today pdh_accepted_before pdl_accepted_before".split(),
-    "m15": _longer("m15"),
-    "h1": _longer("h1"),
+    "anatomy": [
+        "dir", "range_pts", "body_frac", "upper_wick_frac", "lower_wick_frac", "close_loc", "range_atr", "body_atr", "upper_wick_atr",
+        "lower_wick_atr", "gap_atr", "ret_atr", "tick_volume", "volume_rel",
+    ],
+    "sequence": [
+        "dir_lag1", "dir_lag2", "dirs_3", "body_atr_lag1", "close_loc_lag1", "range_atr_lag1", "streak", "up_count_5", "up_count_10", "ret3_atr",
+        "ret5_atr", "ret10_atr", "ret20_atr", "inside_bar", "outside_bar", "inside_streak", "higher_high", "lower_low", "higher_low", "lower_high",
+        "compression", "dist_high20_atr", "dist_low20_atr", "pos_in_range20", "bars_since_week_open",
+    ],
+    "volatility": [
+        "atr_pts", "vol_ratio", "vol_regime", "rv20_bps",
+    ],
+    "session": [
+        "session", "in_tokyo", "in_london", "in_new_york", "min_since_tokyo_open", "min_since_london_open", "min_since_ny_open", "min_to_rollover",
+        "hour_utc", "dow",
+    ],
+    "daily": [
+        "dist_day_open_atr", "day_range_atr", "pos_in_day_range", "dist_prev_high_atr", "dist_prev_low_atr", "dist_prev_close_atr", "pdh_sweep",
+        "pdl_sweep", "pdh_sweep_depth_atr", "pdl_sweep_depth_atr", "pdh_sweeps_today", "pdl_sweeps_today", "pdh_accepted_before",
+        "pdl_accepted_before",
+    ],
+    "m15": [
+        "m15_dir", "m15_body_atr", "m15_close_loc", "m15_range_atr", "m15_ret4_atr", "m15_trend_atr", "m15_slope_atr", "m15_streak", "m15_atr_pts",
+        "pos_in_m15_prev",
+    ],
+    "h1": [
+        "h1_dir", "h1_body_atr", "h1_close_loc", "h1_range_atr", "h1_ret4_atr", "h1_trend_atr", "h1_slope_atr", "h1_streak", "h1_atr_pts",
+        "pos_in_h1_prev",
+    ],
     "structure": [
-        *"sw_hi_dist_atr sw_lo_dist_atr sw_hi_age sw_lo_age sw_trend rng_width_atr rng_pos".split(), *_by_side("sw_break_*", "bars_since_break_*", "retest_*", "failed_break_*"), "sweep_high", "sweep_low", "sweep_depth_atr",
-        *"sr_above_dist_atr sr_above_touches sr_below_dist_atr sr_below_touches sr_above_high_dist_atr sr_below_low_dist_atr".split(), *_lines("up"), *_lines("dn"), "ch_up_pos", "ch_dn_pos", "ch_width_atr", "h1_sw_trend", "h1_sw_hi_dist_atr", "h1_sw_lo_dist_atr",
+        "sw_hi_dist_atr", "sw_lo_dist_atr", "sw_hi_age", "sw_lo_age", "sw_trend", "rng_width_atr", "rng_pos", "sw_break_up", "sw_break_down",
+        "bars_since_break_up", "bars_since_break_down", "retest_up", "retest_down", "failed_break_up", "failed_break_down", "sweep_high", "sweep_low",
+        "sweep_depth_atr", "sr_above_dist_atr", "sr_above_touches", "sr_below_dist_atr", "sr_below_touches", "sr_above_high_dist_atr",
+        "sr_below_low_dist_atr", "tl_up_dist_atr", "tl_up_slope_atr", "tl_up_touches", "tl_up_break", "tl_dn_dist_atr", "tl_dn_slope_atr",
+        "tl_dn_touches", "tl_dn_break", "ch_up_pos", "ch_dn_pos", "ch_width_atr", "h1_sw_trend", "h1_sw_hi_dist_atr", "h1_sw_lo_dist_atr",
     ],
     "indicators": [
-        *"bb_pctb bb_width_atr bb_mid_dist_atr bb_close_above_upper bb_close_below_lower bb_high_above_upper bb_low_below_lower".split(), *(f"ema{n}_dist_atr" for n in features.EMAS), "ema50_slope_atr", "ema200_slope_atr", "ema9_21_cross", "ema_stack",
-        *"rsi14 macd_atr macd_signal_atr macd_hist_atr macd_cross stoch_k14 stoch_d3 adx14 plus_di14 minus_di14 vwap_dist_atr obv_flow20".split(),
+        "bb_pctb", "bb_width_atr", "bb_mid_dist_atr", "bb_close_above_upper", "bb_close_below_lower", "bb_high_above_upper", "bb_low_below_lower",
+        "ema9_dist_atr", "ema21_dist_atr", "ema50_dist_atr", "ema200_dist_atr", "ema50_slope_atr", "ema200_slope_atr", "ema9_21_cross", "ema_stack",
+        "rsi14", "macd_atr", "macd_signal_atr", "macd_hist_atr", "macd_cross", "stoch_k14", "stoch_d3", "adx14", "plus_di14", "minus_di14",
+        "vwap_dist_atr", "obv_flow20",
+    ],
+    "spread": [
+        "spread_pts", "spread_rel",
+    ],
+    "hygiene": [
+        "hyg_rollover", "hyg_abnormal_spread", "hyg_week_first3", "hyg_week_last3", "hyg_weekend_gap", "hyg_spans_weekend_gap", "hyg_incomplete",
+        "gap_before_min", "hyg_no_entry",
     ],
-    "spread": ["spread_pts", "spread_rel"],
-    "hygiene": "hyg_rollover hyg_abnormal_spread hyg_week_first3 hyg_week_last3 hyg_weekend_gap hyg_spans_weekend_gap hyg_incomplete gap_before_min hyg_no_entry".split(),
 }
 FEATURES = [c for columns in GROUPS.values() for c in columns]
 #: What comes with them.

@@ -112,3 +112,32 @@ def test_time_is_linear(part):
         return time.perf_counter() - start
 
     assert seconds(100_000) < 10  # 100,000 in the square would be minutes
+
+
+ARTICLE = "<article><p>" + "A long paragraph of the article that says something. " * 6 + "</p>%s</article>"
+PLAIN = h.main_text(ARTICLE % "")
+
+
+@pytest.mark.parametrize(
+    "side",
+    [
+        '<div class="post-comments"><p>' + "first! great read, thanks for sharing it. " * 8 + "</p></div>", '<div id="discussion"><p>' + "I do not agree with this at all. " * 9 + "</p></div>",
+        '<div class="article-footer">Filed under news by the desk, all of it here</div>', '<div class="story-tags">one two three</div>', '<div class="ad-container-300x250">Buy now, cheap and good</div>',
+        '<form class="comment-form"><p>' + "Leave a reply below and mind that it will be read by somebody before it shows. " * 2 + "</p></form>", "<form><p><label>Name</label></p><p>Mail</p><p>Text</p></form>",
+    ],
+)
+def test_side_matter_within_the_article_goes(side):
+    assert h.main_text(ARTICLE % side) == PLAIN
+
+
+def test_a_form_around_the_page_is_no_form():
+    assert h.main_text(f'<body><form action="/">{ARTICLE % ""}</form></body>') == PLAIN
+    assert h.main_text(f'<body><form action="/"><div class="comment">x y</div>{ARTICLE % ""}<form><p>Mail</p></form>') != ""
+    long = "<p>" + "Some words of a page that marks nothing as its own. " * 4 + "</p>"
+    assert h.main_text(f"<body><form>{long * 3}</form>").count("\n") == 2
+    assert h.main_text("<p>" + "word " * 60 + "</p>" + "<form>" * 20_000 + "<p>tail</p>").startswith("word")
+
+
+def test_references_are_decoded_in_each_piece_of_text():
+    assert h.main_text(ARTICLE % "<p>AT&<b>amp;</b>T and then some more words for the line to weigh</p>").endswith("AT&amp;T and then some more words for the line to weigh")
+    assert "AT&T" in h.main_text(ARTICLE % "<p>AT&amp;T and &lt;b&gt; and then some more words for the line</p>")

@@ -12,7 +12,8 @@ a fiftieth of their length: so a long text beside a mark that holds next to noth
 
 Defined cases: null or empty html, and pages without text, give the empty text; unclosed comments, scripts and tags
 reach to the end of the page; unclosed elements are closed by the next one of their kind, their parent or the page's
-end; character references are decoded once; any white space, a line break element and a no-break space included, becomes
+end; a form that holds an article, or some long paragraphs, is the page's frame and no form; character references are decoded
+once, in each piece of text by itself; any white space, a line break element and a no-break space included, becomes
 one space; attributes may have any length; a page of any length is read whole, in time linear in it; repeated rows give
 the same text; an empty table gives an empty result; other columns are ignored.
 """
@@ -54,8 +55,8 @@ _PARAGRAPHS = _HEADINGS | frozenset("p blockquote pre figcaption".split())
 _NAMED = frozenset("article aside details div dl dd figure header li main ol p section span summary table td ul".split())
 _NAMED_BY_ID = frozenset("div section ul ol dl table span header".split())
 #: Words that class and id names of side matter are made of, and words that may stand beside them.
-_SIDE = frozenset("ad ads adbox adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommend recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget".split())
-_BESIDE = frozenset("area bar block bottom box buttons center column container form global group header holder icons inner item items left line link links list main media module outer page panel posts reader right row section secondary site slot small stories strip thread title top unit user wrap wrapper".split())
+_SIDE = frozenset("ad ads adbox adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommend recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget".split())
+_BESIDE = frozenset("area article bar block blog bottom box buttons center column container entry form global group header holder icons inner item items left line link links list main media module outer page panel post posts reader right row section secondary site slot small stories story strip thread title top unit user wrap wrapper x".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 # possessive throughout: no part is read twice, however broken the page
@@ -63,6 +64,11 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'=>]++|=\s*+(?:\"[^\"]*+\"|'
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in _RAW}
+_FORM_END = re.compile(r"</form(?=[\s/>])", re.IGNORECASE)
+#: What a form holds that is the page's own frame and no form to fill in: a marked part, or some long paragraphs.
+_CONTENT = re.compile(r"<(?:article|main)(?=[\s/>])|articleBody|role=\"main\"", re.IGNORECASE)
+_PARAGRAPH = re.compile(r"<p(?:\s[^<>]*+)?>[^<]{60}", re.IGNORECASE)
+FORM_PARAGRAPHS = 3
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -144,6 +150,11 @@ class _Elements:
         return self.stack[-1] if self.stack else _Open("", 0, False)
 
 
+def _frames(html: str, start: int, stop: int) -> bool:
+    """Whether a form is wrapped around content."""
+    return _CONTENT.search(html, start, stop) is not None or len(_PARAGRAPH.findall(html, start, stop)) >= FORM_PARAGRAPHS
+
+
 def _mark(name: str, rest: str) -> int:
     return 2 if name == "article" else 1 if name == "main" or "articleBody" in rest or 'role="main"' in rest else 0
 
@@ -152,12 +163,13 @@ def lines_of(html: str) -> list[Line]:
     found: list[Line] = []
     open_ = _Elements()
     text: list[str] = []
-    linked = at = look = 0
+    linked = at = look = form_end = 0
     paragraph = False
 
     def add(part: str) -> None:
         nonlocal linked, paragraph
         if part and not open_.top.dropped:
+            part = unescape(part)  # node by node, so that no reference comes of two
             text.append(part)
             if open_.places["a"]:
                 linked += len(part)
@@ -167,7 +179,7 @@ def lines_of(html: str) -> list[Line]:
     def end_line(mark: int) -> None:
         nonlocal linked, paragraph
         if text:
-            line = " ".join(unescape("".join(text)).split())
+            line = " ".join("".join(text).split())
             if line:
                 found.append(Line(line, max(0, len(line) - linked), paragraph, mark))
             text.clear()
@@ -207,9 +219,15 @@ def lines_of(html: str) -> list[Line]:
             elif name in ("td", "th"):
                 add(" ")
             if name not in _VOID:
-                around = open_.top
+                around, frames = open_.top, False
+                if name == "form":  # one within another is none, so every form is looked through once
+                    frames = lt < form_end
+                    if not frames:
+                        stop = _FORM_END.search(html, at)
+                        form_end = stop.start() if stop else len(html)
+                        frames = _frames(html, at, form_end)
                 if not (rest.endswith("/") and name in ("svg", "object", "canvas", "audio", "video")):
-                    open_.push(_Open(name, max(around.mark, _mark(name, rest)), around.dropped or _set_apart(name, rest, around.mark > 0)))
+                    open_.push(_Open(name, max(around.mark, _mark(name, rest)), around.dropped or _set_apart("div" if frames else name, rest, around.mark > 0)))
     add(html[at:])
     end_line(open_.top.mark)
     return found

@@ -391,14 +391,18 @@ def features_full(spark, d):
 CUTS = ["2024-01-09 14:37:00", "2024-01-17 08:02:00"]
 
 
-@register("leakage_recompute")
+#: The twin of a leakage check: no column may differ.
+_NO_LEAK = f"""SELECT unnest([{', '.join(f"'{c}'" for c in ('rows', 'open', 'high', 'low', 'close', 'm1_bars', *table.META, *table.FEATURES))}]) AS "column", CAST(0 AS BIGINT) AS mismatches"""
+
+
+@register("leakage_recompute", _NO_LEAK)
 def leakage_recompute(spark, d):
     """Mismatches by column between the full build and builds on cut histories: all must be 0."""
     minute = staged(src.bars(spark, d, 1), "minute")
     return store.recompute_check(minute, lambda m: staged(table.whole(m), "features"), CUTS).groupBy("column").agg(F.sum("mismatches").alias("mismatches"))
 
 
-@register("leakage_perturb")
+@register("leakage_perturb", _NO_LEAK)
 def leakage_perturb(spark, d):
     minute = staged(src.bars(spark, d, 1), "minute")
     return store.perturb_check(minute, lambda m: staged(table.whole(m), "features"), CUTS[-1])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from tidemark.sources import manifest
 from tidemark.sources import tape as src
 from tidemark.sources.datasets import kept
 from tidemark.streaming import bars as stream
+from tidemark.streaming import quotes
 
 QUERIES, ORACLE = {}, {}
 
@@ -156,10 +157,15 @@ s AS (SELECT *, n / sum(n) OVER (PARTITION BY "group") AS share FROM c) SELECT "
 )
 
 
-@register("walk_forward_folds", """WITH f AS (SELECT CAST(range AS INTEGER) AS fold, DATE '2021-08-01' + INTERVAL (range * 3) MONTH AS train_start FROM range(0, 40)), g AS (SELECT fold, train_start, train_start + INTERVAL 12 MONTH AS test_start, least(train_start + INTERVAL 15 MONTH, TIMESTAMP '2024-08-21') AS test_end FROM f)
-SELECT fold, CAST(train_start AS TIMESTAMP) AS train_start, CAST(test_start AS TIMESTAMP) AS test_start, test_end FROM g WHERE test_start < TIMESTAMP '2024-08-21' AND date_diff('day', test_start, test_end) >= 20""")
+@register("walk_forward_folds", """WITH span AS (SELECT CAST(min(o_orderdate) AS TIMESTAMP) AS a, CAST(max(o_orderdate) AS TIMESTAMP) AS z FROM orders),
+s AS (SELECT z, CASE WHEN day(a) > 1 THEN date_trunc('month', a) + INTERVAL 1 MONTH ELSE date_trunc('month', a) END AS first FROM span),
+f AS (SELECT CAST(range AS INTEGER) AS fold, z, first + INTERVAL (range * 3) MONTH AS train_start FROM s, range(0, 400)),
+g AS (SELECT fold, z, train_start, train_start + INTERVAL 12 MONTH AS test_start, least(train_start + INTERVAL 15 MONTH, z) AS test_end FROM f)
+SELECT fold, CAST(train_start AS TIMESTAMP) AS train_start, CAST(test_start AS TIMESTAMP) AS test_start, test_end FROM g WHERE test_start < z AND date_diff('day', test_start, test_end) >= 20""")
 def walk_forward_folds(spark, d):
-    return research.folds(spark, datetime(2021, 7, 5), datetime(2024, 8, 21))
+    """Folds over the span of a long history: that of the orders."""
+    span = src.table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("t")).agg(F.min("t").alias("a"), F.max("t").alias("z")).first()
+    return research.folds(spark, span.a, span.z)
 
 
 GRID = research.grid({"stop_atr": [0.75, 1.0, 1.5], "target_atr": [1.0, 1.5, 2.0]})
@@ -173,7 +179,20 @@ def variants_of(spark, d):
     return trades.join(numbers, "variant")
 
 
-@register("grid_search_plateau")
+def _each_variant(where: str) -> str:
+    """The trades of every variant of the grid, as one relation."""
+    one = "SELECT '{i}' AS variant, {s}::DOUBLE AS stop_atr, {t}::DOUBLE AS target_atr, decision_time, r_net FROM (WITH {sql} SELECT * FROM trades WHERE {where})"
+    return " UNION ALL ".join(one.format(i=i, s=v["stop_atr"], t=v["target_atr"], sql=trades_sql(qf.SIGNALS, v["stop_atr"], v["target_atr"]), where=where) for i, v in enumerate(GRID))
+
+
+_PLATEAU = f"""WITH g AS (SELECT stop_atr, target_atr, count(*) AS n, avg(r_net) AS r FROM ({_each_variant("scenario = 'base'")}) GROUP BY ALL),
+k AS (SELECT *, dense_rank() OVER (ORDER BY stop_atr) AS i, dense_rank() OVER (ORDER BY target_atr) AS j FROM g), b AS (SELECT * FROM k WHERE n >= 30 ORDER BY r DESC, stop_atr, target_atr LIMIT 1),
+x AS (SELECT b.stop_atr AS best_stop_atr, b.target_atr AS best_target_atr, b.r AS best_r, avg(k.r) AS near_r, count(*) AS neighbours FROM k, b WHERE abs(k.i - b.i) + abs(k.j - b.j) = 1 GROUP BY ALL),
+y AS (SELECT *, near_r / CASE WHEN best_r > 0 THEN best_r END AS ratio FROM x)
+SELECT best_stop_atr, best_target_atr, round(best_r, 4) AS best_r, round(near_r, 4) AS near_r, neighbours, round(ratio, 4) AS ratio, CASE WHEN ratio >= 0.7 THEN 'plateau' WHEN ratio >= 0.4 THEN 'slope' ELSE 'spike' END AS shape FROM y"""
+
+
+@register("grid_search_plateau", _PLATEAU)
 def grid_search_plateau(spark, d):
     """Stops by targets over the same signals: every variant of every signal is a row of one frame, the table one aggregate."""
     t = variants_of(spark, d).where("scenario = 'base'").groupBy("stop_atr", "target_atr").agg(F.count("*").alias("n"), F.avg("r_net").alias("expectancy_r"))
@@ -281,29 +300,36 @@ def signal_preview(spark, d):
     return s.groupBy("symbol", "tier").agg(F.count("*").alias("n"), F.count_if(F.col("side") > 0).alias("long_signals"), F.count_if(F.col("side") < 0).alias("short_signals"))
 
 
-_FOLDS = [(i, f"2024-01-{1 + 4 * i:02d}", f"2024-01-{13 + 4 * i:02d}", f"2024-01-{17 + 4 * i:02d}") for i in range(4)]
-
-
-def fold_table(spark):
-    """Twelve days of training and four of test: the synthetic history has a month."""
-    rows = [(i, *(datetime.fromisoformat(t) for t in days)) for i, *days in _FOLDS]
+def fold_table(spark, d):
+    """Four folds over the history: three sevenths of its days for training, one for the test, each a seventh later."""
+    span = src.bars(spark, d, 1).agg(F.min("ts_utc").alias("a"), F.max("ts_utc").alias("z")).first()
+    first, unit = datetime(span.a.year, span.a.month, span.a.day), timedelta(days=max(1, (span.z.date() - span.a.date()).days // 7))
+    rows = [(i, first + i * unit, first + (i + 3) * unit, first + (i + 4) * unit) for i in range(4)]
     return spark.createDataFrame(rows, "fold int, train_start timestamp_ntz, test_start timestamp_ntz, test_end timestamp_ntz")
 
 
-_FOLD_SQL = "fo(fold, train_start, test_start, test_end) AS (VALUES " + ", ".join(f"({i}, TIMESTAMP '{a} 00:00:00', TIMESTAMP '{b} 00:00:00', TIMESTAMP '{c} 00:00:00')" for i, a, b, c in _FOLDS) + ")"
+_FOLD_SQL = """sp AS (SELECT CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) AS first, greatest(1, date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) // 7) AS unit FROM events),
+fo AS (SELECT CAST(range AS INTEGER) AS fold, first + INTERVAL 1 DAY * (range * unit) AS train_start, first + INTERVAL 1 DAY * ((range + 3) * unit) AS test_start, first + INTERVAL 1 DAY * ((range + 4) * unit) AS test_end FROM sp, range(0, 4))"""
 _WALK = f"""{TRADES}, {_FOLD_SQL}, wf AS (SELECT fold, '0' AS variant, count(*) FILTER (decision_time < test_start) AS train_n, avg(r_net) FILTER (decision_time < test_start) AS train_expectancy_r, count(*) FILTER (decision_time >= test_start) AS test_n,
   avg(r_net) FILTER (decision_time >= test_start) AS test_expectancy_r, coalesce(sum(r_net) FILTER (decision_time >= test_start), 0) AS test_total_r FROM trades JOIN fo ON decision_time >= train_start AND decision_time < test_end WHERE scenario = 'pessimistic' GROUP BY fold HAVING count(*) FILTER (decision_time < test_start) >= 10)"""
 register("walk_forward_fixed", q.query(_WALK, "wf", ["fold", "variant", "train_n", "test_n"], ["train_expectancy_r", "test_expectancy_r", "test_total_r"], places=4))(
-    lambda spark, d: rounded(research.walk_forward(labelled(spark, d).where("scenario = 'pessimistic'").withColumn("variant", F.lit("0")), fold_table(spark)), 4)
+    lambda spark, d: rounded(research.walk_forward(labelled(spark, d).where("scenario = 'pessimistic'").withColumn("variant", F.lit("0")), fold_table(spark, d)), 4)
 )
 
 
-@register("walk_forward_grid")
+_WALK_GRID = f"""WITH {_FOLD_SQL}, t AS ({_each_variant("scenario = 'pessimistic'")}),
+w AS (SELECT fold, variant, stop_atr, target_atr, count(*) FILTER (decision_time < test_start) AS train_n, avg(r_net) FILTER (decision_time < test_start) AS train_r, count(*) FILTER (decision_time >= test_start) AS test_n,
+  avg(r_net) FILTER (decision_time >= test_start) AS test_r, coalesce(sum(r_net) FILTER (decision_time >= test_start), 0) AS test_total FROM t JOIN fo ON decision_time >= train_start AND decision_time < test_end GROUP BY ALL)
+SELECT fold, train_n, round(train_r, 4) AS train_expectancy_r, test_n, round(test_r, 4) AS test_expectancy_r, round(test_total, 4) AS test_total_r, stop_atr, target_atr FROM w WHERE train_n >= 10
+QUALIFY row_number() OVER (PARTITION BY fold ORDER BY train_r DESC, variant) = 1"""
+
+
+@register("walk_forward_grid", _WALK_GRID)
 def walk_forward_grid(spark, d):
     """Each fold takes the variant of the grid that was best on its training days."""
     t = variants_of(spark, d).where("scenario = 'pessimistic'")
     numbers = t.select("variant", "stop_atr", "target_atr").distinct()
-    return rounded(research.walk_forward(t, fold_table(spark)).join(numbers, "variant").drop("variant"), 4)
+    return rounded(research.walk_forward(t, fold_table(spark, d)).join(numbers, "variant").drop("variant"), 4)
 
 
 _BASE = f"{qf._HYG}, kb AS (SELECT *, row_number() OVER (ORDER BY event_time) - 1 AS k, count(*) OVER () AS n FROM hy WHERE NOT hyg_no_entry AND atr_pts > 0), sig AS (SELECT symbol, available_at AS decision_time, event_time, unnest([1, -1]) AS side, atr_pts FROM kb WHERE k % greatest(n // 30000, 1) = 0)"
@@ -391,7 +417,20 @@ def checklist_items(spark, d):
     return research.checklist_rows(metrics.summary(t, ("tier",)).withColumn("name", F.lit("demo")))
 
 
-@register("ambiguity_sensitivity")
+_KIND = TRADES.replace("WHEN worse THEN stop ELSE target END AS px", "WHEN better THEN target ELSE stop END AS px").replace("WHEN worse THEN 'stop' ELSE 'target' END AS why", "WHEN better THEN 'target' ELSE 'stop' END AS why").replace("WHEN worse THEN 'stop' ELSE 'limit' END AS ord", "WHEN better THEN 'limit' ELSE 'stop' END AS ord")
+_MEANS = "SELECT symbol, avg(r_net) AS r, avg(CAST(ambiguous AS DOUBLE)) AS rate FROM (WITH {} SELECT * FROM trades WHERE scenario = 'pessimistic') GROUP BY symbol"
+
+
+_VP, _VD = ["tier", "scenario", "n", "wins", "long_trades", "short_trades"], ["win_rate", "expectancy_r", "median_r", "std_r", "total_r", "profit_factor", "max_dd_r", "stderr_r", "target_share", "stop_share", "time_share", "mean_held_min", "longest_held_min"]
+_OVER = "OVER (PARTITION BY tier, scenario ORDER BY exit_time, decision_time ROWS UNBOUNDED PRECEDING)"
+_VALID = f"""{TRADES}, {_TIERS}, va AS (SELECT trades.*, {_TIER} AS own FROM trades JOIN cuts ON cs = trades.symbol), vb AS (SELECT *, unnest([own, 'AB']) AS tier FROM va WHERE own <> 'C'), vc AS (SELECT *, sum(r_net) {_OVER} AS cum FROM vb),
+vd AS (SELECT *, greatest(max(cum) {_OVER}, 0) - cum AS dd, (epoch(exit_time) - epoch(entry_time)) / 60 AS held FROM vc), valid AS (SELECT tier, scenario, count(*) AS n, count(*) FILTER (r_net > 0) AS wins, count(*) FILTER (side > 0) AS long_trades, count(*) FILTER (side < 0) AS short_trades,
+  avg(CAST(r_net > 0 AS DOUBLE)) AS win_rate, avg(r_net) AS expectancy_r, median(r_net) AS median_r, stddev_samp(r_net) AS std_r, sum(r_net) AS total_r, sum(r_net) FILTER (r_net > 0) / nullif(-sum(r_net) FILTER (r_net < 0), 0) AS profit_factor, max(dd) AS max_dd_r,
+  stddev_samp(r_net) / sqrt(count(*)) AS stderr_r, avg(CAST(exit_reason = 'target' AS DOUBLE)) AS target_share, avg(CAST(exit_reason LIKE 'stop%' AS DOUBLE)) AS stop_share, avg(CAST(exit_reason = 'time' AS DOUBLE)) AS time_share, avg(held) AS mean_held_min, max(held) AS longest_held_min FROM vd GROUP BY tier, scenario)"""
+register("validation", q.query(_VALID, "valid", _VP, _VD, places=4))(lambda spark, d: rounded(research.validation(labelled(spark, d), research.tiers(src.bars(spark, d, 1))).select(*_VP, *_VD), 4))
+
+
+@register("ambiguity_sensitivity", f"SELECT a.symbol, round(a.r, 4) AS pessimistic_r, round(a.rate, 4) AS ambiguity_rate, round(b.r, 4) AS optimistic_r, round(b.r - a.r, 4) AS difference_r FROM ({_MEANS.format(TRADES)}) a JOIN ({_MEANS.format(_KIND)}) b ON a.symbol = b.symbol")
 def ambiguity_sensitivity(spark, d):
     """What it changes to settle bars that hit both stop and target for the other side."""
     s, p = signals(spark, d), manifest.staged(path(spark, d), "path")
@@ -437,6 +476,17 @@ def stream_sessions(spark, d):
     return spark.read.parquet(f"{out}/sessions")
 
 
+@register("stream_quote_durations", q.query(f"{qb._HIST}, closed AS (SELECT * FROM hist WHERE time_bucket(INTERVAL '5 minutes', ts_utc) + INTERVAL 6 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE)", "closed", ["symbol", "ts_utc", "spread_points", "ticks"], ["seconds"]))
+def stream_quote_durations(spark, d):
+    """How long each spread was quoted, from a stream with state and timers: the tick histogram of all closed buckets."""
+    schema = src.table(spark, d, "events").schema
+    ticks = src.from_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
+    out = manifest.scratch(spark, "stream")
+    with stream.state_in_rocksdb(spark):
+        stream.run_to_table(quotes.durations(ticks), f"{out}/durations", f"{out}/state")
+    return rounded(spark.read.parquet(f"{out}/durations").select("symbol", "ts_utc", "spread_points", "ticks", "seconds"))
+
+
 # a search over rules, and the ledger that it is kept in
 
 SPACE = {

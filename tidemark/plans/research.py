@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import calendar as cal
 from tidemark.operators import quantiles
 from tidemark.operators.asof import asof
+from tidemark.plans import metrics
 from tidemark.sources.manifest import staged
 from tidemark.sources.tape import POINT
 
@@ -198,6 +199,21 @@ def with_tier(signals: DataFrame, cuts: DataFrame) -> DataFrame:
     return signals.join(cuts, "symbol").withColumn("tier", F.when(t < F.col("b_start"), "A").when(t < F.col("c_start"), "B").otherwise("C")).drop("b_start", "c_start")
 
 
+def validation(trades: DataFrame, cuts: DataFrame) -> DataFrame:
+    """A row for each scenario on tiers A, B and both together: the summary, how trades ended and how long they were held.
+
+    Tier C is not there: it is looked at once, after everything else.
+    """
+    t = with_tier(trades, cuts).where("tier <> 'C'").withColumn("tier", F.explode(F.array(F.col("tier"), F.lit("AB"))))
+    share = lambda c: F.avg(c.cast("double"))
+    reason, held = F.col("exit_reason"), (cal.seconds(F.col("exit_time")) - cal.seconds(F.col("entry_time"))) / 60
+    ends = t.groupBy("tier", "scenario").agg(
+        share(reason == "target").alias("target_share"), share(reason.startswith("stop")).alias("stop_share"), share(reason == "time").alias("time_share"),
+        F.avg(held).alias("mean_held_min"), F.max(held).alias("longest_held_min"),
+    )
+    return metrics.summary(t, ("tier", "scenario")).join(ends, ["tier", "scenario"])
+
+
 def walk_forward(trades: DataFrame, fold_table: DataFrame, least: int = 10) -> DataFrame:
     """One row a fold: the variant that was best on its training span, and how it did on the test span.
 

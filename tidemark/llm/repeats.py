@@ -38,7 +38,7 @@ from tidemark.llm.common import materialise, small_batches, text_or_empty
 
 LENGTH = 100
 #: Bytes of text that are handled at once in a task; longer texts are cut into overlapping pieces.
-CHUNK = 4 << 20
+CHUNK = 3 << 20
 #: Windows whose suffixes are ordered at once.
 WINDOWS = 200_000
 #: A key is hot from so many segments on; one in SAMPLE documents is counted to find them, and at most MOST_HOT are sent.
@@ -107,6 +107,7 @@ def segments(chunk: Chunk, at: np.ndarray, length: int, hot: np.ndarray, level:
     piece = chunk.hashes(slice(None), short)
     packed = (piece & ~np.uint64(_LOW)) | np.arange(len(piece), dtype=np.uint64)
     anchor = (_least(packed, length - short + 1) & np.uint64(_LOW)).astype(np.int64)
+    del packed
     inside = np.zeros(len(anchor) + 1, np.int32)
     begin, end = at[:-1], at[1:]
     long_enough = end - begin >= length

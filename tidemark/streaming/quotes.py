@@ -1,6 +1,6 @@
 """How long each spread was quoted, as a stream: quotes wait as state until nothing can change how long they lasted.
 
-A quote lasts until the next one of its day, but no longer than ``longest`` seconds. Quotes are dealt to buckets of some
+A quote lasts until the next one of its day that has a spread, but no longer than ``longest`` seconds. Quotes are dealt to buckets of some
 minutes, so a busy symbol is many groups; a quote soon after a bucket's start is also told to the bucket before, whose last
 quote it may end. A timer at the bucket's end plus ``longest`` closes it: by then the watermark has passed every quote
 that counts. What comes later than the watermark is left out. State is the quotes of open buckets.
@@ -47,7 +47,7 @@ class Durations(StatefulProcessor):
         self.quotes.clear()
         found: dict[tuple[int, int], list] = {}
         for (ts, _, points, mark), later in zip(quotes, [*quotes[1:], None]):
-            if mark or points <= 0:
+            if mark:
                 continue
             held = (later[0] - ts) / 1e6 if later is not None and later[0] // DAY == ts // DAY else self.longest
             sums = found.setdefault((ts // 60_000_000, points), [0.0, 0])
@@ -65,7 +65,7 @@ def durations(ticks: DataFrame, minutes: int = 5, longest: float = 60.0, late: s
     """symbol, ts_utc (minute), spread_points, seconds, ticks of the buckets that are closed. The session needs the RocksDB state store."""
     width = minutes * 60_000_000
     q = ticks.where((F.col("bid") > 0) & (F.col("ask") > 0)).withColumn("event_ts", F.col("ts_utc").cast("timestamp")).withWatermark("event_ts", late)
-    q = q.withColumns({"ts": F.unix_micros("event_ts"), "points": F.bround((F.col("ask") - F.col("bid")) / point, 0).cast("long")})
+    q = q.withColumns({"ts": F.unix_micros("event_ts"), "points": F.bround((F.col("ask") - F.col("bid")) / point, 0).cast("long")}).where("points > 0")
     own = F.floor(F.col("ts") / width)
     here = F.struct(own.alias("bucket"), F.lit(False).alias("mark"))
     before = F.when(F.col("ts") - own * width < int(longest * 1_000_000), F.struct((own - 1).alias("bucket"), F.lit(True).alias("mark")))

@@ -56,6 +56,7 @@ def test_small_chunks_and_hot_keys_change_nothing(spark, monkeypatch):
     rows = texts(7)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(repeats, "_hot_keys", lambda plain, length: every_key(rows, length, 2))
+    monkeypatch.setattr(repeats, "ROWS", 3)
     assert mine(df, 30) == brute(rows, 30)
 
 

@@ -39,6 +39,8 @@ from tidemark.llm.common import materialise, small_batches, text_or_empty
 LENGTH = 100
 #: Bytes of text that are handled at once in a task; longer texts are cut into overlapping pieces.
 CHUNK = 3 << 20
+#: Rows of an Arrow batch whose texts are cut at once.
+ROWS = 64
 #: Windows whose suffixes are ordered at once.
 WINDOWS = 200_000
 #: A key is hot from so many segments on; one in SAMPLE documents is counted to find them, and at most MOST_HOT are sent.
@@ -447,9 +449,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     least = F.lit(-(1 << 63)).cast("long")
     texts = docs.select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), least).alias("id"),
-        F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"),
+        F.xxhash64(text_or_empty()).alias("th"),
     )
-    plain = texts.select("id", "th", "text")
+    plain = texts.select("id", "th", F.coalesce("row.text", F.lit("")).alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
     hot = _hot_keys(plain, length)
@@ -470,24 +472,28 @@ def _cut(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, counts, begins, ends = [], [0], [], []
-            text = b.column(2).cast(pa.large_binary())
-            for row, th in enumerate(b.column(1).to_pylist()):
-                data = text[row].as_py()
-                found = [x["spans"] for x in (b.column(3)[row].as_py() or []) if x["th"] == th]
-                if found:
-                    pair = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-                    begin, end = merged(pair[:, 0], pair[:, 1])
-                    data = b"".join(data[a:z] for a, z in zip([0, *end.tolist()], [*begin.tolist(), len(data)]))
-                    begins.append(begin)
-                    ends.append(end)
-                counts.append(counts[-1] + (len(begin) if found else 0))
-                kept.append(data)
-            flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (begins, ends)]
-            spans = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(flat, ["begin", "end"]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), spans], ["row", "kept", "spans"])
-
-    return rows.select("row", "th", "text", "found").mapInArrow(run, schema)
+            for at in range(0, len(b), ROWS):  # the texts that are left are made for some rows at once
+                yield piece(b.slice(at, ROWS))
+
+    def piece(b: pa.RecordBatch) -> pa.RecordBatch:
+        kept, counts, begins, ends = [], [0], [], []
+        texts = b.column(0).field("text").cast(pa.large_binary())
+        for text, th, found in zip(texts, b.column(1).to_pylist(), b.column(2).to_pylist()):
+            data = text.as_py() or b""
+            spans = [x["spans"] for x in found or [] if x["th"] == th]
+            if spans:
+                pair = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+                begin, end = merged(pair[:, 0], pair[:, 1])
+                data = b"".join(data[a:z] for a, z in zip([0, *end.tolist()], [*begin.tolist(), len(data)]))
+                begins.append(begin)
+                ends.append(end)
+            counts.append(counts[-1] + (len(begin) if spans else 0))
+            kept.append(data)
+        flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (begins, ends)]
+        spans = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(flat, ["begin", "end"]))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), spans], ["row", "kept", "spans"])
+
+    return rows.select("row", "th", "found").mapInArrow(run, schema)
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -50,6 +50,21 @@ def test_recall_in_blocks(spark, monkeypatch):
     assert len(got) == 200 and hits / (20 * len(want)) >= 0.95
 
 
+def recall(spark, x):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = make(spark, rows)
+    got, want = answers(ann.search(vectors, vectors.where("id % 20 = 0"))), brute(rows)
+    return sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q][0]}) for q in want) / (20 * len(want))
+
+
+def test_recall_where_codes_cannot_tell_vectors_apart(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 64))
+    assert recall(spark, centres[rng.integers(0, 6, 2400)] + 0.01 * rng.normal(size=(2400, 64))) >= 0.99  # near copies
+    assert recall(spark, rng.normal(size=(2400, 2))) >= 0.99  # few components
+    assert recall(spark, rng.normal(size=(2400, 64)) * np.exp(2 * rng.normal(size=(2400, 1)))) >= 0.99  # lengths far apart
+
+
 def test_loss_is_lower_than_that_of_nearest_codewords():
     x = np.random.default_rng(3).normal(size=(2000, 64))
     q = ann.Quantiser(64).fit(x)

@@ -4,12 +4,13 @@ Fit: product codebooks of 16 codewords for every PART components are trained on
     |r|^2 + (ETA - 1) <r, x>^2 / |x|^2
 with r the residual of a vector x. Error along x, which moves large inner products, costs ETA times error across it. One
 codebook after the other is set to its least squares, so the fit needs a few numbers a sampled component.
-Index: every vector gets its codes by coordinate descent on the same loss; two codes share a byte.
-Search: the queries meet the codes of all vectors in blocks, no vector but the query's own. Per query a table holds the
-inner products with the codewords, and a block's sums over its codes are read off these tables. The RERANK best of a query
-over all blocks are joined with their vectors and scored exactly in double precision. So what is moved is half a byte
-a component for each block of queries, and RERANK vectors a query. Identical vectors are one entry with its TOP + 1 least
-ids, which is all that a result can show.
+Index: every vector gets its codes by coordinate descent on the same loss, for its direction; two codes share a byte.
+Search: the queries meet all vectors in blocks. Per query a table holds the inner products with the codewords, and a
+block's approximate products are read off its codes. The RERANK best are scored exactly in double precision, and how far
+codes and exact products lie apart is taken from them and from PROBES vectors of the block: every vector whose
+approximate product, with MARGIN deviations of that error added, reaches the last place is scored exactly too, until
+none is left. So however close vectors lie, as many are scored as the codes cannot tell apart. A block gives its TOP
+rows a query. Identical vectors are one entry with its TOP + 1 least ids, which is all that a result can show.
 
 Defined cases: vectors that are null, empty or zero or hold null or non-finite components, and rows with a null id, take
 no part, nor do vectors of other dimensions than the query's; ties go to the smaller id; a repeated row is a row of its
@@ -31,8 +32,10 @@ from tidemark.llm.vectors import clean, matrix, sample
 
 TOP = 20
 RERANK = 64
-#: Codes, and queries, that one task compares at most.
-BLOCK, QUERIES = 16_384, 8_192
+#: Vectors of a block that show the error of the codes, and deviations of it that are allowed for.
+PROBES, MARGIN = 64, 4.0
+#: Vectors, and queries, that one task compares at most; fewer where they have more than USUAL bytes on average.
+BLOCK, QUERIES, USUAL = 16_384, 32_768, 1_024
 CODES, PART = 16, 1
 #: Inner products from this share of the length upwards matter; it sets the weight of the parallel error.
 RELEVANT = 0.2
@@ -117,14 +120,36 @@ class Quantiser:
         return out
 
 
-def best_codes(quantiser: Quantiser, queries: np.ndarray, packed: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each query its number and the places and approximate scores of its best codes."""
-    step = max(1, 4_000_000 // max(1, len(packed)))
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def nearest(quantiser: Quantiser, queries: np.ndarray, x: np.ndarray, packed: np.ndarray, most: int, rerank: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each query its number and the places of its ``most`` best vectors, with those that tie with the last."""
+    length = np.sqrt((x * x).sum(axis=1))
+    codes = np.stack([packed >> 4, packed & 15], axis=2).reshape(len(packed), -1)
+    words = quantiser.words[np.arange(quantiser.parts), codes].reshape(len(x), -1)[:, : quantiser.dim]
+    weight = np.linalg.norm(x / length[:, None] - words, axis=1) * length  # errors are judged as shares of the residual
+    single = 1e-5 * length  # the tables are in single precision
+    probes = np.unique(np.linspace(0, len(x) - 1, PROBES).astype(np.int64))
+    rms = lambda miss, at: np.sqrt(np.mean((np.maximum(np.abs(miss) - single[at], 0) / np.maximum(weight[at], 1e-300)) ** 2, axis=-1))
+    queries = unit(queries)
+    step = max(1, 2_000_000 // len(x))
     for at in range(0, len(queries), step):
-        near = quantiser.scan(queries[at : at + step], packed)
-        some = np.argpartition(-near, most, axis=1)[:, :most] if len(packed) > most else np.broadcast_to(np.arange(len(packed)), near.shape)
-        for i, places in enumerate(some):
-            yield at + i, places, near[i, places]
+        near = quantiser.scan(queries[at : at + step], packed) * length
+        errors = rms(queries[at : at + step] @ x[probes].T - near[:, probes], probes)
+        for i, (q, about, error) in enumerate(zip(queries[at : at + step], near, errors.tolist())):
+            score = np.full(len(x), -np.inf)
+            more = np.argpartition(-about, rerank)[:rerank] if len(x) > rerank else np.arange(len(x))
+            last = -np.inf
+            while len(more):
+                score[more] = x[more] @ q
+                error = max(error, float(rms(score[more] - about[more], more)))
+                if len(x) > most:
+                    found = score[score > -np.inf]
+                    last = np.partition(found, len(found) - most)[len(found) - most]
+                more = np.flatnonzero((about + (MARGIN * error * weight + single) >= last) & (score == -np.inf))
+            yield at + i, np.flatnonzero(score >= last - 1e-12 * np.abs(length).max()) if last > -np.inf else np.arange(len(x))
 
 
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int = RERANK) -> DataFrame:
@@ -132,7 +157,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int =
     vectors, queries = (df.where("id is not null and vec is not null") for df in (vectors, queries))
     few = vectors.withColumn("k", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("k") <= top + 1)
     index = few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    fitted = {d: Quantiser(d).fit(x) for d, x in sample(vectors.select("vec")).items()}
+    fitted = {d: Quantiser(d).fit(unit(x)) for d, x in sample(vectors.select("vec")).items()}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,61 +167,48 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, rerank: int =
             for i, v in enumerate(found):
                 by.setdefault(len(v) // 8, []).append(i)
             for d, rows in by.items():
-                for i, c in zip(rows, (fitted.get(d) or Quantiser(d)).packed(matrix([found[i] for i in rows]))):
+                for i, c in zip(rows, (fitted.get(d) or Quantiser(d)).packed(unit(matrix([found[i] for i in rows])))):
                     codes[i] = c.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary())], ["vec", "ids", "codes"])
 
     index = index.mapInArrow(encode, "vec binary, ids array<long>, codes binary")
     index = materialise(index.withColumn("key", F.monotonically_increasing_id()), "ann-index")
     asked = materialise(queries.select("id", "vec", F.monotonically_increasing_id().alias("uid")), "ann-queries")
-    n_index, n_asked = max(1, -(-index.count() // BLOCK)), asked.count()
-    # blocks of queries: few, as each gets a copy of all codes, but enough tasks for the cores
+    # rows, or USUAL bytes if that is more
+    weigh = lambda df: df.agg(F.greatest(F.count("*"), F.ceil(F.coalesce(F.sum(F.octet_length("vec")), F.lit(0)) / USUAL))).first()[0]
+    n_index, n_asked = max(1, -(-weigh(index) // BLOCK)), weigh(asked)
+    # blocks of queries: few, as each gets a copy of all vectors, but enough tasks for the cores
     n_queries = max(1, -(-n_asked // QUERIES), min(-(-n_asked // 256), -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // n_index)))
-    dim, none = F.octet_length("vec"), F.lit(None)
+    dim, none = F.octet_length("vec").alias("dim"), F.lit(None)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    entries = index.select(dim.alias("dim"), F.pmod("key", F.lit(n_index)).alias("block"), every(n_queries).alias("asking"), none.cast("long").alias("uid"), none.cast("binary").alias("vec"), "key", "codes")
-    asking = asked.select(dim.alias("dim"), every(n_index).alias("block"), F.pmod(F.xxhash64("uid"), F.lit(n_queries)).alias("asking"), "uid", "vec", none.cast("long").alias("key"), none.cast("binary").alias("codes"))
+    entries = index.select(dim, F.pmod("key", F.lit(n_index)).alias("block"), every(n_queries).alias("asking"), none.cast("long").alias("uid"), none.cast("long").alias("id"), "vec", "ids", "codes")
+    asking = asked.select(dim, every(n_index).alias("block"), F.pmod(F.xxhash64("uid"), F.lit(n_queries)).alias("asking"), "uid", "id", "vec", none.cast("array<long>").alias("ids"), none.cast("binary").alias("codes"))
 
     def compare(t: pa.Table) -> pa.Table:
-        is_query = t["uid"].is_valid().to_numpy()
-        rows, at = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-        out_u, out_k, out_s = [], [], []
-        if len(rows) and len(at):
-            vec = matrix(t["vec"].filter(t["uid"].is_valid()).to_pylist())
-            uid, key = t["uid"].fill_null(0).to_numpy()[rows], t["key"].fill_null(0).to_numpy()[at]
-            packed = np.frombuffer(b"".join(t["codes"].filter(t["key"].is_valid()).to_pylist()), dtype=np.uint8).reshape(len(at), -1)
-            for i, places, near in best_codes(fitted.get(vec.shape[1]) or Quantiser(vec.shape[1]), vec, packed, rerank):
-                out_u.append(np.full(len(places), uid[i]))
-                out_k.append(key[places])
-                out_s.append(near)
-        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, dtype=kind)
-        return pa.table({"uid": join(out_u, np.int64), "key": join(out_k, np.int64), "near": join(out_s, np.float32)})
-
-    near = entries.unionByName(asking).groupBy("dim", "block", "asking").applyInArrow(compare, "uid long, key long, near float")
-    best = near.withColumn("k", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("near"), "key"))).where(F.col("k") <= rerank).select("uid", "key")
-    pairs = best.join(index.select("key", F.col("vec").alias("found"), "ids"), "key").join(asked, "uid").select("uid", "id", "vec", "found", "ids")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Scores of the candidates; the query's own row is no candidate, rows equal to it are."""
-        for b in batches:
-            asked_for, found = b.column(2).to_pylist(), b.column(3).to_pylist()
-            score, own = np.empty(len(found)), np.empty(len(found), dtype=bool)
-            size = np.array([len(v) for v in found], dtype=np.int64)
-            for n in np.unique(size):
-                at = np.flatnonzero(size == n)
-                q, x = matrix([asked_for[i] for i in at]), matrix([found[i] for i in at])
-                score[at], own[at] = (q * x).sum(axis=1), (q == x).all(axis=1)
-            ids = b.column(4)
-            many = np.diff(ids.offsets.to_numpy())
-            row, vec_id = np.repeat(np.arange(len(found)), many), ids.flatten().to_numpy()
-            asker = b.column(1).to_numpy()[row]
-            same = np.flatnonzero(own[row] & (asker == vec_id))
-            same = same[np.unique(row[same], return_index=True)[1]]  # one row of each, should it be there twice
-            kept = np.delete(np.arange(len(row)), same)
-            columns = [b.column(0).to_numpy()[row[kept]], asker[kept], vec_id[kept], score[row[kept]]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["uid", "query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(exact, "uid long, query_id long, vec_id long, score double")
+        """Exact scores of each query's best rows of the block; the query's own row is no candidate, rows equal to it are."""
+        asks, entries = t.filter(t["uid"].is_valid()), t.filter(t["codes"].is_valid())
+        out: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in range(3)] + [[np.empty(0)]]
+        if len(asks) and len(entries):
+            vec, x = (matrix(part["vec"].to_pylist()) for part in (asks, entries))
+            uid, asker = asks["uid"].to_numpy(), asks["id"].to_numpy()
+            ids = entries["ids"].combine_chunks()
+            begins = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            flat = ids.flatten().to_numpy()
+            packed = np.frombuffer(b"".join(entries["codes"].to_pylist()), dtype=np.uint8).reshape(len(x), -1)
+            for i, places in nearest(fitted.get(vec.shape[1]) or Quantiser(vec.shape[1]), vec, x, packed, top + 1, rerank):
+                found = x[places]
+                many = begins[places + 1] - begins[places]
+                row = np.repeat(np.arange(len(places)), many)
+                vec_id = flat[np.repeat(begins[places] - np.cumsum(many) + many, many) + np.arange(len(row))]
+                score = (vec[i] * found).sum(axis=1)[row]
+                own = np.flatnonzero((vec_id == asker[i]) & (found == vec[i]).all(axis=1)[row])[:1]  # one, should it be there twice
+                order = np.delete(np.arange(len(row)), own)
+                order = order[np.lexsort((vec_id[order], -score[order]))][:top]
+                for column, values in zip(out, (np.full(len(order), uid[i]), np.full(len(order), asker[i]), vec_id[order], score[order])):
+                    column.append(values)
+        return pa.table({name: np.concatenate(column) for name, column in zip(("uid", "query_id", "vec_id", "score"), out)})
+
+    found = entries.unionByName(asking).groupBy("dim", "block", "asking").applyInArrow(compare, "uid long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

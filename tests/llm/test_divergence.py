@@ -77,3 +77,10 @@ def test_blocks_hold_all_words(size):
     text = "Ab1cd  éÉ x" * 20 + "long" * 50 + " 9"
     want = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(LOWER))
     assert [w.decode() for b in word_blocks(text.encode(), divergence.TERMS, size) for w in b] == want
+
+
+def test_counts_are_shuffled_once(spark):
+    groups = spark.createDataFrame([("en", "a", "tide quay"), ("en", "b", "tide")], "lang string, source string, text string")
+    counters = np.full(divergence.DEPTH * divergence.BLOCK, divergence.LEAST, np.uint8)
+    found = divergence.kept_counts(divergence.counts(groups, counters, divergence.BLOCK))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -131,10 +131,18 @@ def counts(groups: DataFrame, counters: np.ndarray, width: int) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    found = groups.select("lang", "source", "text").mapInArrow(run, schema)
+    # few rows repeat within a task, so they are dealt by term first and added up where their language's terms meet
+    found = groups.select("lang", "source", "text").mapInArrow(run, schema).repartition("lang", "term")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
+def kept_counts(found: DataFrame) -> DataFrame:
+    """(lang, source, term, n, ln, first) of the terms in at least LEAST documents of their language; one row of a term is its first."""
+    term = Window.partitionBy("lang", "term")
+    found = found.withColumns({"ln": F.sum("n").over(term), "ld": F.sum("d").over(term), "first": F.col("source") == F.min("source").over(term)})
+    return found.where(F.col("ld") >= LEAST).drop("d", "ld")
+
+
 def probability(n, total, kept) -> Column:
     """1 + floor(10^9 (n + 1) / (total + kept)), in integers."""
     n = F.lit(n) if isinstance(n, int) else F.col(n)
@@ -153,10 +161,8 @@ def audit(docs: DataFrame) -> DataFrame:
     groups = docs.select(*[text_or_empty(c).alias(c) for c in ("lang", "source", "text")])
     size = groups.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = min(MOST_CELLS, max(FEWEST_CELLS, 1 << (size // BYTES_A_CELL).bit_length()))
-    found = materialise(counts(groups, sketch(groups, width), width), "divergence-counts")
-    everywhere = found.groupBy("lang", "term").agg(F.sum("n").alias("ln"), F.sum("d").alias("ld")).where(F.col("ld") >= LEAST)
-    kept = materialise(found.join(everywhere.select("lang", "term", "ln"), ["lang", "term"]), "divergence-kept")
-    by_lang = everywhere.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("ln").alias("ltotal"))
+    kept = materialise(kept_counts(counts(groups, sketch(groups, width), width)), "divergence-kept")
+    by_lang = kept.groupBy("lang").agg(F.count_if("first").alias("kept"), F.sum("n").alias("ltotal"))
     by_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
     stats = groups.select("lang", "source").distinct().join(by_group, ["lang", "source"], "left").join(by_lang, "lang", "left")
     stats = stats.na.fill(0, ["total", "own", "kept", "ltotal"])

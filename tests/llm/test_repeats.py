@@ -52,6 +52,13 @@ def test_equals_brute_force(spark, length):
     assert mine(spark.createDataFrame(rows, "doc_id long, text string"), length) == brute(rows, length)
 
 
+def test_texts_are_shuffled_by_id_once(spark):
+    out = repeats.remove_repeats(spark.createDataFrame(texts(3), "doc_id long, text string"), 30)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("REPARTITION_BY_NUM") == 4  # texts, anchors, segments; texts once more by name
+
+
 def test_small_chunks_and_hot_keys_change_nothing(spark, monkeypatch):
     rows = texts(7)
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -11,7 +11,8 @@ All suffixes of a corpus are far too many to sort, so the order is made only whe
    row for each key of a chunk of texts. Keys that occur once cannot repeat a string and end there.
 2. The *segments* around the anchors that are left (runs of strings with one anchor) are shuffled by key, once for each
    chunk. Equal segments meet side by side; of distinct ones the suffixes are ordered and the arrays made.
-3. The spans found return to their documents.
+3. The spans found return to their documents. Both times that texts meet places of theirs, it is in one shuffle of the
+   texts by id, written once and read twice; so one plan leads from the texts to the result.
 
 A key in very many texts with ever other surroundings would be a hot group. Such keys are found by counting a sample of
 documents; their strings are dealt by longer pieces around the anchor, at last by the whole string. That decides only
@@ -227,16 +228,16 @@ def _spans_blob(begin: np.ndarray, end: np.ndarray) -> bytes:
 def segment_rows(texts: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
     """(key, id, th, off, seg) for the segments of live anchors, once a chunk; (…, off -1, seg) holds spans settled there.
 
-    texts: id, th, text and live, the offsets of anchors whose key occurs twice or more.
+    texts: row (with text), id, th and live, the offsets of anchors whose key occurs twice or more.
     """
     shared = texts.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for b in batches:
-            ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ids, ths = b.column(1).to_numpy(), b.column(2).to_numpy()
             live = b.column(3)
-            for buf, at, rows, base in _pieces(b.column(2), length - 1):
+            for buf, at, rows, base in _pieces(pc.fill_null(b.column(0).field("text"), ""), length - 1):
                 wanted = np.zeros(len(buf) + 1, bool)
                 for begin, stop, row, low in zip(at[:-1].tolist(), at[1:].tolist(), rows.tolist(), base.tolist()):
                     offs = live[row].values.to_numpy() - low
@@ -261,7 +262,8 @@ def segment_rows(texts: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
                 if len(later):
                     yield _settled(id_[later], th[later], off[later], off[later] + size[later])
 
-    return texts.select("id", "th", "text", "live").mapInArrow(run, "key long, id long, th long, off long, seg binary")
+    # the whole row, as the result needs it, so that both uses of the shuffled texts are the same
+    return texts.select("row", "id", "th", "live").mapInArrow(run, "key long, id long, th long, off long, seg binary")
 
 
 def _firsts(code: np.ndarray, id_: np.ndarray, th: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -457,11 +459,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hot = _hot_keys(plain, length)
     live = repeated_anchors(anchor_rows(plain, length).repartition(parts, "key").sortWithinPartitions("key"))
     live = live.groupBy("id").agg(F.collect_list("off").alias("live"))
-    segs = segment_rows(plain.repartition(parts, "id").join(live, "id"), length, hot)
+    dealt = texts.repartition(parts, "id")
+    segs = segment_rows(dealt.join(live, "id"), length, hot)
     spans = later_copies(segs.repartition(parts, "key").sortWithinPartitions("key"), length)
-    spans = materialise(spans, "repeats-spans")
     found = spans.groupBy("id").agg(F.collect_list(F.struct("th", "spans")).alias("found"))
-    cut = _cut(texts.join(found, "id", "left"))
+    cut = _cut(dealt.join(found, "id", "left"))
     return cut.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "kept", "spans")
 
 
@@ -507,8 +509,9 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def op11_lpf_repeats(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select(
+    out = out.select(
         "doc_id", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"),
         (F.octet_length(text_or_empty()) - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+    return materialise(out, "repeats-digests")

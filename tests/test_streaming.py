@@ -30,3 +30,19 @@ def test_quote_durations_are_those_of_the_batch(spark, tmp_path):
     plain = lambda df: sorted((r.symbol, r.ts_utc, r.spread_points, round(r.seconds, 6), r.ticks) for r in df.collect())
     got = plain(spark.read.parquet(f"{tmp_path}/out"))
     assert got == plain(want) and len(got) > 100
+
+
+def test_sessions_are_merged_before_the_shuffle(spark, tmp_path, capsys):
+    ticks = [("A", T0 + timedelta(seconds=30 * i + 3600 * (i // 40)), i, 1.0, 1.0) for i in range(200)]
+    schema = "symbol string, ts_utc timestamp_ntz, event_id long, bid double, ask double"
+    spark.createDataFrame(ticks, schema).repartition(3).write.parquet(f"{tmp_path}/in")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    with stream.merged_before_shuffle(spark):
+        rows = stream.sessions(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "10 minutes")
+        query = rows.writeStream.outputMode("append").format("memory").queryName("merged").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    query.explain()
+    plan = capsys.readouterr().out
+    assert "MergingSessions" in plan[plan.rindex("Exchange hashpartitioning") :]
+    assert [r.ticks for r in spark.table("merged").orderBy("starts").collect()] == [40] * 4  # the last run may go on
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == was

@@ -472,7 +472,8 @@ def stream_sessions(spark, d):
     schema = src.table(spark, d, "events").schema
     ticks = src.from_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d))
     out = manifest.scratch(spark, "stream")
-    stream.run_to_table(stream.sessions(ticks, "10 minutes"), f"{out}/sessions", f"{out}/state")
+    with stream.merged_before_shuffle(spark):
+        stream.run_to_table(stream.sessions(ticks, "10 minutes"), f"{out}/sessions", f"{out}/state")
     return spark.read.parquet(f"{out}/sessions")
 
 

@@ -32,12 +32,24 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 @contextmanager
-def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The state store that processors with state of their own need; the session's setting comes back afterwards."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    was = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session; what they were comes back afterwards."""
+    was = {key: spark.conf.get(key) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for key, value in was.items():
+            spark.conf.set(key, value)
+
+
+def state_in_rocksdb(spark: SparkSession):
+    """The state store that processors with state of their own need."""
+    return _settings(spark, {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
+
+
+def merged_before_shuffle(spark: SparkSession):
+    """Sessions are merged within each input task first, so the one task of a symbol gets sessions and not all ticks; an
+    input task orders its ticks, so its split is bounded."""
+    return _settings(spark, {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true", "spark.sql.files.maxPartitionBytes": "32m"})

@@ -64,7 +64,7 @@ def path_of(minute: DataFrame, bar_costs: DataFrame) -> DataFrame:
     """The minute path with costs; a minute without costs gets its scenario's median."""
     names = ("spread_optimistic", "spread_base", "spread_pessimistic")
     usual = bar_costs.groupBy("symbol").agg(*(F.median(c).alias(f"_{c}") for c in names))
-    out = minute.join(bar_costs, ["symbol", "ts_utc"], "left").join(usual, "symbol", "left")
+    out = minute.join(bar_costs, ["symbol", "ts_utc"], "left").join(F.broadcast(usual), "symbol", "left")  # one row a symbol: a shuffle by it would be one task
     return out.select("symbol", "ts_utc", "open", "high", "low", "close", *(F.coalesce(c, f"_{c}").alias(c) for c in names), F.coalesce("in_rollover_window", F.lit(False)).alias("in_rollover_window"), F.coalesce(F.col("spread_source") == "measured", F.lit(False)).alias("measured"))
 
 
@@ -120,7 +120,7 @@ def entries(signals: DataFrame, path: DataFrame, exit_: Exit, account: Account,
     s = s.withColumn("_end", F.array_min(F.array(*ends))).withColumns({"end_time": F.col("_end.at"), "end_reason": F.col("_end.why")})
     last = path.groupBy("symbol").agg(F.max("ts_utc").alias("x_ts_utc"), *(F.max_by(c, "ts_utc").alias(f"x_{c}") for c in PATH if c != "ts_utc"))
     final = path.select("symbol", *(F.col(c).alias(f"f_{c}") for c in PATH))
-    s = asof(s, final, "end_time", "f_ts_utc", [f"f_{c}" for c in PATH], direction="forward").join(last, "symbol")
+    s = asof(s, final, "end_time", "f_ts_utc", [f"f_{c}" for c in PATH], direction="forward").join(F.broadcast(last), "symbol")
     if variants:
         each = [F.struct(F.lit(str(i)).alias("variant"), *(F.lit(float(x)).alias(k) for k, x in v.items())) for i, v in enumerate(variants)]
         s = s.withColumn("_v", F.explode(F.array(*each))).select("*", "_v.*").drop("_v")

@@ -62,6 +62,68 @@ def test_long_pre_token(ranks):
     assert codec.decode(codec.encode(t)) == t.encode()
 
 
+def words(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiouyé") for _ in range(rng.randrange(2, 7))) for _ in range(n)]
+
+
+def test_new_pre_tokens_share_one_queue(ranks, theirs):
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    counting = Counting(ranks)
+    codec = bpe.Codec(counting, PATTERN)
+    text = " ".join(words(2_000, 8))
+    counting.asked = 0
+    ids = codec.encode(text)
+    assert ids == theirs.encode_ordinary(text)
+    # each pre-token once as a whole and two neighbours a merge; the first pairs of all are found together
+    assert counting.asked <= len(codec.split(text)) + 2 * (len(text.encode()) - len(ids))
+
+
+def test_lower_ranks_come_up_while_a_rank_is_merged():
+    rng = random.Random(9)
+    lower = 0
+    for _ in range(150):
+        some = list({bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 6))) for _ in range(40)})
+        rng.shuffle(some)
+        ranks = {bytes([i]): 1_000 + i for i in range(256)} | {b: 3 * k for k, b in enumerate(some)}
+        theirs = tiktoken.Encoding("t", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+        codec = bpe.Codec(ranks, r"\S+")
+        text = " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 60))) for _ in range(20))
+        assert codec.encode(text) == [i for w in text.split() for i in theirs.encode_ordinary(w)]
+        assert codec.decode(codec.encode(text)) == text.replace(" ", "").encode()
+        lower += any(a[:-1] in ranks and r < ranks[a[:-1]] for a, r in ranks.items())
+    assert lower
+
+
+@pytest.mark.parametrize("together, queued", [(1, 1), (7, 30), (400, 1_000)])
+def test_texts_and_queues_are_cut_anywhere(ranks, theirs, monkeypatch, together, queued):
+    monkeypatch.setattr(bpe, "TOGETHER", together)
+    monkeypatch.setattr(bpe, "QUEUED", queued)
+    codec = bpe.Codec(ranks, PATTERN)
+    texts = TEXTS + [" ".join(words(n, n)) for n in (1, 30, 3, 200)] + [None, ""]
+    assert [list(x) for x in codec.encode_all(texts)] == [theirs.encode_ordinary(t or "") for t in texts]
+    assert list(codec.encode_all([])) == []
+
+
+def test_unknown_bytes_and_ids_are_errors():
+    codec = bpe.Codec({b"a": 0, b"c": 5, b"ac": 3}, r"\S+")
+    assert codec.encode("acca aac") == [3, 5, 0, 0, 3]
+    assert codec.decode([3, 0]) == b"aca" and codec.decode([]) == b""
+    for wrong in ("ab", "b"):
+        with pytest.raises(KeyError):
+            codec.encode(wrong)
+    assert codec.encode("caac") == [5, 0, 3]
+    for ids in ([4], [0, 6], [-1]):
+        with pytest.raises(LookupError):
+            codec.decode(ids)
+
+
 def test_columns(spark, theirs):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(None, "x", None), (1, None, None), (1, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")

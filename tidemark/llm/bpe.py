@@ -5,6 +5,9 @@ rank, by position; a bitmap over the ranks, with bitmaps over its words above it
 find-first-set. An entry whose pair has changed meanwhile is stale and skipped. The time is n log n in the length of
 a pre-token, whatever the number of ranks, so one pre-token of megabytes is no trouble.
 
+Pre-tokens do not meet, so those of some texts that are not remembered wait in one queue: what comes off it of one
+pre-token comes in the order that it would have alone, and the lists and the bitmap are set up once for all of them.
+
 Defined cases: a null text encodes like the empty text, to no ids, and decodes to no bytes; strings of special
 tokens are ordinary text; repeated rows are encoded alike; an empty table gives an empty result; ids of the vocabulary
 decode to their bytes whether or not these are whole UTF-8.
@@ -14,11 +17,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import pairwise
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -31,6 +37,12 @@ from tidemark.llm.common import small_batches
 REMEMBERED = 400_000
 #: Longer pre-tokens are encoded anew each time.
 LONG = 64
+#: Texts are encoded together up to so many characters, one text at least.
+TOGETHER = 2_000_000
+#: Bytes of pre-tokens in one queue, one pre-token at least.
+QUEUED = 1 << 13
+#: In place of an id: a byte without one, and a place within a part.
+UNKNOWN, GONE = -1, -2
 #: A bitmap word has two to this power bits.
 WORD = 8
 MASK = (1 << WORD) - 1
@@ -41,7 +53,7 @@ class RankQueue:
     """Positions by rank; the least position of the least rank comes first.
 
     ``top`` has a bit for each word of ``words``, which have a bit for each rank in use. The queue is empty between
-    pre-tokens, so it is made once. ``merge`` runs push and pop in line.
+    calls, so it is made once. ``merge`` runs push and pop in line.
     """
 
     def __init__(self, ranks: int):
@@ -49,26 +61,25 @@ class RankQueue:
         self.buckets: dict[int, list[int]] = {}
 
 
-class _Memory(dict):
-    """Results by pre-token: the newer half is looked up first, the older half is forgotten when the newer is full."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
+def _parts(sizes: Iterable[int], most: int) -> Iterator[slice]:
+    """Consecutive runs whose sizes come to ``most`` at most, or that are one long."""
+    start, held, stop = 0, 0, 0
+    for stop, size in enumerate(sizes, 1):
+        if held and held + size > most:
+            yield slice(start, stop - 1)
+            start, held = stop - 1, 0
+        held += size
+    if stop > start:
+        yield slice(start, stop)
 
-    def __missing__(self, piece):
-        value = self.old.get(piece)
-        if value is None:
-            value = self.make(piece)
-        self.put(piece, value)
-        return value
 
-    def put(self, piece, value) -> None:
-        if len(piece) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = value
+def _joined(strings: pa.LargeBinaryArray, ids: Sequence[int]) -> memoryview:
+    """The strings at these ids, one after another."""
+    found = strings.take(pa.array(ids, pa.int32()))
+    if found.null_count:
+        raise KeyError("an id is not in the vocabulary")
+    _, ends, data = found.buffers()
+    return memoryview(data)[: np.frombuffer(ends, np.int64)[len(found)]] if len(found) else memoryview(b"")
 
 
 class Codec:
@@ -76,90 +87,152 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.bytes = {r: b for b, r in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.memory = _Memory(self._made)
-
-    def _made(self, piece: str) -> tuple[str, list[int]]:
-        """The ids of a pre-token, as decimals and as they are: one memory holds both."""
-        ids = self.merge(piece.encode("utf-8"))
-        return " ".join(map(str, ids)), ids
-
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks, words, buckets = self.ranks, self.queue.words, self.queue.buckets
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        top, find = 0, ranks.get
-        n = len(piece)
+        n = max(ranks.values(), default=-1) + 1
+        self.queue = RankQueue(n)
+        known = {r: b for b, r in ranks.items()}
+        self.bytes = pa.array(map(known.get, range(n)), pa.large_binary())
+        self.decimals = pa.array((b" %d" % r for r in range(n)), pa.large_binary())
+        self.ones = np.array([ranks.get(bytes([i]), UNKNOWN) for i in range(256)], np.int32)
+        self.twos = np.full(1 << 16, -1, np.int32)
+        for b, r in ranks.items():
+            if len(b) == 2:
+                self.twos[b[0] << 8 | b[1]] = r
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, as 32-bit integers."""
+        found, rest = [], []
+        for k, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            found.append(b"" if whole is None else whole.to_bytes(4, sys.byteorder))
+            if whole is None and piece:
+                rest.append(k)
+        for part in _parts((len(pieces[k]) for k in rest), QUEUED):
+            for k, ids in zip(rest[part], self.merge([pieces[k] for k in rest[part]])):
+                found[k] = ids
+        return found
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of some pre-tokens, none empty, that have no rank as a whole, as 32-bit integers."""
+        find, words, buckets = self.ranks.get, self.queue.words, self.queue.buckets
+        data = b"".join(pieces)
+        n = len(data)
+        stops = np.cumsum([len(p) for p in pieces])
+        codes = np.frombuffer(data, np.uint8)
+        pairs = np.full(n, -1, np.int32)
+        pairs[:-1] = self.twos[codes[:-1].astype(np.int32) << 8 | codes[1:]]
+        pairs[stops - 1] = -1
+        starts = np.arange(-1, n)
+        starts[0] = starts[stops] = -1
+        ids = self.ones[codes].tolist()  # of the part that begins here; GONE within a part
+        pair = pairs.tolist()  # rank of the part that begins here with the next one
+        before = starts.tolist()  # where the part before begins; -1 where a pre-token does
         end = list(range(1, n + 1))  # of the part that begins here
-        before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the part that begins here with the next one
-        fresh = []  # pairs to push
-        for i in range(n - 1):
-            if (r := find(piece[i : i + 2])) is not None:
-                fresh.append((r, i))
-        while True:
-            for r, i in fresh:
-                pair[i] = r
-                bucket = buckets.get(r)
-                if bucket is None:
-                    buckets[r] = [i]
-                    at = r >> WORD
-                    if not words[at]:
-                        top |= 1 << at
-                    words[at] |= BIT[r & MASK]
-                else:
-                    heappush(bucket, i)
-            if not top:
-                break
+        top = 0
+        order = np.argsort(pairs, kind="stable")[np.count_nonzero(pairs < 0) :]
+        used, first = np.unique(pairs[order], return_index=True)
+        order, first = order.tolist(), first.tolist()
+        for r, a, b in zip(used.tolist(), first, first[1:] + [len(order)]):
+            buckets[r] = order[a:b]
+            words[r >> WORD] |= BIT[r & MASK]
+            top |= 1 << (r >> WORD)
+        while top:
             at = (top & -top).bit_length() - 1
             word = words[at]
-            low = word & -word
-            r = (at << WORD) + low.bit_length() - 1
+            r = (at << WORD) + (word & -word).bit_length() - 1
             bucket = buckets[r]
-            i = heappop(bucket)
+            lower = False
+            while bucket and not lower:
+                i = heappop(bucket)
+                if pair[i] != r:  # stale
+                    continue
+                mid = end[i]
+                stop = end[i] = end[mid]
+                pair[mid] = pair[i] = -1
+                ids[i], ids[mid] = r, GONE
+                if before[stop] >= 0:
+                    before[stop] = i
+                    if (new := find(data[i : end[stop]])) is not None:
+                        pair[i] = new
+                        if new in buckets:
+                            heappush(buckets[new], i)
+                        else:
+                            buckets[new] = [i]
+                            words[at := new >> WORD] |= BIT[new & MASK]
+                            top |= 1 << at
+                        if new < r:
+                            lower = True
+                if (left := before[i]) >= 0:
+                    pair[left] = -1
+                    if (new := find(data[left:stop])) is not None:
+                        pair[left] = new
+                        if new in buckets:
+                            heappush(buckets[new], left)
+                        else:
+                            buckets[new] = [left]
+                            words[at := new >> WORD] |= BIT[new & MASK]
+                            top |= 1 << at
+                        if new < r:
+                            lower = True
             if not bucket:
                 del buckets[r]
-                words[at] = word = word ^ low
-                if not word:
+                at = r >> WORD
+                words[at] ^= BIT[r & MASK]
+                if not words[at]:
                     top ^= 1 << at
-            fresh = []
-            if pair[i] != r:  # stale
-                continue
-            mid = end[i]
-            stop = end[i] = end[mid]
-            pair[mid] = pair[i] = -1
-            if stop < n:
-                before[stop] = i
-                if (r := find(piece[i : end[stop]])) is not None:
-                    fresh.append((r, i))
-            left = before[i]
-            if left >= 0:
-                if (r := find(piece[left:stop])) is None:
-                    pair[left] = -1
-                else:
-                    fresh.append((r, left))
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return ids
+        parts = np.array(ids, np.int32)
+        if (parts == UNKNOWN).any():
+            raise KeyError("a byte is not in the vocabulary")
+        live = parts != GONE
+        raw = parts[live].tobytes()
+        bounds = [0, *(np.cumsum(live)[stops - 1] * parts.itemsize).tolist()]
+        return [raw[a:b] for a, b in pairwise(bounds)]
+
+    def _known(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids of each of these pre-tokens. The newer half of the memory is asked first, the older half is forgotten when the newer is full."""
+        newer, older = self.newer, self.older
+        known, fresh = {}, []
+        for piece in pieces:
+            ids = newer.get(piece)
+            if ids is None:
+                ids = older.get(piece)
+                if ids is None:
+                    fresh.append(piece)
+                    continue
+                newer[piece] = ids
+            known[piece] = ids
+        for piece, ids in zip(fresh, self._merged([p.encode("utf-8") for p in fresh])):
+            known[piece] = ids
+            if len(piece) <= LONG:
+                newer[piece] = ids
+        if len(newer) >= REMEMBERED:
+            self.newer, self.older = {}, newer
+        return known
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for part in _parts((len(t or "") for t in texts), TOGETHER):
+            split = [self.split(t or "") for t in texts[part]]
+            known = self._known(set().union(*split))
+            for pieces in split:
+                yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable([ids for _, ids in map(self.memory.__getitem__, self.split(text or ""))]))
+        return next(self.encode_all([text])).tolist()
+
+    def decode(self, ids: Sequence[int]) -> bytes:
+        return bytes(_joined(self.bytes, ids))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def digests_all(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of ids, SHA-256 of the ids as decimals and of the bytes that the whole list of ids decodes to."""
+        for ids in self.encode_all(texts):
+            shown = _joined(self.decimals, ids)[1:]
+            yield len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(_joined(self.bytes, ids)).hexdigest()
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids as decimals and of the bytes that the whole list of ids decodes to."""
-        found = list(map(self.memory.__getitem__, self.split(text or "")))
-        shown = " ".join([s for s, _ in found]).encode()
-        ids = list(chain.from_iterable([x for _, x in found]))
-        return len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+        return next(self.digests_all([text]))
 
 
 def load_ranks(content: bytes) -> dict[bytes, int]:
@@ -186,8 +259,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, column: str = "text", i
 
     @F.pandas_udf("array<int>")
     def ids(texts):
-        codec = _codec(name, pattern)
-        return texts.map(codec.encode, na_action=None)
+        return pd.Series(list(_codec(name, pattern).encode_all(texts.tolist())), dtype=object)
 
     return df.withColumn(into, ids(F.coalesce(F.col(column), F.lit(""))))
 
@@ -211,7 +283,7 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
         for b in batches:
-            found = [codec.digests(t) for t in b.column(1).to_pylist()]
+            found = list(codec.digests_all(b.column(1).to_pylist()))
             n, ids, back = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -228,7 +300,7 @@ def token_rows(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 texts = [t or "" for t in part.column(3).to_pylist()]
-                ids = [codec.encode(t) for t in texts]
+                ids = list(codec.encode_all(texts))
                 same = [codec.decode(x) == t.encode("utf-8") for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], ["doc_id", "lang", "source", "ids", "round_trip"])
 
